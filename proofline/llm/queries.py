@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, minhash, ngram_lm, sentencepiece, substrings, topk, toxicity
+from . import decontaminate, extract, langid, licenses, minhash, ngram_lm, sentencepiece, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "n_windows", "n_found", "similarity", "kind")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.language_id(_table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ QUERIES = {
         op3_sentencepiece,
         op4_exact_top_k,
         op5_benchmark_decontamination,
+        op6_html_extraction,
         op7_language_id,
         op8_minhash_near_dedup,
         op9_lm_scoring,
