@@ -10,20 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import minhash
+from proofline.llm import decontaminate, minhash, sentencepiece, substrings, toxicity
 from proofline.llm.shared import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; the model learns from ``labels`` of these documents."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return minhash.drop_near_duplicates(docs)
 
 
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that repeat within or across documents are cut out of the texts."""
+    return substrings.remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other values, go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of every document's best segmentation."""
+    return sentencepiece.encode(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("near_dedup", near_dedup),
+    ("suffix_array_dedup", repeat_removal),
+    ("decontamination", decontamination),
+    ("sentencepiece", encoding),
 ]
 
-# Learned scores, hash joins of signatures and piece lattices have no SQL form.
+# Learned scores, joins of hashed signatures and piece lattices have no SQL form.
 ORACLE_SQL = None
 
 
