@@ -18,8 +18,9 @@ same or another text, is removed. Strings are judged on the input and never cros
    128-bit hash by an aggregation that Spark combines before it shuffles.
 4. Repeated starts become byte spans, are merged per text, and cut out.
 
-Texts are told apart by a 64-bit hash and their length; a task passes on the anchors of
-equal texts once and notes further copies in one row each.
+Texts are told apart by a 64-bit hash and their length. A task passes on the anchors of
+equal texts once, and equal occurrences of one slice of texts as one row: a passage or
+period that fills a text does not become as many rows of one key.
 
 Edge cases: null and empty texts, and those shorter than LENGTH, lose nothing; repeated
 rows are copies of each other and lose everything (if LENGTH bytes or longer); further
@@ -44,7 +45,7 @@ BLOCK_VARIANTS = 64
 BLOCK_SYMBOLS = 60_000
 _SEEN = 500_000
 
-_OCCURRENCE = "anchor long, around long, key long, size long, p int, a int, b int"
+_OCCURRENCE = "anchor long, around long, key long, size long, p int, a int, b int, weight int"
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -102,21 +103,34 @@ def _occurrence_rows(docs: DataFrame) -> DataFrame:
                     fresh[i] = True
                     if len(seen) < _SEEN:
                         seen.add(name)
-            doc, anchor, around, p, a, b = occurrences(t)
-            keep = fresh[doc]
-            copy = np.flatnonzero((sizes >= LENGTH) & ~fresh)  # anchor and around say "a further copy"
-            own = mix(keys[copy].view(np.uint64) + np.uint64(17))
+            found = occurrences(t)
+            mine = np.flatnonzero(fresh[found[0]])
+            doc, anchor, around, p, a, b = (x[mine] for x in found)
+            # equal occurrences within the slice settle each other here: one row stands for
+            # all of them, with weight 2, and their bytes go on as settled runs
+            _, one, back, times = np.unique(mix(anchor) ^ around, return_index=True, return_inverse=True, return_counts=True)
+            settled = np.flatnonzero(times[back.ravel()] > 1)
+            sd, lo, hi = doc[settled], a[settled], b[settled] + LENGTH
+            reach = np.maximum.accumulate(hi + sd * (1 << 40)) - sd * (1 << 40) if len(sd) else hi
+            head = np.ones(len(sd), bool)
+            head[1:] = (sd[1:] != sd[:-1]) | (lo[1:] > reach[:-1])
+            first = np.flatnonzero(head)
+            rd, ra, rb = sd[first], lo[first], reach[np.append(first[1:], len(sd)) - 1] - LENGTH if len(sd) else hi
+            copy = np.flatnonzero((sizes >= LENGTH) & ~fresh)
+            rd, ra, rb = np.concatenate([rd, copy]), np.concatenate([ra, np.zeros(len(copy), int)]), np.concatenate([rb, sizes[copy] - LENGTH])
+            own = mix(keys[rd].view(np.uint64) + ra.astype(np.uint64))  # settled runs meet nobody: p is -1
             yield pa.record_batch(
                 [
-                    pa.array(np.concatenate([anchor[keep], own]).view(np.int64)),
-                    pa.array(np.concatenate([around[keep], own]).view(np.int64)),
-                    pa.array(np.concatenate([keys[doc[keep]], keys[copy]])),
-                    pa.array(np.concatenate([sizes[doc[keep]], sizes[copy]])),
-                    pa.array(np.concatenate([p[keep], np.full(len(copy), -1)]).astype(np.int32)),
-                    pa.array(np.concatenate([a[keep], np.zeros(len(copy), int)]).astype(np.int32)),
-                    pa.array(np.concatenate([b[keep], sizes[copy] - LENGTH]).astype(np.int32)),
+                    pa.array(np.concatenate([anchor[one], own]).view(np.int64)),
+                    pa.array(np.concatenate([around[one], own]).view(np.int64)),
+                    pa.array(np.concatenate([keys[doc[one]], keys[rd]])),
+                    pa.array(np.concatenate([sizes[doc[one]], sizes[rd]])),
+                    pa.array(np.concatenate([p[one], np.full(len(rd), -1)]).astype(np.int32)),
+                    pa.array(np.concatenate([a[one], ra]).astype(np.int32)),
+                    pa.array(np.concatenate([b[one], rb]).astype(np.int32)),
+                    pa.array(np.concatenate([np.minimum(times, 2), np.ones(len(rd), int)]).astype(np.int32)),
                 ],
-                names=["anchor", "around", "key", "size", "p", "a", "b"],
+                names=["anchor", "around", "key", "size", "p", "a", "b", "weight"],
             )
 
     source = _keyed(docs).where(F.col("_size") >= LENGTH).select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
@@ -285,7 +299,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = (
         _occurrence_rows(docs)
         .withColumn("rn", F.row_number().over(same.orderBy("key", "p")))
-        .withColumn("n", F.count("*").over(same))
+        .withColumn("n", F.sum("weight").over(same))
         .withColumn("variants", F.sum((F.col("rn") == 1).cast("int")).over(by_anchor))
         .where("n > 1 or variants > 1 or p < 0")
     )
