@@ -1,6 +1,11 @@
-"""All queries of the core library."""
+"""All queries of the core library: name -> callable(spark, sf_dir), and the DuckDB SQL beside."""
 
 from __future__ import annotations
 
+from . import audit, evaluation, ingest, reads
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (ingest, audit, reads, evaluation):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
