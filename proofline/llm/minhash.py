@@ -9,10 +9,9 @@ leaving one component out. Every pair within distance 39 shares a key; a pair at
 J = 0.75 lies beyond it with probability near one in a million.
 
 Documents with equal shingle sets form one class and take part once. Within a key,
-members are compared with the key's smallest member, not with each other. Members left
-in another component than their key-mates are then compared with further members until
-no key holds two components with untried pairs. Links are confirmed on the full shingle
-sets of the whole texts.
+members are compared with one central member, not with each other. For documents still in another component than some key-mate, a prefix
+filter over their whole shingle sets finds every pair across components that can be
+similar. Links are confirmed on the full shingle sets of the whole texts.
 
 Edge cases: a null or word-free text has an empty set and no links; rows without doc_id
 take no part (component null, kept true); repeated rows share class and component; the
@@ -32,7 +31,7 @@ from .shared import materialize
 
 WIDTH, CHUNKS, CHUNK = 5, 20, 4
 MOST_DISTANCE = CHUNKS * 2 - 1
-STAR_ROUNDS = 3
+ORDER_SAMPLE = 4_000  # documents whose shingles are counted to order them
 
 _SEEDS = mix(np.arange(1, 2 * CHUNKS * CHUNK + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -136,6 +135,73 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``key, id, component`` of the keys that hold more than one component."""
+    found = comp.select(F.col("node").alias("id"), "component")
+    now = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+    return now.join(mixed, "key")
+
+
+def _grow(pairs: DataFrame, tried: DataFrame | None, links: DataFrame | None, classes: DataFrame, docs: DataFrame):
+    """Confirm new ``pairs(id, c)``; the components, pairs tried and links after that."""
+    pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = materialize(pairs, "pairs")
+    fresh = materialize(_confirm(pairs, classes, docs), "links")
+    links = fresh if links is None else links.union(fresh)
+    return materialize(components(links), "components"), pairs if tried is None else tried.union(pairs), links
+
+
+def _prefix_pairs(left: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, c``: pairs across components that may be similar, by an exact prefix filter.
+
+    Shingles are put in one order, those frequent in a bounded sample of the documents
+    last. If 7 * |x & y| >= 3 * (|x| + |y|), the first quarter of the larger set (plus
+    one) and the first seventh of the smaller meet, and at their first common shingle
+    enough of both is left. The sample bears on cost alone.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = text.join(left, "id")
+
+    def sets(batches):
+        for some, t in slices(batches):
+            h, _ = distinct_per_text(*shingle_sets(t, WIDTH))
+            yield pa.record_batch([pa.array(h.view(np.int64))], names=["h"])
+
+    n = left.count()
+    sample = text.join(left.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, ORDER_SAMPLE / n))), "id")
+    often = sample.select("text").mapInArrow(sets, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    order = np.argsort(often.column("h").to_numpy().view(np.uint64), kind="stable")
+    table = docs.sparkSession.sparkContext.broadcast((often.column("h").to_numpy().view(np.uint64)[order], often.column("n").to_numpy()[order]))
+
+    def prefixes(batches):
+        known, count = table.value
+        for some, t in slices(batches):
+            h, first = distinct_per_text(*shingle_sets(t, WIDTH))
+            doc = np.repeat(np.arange(t.n), np.diff(first))
+            weight = np.zeros(len(h), np.int64)
+            if len(known):
+                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                weight = np.where(known[k] == h, count[k], 0)
+            by_weight = np.lexsort((h, weight, doc))
+            h, doc = h[by_weight], doc[by_weight]
+            size = np.diff(first)[doc]
+            at = np.arange(len(h)) - first[doc]
+            probe = at < size - -(-3 * size // 4) + 1
+            h, doc, size, at = h[probe], doc[probe], size[probe], at[probe]
+            take = pa.array(doc)
+            yield pa.record_batch(
+                [some.column("id").take(take), some.column("component").take(take), pa.array(h.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(at.astype(np.int64)), pa.array(at < size - -(-6 * size // 7) + 1)],
+                names=["id", "component", "h", "size", "at", "index"],
+            )
+
+    entries = materialize(rows.select("id", "component", "text").mapInArrow(prefixes, "id long, component long, h long, size long, at long, index boolean"), "prefixes")
+    small = entries.where("index").select("h", F.col("id").alias("c"), F.col("component").alias("cc"), F.col("size").alias("n"), F.col("at").alias("ca"))
+    return entries.join(small, "h").where("component <> cc and size >= n and 75 * size <= 100 * n and 7 * least(size - at, n - ca) >= 3 * (size + n)").select("id", "c")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sig = materialize(signature_table(docs), "signatures")
@@ -146,33 +212,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     keys = _keys(classes)
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = materialize(keys.join(shared, "key"), "members")  # of keys with two classes or more
-
-    tried = materialize(members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = materialize(_confirm(tried, classes, docs), "links")
-    comp = materialize(components(links), "components")
-    for turn in range(1, STAR_ROUNDS + 2):
-        found = comp.select(F.col("node").alias("id"), "component")
-        open_ = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = open_.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-        open_ = materialize(open_.join(mixed, "key"), "open")
-        if turn <= STAR_ROUNDS:  # another centre in each key, compared with the other components' members
-            rank = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "component")
-            centre = open_.groupBy("key").agg(F.min(rank).alias("m")).select("key", F.col("m.id").alias("c"), F.col("m.component").alias("cc"))
-            pairs = open_.join(centre, "key").where("component <> cc")
-        else:  # what no centre has joined: all pairs across components, none within
-            other = open_.select("key", F.col("id").alias("c"), F.col("component").alias("cc"))
-            pairs = open_.join(other, "key").where("component < cc")
-        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        fresh = materialize(_confirm(pairs, classes, docs), "links")
-        tried = tried.union(pairs)
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            comp = materialize(components(links), "components")
+    shares = members.groupBy("id").agg(F.count("*").alias("shares"))  # high for members that others resemble most
+
+    rank = F.struct((-F.col("shares")).alias("s"), F.xxhash64("id").alias("h"), "id")
+    centre = members.join(shares, "id").groupBy("key").agg(F.min(rank)["id"].alias("c"))
+    comp, tried, links = _grow(members.join(centre, "key").where("id <> c"), None, None, classes, docs)
+    left = materialize(_open(members, comp).select("id", "component").distinct(), "open")
+    if not left.isEmpty():
+        comp, tried, links = _grow(_prefix_pairs(left, docs, classes), tried, links, classes, docs)
     by_set = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("found"))
     out = sig.join(by_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
@@ -187,4 +236,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of repeated rows (one doc_id, several rows) all stay if that doc_id stays.
     """
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
