@@ -232,5 +232,5 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
     bad = contaminations(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("doc_row").alias("_row")).distinct()
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_row"))
+    on = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_row"])
     return docs.join(bad, on, "left_anti")

@@ -87,7 +87,7 @@ def occurrences(t: Texts) -> tuple[np.ndarray, ...]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_key", F.xxhash64(text)).withColumn("_size", F.octet_length(text).cast("long"))
+    return docs.select("text").withColumn("_key", F.xxhash64(text)).withColumn("_size", F.octet_length(text).cast("long"))
 
 
 def _occurrence_rows(docs: DataFrame) -> DataFrame:
@@ -335,9 +335,12 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    keyed, spans = _keyed(docs), repeated_spans(docs)
-    on = (keyed["_key"] == spans["_key"]) & (keyed["_size"] == spans["_size"])
-    return keyed.join(spans, on, "left").select(*[keyed[f"`{c}`"] for c in docs.columns], spans["spans"].alias("_spans"))
+    """``docs`` with its columns renamed by position, and ``_spans`` behind them."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    text = F.coalesce(F.col(f"_c{at}").cast("string"), F.lit(""))
+    keyed = plain.withColumn("_key", F.xxhash64(text)).withColumn("_size", F.octet_length(text).cast("long"))
+    return keyed.join(repeated_spans(docs), ["_key", "_size"], "left").select(*plain.columns, F.col("spans").alias("_spans"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -346,13 +349,13 @@ def summary(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text"), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1), batch.column("_spans").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 runs = merged(spans)
                 rows.append((len(raw), sum(hi - lo for lo, hi in runs), len(runs), hashlib.sha256(_kept(raw, runs) if runs else raw).hexdigest()))
             n_bytes, n_removed, n_spans, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())],
+                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
@@ -380,7 +383,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     joined = _with_spans(docs)
     at = docs.columns.index("text")
-    has_count = "n_chars" in docs.columns
+    names, has_count = docs.columns, "n_chars" in docs.columns
 
     def run(batches):
         for batch in batches:
@@ -390,7 +393,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             ]
             cols = [c for c in batch.columns][:-1]
             cols[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.record_batch(cols, names=batch.schema.names[:-1])
+            yield pa.record_batch(cols, names=names)
 
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if has_count else out
