@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,6 +149,12 @@ def model_or_rules(answer: Column, rules: Column) -> Column:
     return F.when(F.coalesce(F.size(answer["requirements"]), F.lit(0)) > 0, answer["requirements"]).otherwise(rules)
 
 
+def fill(template: str, **values: Column) -> Column:
+    """A template with its names in braces replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts) if k % 2 or x])
+
+
 def show_number(c: Column) -> Column:
     """A number in its shortest form of at most six digits (``800``, ``0.15``)."""
     fixed_form = F.format_string("%.6g", c.cast("double"))

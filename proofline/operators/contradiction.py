@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.contracts import on_topic
-from ..functions.text import contains_any, first_contained, show_number
+from ..functions.text import contains_any, fill, first_contained, show_number
 from .validators import COMPATIBLE, in_contract_unit
 
 FINDING = "source_a_doc:string,source_a_quote:string,source_b_doc:string,source_b_quote:string,highlight:string,description:string"
@@ -35,10 +35,7 @@ def contract_contradictions(rows: DataFrame) -> DataFrame:
         F.col("limits"),
         _finding(
             spec, raw, F.col("document_name"), F.col("quote"), F.trim(F.concat(g(F.col("max_value")), F.lit(" "), F.coalesce("unit", F.lit("")))),
-            F.concat(
-                F.lit("Direct parameter discrepancy identified between "), F.col("title"), F.lit(" and "), F.col("document_name"), F.lit(". Specification mandates operation up to "), g(c["max_value"]), F.lit(" "), unit,
-                F.lit(", but "), F.col("document_name"), F.lit(" restricts maximum rated operation to "), g(most), F.lit(" "), unit, F.lit("."),
-            ),
+            fill(fixed.LIMITED, title=F.col("title"), name=F.col("document_name"), most=F.concat(g(c["max_value"]), F.lit(" "), unit), least=F.concat(g(most), F.lit(" "), unit)),
         ),
     )
     denied = [limited]
@@ -48,7 +45,7 @@ def contract_contradictions(rows: DataFrame) -> DataFrame:
         denied.append(
             F.when(
                 contains_any(need, p["topic"]) & contains_any(q, p["topic"]) & contains_any(need, p["positive"]) & word.isNotNull(),
-                _finding(spec, raw, F.col("document_name"), F.col("quote"), word, F.concat(F.lit(p["text"] + " Specification requires compliance while "), F.col("document_name"), F.lit(" states '"), word, F.lit("'."))),
+                _finding(spec, raw, F.col("document_name"), F.col("quote"), word, fill(fixed.DENIED_BY_DOCUMENT, text=F.lit(p["text"]), name=F.col("document_name"), word=word)),
             )
         )
     found = open_.withColumn("finding", F.coalesce(*denied)).where("finding is not null")
@@ -75,7 +72,7 @@ def pair_contradictions(claims: DataFrame) -> DataFrame:
     texts = F.element_at(F.array(*[F.lit(p["text"]) for p in fixed.CONFLICT_PAIRS]), F.col("rule") + 1)
     finding = _finding(
         F.col("p_doc"), F.col("p_quote"), F.col("n_doc"), F.col("n_quote"), F.col("word"),
-        F.concat(texts, F.lit(" One document requires credentials while "), F.col("n_doc"), F.lit(" states '"), F.col("word"), F.lit("'.")),
+        fill(fixed.DENIED_BY_PAIR, text=texts, name=F.col("n_doc"), word=F.col("word")),
     )
     order = F.struct(F.least("p_ord", "n_ord").alias("i"), F.greatest("p_ord", "n_ord").alias("j"), "rule", (F.col("p_ord") > F.col("n_ord")).alias("turned"))
     return pairs.groupBy("req_id").agg(F.min_by(finding, order).alias("finding"))

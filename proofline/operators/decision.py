@@ -50,7 +50,7 @@ def review_of(coverage: Column) -> Column:
 
 def recommendation_of(coverage: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in fixed.RECOMMENDATIONS.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, coverage), F.lit("Perform engineering review."))
+    return F.coalesce(F.try_element_at(table, coverage), F.lit(fixed.OTHER_ADVICE))
 
 
 def assess(requirements: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,12 +76,11 @@ def assess(requirements: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
     lit, none = F.lit, F.lit(None)
     verdict, last = F.col("verdict"), F.coalesce("typed", "semantic")
     verdict_cover, last_cover = coverage_of(verdict["status"]), coverage_of(last["status"])
-    advice = F.when(verdict_cover == "Conflict", "Investigate test failure root cause.").otherwise("Schedule testing or review in-progress validation records.")
-    conflict_advice = "Review the conflicting documentation with engineering and confirm the verified operating bounds before sign-off."
+    advice = F.when(verdict_cover == "Conflict", fixed.FAILURE_ADVICE).otherwise(fixed.SCHEDULE_ADVICE)
     result = (
         F.when(F.col("n_candidates") == 0, _assessment(lit("Missing"), lit(95.0), lit("Open"), lit(fixed.NO_EVIDENCE), lit(fixed.UPLOAD), "gate", none))
         .when(F.col("n_independent") == 0, _assessment(lit("Missing"), lit(95.0), lit("Open"), lit(fixed.NO_INDEPENDENT), lit(fixed.UPLOAD), "gate", none))
-        .when(F.col("finding").isNotNull(), _assessment(lit("Conflict"), lit(92.0), lit("Needs review"), F.col("finding")["description"], lit(conflict_advice), "contradiction", F.col("finding")["highlight"]))
+        .when(F.col("finding").isNotNull(), _assessment(lit("Conflict"), lit(92.0), lit("Needs review"), F.col("finding")["description"], lit(fixed.CONFLICT_ADVICE), "contradiction", F.col("finding")["highlight"]))
         .when(verdict.isNotNull(), _assessment(verdict_cover, verdict["confidence"], F.when(verdict_cover == "Missing", "Open").otherwise("Needs review"), verdict["reason"], advice, "verdict", none))
         .otherwise(_assessment(last_cover, last["confidence"], review_of(last_cover), last["reason"], recommendation_of(last_cover), "check", last["highlight"]))
     )

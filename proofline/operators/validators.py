@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.contracts import on_topic, topic_terms
-from ..functions.text import contains_any, show_number
+from ..functions.text import contains_any, fill, show_number
 from ..functions.units import normalize_unit, unit_table
 
 OUTCOME = "status:string,confidence:double,reason:string,highlight:string,expected_value:string,observed_value:string"
 
 
-def outcome(status: str, confidence: float, reason: Column | str, expected: Column | str, observed: Column | str, highlight: Column | str | None = None) -> Column:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+def outcome(status: str, confidence: float, wording: str, highlight: Column | str | None = None, **values: Column) -> Column:
+    """An outcome struct in the fixed wording of that name, filled with ``values``."""
+    reason, expected, observed = (fill(t, **values) for t in fixed.OUTCOMES[wording])
+    tip = highlight if isinstance(highlight, Column) else F.lit(highlight)
     return F.struct(
-        F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), lit(reason).alias("reason"), lit(highlight).alias("highlight"), lit(expected).alias("expected_value"), lit(observed).alias("observed_value")
+        F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), reason.alias("reason"), tip.alias("highlight"), F.trim(expected).alias("expected_value"), F.trim(observed).alias("observed_value")
     ).cast(f"struct<{OUTCOME}>")
 
 
@@ -65,17 +67,10 @@ def test_verdict(rows: DataFrame) -> DataFrame:
         F.bool_or(F.col("test_result").isin("NOT TESTED", "NOT STARTED", "MISSING")).alias("missing"), F.bool_or(F.col("test_result") == "PASS").alias("passed"),
         F.bool_or(F.col("test_result").isin("IN PROGRESS", "PARTIAL")).alias("partial"), F.bool_or(F.col("test_result") == "FAIL").alias("failed"),
     )
-    done = "Completed qualification test report"
     result = (
-        F.when(
-            F.col("missing") & ~F.col("passed"),
-            outcome("MISSING", 95.0, "Official compliance matrix record confirms qualification testing has not been performed and required evidence is missing.", done, "Test Status: Not Started / Missing Evidence"),
-        )
-        .when(
-            F.col("partial") & ~F.col("passed"),
-            outcome("PARTIAL", 90.0, "Test verification records indicate qualification testing is currently in progress or partially completed.", done, "Test Status: In Progress"),
-        )
-        .when(F.col("failed"), outcome("CONFLICT", 95.0, "Official laboratory report indicates verification test failed to satisfy acceptance criteria.", "PASS", "FAIL", "FAIL"))
+        F.when(F.col("missing") & ~F.col("passed"), outcome("MISSING", 95.0, "verdict_missing"))
+        .when(F.col("partial") & ~F.col("passed"), outcome("PARTIAL", 90.0, "verdict_partial"))
+        .when(F.col("failed"), outcome("CONFLICT", 95.0, "verdict_failed", "FAIL"))
     )
     return found.select("req_id", result.alias("outcome")).where("outcome is not null")
 
@@ -97,17 +92,13 @@ def numeric_range(rows: DataFrame) -> DataFrame:
     covers = (a <= lo) & (b >= hi)
     partial = ((a > lo) & (a < hi)) | ((b < hi) & (b > lo)) | ((a >= lo) & (b <= hi))
     warm = F.when(F.contains(F.lower(u), F.lit("c")), _text("+", g(b), "°C")).otherwise(F.col("tip"))
+    values = {"need": need, "got": got}
+    points = F.array_join(F.transform("points", g), ", ")
     result = (
-        F.when(
-            F.col("sweep"),
-            F.when(covers, outcome("SUPPORTED", 95.0, _text("Tested points (", got, ") fully span required range (", need, ")."), F.trim(need), _text("Points: ", F.array_join(F.transform("points", g), ", ")))),
-        )
-        .when(covers, outcome("SUPPORTED", 95.0, _text("Evidence range (", got, ") fully covers required bounds (", need, ")."), F.trim(need), F.trim(got)))
-        .when(
-            partial,
-            outcome("PARTIAL", 90.0, _text("Test evidence covers only part of the declared operating range: tested from ", got, ", leaving a verification gap against required bounds (", need, ")."), F.trim(need), F.trim(got), warm),
-        )
-        .when((b < lo) | (a > hi), outcome("CONFLICT", 92.0, _text("Evidence operating bounds (", got, ") fall completely outside the required envelope (", need, ")."), F.trim(need), F.trim(got), F.col("tip")))
+        F.when(F.col("sweep"), F.when(covers, outcome("SUPPORTED", 95.0, "range_points", points=points, **values)))
+        .when(covers, outcome("SUPPORTED", 95.0, "range_covered", **values))
+        .when(partial, outcome("PARTIAL", 90.0, "range_partial", warm, **values))
+        .when((b < lo) | (a > hi), outcome("CONFLICT", 92.0, "range_outside", F.col("tip"), **values))
     )
     return _first(shown.withColumn("outcome", result), F.struct((~F.col("sweep")).alias("phase"), "claim_ord"))
 
@@ -127,13 +118,12 @@ def threshold(rows: DataFrame) -> DataFrame:
     limit = F.when(upper, c["max_value"]).otherwise(c["min_value"])
     raw = F.coalesce("value_num", F.when(upper, F.col("max_value")).otherwise(F.col("min_value")))
     m = _measured(rows.where(c["operator"].isin("<=", "<", ">=", ">")), "threshold", limit, raw, F.coalesce(c["unit"], F.lit("")))
-    v, bound, got, tip = F.col("v"), F.col("bound"), F.col("got"), F.trim("got")
-    most, least = F.trim(_text("≤ ", bound)), F.trim(_text("≥ ", bound))
+    v, tip, values = F.col("v"), F.trim("got"), {"bound": F.col("bound"), "got": F.col("got")}
     result = (
-        F.when(F.col("upper") & (v <= F.col("limit")), outcome("SUPPORTED", 95.0, _text("Measured value of ", got, " satisfies required upper limit of ≤ ", bound, "."), most, tip))
-        .when(F.col("upper"), outcome("CONFLICT", 90.0, _text("Measured value of ", got, " exceeds required maximum limit of ≤ ", bound, "."), most, tip, tip))
-        .when(v >= F.col("limit"), outcome("SUPPORTED", 95.0, _text("Demonstrated value of ", got, " satisfies required minimum threshold of ≥ ", bound, "."), least, tip))
-        .otherwise(outcome("CONFLICT", 90.0, _text("Demonstrated value of ", got, " is below required minimum threshold of ≥ ", bound, "."), least, tip, tip))
+        F.when(F.col("upper") & (v <= F.col("limit")), outcome("SUPPORTED", 95.0, "limit_kept", **values))
+        .when(F.col("upper"), outcome("CONFLICT", 90.0, "limit_exceeded", tip, **values))
+        .when(v >= F.col("limit"), outcome("SUPPORTED", 95.0, "minimum_kept", **values))
+        .otherwise(outcome("CONFLICT", 90.0, "minimum_missed", tip, **values))
     )
     return _first(m.withColumn("outcome", result), F.col("claim_ord"))
 
@@ -144,10 +134,8 @@ def duration(rows: DataFrame) -> DataFrame:
     timed = (c["requirement_type"] == "duration") | c["unit"].isin("ms", "us", "µs", "s", "sec", "hours", "h", "min")
     open_ = c["operator"].isNull() | c["operator"].isin("<=", "<")
     m = _measured(rows.where(timed & open_), "duration", F.coalesce(c["max_value"], c["min_value"]), F.coalesce("value_num", "max_value"), F.coalesce(c["unit"], F.lit("ms")))
-    need, got = _text("≤ ", F.col("bound")), F.col("got")
-    result = F.when(F.col("v") <= F.col("limit"), outcome("SUPPORTED", 95.0, _text("Measured timing latency of ", got, " satisfies the required upper limit of ", need, "."), need, got)).otherwise(
-        outcome("CONFLICT", 92.0, _text("Measured timing latency of ", got, " exceeds allowable deadline of ", need, "."), need, got, got)
-    )
+    values = {"bound": F.col("bound"), "got": F.col("got")}
+    result = F.when(F.col("v") <= F.col("limit"), outcome("SUPPORTED", 95.0, "deadline_kept", **values)).otherwise(outcome("CONFLICT", 92.0, "deadline_missed", F.col("got"), **values))
     return _first(m.withColumn("outcome", result), F.col("claim_ord"))
 
 
@@ -159,26 +147,16 @@ def boolean_flag(rows: DataFrame) -> DataFrame:
     target = F.upper(F.coalesce(c["expected_value"], F.lit("IP67")))
     asks_ip = F.coalesce((c["parameter"] == "ingress_protection") | (c["unit"] == "IP"), F.lit(False)) | has(need, "ip6")
     on_ip = asks_ip & contains_any(q, ["ip67", "ip65", "immersion"])
-    ip = F.when(
-        on_ip & contains_any(q, ["pass", "zero water", "completed"]),
-        outcome("SUPPORTED", 95.0, _text("Ingress protection test confirmed compliance with ", target, " (zero ingress recorded)."), target, _text("PASS ", target)),
-    ).when(
-        on_ip & contains_any(q, ["not tested", "missing"]),
-        outcome("MISSING", 95.0, _text("Ingress protection test for ", target, " is documented as not tested."), _text("Completed ", target, " test"), "Not Tested"),
-    )
-    bus = F.when(
-        has(need, "can-fd") & has(need, "5.0 mbps") & has(q, "5.0 mbps") & has(q, "zero frame errors"),
-        outcome("SUPPORTED", 95.0, "CAN-FD telemetry protocol verified at 5.0 Mbps with zero frame errors.", "5.0 Mbps, zero frame errors", "5.0 Mbps tested with 0 errors"),
+    ip = F.when(on_ip & contains_any(q, ["pass", "zero water", "completed"]), outcome("SUPPORTED", 95.0, "ip_passed", target=target)).when(
+        on_ip & contains_any(q, ["not tested", "missing"]), outcome("MISSING", 95.0, "ip_untested", target=target)
     )
+    bus = F.when(has(need, "can-fd") & has(need, "5.0 mbps") & has(q, "5.0 mbps") & has(q, "zero frame errors"), outcome("SUPPORTED", 95.0, "bus_rate"))
     secure = contains_any(need, ["secure boot", "root-of-trust", "ecdsa"])
     proof = ~contains_any(F.lower("document_name"), fixed.SPEC_NAMES) & contains_any(q, ["ecdsa", "root-of-trust", "secure boot"]) & contains_any(q, ["pass", "verified"])
     marked = rows.withColumn("_ip", ip).withColumn("_bus", bus).withColumn("_secure", secure).withColumn("_proof", proof)
     first = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("claim_ord")))
     found = marked.groupBy("req_id").agg(first("_ip").alias("ip"), first("_bus").alias("bus"), F.bool_or("_secure").alias("secure"), F.bool_or("_proof").alias("proof"))
-    unproven = F.when(
-        F.col("secure") & ~F.col("proof"),
-        outcome("MISSING", 95.0, "No test report, security evaluation record, or cryptographic validation certificate found verifying ISO 21434 secure boot.", "ECDSA P-384 secure boot verification certificate", "Missing Evidence"),
-    )
+    unproven = F.when(F.col("secure") & ~F.col("proof"), outcome("MISSING", 95.0, "secure_boot"))
     return found.select("req_id", F.coalesce("ip", "bus", unproven).alias("outcome")).where("outcome is not null")
 
 
@@ -188,33 +166,24 @@ def semantic(contracts: DataFrame, claims: DataFrame) -> DataFrame:
         claims.where(~contains_any(F.lower("document_name"), fixed.SPEC_NAMES)).select("req_id", "claim_ord", "document_name", "quote"), "req_id", "left"
     )
     q, need, any_ = F.lower("quote"), F.col("need"), F.col("quote").isNotNull()
-    name, head = F.col("document_name"), F.substring("quote", 1, 150)
+    values = {"name": F.col("document_name"), "head": F.substring("quote", 1, 150)}
     rules = {
         "access": (
             contains_any(need, ["credential", "authentication", "login", "password", "seed-key"]) & contains_any(q, ["no login", "no authentication", "unauthenticated", "open access", "no password"]),
-            outcome("CONFLICT", 95.0, _text("Discrepancy in diagnostic access control: Specification mandates authentication while ", name, " describes open access."), "Cryptographic Seed-Key Authentication", head, "open access with no login required"),
+            outcome("CONFLICT", 95.0, "open_access", "open access with no login required", **values),
         ),
         "ground": (
             contains_any(need, ["galvanic isolation", "isolated"]) & contains_any(q, ["non-isolated", "common ground", "shared ground"]),
-            outcome("CONFLICT", 95.0, _text("Discrepancy in grounding architecture: Specification requires galvanic isolation while ", name, " specifies non-isolated shared ground."), "Galvanic Isolation Barrier", head, "non-isolated shared ground"),
+            outcome("CONFLICT", 95.0, "shared_ground", "non-isolated shared ground", **values),
         ),
-        "burst": (
-            contains_any(need, ["simulation", "burst", "venting", "calculation"]) & contains_any(q, ["simulation"]) & contains_any(q, ["pending"]),
-            outcome("PARTIAL", 90.0, "Computational simulation completed, but physical burst verification test remains pending.", "Physical burst test verification", "Simulation only; physical burst pending"),
-        ),
-        "acoustic": (
-            contains_any(need, ["acoustic", "leakage"]) & contains_any(q, ["calibration requires", "installation test"]),
-            outcome("PARTIAL", 88.0, "Acoustic sensor baseline characterized, but final dB threshold calibration requires vehicle pack installation test.", "Calibrated acoustic leakage threshold in vehicle pack", "Laboratory characterization only"),
-        ),
-    }
+        "burst": (contains_any(need, ["simulation", "burst", "venting", "calculation"]) & contains_any(q, ["simulation"]) & contains_any(q, ["pending"]), outcome("PARTIAL", 90.0, "burst_pending")),
+        "acoustic": (contains_any(need, ["acoustic", "leakage"]) & contains_any(q, ["calibration requires", "installation test"]), outcome("PARTIAL", 88.0, "acoustic")),
+    }
     marked = rows
     for key, (hit, result) in rules.items():
         marked = marked.withColumn(f"_{key}", F.when(hit, result))
     found = marked.groupBy("req_id").agg(
         F.count(F.when(any_, 1)).alias("n"), *[F.min_by(f"_{key}", F.when(F.col(f"_{key}").isNotNull(), F.col("claim_ord"))).alias(key) for key in rules]
     )
-    none = outcome("MISSING", 92.0, "No independent technical file or verification record addresses this semantic requirement.", "Independent compliance record", "Missing")
-    unknown = outcome(
-        "UNKNOWN", 75.0, "Evidence provides supporting description, but technical parameters cannot be deterministically proven compliant without additional engineering review.", "Direct technical proof", "Qualitative description"
-    )
+    none, unknown = outcome("MISSING", 92.0, "no_independent"), outcome("UNKNOWN", 75.0, "unproven")
     return found.select("req_id", F.when(F.col("n") == 0, none).otherwise(F.coalesce(*rules, unknown)).alias("outcome"))
