@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, LOWER, Texts, Words, byte_class, mix, prefix_sums, slices, span_hash, sums_by, words_of
-from .shared import fold
+from .shared import fold, materialize
 
 BUCKETS = 1 << 20
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes of a longer word that are features of their own
@@ -82,37 +82,16 @@ def noisy_or(logits: np.ndarray, first: np.ndarray, leak: float) -> np.ndarray:
     return -np.expm1(-miss)
 
 
-def evidence(toxic: np.ndarray, rows: np.ndarray, share: float) -> np.ndarray:
-    """Likelihood-ratio statistic of a feature's rows being toxic at another rate than ``share``."""
-    clean = rows - toxic
-    part = lambda n, at: n * np.log(np.maximum(n, 1e-9) / np.maximum(rows * at, 1e-9))
-    return 2 * (part(toxic, share) + part(clean, 1 - share))
+def fit(label: np.ndarray, first: np.ndarray, s: np.ndarray, k: np.ndarray, names: np.ndarray) -> Model:
+    """Gradient descent (Adam) on bags of sentences.
 
-
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    """Gradient descent (Adam) on bags (label, feature rows of words, first word of each sentence)."""
-    if len({y for y, *_ in bags}) < 2:
+    ``first`` has each bag's first sentence (with the total), ``s`` and ``k`` the sentence
+    and the feature (as a place in ``names``) of every entry.
+    """
+    if len(set(label.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), PRIOR_BIAS, PRIOR_BIAS)
-    label = np.array([b[0] for b in bags], float)
-    seen = [np.unique(f[f >= 0]) for _, f, _ in bags]
-    names, back = np.unique(np.concatenate(seen), return_inverse=True)
-    rows = np.bincount(back.ravel(), minlength=len(names)).astype(float)
-    toxic = np.bincount(back.ravel(), np.repeat(label, [len(x) for x in seen]), len(names))
-    names = names[(rows >= LEAST_ROWS) & (evidence(toxic, rows, label.mean()) >= LEAST_EVIDENCE)]
-    # distinct (sentence, feature) entries
-    sentence, feature, bag_first, n = [], [], [0], 0
-    for _, f, first in bags:
-        s = np.repeat(np.arange(len(first) - 1), np.diff(first)) + n
-        s = np.repeat(s, f.shape[1])
-        k = np.searchsorted(names, f.ravel())
-        ok = (k < len(names)) & (names[np.minimum(k, len(names) - 1)] == f.ravel()) if len(names) else np.zeros(len(k), bool)
-        both = s[ok].astype(np.int64) * max(1, len(names)) + k[ok]
-        sentence.append(both // max(1, len(names)))
-        feature.append(both % max(1, len(names)))
-        n += len(first) - 1
-        bag_first.append(n)
-    s, k, first = np.concatenate(sentence), np.concatenate(feature), np.array(bag_first)
-    doc = np.repeat(np.arange(len(bags)), np.diff(first))
+    n = int(first[-1])
+    doc = np.repeat(np.arange(len(label)), np.diff(first))
     theta = np.zeros(len(names) + 2)
     theta[-2:] = PRIOR_BIAS
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -125,7 +104,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
         g = np.empty_like(theta)
         g[:-2] = np.bincount(k, dz[s], len(names))
         g[-2], g[-1] = dz.sum(), sigmoid(theta[-1]) * pull.sum()
-        g = g / len(bags) + DECAY * theta * np.append(np.ones(len(names)), [0, 0])
+        g = g / len(label) + DECAY * theta * np.append(np.ones(len(names)), [0, 0])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * (1 - step / (EPOCHS + 1))
     weights = np.zeros(BUCKETS, np.float32)
@@ -133,8 +112,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     return Model(weights, float(theta[-2]), float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, held_out_fold: int | None = 0) -> Model:
-    """Fit on a bounded sample of the labelled rows outside ``held_out_fold`` (of 5)."""
+def training_sample(docs: DataFrame, labels: DataFrame, held_out_fold: int | None) -> DataFrame:
+    """``toxic, text``: about ``TRAIN_ROWS`` rows of each label, outside ``held_out_fold`` (of 5)."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .where("id is not null and toxic in (0, 1)")
@@ -151,25 +130,62 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_fold: int | None = 0)
             part = part.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < int((1 << 30) * rows / counts[toxic]))
         picked = part if picked is None else picked.union(part)
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sample = text.join(F.broadcast(picked), "id").where(F.octet_length("text") <= TRAIN_BYTES).select("toxic", "text")
+    return text.join(F.broadcast(picked), "id").where(F.octet_length("text") <= TRAIN_BYTES).select("toxic", "text")
+
+
+def telling_features(sample: DataFrame) -> np.ndarray:
+    """Buckets whose documents' labels differ from the sample's by more than chance, sorted.
+
+    Documents are counted by feature in Spark; only the chosen few come to the driver.
+    """
 
     def run(batches):
         for rows, t in slices(batches):
             w = words_of(t, ALNUM)
             f = word_features(t, w)
+            # a document's distinct buckets, and -1 for the document itself
+            doc = np.concatenate([np.repeat(w.doc, f.shape[1]), np.arange(t.n)])
+            both = np.unique(doc.astype(np.int64) * (BUCKETS + 1) + np.concatenate([f.ravel(), np.full(t.n, -1)]) + 1)
+            doc, bucket = both // (BUCKETS + 1), both % (BUCKETS + 1) - 1
+            toxic = rows.column("toxic").to_numpy()[doc]
+            names, back = np.unique(bucket, return_inverse=True)
+            yield pa.record_batch([pa.array(names), pa.array(np.bincount(back.ravel())), pa.array(np.bincount(back.ravel(), toxic))], names=["bucket", "rows", "toxic"])
+
+    counted = materialize(sample.mapInArrow(run, "bucket long, rows long, toxic double").groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic")), "toxic-features")
+    whole = counted.where("bucket = -1").first()
+    share = whole["toxic"] / whole["rows"] if whole else 0.0
+    if not 0 < share < 1:
+        return np.zeros(0, np.int64)
+    part = lambda n, at: F.when(n > 0, n * F.log(n / (F.col("rows") * at))).otherwise(0.0)
+    evidence = 2 * (part(F.col("toxic"), share) + part(F.col("rows") - F.col("toxic"), 1 - share))
+    kept = counted.where((F.col("bucket") >= 0) & (F.col("rows") >= LEAST_ROWS) & (evidence >= LEAST_EVIDENCE))
+    return np.sort(np.array([r["bucket"] for r in kept.select("bucket").collect()], np.int64))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, held_out_fold: int | None = 0) -> Model:
+    """Choose features and fit the model on the bounded sample."""
+    sample = materialize(training_sample(docs, labels, held_out_fold), "toxic-sample")
+    names = telling_features(sample)
+
+    def run(batches):
+        for rows, t in slices(batches):
+            w = words_of(t, ALNUM)
+            f = word_features(t, w).ravel()
             first, doc = sentences(t, w)
             at = np.searchsorted(doc, np.arange(t.n + 1))
-            out = []
-            for i in range(t.n):
-                lo, hi = w.first[i], w.first[i + 1]
-                out.append((f[lo:hi].tobytes(), (np.append(first[at[i] : at[i + 1]], hi) - lo).astype(np.int32).tobytes()))
-            yield pa.record_batch([rows.column("toxic"), pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["toxic", "f", "s"])
-
-    bags = []
-    for r in sample.mapInArrow(run, "toxic int, f binary, s binary").orderBy("toxic", F.xxhash64("f")).collect():
-        first = np.frombuffer(r["s"], np.int32)
-        bags.append((r["toxic"], np.frombuffer(r["f"], np.int32).reshape(-1, 1 + len(BEGINNINGS)), first))
-    return fit(bags)
+            k = np.minimum(np.searchsorted(names, f), max(0, len(names) - 1))
+            hit = np.flatnonzero(names[k] == f) if len(names) else np.zeros(0, int)
+            word = hit // (1 + len(BEGINNINGS))
+            s = np.searchsorted(first, word, "right") - 1
+            lo = np.searchsorted(s, at)
+            parts = [((s[lo[i] : lo[i + 1]] - at[i]).astype(np.int32).tobytes(), k[hit[lo[i] : lo[i + 1]]].astype(np.int32).tobytes()) for i in range(t.n)]
+            yield pa.record_batch([rows.column("toxic"), pa.array(np.diff(at).astype(np.int32)), pa.array([x for x, _ in parts], pa.binary()), pa.array([y for _, y in parts], pa.binary())], names=["toxic", "n", "s", "k"])
+
+    bags = sample.mapInArrow(run, "toxic int, n int, s binary, k binary").orderBy("toxic", "n", "s", "k").collect()
+    first = np.cumsum([0] + [r["n"] for r in bags])
+    s = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(bytes(r["s"]), np.int32) + at for r, at in zip(bags, first)])
+    k = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(bytes(r["k"]), np.int32) for r in bags])
+    return fit(np.array([r["toxic"] for r in bags], float), first, s.astype(np.int64), k.astype(np.int64), names)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
