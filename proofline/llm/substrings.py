@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import SLICE_BYTES, Texts, mix, prefix_sums, slices, span_hash
+from .bytetext import Texts, mix, prefix_sums, slices, span_hash
 from .gsaca import suffix_array
 from .shared import materialize
 
