@@ -61,17 +61,16 @@ def assess(requirements: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
     """
     reqs = with_contracts(requirements)
     coded = candidates.join(reqs.select("req_id", "req_code"), "req_id")
-    claims = extract_claims(coded).persist()
-    rows = v.facts(reqs, claims)
+    rows = v.facts(reqs, extract_claims(coded)).persist()  # every check reads it; clear the cache after the run
     kind = F.col("contract")["requirement_type"]
     typed = v.numeric_range(rows.where(kind == "numeric_range")).unionByName(v.duration(rows.where(kind == "duration"))).unionByName(v.threshold(rows.where(kind == "threshold")))
     typed = typed.unionByName(v.boolean_flag(rows.where(kind.isin("boolean", "enumeration"))))
     all_ = (
         reqs.join(gates(requirements, candidates), "req_id")
-        .join(contradictions(rows, claims), "req_id", "left")
+        .join(contradictions(rows, rows), "req_id", "left")
         .join(v.test_verdict(rows).withColumnRenamed("outcome", "verdict"), "req_id", "left")
         .join(typed.withColumnRenamed("outcome", "typed"), "req_id", "left")
-        .join(v.semantic(reqs, claims).withColumnRenamed("outcome", "semantic"), "req_id", "left")
+        .join(v.semantic(reqs, rows).withColumnRenamed("outcome", "semantic"), "req_id", "left")
     )
     lit, none = F.lit, F.lit(None)
     verdict, last = F.col("verdict"), F.coalesce("typed", "semantic")
