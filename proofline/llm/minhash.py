@@ -31,7 +31,7 @@ from .shared import materialize
 
 WIDTH, CHUNKS, CHUNK = 5, 20, 4
 MOST_DISTANCE = CHUNKS * 2 - 1
-ORDER_SAMPLE = 4_000  # documents whose shingles are counted to order them
+ORDER_SAMPLE = 12_000  # documents whose shingles are counted to order them
 
 _SEEDS = mix(np.arange(1, 2 * CHUNKS * CHUNK + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
