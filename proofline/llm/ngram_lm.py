@@ -1,19 +1,24 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a backoff model over all counts, looked up by joins.
 
 Tokens are words without white space, lower-cased A-Z, then one end token a text.
-Training counts every token of every training text. Unigrams are smoothed by adding one
-half (with one unseen type). Above them, n-grams of order 2 and 3 over the most frequent
-words (``CONTEXT_WORDS`` by order) become states of an automaton: a state holds absolutely
-discounted arcs for the tokens seen behind it and a failure arc, whose weight is the
-probability mass left over, to the state of the next shorter history. Arcs and weights
-are normalised, so each state is a proper distribution. One pass from left to right
-carries the state and adds up log10 probabilities.
-
-The automaton keeps the ``MOST_NGRAMS`` most frequent n-grams (its size is a parameter,
-the counts behind it cover all training text) and the ``FREQUENT_WORDS`` most frequent
-words, and is broadcast. A rarer token always falls through to the root, so its share is
-``log10 p(word)`` alone: the pass emits such tokens and a join with the full count table,
-which is never collected, adds their shares.
+Training counts every token, every pair and every triple of every training text; none is
+dropped. Unigrams are smoothed by adding one half (with one unseen type). Above them,
+histories of one and two words hold absolutely discounted probabilities of the tokens seen
+behind them and a weight, the probability mass left over, for falling back to the next
+shorter history, so each history is a proper distribution. A text's score is the sum of
+log10 probabilities of its tokens.
+
+All counts lie in written tables. A triple's probability is a property of the triple, so it
+is worked out once for each distinct triple (held-out ones too, at count 0): the share of
+its pair and the weight of its history come by joins, and the texts' triples, summed within
+a text first, are joined with the result. Nothing that grows with the input is collected or
+broadcast by hint; adaptive execution splits the partitions of frequent keys.
+
+Words are told apart by a 63-bit hash; the ``FREQUENT_WORDS`` most frequent ones have their
+rank as a short id instead, which only makes the tables smaller. Pairs and triples are
+compared by the ids of all their words.
+
+``build`` makes the same model as an automaton in memory from small tables of counts.
 
 Edge cases: null and empty texts are one end token; without training text N and V are 0
 and an unseen token has probability one; repeated rows are scored each on its own;
@@ -22,7 +27,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 from math import log10
 
@@ -32,48 +36,105 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import NOT_SPACE, Texts, mix, slices, word_hashes, words_of
 from .shared import fold, materialize
 
 FREQUENT_WORDS = 100_000
-CONTEXT_WORDS = {2: 4096, 3: 256}
-MOST_NGRAMS = 300_000
+CONTEXT_WORDS = {2: 4096, 3: 256}  # how ``build`` packs the keys of pairs and triples
 DISCOUNT = 0.75
-FLUSH = 400_000  # distinct words a counting task holds before it passes them on
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = b""
+_RARE = np.uint64(1 << 63)
+_END_HASH = mix(np.array([0x0E4D], np.uint64))[0] | _RARE
 
 
-def split(text: str | None) -> list[bytes]:
-    """The tokens of a text, end included."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    words.append(END)
-    return words
-
+def _ids(t: Texts, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' ids, end tokens included, and where each text's begin.
 
-def _texts(batch: pa.RecordBatch) -> list[str | None]:
-    return batch.column("text").to_pylist()
+    An id is the word's hash (negative) or, for words in ``frequent`` (sorted hashes, ranks), its rank from 1.
+    """
+    w = words_of(t, NOT_SPACE)
+    ids = np.full(w.n + t.n, _END_HASH)
+    ids[np.arange(w.n) + w.doc] = word_hashes(t, w) | _RARE
+    ids = ids.view(np.int64)
+    if frequent is not None and len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], ids), len(frequent[0]) - 1)
+        ids = np.where(frequent[0][at] == ids, frequent[1][at], ids)
+    return ids, w.first + np.arange(t.n + 1)
+
+
+def _histories(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids two and one tokens before each token; 0 before the text begins."""
+    g, h = np.zeros_like(ids), np.zeros_like(ids)
+    h[1:], g[2:] = ids[:-1], ids[:-2]
+    h[first[:-1]] = 0
+    g[first[:-1]] = 0
+    second = first[:-1] + 1
+    g[second[second < first[1:]]] = 0
+    return g, h
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal tuples side by side, and where each run of them begins."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    return order, np.flatnonzero(new)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """``word, c``: how often each token stands in ``docs``; summed within tasks first."""
+    """``word, c``: how often each token, by its hash, stands in ``docs``; summed within slices first."""
+
+    def run(batches):
+        for _, t in slices(batches):
+            word, c = np.unique(_ids(t)[0], return_counts=True)
+            yield pa.record_batch([pa.array(word), pa.array(c.astype(np.int64))], names=["word", "c"])
+
+    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def count_triples(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``g, h, w, c`` of every distinct triple in ``docs``; ``c`` counts the rows marked ``train`` alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        seen: Counter[bytes] = Counter()
+        for rows, t in slices(batches):
+            ids, first = _ids(t, shared.value)
+            g, h = _histories(ids, first)
+            train = np.repeat(rows.column("train").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
+            order, at = _runs(ids, h, g)
+            k = order[at]
+            yield pa.record_batch([pa.array(g[k]), pa.array(h[k]), pa.array(ids[k]), pa.array(np.add.reduceat(train[order], at))], names=["g", "h", "w", "c"])
 
-        def out():
-            return pa.record_batch([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+    return docs.select("text", "train").mapInArrow(run, "g long, h long, w long, c long").groupBy("g", "h", "w").agg(F.sum("c").alias("c"))
 
-        for batch in batches:
-            for text in _texts(batch):
-                seen.update(split(text))
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def text_triples(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``row, doc_id, tokens, g, h, w, tf``: each text's distinct triples; its first one alone bears doc_id and tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        row0 = TaskContext.get().partitionId() << 40
+        for rows, t in slices(batches):
+            ids, first = _ids(t, shared.value)
+            g, h = _histories(ids, first)
+            text = np.repeat(np.arange(t.n), np.diff(first))
+            order, at = _runs(ids, h, g, text)
+            k = order[at]
+            of = text[k]
+            lead = np.ones(len(k), bool)
+            lead[1:] = of[1:] != of[:-1]
+            tokens = np.where(lead, np.diff(first)[of], 0)
+            tf = np.diff(np.append(at, len(ids)))
+            doc_id = rows.column("doc_id").take(pa.array(np.where(lead, of, 0), mask=~lead))
+            yield pa.record_batch(
+                [pa.array(row0 + of), doc_id, pa.array(tokens), pa.array(g[k]), pa.array(h[k]), pa.array(ids[k]), pa.array(tf)],
+                names=["row", "doc_id", "tokens", "g", "h", "w", "tf"],
+            )
+            row0 += t.n
+
+    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, tokens long, g long, h long, w long, tf long")
 
 
 @dataclass
@@ -89,33 +150,6 @@ class Automaton:
     span: int = 1
 
 
-def count_ngrams(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """``n, key, c`` of the bigrams and trigrams within the context vocabularies."""
-    sc = docs.sparkSession.sparkContext
-    two, three = CONTEXT_WORDS[2], CONTEXT_WORDS[3]
-    shared = sc.broadcast({w: i for w, i in words.items() if i < two})
-
-    def run(batches):
-        get = shared.value.get
-        for batch in batches:
-            texts = _texts(batch)
-            for lo in range(0, len(texts), 1000):
-                ids: list[int] = []
-                for text in texts[lo : lo + 1000]:
-                    ids.extend([get(w, -1) for w in split(text)])
-                    ids.append(-1)  # nothing spans two texts
-                a = np.array(ids, np.int64)
-                b2 = (a[:-1] >= 0) & (a[1:] >= 0)
-                k2, c2 = np.unique((a[:-1] * two + a[1:])[b2], return_counts=True)
-                small = np.where(a < three, a, -1)
-                b3 = (small[:-2] >= 0) & (small[1:-1] >= 0) & (small[2:] >= 0)
-                k3, c3 = np.unique(((small[:-2] * three + small[1:-1]) * three + small[2:])[b3], return_counts=True)
-                n = np.concatenate([np.full(len(k2), 2, np.int32), np.full(len(k3), 3, np.int32)])
-                yield pa.record_batch([pa.array(n), pa.array(np.concatenate([k2, k3])), pa.array(np.concatenate([c2, c3]).astype(np.int64))], names=["n", "key", "c"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
-
-
 def build(words: list[tuple[bytes, int]], grams: list[tuple[int, int, int]], total: int, types: int) -> Automaton:
     """The automaton from word counts (most frequent first) and (n, key, count) of n-grams."""
     m = Automaton()
@@ -168,30 +202,6 @@ def build(words: list[tuple[bytes, int]], grams: list[tuple[int, int, int]], tot
     return m
 
 
-def walk(m: Automaton, ids: list[int]) -> float:
-    """One left-to-right pass over word ranks (-1: not in the automaton); log10 without the rare words' own shares."""
-    arcs, fail, weight, base, span, entry = m.arcs.get, m.fail, m.weight, m.base, m.span, m.entry.get
-    total, state = 0.0, 0
-    for w in ids:
-        if w < 0:
-            while state:
-                total += weight[state]
-                state = fail[state]
-            continue
-        while state:
-            arc = arcs(state * span + w)
-            if arc is not None:
-                total += arc[0]
-                state = arc[1]
-                break
-            total += weight[state]
-            state = fail[state]
-        else:
-            total += base[w]
-            state = entry(w, 0)
-    return total
-
-
 def most_frequent(counted: DataFrame, most: int) -> DataFrame:
     """The rows of the highest counts ``c``, at most ``most``; a count that would not fit is left out whole.
 
@@ -207,17 +217,34 @@ def most_frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(F.col("c") >= F.lit(least)) if least is not None else counted.limit(0)
 
 
-def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, the full table of counts, N and V, from every row of ``docs``."""
-    counts = materialize(count_words(docs), "word-counts")
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = most_frequent(counts, FREQUENT_WORDS).toArrow().to_pydict()
-    words = sorted(zip(top["word"], top["c"], strict=True), key=lambda x: (-x[1], x[0]))
-    rank = {w: i for i, (w, _) in enumerate(words)}
-    grams = materialize(count_ngrams(docs, rank).where("c >= 2"), "ngram-counts")
-    grams = most_frequent(grams, MOST_NGRAMS).toArrow().to_pydict()
-    grams = list(zip(grams["n"], grams["key"], grams["c"], strict=True))
-    return build(words, grams, size["n"], size["v"]), counts, size["n"], size["v"]
+def _back_off(left: DataFrame, history: DataFrame, on: list[str], lower: str) -> DataFrame:
+    """``left`` with ``p``: log10 of each row's share behind its history, from ``c`` or through the weight to ``lower``."""
+    seen = F.log10((F.col("c") - DISCOUNT) / F.col("history"))
+    weight = F.log10(F.greatest(F.lit(1e-12), F.lit(1.0) - F.col("taken"))) - F.log10(F.greatest(F.lit(1e-12), F.lit(1.0) - F.col("below")))
+    p = F.when(F.col("history").isNull(), F.col(lower)).when(F.col("c") > 0, seen).otherwise(weight + F.col(lower))
+    return left.join(history, on, "left").withColumn("p", p).drop("history", "taken", "below")
+
+
+def _histories_of(counted: DataFrame, on: list[str], lower: str) -> DataFrame:
+    """For each history ``on``: its count, the share of the tokens seen behind it, and what these have in ``lower``."""
+    seen = counted.where((F.col(on[0]) != 0) & (F.col("c") > 0)).groupBy(*on)
+    sums = seen.agg(F.sum("c").alias("history"), F.count("*").alias("types"), F.sum(F.pow(F.lit(10.0), F.col(lower))).alias("below"))
+    return sums.select(*on, "history", ((F.col("history") - DISCOUNT * F.col("types")) / F.col("history")).alias("taken"), "below")
+
+
+def shares(rows: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], total: int, types: int) -> DataFrame:
+    """``g, h, w, known, base, p`` of every distinct triple of ``rows``: log10 of its word alone and behind its history."""
+    short = rows.sparkSession.createDataFrame(pa.table({"word": frequent[0], "rank": frequent[1]}))
+    words = materialize(counts.join(short, "word", "left").select(F.coalesce("rank", "word").alias("w"), F.col("c").alias("n")), "lm-words")
+    triples = materialize(count_triples(rows, frequent), "lm-triples")
+    share = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (types + 1)))
+    pairs = triples.groupBy("h", "w").agg(F.sum("c").alias("c")).join(words, "w", "left")
+    pairs = materialize(pairs.select("h", "w", "c", F.col("n").isNotNull().alias("known"), share.alias("base")), "lm-pair-counts")
+    one = materialize(_histories_of(pairs, ["h"], "base"), "lm-words-behind")
+    pairs = materialize(_back_off(pairs, one, ["h"], "base").select("h", "w", "known", "base", F.col("p").alias("lower")), "lm-pairs")
+    low = materialize(triples.join(pairs, ["h", "w"], "left"), "lm-triples-pairs")
+    two = materialize(_histories_of(low, ["g", "h"], "lower"), "lm-pairs-behind")
+    return _back_off(low, two, ["g", "h"], "lower").select("g", "h", "w", "known", "base", "p")
 
 
 def score(docs: DataFrame, held_out_fold: int | None = 1) -> DataFrame:
@@ -226,64 +253,25 @@ def score(docs: DataFrame, held_out_fold: int | None = 1) -> DataFrame:
     Trains on the rows outside ``held_out_fold`` (of 5; None: on all rows).
     """
     held = (fold("doc_id") == held_out_fold) if held_out_fold is not None else F.lit(False)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, counts, total, types = train(rows.where(~held))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        rank, base = m.words.get, m.base.tolist()
-        part = TaskContext.get().partitionId()
-        n = 0
-        for batch in batches:
-            ids, key, word, tf, tokens, base_sum, model_sum = [], [], [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
-                words = split(text)
-                ranks = [rank(w, -1) for w in words]
-                row = (part << 40) + n
-                n += 1
-                rare = Counter([w for w, r in zip(words, ranks) if r < 0])
-                ids.append(doc_id)
-                key.append(row)
-                word.append(None)
-                tf.append(len(words) - sum(rare.values()))
-                tokens.append(len(words))
-                base_sum.append(sum([base[r] for r in ranks if r >= 0]))
-                model_sum.append(walk(m, ranks))
-                for w, c in rare.items():
-                    ids.append(doc_id)
-                    key.append(row)
-                    word.append(w)
-                    tf.append(c)
-                    tokens.append(0)
-                    base_sum.append(0.0)
-                    model_sum.append(0.0)
-                if len(ids) > 50_000:
-                    yield out(ids, key, word, tf, tokens, base_sum, model_sum)
-                    ids, key, word, tf, tokens, base_sum, model_sum = [], [], [], [], [], [], []
-            if ids:
-                yield out(ids, key, word, tf, tokens, base_sum, model_sum)
-
-    def out(ids, key, word, tf, tokens, base_sum, model_sum):
-        return pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.array(tokens, pa.int64()), pa.array(base_sum), pa.array(model_sum)],
-            names=["doc_id", "row", "word", "tf", "tokens", "base_sum", "model_sum"],
-        )
-
-    passed = materialize(rows.mapInArrow(run, "doc_id long, row long, word binary, tf long, tokens long, base_sum double, model_sum double"), "lm-pass")
-    denominator = total + 0.5 * (types + 1)
-    share = F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(denominator))
-    rare = (
-        passed.where("word is not null")
-        .select("row", "word", "tf")
-        .join(counts, "word", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("train", ~held)
+    counts = materialize(count_words(rows.where("train")), "word-counts")
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total, types = size["n"], size["v"]
+    top = most_frequent(counts, FREQUENT_WORDS).toArrow()
+    word, c = top.column("word").to_numpy(), top.column("c").to_numpy()
+    rank = np.empty(len(word), np.int64)
+    rank[np.lexsort((word, -c))] = np.arange(1, len(word) + 1)
+    order = np.argsort(word)
+    frequent = word[order].astype(np.int64), rank[order]
+    known = shares(rows, counts, frequent, total, types)
+    done = (
+        text_triples(rows, frequent)
+        .join(known, ["g", "h", "w"], "left")
         .groupBy("row")
-        .agg(F.sum(share).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    )
-    known = F.col("tf") if total else F.lit(0)
-    done = passed.where("word is null").join(rare, "row", "left")
-    return done.select(
-        "doc_id", ((fold("doc_id") == held_out_fold) if held_out_fold is not None else F.lit(False)).alias("held_out"),
-        F.col("tokens").alias("n_tokens"), (known + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_sum") + F.coalesce("rare", F.lit(0.0))).alias("base_score"), (F.col("model_sum") + F.coalesce("rare", F.lit(0.0))).alias("score"),
-    )
+        .agg(
+            F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("n_known"),
+            F.sum(F.col("tf") * F.col("base")).alias("base_score"), F.sum(F.col("tf") * F.col("p")).alias("score"),
+        )
+    )
+    held = (fold("doc_id") == held_out_fold) if held_out_fold is not None else F.lit(False)
+    return done.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

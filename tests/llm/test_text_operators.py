@@ -153,6 +153,50 @@ def test_lm_rare_words_and_empty_table(spark, monkeypatch):
     assert ngram_lm.score(df.limit(0)).count() == 0
 
 
+def test_lm_scores_are_those_of_all_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    usual = [rng.choice(vocabulary) for _ in range(5000)]
+    texts = [" ".join(vocabulary)]  # every word is seen, most of them only here and rarely elsewhere
+    for _ in range(60):
+        at = rng.randrange(4900)
+        texts.append(" ".join(usual[at : at + rng.randrange(60)] + [rng.choice(vocabulary) for _ in range(rng.randrange(6))] + ["Unheard%d" % rng.randrange(90)]))
+    texts += ["a b a b a c a b a b", "a", "", None, "a b a b a c a b a b"]
+    ids = [*range(len(texts) - 1), None]
+    train = [t for i, t in zip(ids, texts) if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
+    tokens = lambda t: ((t or "").lower().split()) + [None]
+    c = [Counter() for _ in range(4)]
+    for t in train:
+        w = tokens(t)
+        for n in (1, 2, 3):
+            c[n].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    total, types = sum(c[1].values()), len(c[1])
+    behind = {}
+    for n in (2, 3):
+        for gram, k in c[n].items():
+            behind.setdefault(gram[:-1], {})[gram[-1]] = k
+    weights = {}
+
+    def p(history, w):
+        if not history:
+            return (c[1][w,] + 0.5) / (total + 0.5 * (types + 1))
+        seen = behind.get(history)
+        if seen is None:
+            return p(history[1:], w)
+        n = sum(seen.values())
+        if w in seen:
+            return (seen[w] - 0.75) / n
+        if history not in weights:
+            weights[history] = (0.75 * len(seen) / n) / (1 - sum(p(history[1:], x) for x in seen))
+        return weights[history] * p(history[1:], w)
+
+    want = {i: sum(math.log10(p(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w)) for i, w in zip(ids, map(tokens, texts))}
+    for frequent in (100_000, 7):
+        monkeypatch.setattr(ngram_lm, "FREQUENT_WORDS", frequent)
+        got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs(spark, [(i, t, None) for i, t in zip(ids, texts)]).repartition(3)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_automaton_states_are_distributions():
     rng = random.Random(4)
     words = [rng.choice(b"abcd") for _ in range(3000)]
