@@ -79,15 +79,16 @@ def duck(*names: str) -> str:
 
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of ASCII lines: project_id, chunk_id, document_id, document_name, chunk_index, content."""
+    """Chunks of all lines that are not blank: project_id, chunk_id, document_id, document_name, chunk_index, content."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
     suffix = F.element_at(F.array(*[F.lit(s) for s in ("_test_report", "_datasheet", "_srs", "_manual")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = d.where(~F.col("content").rlike(r"[^\x00-\x7F]") & (F.trim("content") != ""))
+    rows = d.where(F.trim("content") != "")
     return rows.select(
         F.lit(1).alias("project_id"), (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), F.concat("source", suffix).alias("document_name"), "chunk_index", "content"
     )
 
 
+# narrower than line_chunks: only lines of ASCII, as \b and \w differ between the engines
 LINE_CHUNKS = r"""
 line_parts AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS chunk_index FROM documents),
 line_chunks AS (SELECT 1 AS project_id, doc_id * 100000 + chunk_index AS chunk_id, doc_id AS document_id,
@@ -96,12 +97,12 @@ line_chunks AS (SELECT 1 AS project_id, doc_id * 100000 + chunk_index AS chunk_i
 
 
 def benchmark_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requirements from benchmark texts (ASCII part): project_id, req_id, req_code, text."""
+    """Requirements from whole benchmark texts: project_id, req_id, req_code, text."""
     b = table(spark, sf_dir, "benchmark")
-    ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]+", " ")
-    return b.select(F.lit(1).alias("project_id"), F.col("item_id").alias("req_id"), F.concat(F.lit("REQ-BEN-"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("req_code"), ascii_text.alias("text"))
+    return b.select(F.lit(1).alias("project_id"), F.col("item_id").alias("req_id"), F.concat(F.lit("REQ-BEN-"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("req_code"), "text")
 
 
+# narrower than benchmark_requirements: without what is not ASCII
 BENCHMARK_REQUIREMENTS = r"""
 bench_reqs AS (SELECT 1 AS project_id, item_id AS req_id, concat('REQ-BEN-', lpad(CAST(item_id AS VARCHAR), 5, '0')) AS req_code,
        regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g') AS text FROM benchmark)"""
