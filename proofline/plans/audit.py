@@ -89,7 +89,7 @@ _NUM = "CAST(regexp_extract(content, '([0-9]+) (?:V|uA|ms|kV)', 1) AS DOUBLE)"
  CASE WHEN req_id % 8 = 0 THEN NULL ELSE {_NUM} END AS value_num, CASE WHEN req_id % 8 = 0 AND page_number % 2 = 1 THEN {_NUM} END AS min_value
 FROM part_evidence WHERE req_id % 8 IN (0, 1, 3) AND req_id IN (SELECT req_id FROM part_requirements)""")
 def o_f3_f5_numeric_claims(spark, sf_dir):
-    c = _claims(spark, sf_dir).where("req_id % 8 in (0, 1, 3) and claim_type in ('discrete_sweep', 'numeric_range', 'threshold')")
+    c = _claims(spark, sf_dir).where("claim_type in ('discrete_sweep', 'numeric_range', 'threshold')")
     return c.select("req_id", "chunk_id", "claim_type", "value_num", "min_value")
 
 
@@ -130,7 +130,7 @@ p AS (SELECT a.req_id, a.document_name AS p_doc, b.document_name AS n_doc, a.con
 r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY i, j, turned) AS k FROM p)
 SELECT req_id, p_doc AS source_a_doc, n_doc AS source_b_doc, p_quote AS source_a_quote, n_quote AS source_b_quote, 'no login' AS highlight FROM r WHERE k = 1""")
 def o_h4_pair_contradictions(spark, sf_dir):
-    out = contradiction.pair_contradictions(_claims(spark, sf_dir).where("req_id % 8 = 5")).select("req_id", "finding.*")
+    out = contradiction.pair_contradictions(_claims(spark, sf_dir)).select("req_id", "finding.*")
     return out.select("req_id", "source_a_doc", "source_b_doc", "source_a_quote", "source_b_quote", "highlight")
 
 
@@ -149,22 +149,19 @@ d AS (SELECT req_id, chunk_id AS pg, CASE WHEN pg % 2 = 0 THEN 0 ELSE 1 END AS p
    WHEN a <= lo AND a + 25 >= hi THEN 'SUPPORTED' WHEN (a > lo AND a < hi) OR (a + 25 < hi AND a + 25 > lo) OR (a >= lo AND a + 25 <= hi) THEN 'PARTIAL' WHEN a + 25 < lo OR a > hi THEN 'CONFLICT' END AS status FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY phase, pg) AS n FROM d WHERE status IS NOT NULL) SELECT req_id, status FROM k WHERE n = 1""")
 def o_h6_numeric_ranges(spark, sf_dir):
-    # both evidence phrasings give volts; their units read "V" and "V in" or "V"
-    c = _claims(spark, sf_dir).withColumn("unit", F.when(F.col("req_id") % 8 == 0, "V").otherwise(F.col("unit")))
-    rows = validators.facts(decision.with_contracts(_requirements(spark, sf_dir)), c).where("req_id % 8 = 0")
-    return validators.numeric_range(rows).select("req_id", "outcome.status")
+    return validators.numeric_range(_facts(spark, sf_dir)).select("req_id", "outcome.status")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind IN (1, 3)),
 k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pg) AS n FROM c) SELECT req_id, CASE WHEN kind = 1 THEN CASE WHEN v <= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END WHEN v >= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END AS status FROM k WHERE n = 1""")
 def o_h7_thresholds(spark, sf_dir):
-    return validators.threshold(_facts(spark, sf_dir).where("req_id % 8 in (1, 3)")).select("req_id", "outcome.status")
+    return validators.threshold(_facts(spark, sf_dir)).select("req_id", "outcome.status")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT r.req_id, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind = 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pg) AS n FROM c) SELECT req_id, CASE WHEN v <= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END AS status, CAST(CASE WHEN v <= lim THEN 95 ELSE 92 END AS DOUBLE) AS confidence FROM k WHERE n = 1""")
 def o_h8_durations(spark, sf_dir):
-    return validators.duration(_facts(spark, sf_dir).where("req_id % 8 = 2")).select("req_id", "outcome.status", "outcome.confidence")
+    return validators.duration(_facts(spark, sf_dir)).select("req_id", "outcome.status", "outcome.confidence")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT req_id, chunk_id AS pg, lower(content) AS q, document_name FROM part_evidence WHERE req_id % 8 IN (4, 6) AND req_id IN (SELECT req_id FROM part_requirements)),
@@ -172,7 +169,7 @@ i AS (SELECT req_id, CASE WHEN contains(q, 'pass') THEN 'SUPPORTED' ELSE 'MISSIN
 s AS (SELECT req_id, bool_or(contains(q, 'verified') AND NOT contains(document_name, 'srs')) AS proof FROM c WHERE req_id % 8 = 6 GROUP BY 1)
 SELECT req_id, status FROM i WHERE n = 1 UNION ALL SELECT req_id, 'MISSING' FROM s WHERE NOT proof""")
 def o_h9_flags(spark, sf_dir):
-    return validators.boolean_flag(_facts(spark, sf_dir).where("req_id % 8 in (4, 6)")).select("req_id", "outcome.status")
+    return validators.boolean_flag(_facts(spark, sf_dir)).select("req_id", "outcome.status")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, count_if(e.req_id IS NOT NULL AND NOT contains(document_name, 'srs')) AS n, coalesce(bool_or(NOT contains(document_name, 'srs') AND contains(content, 'no login')), FALSE) AS opened
