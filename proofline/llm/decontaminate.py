@@ -5,12 +5,15 @@ Words are runs of letters and digits, lower-cased A-Z (digits and letters part c
 names (capitalised words that do not open a sentence) are replaced by typed
 placeholders. Windows of five template words are hash-joined between documents and
 benchmark items; a window with fewer than two plain words is compared verbatim instead.
+A capitalised word that opens a sentence may be a name or not: windows that hold one are
+joined in a second form too, where it is a name.
 
-Along each alignment (document position minus item position) the slots must agree: an
-item's value always stands for the same document value. Only windows of consistent
-alignments count. A document is contaminated by an item if at least three quarters of
-the item's distinct windows are found; it is ``verbatim`` if all slots are equal, else
-``reparameterised``.
+Along each alignment (document position minus item position) the slots should agree: an
+item's value stands for one document value. Where an item's value stands for several, the
+one in most slots holds (of equally many, the item's own, else none), and windows with one
+of its other slots do not count; the rest of the alignment does. A document is
+contaminated by an item if at least three quarters of the item's distinct windows are
+found; it is ``verbatim`` if all slots are equal, else ``reparameterised``.
 
 The items' window hashes go to the mappers as a filter while there are at most
 ``FILTER_WINDOWS`` of them; beyond that all windows go through the hash join.
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, LOWER, Texts, Words, byte_class, mix, prefix_sums, slices, span_hash
@@ -65,7 +68,7 @@ class Tokens:
     words: Words
     kind: np.ndarray
     value: np.ndarray  # hash of each word
-    form: np.ndarray  # hash of each word's template form
+    opens: np.ndarray  # a capitalised word that opens a sentence
 
 
 def tokens(t: Texts) -> Tokens:
@@ -89,6 +92,7 @@ def tokens(t: Texts) -> Tokens:
     w = Words(start, end, doc, first)
     value = span_hash(prefix_sums(LOWER[b]), start, end)
     kind = np.zeros(w.n, np.int8)
+    opens = np.zeros(w.n, bool)
     if w.n:
         b0 = b[start]
         b1 = b[np.minimum(start + 1, n - 1)]
@@ -99,31 +103,46 @@ def tokens(t: Texts) -> Tokens:
         inside[1:] = (doc[1:] == doc[:-1]) & (stops[start[1:]] == stops[end[:-1]])
         number = digit[1:-1][start]
         kind[upper & inside] = NAME
+        opens = upper & ~inside
         kind[number] = NUMBER
         after = np.zeros(w.n, bool)
         after[1:] = number[:-1] & inside[1:]
         k = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
         kind[after & (_UNIT_HASHES[k] == value)] = UNIT
-    form = np.where(kind == PLAIN, value, _PLACEHOLDER[kind])
-    return Tokens(w, kind, value, form)
+    return Tokens(w, kind, value, opens)
 
 
-def template_windows(x: Tokens, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first word, and whether templated, of every window of ``width`` words."""
+def template_windows(x: Tokens, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, hash of the first form, first word, and slots, of every window of ``width`` words.
+
+    Then the second form of the windows that hold a word that opens a sentence.
+    """
     w = x.words
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     if w.n < width:
-        return none
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, width), bool)
     at = np.flatnonzero(w.doc[: w.n - width + 1] == w.doc[width - 1 :])
+    h, use = _form(x, x.kind, at, width)
+    named = np.where(x.opens, np.int8(NAME), x.kind)
+    opening = np.flatnonzero(np.any([x.opens[at + j] for j in range(width)], axis=0))
+    h2, use2 = _form(x, named, at[opening], width)
+    opening, h2 = opening[use2], h2[use2]
+    steps = at[:, None] + np.arange(width)
+    slots = np.concatenate([(x.kind[steps] != PLAIN) & use[:, None], named[steps[opening]] != PLAIN])
+    return np.concatenate([h, h2]), np.concatenate([h, h[opening]]), np.concatenate([at, at[opening]]), slots
+
+
+def _form(x: Tokens, kind: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash, and whether templated, of the windows at ``at`` for the given kinds of words."""
+    form = np.where(kind == PLAIN, x.value, _PLACEHOLDER[kind])
     plain = np.zeros(len(at), np.int8)
     templated, verbatim = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     base = np.uint64(0x9E3779B97F4A7C15)
     for j in range(width):
-        plain += x.kind[at + j] == PLAIN
-        templated = templated * base + x.form[at + j]
+        plain += kind[at + j] == PLAIN
+        templated = templated * base + form[at + j]
         verbatim = verbatim * base + x.value[at + j]
     use = plain >= min(LEAST_PLAIN, width)
-    return mix(np.where(use, templated, mix(verbatim)) + np.uint64(width)), at, use
+    return mix(np.where(use, templated, mix(verbatim)) + np.uint64(width)), use
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -135,21 +154,23 @@ def _lists(values: np.ndarray, width: int) -> pa.Array:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, item_row, width, pos, n_windows, hash, values, slots`` of each item's windows."""
+    """``item_id, item_row, width, pos, hash, window, values, slots`` of each item's windows.
+
+    ``window`` is the hash of the first form, also where ``hash`` is that of the second.
+    """
 
     def run(batches):
         for rows, t in slices(batches):
             x = tokens(t)
             n = x.words.per_text()
             for width in range(1, WIDTH + 1):
-                h, at, use = template_windows(x, width)
+                h, window, at, slot = template_windows(x, width)
                 doc = x.words.doc[at] if len(at) else np.zeros(0, int)
                 right = (n[doc] >= WIDTH) if width == WIDTH else (n[doc] == width)
-                h, at, doc, use = h[right], at[right], doc[right], use[right]
+                h, window, at, doc, slot = h[right], window[right], at[right], doc[right], slot[right]
                 if not len(at):
                     continue
                 steps = at[:, None] + np.arange(width)
-                slot = (x.kind[steps] != PLAIN) & use[:, None]
                 yield pa.record_batch(
                     [
                         rows.column("item_id").take(pa.array(doc)),
@@ -157,14 +178,15 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                         pa.array(np.full(len(at), width, np.int32)),
                         pa.array(at - x.words.first[doc]),
                         pa.array(_signed(h)),
+                        pa.array(_signed(window)),
                         _lists(_signed(x.value[steps]), width),
                         _lists(slot, width),
                     ],
-                    names=["item_id", "item_row", "width", "pos", "hash", "values", "slots"],
+                    names=["item_id", "item_row", "width", "pos", "hash", "window", "values", "slots"],
                 )
 
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).withColumn("item_row", F.xxhash64("text"))
-    return source.distinct().mapInArrow(run, "item_id long, item_row long, width int, pos long, hash long, values array<long>, slots array<boolean>")
+    return source.distinct().mapInArrow(run, "item_id long, item_row long, width int, pos long, hash long, window long, values array<long>, slots array<boolean>")
 
 
 def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | None) -> DataFrame:
@@ -179,7 +201,7 @@ def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | No
         for rows, t in slices(batches):
             x = tokens(t)
             for width in widths:
-                h, at, _ = template_windows(x, width)
+                h, _, at, _ = template_windows(x, width)
                 if want is not None:
                     hit = np.flatnonzero(light[(h >> np.uint64(44)).astype(np.int64)])
                     k = np.minimum(np.searchsorted(want, _signed(h[hit])), len(want) - 1)
@@ -198,6 +220,15 @@ def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | No
     return source.mapInArrow(run, "doc_id long, doc_row long, pos long, hash long, doc_values array<long>")
 
 
+def _agreeing() -> Column:
+    """Of an alignment's windows ``w``, those without a slot at odds with its value's other slots ``s``."""
+    counted = F.transform("means", lambda m: F.struct(m["i"], m["d"], F.size(F.filter("s", lambda s: (s["i"] == m["i"]) & (s["d"] == m["d"]))).alias("n")))
+    beats = lambda a, b: (a["i"] == b["i"]) & (a["d"] != b["d"]) & ((a["n"] > b["n"]) | ((a["n"] == b["n"]) & (b["d"] != b["i"])))
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  value is worked out once, not in each step of f
+    held = once(counted, lambda c: F.filter(c, lambda m: ~F.exists(c, lambda other: beats(other, m))))
+    return once(held, lambda h: F.filter("w", lambda w: F.forall(w["z"], lambda z: F.exists(h, lambda m: (m["i"] == z["i"]) & (m["d"] == z["d"])))))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, doc_row, item_id, n_windows, n_found, similarity, kind`` of each contaminated pair."""
     items = item_windows(benchmark).withColumnRenamed("pos", "item_pos")
@@ -208,19 +239,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float =
         widths, wanted = sorted(size["w"]), None
         if size["n"] <= FILTER_WINDOWS:
             wanted = np.sort(np.array(items.select("hash").distinct().toArrow().column(0).to_numpy(), np.int64))
-    total = items.groupBy("item_id", "item_row").agg(F.countDistinct("hash").alias("n_windows"))
+    total = items.groupBy("item_id", "item_row").agg(F.countDistinct("window").alias("n_windows"))
     hits = document_windows(docs, widths, wanted)
+    zipped = F.transform(F.arrays_zip("values", "doc_values", "slots"), lambda z, k: F.struct((F.col("item_pos") + k).alias("at"), z["values"].alias("i"), z["doc_values"].alias("d"), z["slots"].alias("slot")))
     pairs = hits.join(items, "hash").select(
-        "doc_id", "doc_row", "item_id", "item_row", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"),
-        F.filter(F.arrays_zip("values", "doc_values", "slots"), lambda z: z["slots"]).alias("z"),
+        "doc_id", "doc_row", "item_id", "item_row", "window", (F.col("pos") - F.col("item_pos")).alias("shift"),
+        F.transform(F.filter(zipped, lambda z: z["slot"]), lambda z: F.struct(z["at"], z["i"], z["d"])).alias("z"),
     )
     key = ["doc_id", "doc_row", "item_id", "item_row"]
-    slot = F.transform("z", lambda z: F.struct(z["values"].alias("i"), z["doc_values"].alias("d")))
-    along = pairs.groupBy(*key, "shift").agg(F.collect_set("hash").alias("found"), F.array_distinct(F.flatten(F.collect_set(slot))).alias("s"))
-    along = along.where(F.size(F.array_distinct(F.col("s.i"))) == F.size("s")).select(
-        *key, F.explode("found").alias("hash"), F.forall("s", lambda s: s["i"] == s["d"]).alias("same")
-    )
-    found = along.groupBy(*key, "hash").agg(F.max("same").alias("same")).groupBy(*key).agg(F.count("*").alias("n_found"), F.min("same").alias("same"))
+    along = pairs.groupBy(*key, "shift").agg(F.collect_set(F.struct("window", "z")).alias("w"))
+    along = along.withColumn("s", F.array_distinct(F.flatten(F.col("w.z")))).withColumn("means", F.array_distinct(F.transform("s", lambda s: F.struct(s["i"], s["d"]))))
+    along = along.withColumn("w", F.when(F.size(F.array_distinct(F.col("means.i"))) == F.size("means"), F.col("w")).otherwise(_agreeing()))
+    along = along.select(*key, F.explode(F.array_distinct(F.col("w.window"))).alias("window"), F.forall("s", lambda s: s["i"] == s["d"]).alias("same"))
+    found = along.groupBy(*key, "window").agg(F.max("same").alias("same")).groupBy(*key).agg(F.count("*").alias("n_found"), F.min("same").alias("same"))
     on = found["item_id"].eqNullSafe(total["item_id"]) & (found["item_row"] == total["item_row"])
     out = found.join(F.broadcast(total) if size["n"] <= FILTER_WINDOWS else total, on).select(found["*"], "n_windows")
     return out.where(F.col("n_found") >= F.lit(similarity) * F.col("n_windows")).select(

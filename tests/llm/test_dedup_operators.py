@@ -154,6 +154,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(df, bench.limit(0)).count() == 0 and decontaminate.contaminations(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_drops_only_windows_at_odds(spark):
+    rng = random.Random(4)
+    w = [f"v{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80)]
+    w[10], w[30], w[50] = "60", "60", "60"
+    sheep = " ".join(w[:60]).replace("60", "4", 2)  # 4, 4, 60
+    names = "Alice has three green apples. Bob keeps four old cars. Carol sells fresh bread daily. Dave paints small wooden boats."
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, sheep), (3, names)], "item_id long, text string")
+    one_edit = w[:30] + ["75"] + w[31:]
+    swapped = names.replace("Alice", "Erin").replace("Bob", "Frank").replace("Carol", "Grace").replace("Dave", "Heidi")
+    clash = names.replace("Alice", "Erin").replace("three", "several").replace("four", "many").replace("fresh", "stale").replace("wooden", "metal")
+    unlike = " ".join(words(rng, 50))
+    rows = [(1, " ".join(one_edit)), (2, sheep.replace(" 4 ", " 5 ", 1).replace(" 4 ", " 3 ", 1)), (3, unlike + ". " + swapped), (4, names), (5, clash)]
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["n_found"], r["n_windows"]) for r in decontaminate.contaminations(docs(spark, rows), bench).collect()}
+    assert got[1, 1] == ("reparameterised", 71, 76)  # the five windows with the edited slot are lost
+    assert got[2, 2] == ("reparameterised", 46, 56)  # neither 5 nor 3 stands for 4: ten are lost
+    assert got[3, 3] == ("reparameterised", 16, 16) and got[4, 3] == ("verbatim", 16, 16)
+    assert not any(d == 5 for d, _ in got)
+
+
 def test_decontamination_without_the_filter(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
     df = docs(spark, [(1, "x one two three four five six seven eight y"), (2, "one two three four")])
