@@ -187,8 +187,8 @@ def o_t3_parameters(spark, sf_dir):
 
 
 def _spec_text(spark, sf_dir):
-    """A specification text for each brand: coded, modal and other lines in turn."""
-    r = shared(spark, sf_dir, "part_requirements").withColumn("grp", F.col("req_id") % 50)
+    """A specification text for each run of 50 parts: coded, modal and other lines in turn."""
+    r = shared(spark, sf_dir, "part_requirements").withColumn("grp", F.floor(F.col("req_id") / 50))
     line = F.when(F.col("req_id") % 3 == 0, F.concat(F.lower("req_code"), F.lit(": "), "title")).otherwise(F.col("description"))
     return r.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("req_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 

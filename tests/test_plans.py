@@ -39,6 +39,13 @@ def test_lines_that_are_not_ascii_count(spark, text_dir):
     assert {r["code"]: r["first_hit"] for r in evaluation.o_j2_first_hits(spark, text_dir).collect()} == {"REQ-BEN-00000": 1, "REQ-BEN-00001": 1}
 
 
+def test_specification_texts_do_not_grow_with_the_table(spark, tmp_path):
+    spark.range(1, 3001).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    lines = [len(r["text"].split("\n")) for r in ingest._spec_text(spark, str(tmp_path)).collect()]
+    assert sum(lines) == 3000 and max(lines) <= 50
+    assert {r["grp"] for r in ingest.o_t5_extracted_requirements(spark, str(tmp_path)).collect()} == set(range(61))
+
+
 DIR = "/root/testdata/sf0.001"
 BY_KIND = ["o_f3_f5_numeric_claims", "o_h4_pair_contradictions", "o_h6_numeric_ranges", "o_h7_thresholds", "o_h8_durations", "o_h9_flags"]
 
