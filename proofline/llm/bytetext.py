@@ -127,6 +127,7 @@ def words_of(t: Texts, member: np.ndarray) -> Words:
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """For ``span_hash``."""
     n = len(buf)
     out = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", n)[:n], out=out[1:])
@@ -134,12 +135,69 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from the buffer's prefix sums."""
+    """64-bit hashes of byte spans, from the buffer's prefix sums.
+
+    For features alone: modulo 2^64 some long spans of two letters collide by construction.
+    """
     return mix((sums[end] - sums[start]) * _power("down", len(sums))[start])
 
 
+_PRIME = np.uint64(2**31 - 1)
+_BASES = (0x2F0B4C47, 0x5D1A7E93)
+_low: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number below 2^33 or so that equals ``x`` modulo 2^31 - 1."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _powers_below(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo 2^31 - 1."""
+    have = _low.get(base)
+    if have is None or len(have[0]) < n:
+        size = max(n, SLICE_BYTES + 2)
+        both = []
+        for b in (base, pow(base, -1, int(_PRIME))):
+            p = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                p[done : done + more] = p[:more] * np.uint64(pow(b, done, int(_PRIME))) % _PRIME
+                done += more
+            both.append(p)
+        _low[base] = have = (both[0], both[1])
+    return have
+
+
+def identity_sums(buf: np.ndarray) -> list[np.ndarray]:
+    """For ``identity_hash``."""
+    n = len(buf)
+    plain = buf.astype(np.uint64) + np.uint64(1)
+    out = []
+    for base in _BASES:
+        s = np.zeros(n + 1, np.uint64)
+        np.cumsum(_fold(plain * _powers_below(base, n)[0][:n]), out=s[1:])
+        out.append(s)
+    return out
+
+
+def identity_hash(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62 bits of byte spans, scrambled to 64: two polynomials modulo the prime 2^31 - 1.
+
+    Two different spans of n bytes agree for at most (n / 2^31)^2 of all pairs of bases.
+    """
+    parts = []
+    for base, s in zip(_BASES, sums, strict=True):
+        x = _fold(_fold(s[end] - s[start]))
+        x = _fold(_fold(_fold(x) * _powers_below(base, len(s))[1][start]))
+        x = _fold(x)
+        parts.append(np.where(x == _PRIME, np.uint64(0), x))
+    return mix((parts[0] << np.uint64(31)) | parts[1])
+
+
 def word_hashes(t: Texts, w: Words, lower: bool = True) -> np.ndarray:
-    return span_hash(prefix_sums(LOWER[t.buf] if lower else t.buf), w.start, w.end)
+    return identity_hash(identity_sums(LOWER[t.buf] if lower else t.buf), w.start, w.end)
 
 
 def windows(h: np.ndarray, w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

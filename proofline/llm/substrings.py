@@ -1,51 +1,76 @@
 """Exact removal of repeated byte strings with suffix arrays.
 
-Every byte covered by a ``LENGTH``-byte string that also starts anywhere else, in the
-same or another text, is removed. Strings are judged on the input and never cross texts.
+Every byte covered by a string of a :class:`Reach`'s length that also starts anywhere else,
+in the same or another text, is removed. Strings are judged on the input and never cross
+texts.
 
-1. Each string of LENGTH bytes is filed under the smallest hash of its ``GRAM``-byte
+1. Each string of ``length`` bytes is filed under the smallest hash of its ``gram``-byte
    substrings (the leftmost, if equal): its anchor. Equal strings have equal anchors at
    equal offsets. Consecutive strings with one anchor form an occurrence, a short row.
-   Anchors are a small, content-given share of all positions.
-2. Rows meet by anchor. Occurrences equal in all their bytes settle each other. Anchors
-   seen once are done. What is left are anchors whose surroundings differ: where copies
-   begin, end or were edited.
+   Anchors are a small, content-given share of all positions. Only anchors that stand at
+   two places or more go on: they are counted first, with partial sums before the shuffle.
+2. Occurrences equal in all their bytes settle each other and go on as one variant of
+   their anchor. What is left to decide is which strings the variants of one anchor share:
+   where copies begin, end or were edited.
 3. For those, the distinct surroundings are cut from the texts, the anchor's own bytes
-   become one symbol, and suffix arrays of blocks of whole anchors (see
-   :mod:`.gsaca`) bring equal strings side by side; neighbours are compared symbol by
-   symbol. Anchors with more than ``BLOCK_VARIANTS`` different surroundings go another
-   exact way, so no block grows with the data: each start's string is counted under a
-   128-bit hash by an aggregation that Spark combines before it shuffles.
+   become one symbol, and suffix arrays of blocks of whole anchors (see :mod:`.gsaca`)
+   bring equal strings side by side; neighbours are compared symbol by symbol. A block
+   holds at most ``BLOCK_VARIANTS`` variants. An anchor of more (a passage that many
+   texts share) is cut by the bytes its strings must have in common: a string that starts
+   between lo and hi bytes left of the anchor holds lo known bytes on one side and
+   ``length - gram - hi`` on the other. Variants with those bytes in common form smaller
+   groups, and the range of starts is halved until every group fits a block; once lo
+   equals hi all members of a group are equal.
 4. Repeated starts become byte spans, are merged per text, and cut out.
 
-Texts are told apart by a 64-bit hash and their length. A task passes on the anchors of
-equal texts once, and equal occurrences of one slice of texts as one row: a passage or
-period that fills a text does not become as many rows of one key.
+Texts are told apart by a 64-bit hash and their length; occurrences by a 62-bit hash with
+the offsets. A task passes on the anchors of equal texts once, and equal occurrences of one
+slice of texts as one row: a passage or period that fills a text does not become as many
+rows of one key.
 
-Edge cases: null and empty texts, and those shorter than LENGTH, lose nothing; repeated
-rows are copies of each other and lose everything (if LENGTH bytes or longer); further
-columns are kept or ignored as the function says.
+Edge cases: null and empty texts, and those shorter than the length, lose nothing; repeated
+rows are copies of each other and lose everything (if long enough); further columns are
+kept or ignored as the function says.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Texts, mix, prefix_sums, slices, span_hash
+from .bytetext import Texts, identity_hash, identity_sums, mix, slices
 from .gsaca import suffix_array
 from .shared import materialize
 
-LENGTH, GRAM = 400, 300
+
+@dataclass(frozen=True)
+class Reach:
+    """Strings of ``length`` bytes, filed under anchors of ``gram`` bytes."""
+
+    length: int
+    gram: int
+
+    @property
+    def free(self) -> int:
+        """Bytes of a string besides its anchor."""
+        return self.length - self.gram
+
+
+CONTRACT = Reach(400, 250)
+PASSAGE = Reach(200, 100)  # fifty words of prose are longer than this
 BLOCK_VARIANTS = 64
 BLOCK_SYMBOLS = 60_000
+SALTS = 32
 _SEEN = 500_000
 
-_OCCURRENCE = "anchor long, around long, key long, size long, p int, a int, b int, weight int"
+# pos packs the reach (2 bits), the first start (32), anchor - start and last - first start (12 each)
+_OCCURRENCE = "anchor long, around long, key long, size long, pos long"
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -56,22 +81,21 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(up[: n - w + 1], down[w - 1 : n])
 
 
-def occurrences(t: Texts) -> tuple[np.ndarray, ...]:
+def occurrences(t: Texts, sums: list[np.ndarray], reach: Reach) -> tuple[np.ndarray, ...]:
     """Text number, anchor hash, hash of all bytes, p (anchor), a and b (first and last start)."""
-    n, w = len(t.buf), LENGTH - GRAM + 1
+    n, length, gram = len(t.buf), reach.length, reach.gram
     none = tuple(np.zeros(0, d) for d in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    if n < LENGTH:
+    if n < length:
         return none
-    sums = prefix_sums(t.buf)
-    at = np.arange(n - GRAM + 1)
-    h = span_hash(sums, at, at + GRAM)
+    at = np.arange(n - gram + 1)
+    h = identity_hash(sums, at, at + gram)
     low = np.uint64((1 << 24) - 1)
     ranked = (h & ~low) | (at.astype(np.uint64) & low)
     size = np.diff(t.at)
     room = np.repeat(t.at[1:], size)[: len(at)] - at  # bytes from here to the text's end
-    ranked[room < GRAM] = np.uint64(2**64 - 1)
-    best = _sliding_min(ranked, w)
-    start = np.flatnonzero(room[: len(best)] >= LENGTH)
+    ranked[room < gram] = np.uint64(2**64 - 1)
+    best = _sliding_min(ranked, reach.free + 1)
+    start = np.flatnonzero(room[: len(best)] >= length)
     if not len(start):
         return none
     # the anchor's position, from its low bits and the start it belongs to
@@ -80,9 +104,9 @@ def occurrences(t: Texts) -> tuple[np.ndarray, ...]:
     new[1:] = (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     a, b, p = start[first], start[np.append(first[1:], len(start)) - 1], p[first]
-    around = mix(span_hash(sums, a, b + LENGTH) + (p - a).astype(np.uint64) * np.uint64(1_000_003) + (b - a).astype(np.uint64))
+    around = mix(identity_hash(sums, a, b + length) + (p - a).astype(np.uint64) * np.uint64(1_000_003) + (b - a).astype(np.uint64))
     doc = np.searchsorted(t.at, a, "right") - 1
-    return doc, h[p], around, p - t.at[doc], a - t.at[doc], b - t.at[doc]
+    return doc, mix(h[p] + np.uint64(length)), around, p - t.at[doc], a - t.at[doc], b - t.at[doc]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -90,90 +114,142 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("text").withColumn("_key", F.xxhash64(text)).withColumn("_size", F.octet_length(text).cast("long"))
 
 
-def _occurrence_rows(docs: DataFrame) -> DataFrame:
+def _settled_runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the spans [lo, hi), which are sorted by text and lo."""
+    if not len(doc):
+        return doc, lo, hi
+    reach = np.maximum.accumulate(hi + doc * (1 << 40)) - doc * (1 << 40)
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > reach[:-1])
+    first = np.flatnonzero(head)
+    return doc[first], lo[first], reach[np.append(first[1:], len(doc)) - 1]
+
+
+def _slice_rows(t: Texts, keys: np.ndarray, fresh: np.ndarray, reaches: tuple[Reach, ...]):
+    """Of one slice: (anchor, around, text, pos, weight) of its occurrences, and (reach, text, lo, hi) of runs settled within it."""
+    sums, sizes = identity_sums(t.buf), np.diff(t.at)
+    rows, runs = [], []
+    for k, reach in enumerate(reaches):
+        found = occurrences(t, sums, reach)
+        mine = np.flatnonzero(fresh[found[0]])
+        doc, anchor, around, p, a, b = (x[mine] for x in found)
+        # equal occurrences within the slice settle each other here: one row stands for all
+        # of them, with weight 2, and their bytes go on as settled runs
+        _, one, back, times = np.unique(mix(anchor) ^ around, return_index=True, return_inverse=True, return_counts=True)
+        settled = np.flatnonzero(times[back.ravel()] > 1)
+        run = _settled_runs(doc[settled], a[settled], b[settled] + reach.length)
+        copy = np.flatnonzero((sizes >= reach.length) & ~fresh)
+        runs.append((np.full(len(run[0]) + len(copy), k), np.concatenate([run[0], copy]), np.concatenate([run[1], np.zeros(len(copy), int)]), np.concatenate([run[2], sizes[copy]])))
+        pos = (k << 56) | (a[one] << 24) | ((p - a)[one] << 12) | (b - a)[one]
+        rows.append((anchor[one], around[one], doc[one], pos, np.minimum(times, 2)))
+    join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return join(rows), join(runs)
+
+
+def _scan(docs: DataFrame, reaches: tuple[Reach, ...], emit, schema: str) -> DataFrame:
+    """``emit(keys, sizes, rows, runs)`` for every slice of the texts; copies of a text seen before in the task are settled."""
+    least = min(r.length for r in reaches)
+
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for rows, t in slices(batches):
-            keys = rows.column("key").to_numpy()
-            sizes = np.diff(t.at)
+        for some, t in slices(batches):
+            keys, sizes = some.column("key").to_numpy(), np.diff(t.at)
             fresh = np.zeros(t.n, bool)
-            for i in np.flatnonzero(sizes >= LENGTH):
+            for i in np.flatnonzero(sizes >= least):
                 name = (int(keys[i]), int(sizes[i]))
                 if name not in seen:
                     fresh[i] = True
                     if len(seen) < _SEEN:
                         seen.add(name)
-            found = occurrences(t)
-            mine = np.flatnonzero(fresh[found[0]])
-            doc, anchor, around, p, a, b = (x[mine] for x in found)
-            # equal occurrences within the slice settle each other here: one row stands for
-            # all of them, with weight 2, and their bytes go on as settled runs
-            _, one, back, times = np.unique(mix(anchor) ^ around, return_index=True, return_inverse=True, return_counts=True)
-            settled = np.flatnonzero(times[back.ravel()] > 1)
-            sd, lo, hi = doc[settled], a[settled], b[settled] + LENGTH
-            reach = np.maximum.accumulate(hi + sd * (1 << 40)) - sd * (1 << 40) if len(sd) else hi
-            head = np.ones(len(sd), bool)
-            head[1:] = (sd[1:] != sd[:-1]) | (lo[1:] > reach[:-1])
-            first = np.flatnonzero(head)
-            rd, ra, rb = sd[first], lo[first], reach[np.append(first[1:], len(sd)) - 1] - LENGTH if len(sd) else hi
-            copy = np.flatnonzero((sizes >= LENGTH) & ~fresh)
-            rd, ra, rb = np.concatenate([rd, copy]), np.concatenate([ra, np.zeros(len(copy), int)]), np.concatenate([rb, sizes[copy] - LENGTH])
-            own = mix(keys[rd].view(np.uint64) + ra.astype(np.uint64))  # settled runs meet nobody: p is -1
-            yield pa.record_batch(
-                [
-                    pa.array(np.concatenate([anchor[one], own]).view(np.int64)),
-                    pa.array(np.concatenate([around[one], own]).view(np.int64)),
-                    pa.array(np.concatenate([keys[doc[one]], keys[rd]])),
-                    pa.array(np.concatenate([sizes[doc[one]], sizes[rd]])),
-                    pa.array(np.concatenate([p[one], np.full(len(rd), -1)]).astype(np.int32)),
-                    pa.array(np.concatenate([a[one], ra]).astype(np.int32)),
-                    pa.array(np.concatenate([b[one], rb]).astype(np.int32)),
-                    pa.array(np.concatenate([np.minimum(times, 2), np.ones(len(rd), int)]).astype(np.int32)),
-                ],
-                names=["anchor", "around", "key", "size", "p", "a", "b", "weight"],
-            )
+            yield emit(keys, sizes, *_slice_rows(t, keys, fresh, reaches))
+
+    source = _keyed(docs).where(F.col("_size") >= least).select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, schema)
+
+
+def _anchor_counts(docs: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
+    """``anchor``: those that stand at two places or more."""
+
+    def emit(keys, sizes, rows, runs):
+        anchor, at = np.unique(rows[0], return_inverse=True)
+        return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(np.bincount(at.ravel(), rows[4], len(anchor)).astype(np.int64))], names=["anchor", "n"])
+
+    return _scan(docs, reaches, emit, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+
 
-    source = _keyed(docs).where(F.col("_size") >= LENGTH).select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, _OCCURRENCE)
+def _occurrence_rows(docs: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
+    """Occurrences as in ``_OCCURRENCE``, one row more where a row stands for several. Settled runs have a null anchor, their end in ``around``."""
 
+    def emit(keys, sizes, rows, runs):
+        anchor, around, doc, pos, times = rows
+        twice = np.flatnonzero(times > 1)
+        pick = np.concatenate([np.arange(len(anchor)), twice])
+        kind, rd, lo, hi = runs
+        none = np.concatenate([np.zeros(len(pick), bool), np.ones(len(rd), bool)])
+        text = np.concatenate([doc[pick], rd])
+        return pa.record_batch(
+            [
+                pa.array(np.concatenate([anchor[pick].view(np.int64), np.zeros(len(rd), np.int64)]), mask=none),
+                pa.array(np.concatenate([around[pick].view(np.int64), hi])),
+                pa.array(keys[text]),
+                pa.array(sizes[text]),
+                pa.array(np.concatenate([pos[pick], (kind << 56) | (lo << 24)])),
+            ],
+            names=["anchor", "around", "key", "size", "pos"],
+        )
 
-def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``anchor, around, left, right``: the bytes before and behind each wanted anchor."""
-    lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct("anchor", "around", "p", "a", "b")).alias("want"))
-    source = _keyed(docs).where(F.col("_size") >= LENGTH).select(F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("text").cast("string").alias("text"))
+    return _scan(docs, reaches, emit, _OCCURRENCE)
+
+
+# the parts of pos: the reach, the first start, the anchor behind it, the last start behind it
+_KIND, _FIRST, _BEFORE, _SPREAD = "shiftright(pos, 56)", "(shiftright(pos, 24) & 4294967295)", "(shiftright(pos, 12) & 4095)", "(pos & 4095)"
+
+
+def _surroundings(docs: DataFrame, wanted: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
+    """``anchor, around, kind, left, right``: the bytes before and behind each wanted anchor."""
+    least = min(r.length for r in reaches)
+    lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct("anchor", "around", "pos")).alias("want"))
+    source = _keyed(docs).where(F.col("_size") >= least).select(F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for text, want in zip(batch.column("text"), batch.column("want").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
+                kinds, left, right = [], [], []
+                for x in want:
+                    pos = x["pos"]
+                    k, a = pos >> 56, (pos >> 24) & 0xFFFFFFFF
+                    p, b = a + ((pos >> 12) & 0xFFF), a + (pos & 0xFFF)
+                    kinds.append(k)
+                    left.append(raw[a:p])
+                    right.append(raw[p + reaches[k].gram : b + reaches[k].length])
                 yield pa.record_batch(
-                    [
-                        pa.array([x["anchor"] for x in want], pa.int64()),
-                        pa.array([x["around"] for x in want], pa.int64()),
-                        pa.array([raw[x["a"] : x["p"]] for x in want], pa.binary()),
-                        pa.array([raw[x["p"] + GRAM : x["b"] + LENGTH] for x in want], pa.binary()),
-                    ],
-                    names=["anchor", "around", "left", "right"],
+                    [pa.array([x["anchor"] for x in want], pa.int64()), pa.array([x["around"] for x in want], pa.int64()), pa.array(kinds, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    names=["anchor", "around", "kind", "left", "right"],
                 )
 
-    return source.join(lists, ["key", "size"]).select("text", "want").mapInArrow(run, "anchor long, around long, left binary, right binary")
+    cut = source.join(lists, ["key", "size"]).select("text", "want").mapInArrow(run, "anchor long, around long, kind int, left binary, right binary")
+    return cut.dropDuplicates(["anchor", "around"])  # copies of a text give the same
 
 
-def repeated_starts(groups: list[list[tuple[bytes, bytes]]]) -> list[list[list[int]]]:
+def repeated_starts(groups: list[list[tuple[bytes, bytes]]], frees: list[int]) -> list[list[list[int]]]:
     """For each group of distinct (left, right) surroundings, the offsets left of the anchor
-    at which a member has a string that another member has too."""
-    span = LENGTH - GRAM + 1  # symbols in a string: its bytes, the anchor's being one symbol
-    half = (span - 1) // 2
-    parts, member, offset = [], [], []
+    at which a member has a string that another member has too. ``frees``: each group's
+    string length without the anchor's."""
+    parts, member, offset, spans = [], [], [], []
     for g, group in enumerate(groups):
+        free = frees[g]
+        half = free // 2
         # of the bytes besides the anchor, half lie on one side: no partner there, no string in common
         lefts: dict[bytes, int] = {}
         rights: dict[bytes, int] = {}
         for left, right in group:
-            lefts[left[-half:]] = lefts.get(left[-half:], 0) + 1 if len(left) >= half else 0
-            rights[right[:half]] = rights.get(right[:half], 0) + 1 if len(right) >= half else 0
+            if len(left) >= half:
+                lefts[left[len(left) - half :]] = lefts.get(left[len(left) - half :], 0) + 1
+            if len(right) >= half:
+                rights[right[:half]] = rights.get(right[:half], 0) + 1
         for v, (left, right) in enumerate(group):
-            if lefts[left[-half:]] < 2 and rights[right[:half]] < 2:
+            if lefts.get(left[max(0, len(left) - half) :], 0) < 2 and rights.get(right[:half], 0) < 2:
                 continue
             s = np.empty(len(left) + len(right) + 2, np.int64)
             s[: len(left)] = np.frombuffer(left, np.uint8)
@@ -184,6 +260,7 @@ def repeated_starts(groups: list[list[tuple[bytes, bytes]]]) -> list[list[list[i
             parts.append(s)
             member.append((g, v))
             offset.append(len(left))
+            spans.append(free + 1)
     out: list[list[list[int]]] = [[[] for _ in group] for group in groups]
     if not parts:
         return out
@@ -193,14 +270,17 @@ def repeated_starts(groups: list[list[tuple[bytes, bytes]]]) -> list[list[list[i
     sa = suffix_array(text)
     part = np.searchsorted(begin, sa, "right") - 1
     o = np.array(offset)[part] - (sa - begin[part])  # bytes from the start to the anchor
+    span = np.array(spans)[part]
     whole = (o >= 0) & (sa + span < begin[part + 1])
     x, y = sa[:-1], sa[1:]
-    near = np.flatnonzero(whole[:-1] & whole[1:] & (o[:-1] == o[1:]))
+    near = np.flatnonzero(whole[:-1] & whole[1:] & (o[:-1] == o[1:]) & (span[:-1] == span[1:]))
     same = np.zeros(len(near), bool)
-    steps = np.arange(span)
-    for lo in range(0, len(near), 20_000):
-        k = near[lo : lo + 20_000]
-        same[lo : lo + 20_000] = (text[x[k][:, None] + steps] == text[y[k][:, None] + steps]).all(axis=1)
+    for width in np.unique(span[near]):
+        of = near[span[near] == width]
+        steps = np.arange(width)
+        for lo in range(0, len(of), 20_000):
+            k = of[lo : lo + 20_000]
+            same[np.searchsorted(near, k)] = (text[x[k][:, None] + steps] == text[y[k][:, None] + steps]).all(axis=1)
     hit = np.zeros(len(sa), bool)
     hit[near[same]] = True
     hit[near[same] + 1] = True
@@ -221,103 +301,113 @@ def _ranges(offsets: list[int]) -> list[tuple[int, int]]:
     return runs
 
 
-def _by_suffix_arrays(rows: DataFrame) -> DataFrame:
-    """``anchor, around, least, most``: ranges of repeated offsets, by suffix arrays of blocks."""
+def _by_suffix_arrays(members: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
+    """``unit, l, r, least, most``: ranges of repeated offsets of the ``members(unit, kind, lo, hi, l, r, m)`` of small units."""
 
     def run(batches):
-        names: list[list[tuple[int, int]]] = []
-        block: list[list[tuple[bytes, bytes]]] = []
+        units: list[list[tuple]] = []
         symbols, last = 0, None
 
         def flush():
             out = []
-            for name, found in zip(names, repeated_starts(block), strict=True):
-                for (anchor, around), offsets in zip(name, found, strict=True):
-                    out += [(anchor, around, lo, hi) for lo, hi in _ranges(offsets)]
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "around", "least", "most"])
+            groups = [[(x[4], x[5]) for x in u] if len(u) > 1 else [] for u in units]
+            for unit, found in zip(units, repeated_starts(groups, [reaches[u[0][1]].free for u in units]), strict=True):
+                for k, (name, kind, lo, hi, left, right, m) in enumerate(unit):
+                    free = reaches[kind].free
+                    least, most = max(lo, free - len(right)), min(hi, len(left))
+                    if m > 1:  # several variants agree in all these bytes
+                        out += [(name, left, right, least, most)] if least <= most else []
+                    elif found:
+                        out += [(name, left, right, x, y) for x, y in _ranges([o for o in found[k] if least <= o <= most])]
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["unit", "l", "r", "least", "most"])
 
         for batch in batches:
-            for anchor, around, left, right in zip(*(batch.column(c).to_pylist() for c in ("anchor", "around", "left", "right")), strict=True):
-                if last is None or anchor != last[0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "kind", "lo", "hi", "l", "r", "m")), strict=True):
+                if last is None or row[0] != last:
                     if symbols > BLOCK_SYMBOLS:
                         yield flush()
-                        names, block, symbols = [], [], 0
-                    names.append([])
-                    block.append([])
-                elif around == last[1]:
-                    continue  # cut from another copy of the text
-                last = (anchor, around)
-                names[-1].append(last)
-                block[-1].append((left, right))
-                symbols += len(left) + len(right) + 2
-        if block:
+                        units, symbols = [], 0
+                    units.append([])
+                last = row[0]
+                units[-1].append(row)
+                symbols += len(row[4]) + len(row[5]) + 2
+        if units:
             yield flush()
 
-    return rows.select("anchor", "around", "left", "right").repartition("anchor").sortWithinPartitions("anchor", "around").mapInArrow(run, "anchor long, around long, least int, most int")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select("unit", "kind", "lo", "hi", "l", "r", "m").repartition(parts, "unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "unit binary, l binary, r binary, least int, most int")
 
 
-def _by_counting(rows: DataFrame) -> DataFrame:
-    """The same ranges for anchors of many surroundings: a count of every start's string."""
+def _shared_strings(cells: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
+    """``anchor, around, least, most``: ranges of offsets at which a variant has a string that another variant has.
 
-    def run(batches):
-        w = LENGTH - GRAM
-        for batch in batches:
-            for anchor, around, left, right in zip(*(batch.column(c).to_pylist() for c in ("anchor", "around", "left", "right")), strict=True):
-                buf = np.frombuffer(left + right, np.uint8)
-                sums = prefix_sums(buf)
-                o = np.arange(max(0, w - len(right)), len(left) + 1)
-                at = len(left) - o
-                h1 = span_hash(sums, at, at + w)
-                other = prefix_sums(buf[::-1])
-                h2 = span_hash(other, len(buf) - at - w, len(buf) - at)
-                n = len(o)
-                yield pa.record_batch(
-                    [pa.array(np.full(n, anchor)), pa.array(np.full(n, around)), pa.array(o.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                    names=["anchor", "around", "o", "h1", "h2"],
-                )
-
-    one = rows.select("anchor", "around", "left", "right").dropDuplicates(["anchor", "around"])
-    starts = materialize(one.mapInArrow(run, "anchor long, around long, o int, h1 long, h2 long"), "starts")
-    name = ["anchor", "o", "h1", "h2"]
-    twice = starts.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").select(*name)
-    hit = starts.join(twice, name).groupBy("anchor", "around").agg(F.array_sort(F.collect_list("o")).alias("o"))
-    run_of = F.aggregate(
-        "o", F.array().cast("array<struct<least:int,most:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["most"] == x - 1),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["least"].alias("least"), x.alias("most")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x.alias("least"), x.alias("most"))))),
-    )
-    return hit.select("anchor", "around", F.inline(run_of))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``_key, _size, spans``: per distinct text with repeats, its byte spans (lo, hi), unmerged."""
-    by_anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "around")
-    rows = (
-        _occurrence_rows(docs)
-        .withColumn("rn", F.row_number().over(same.orderBy("key", "p")))
-        .withColumn("n", F.sum("weight").over(same))
-        .withColumn("variants", F.sum((F.col("rn") == 1).cast("int")).over(by_anchor))
-        .where("n > 1 or variants > 1 or p < 0")
-    )
-    rows = materialize(rows, "occurrences")
-    whole = rows.where("n > 1 or p < 0").select("key", "size", F.col("a").alias("lo"), (F.col("b") + LENGTH).alias("hi"))
-    mixed = rows.where("variants > 1")
-    around = materialize(_surroundings(docs, mixed.where("rn = 1 and p >= 0")).join(mixed.groupBy("anchor").agg(F.first("variants").alias("variants")), "anchor"), "surroundings")
-    found = _by_suffix_arrays(around.where(F.col("variants") <= BLOCK_VARIANTS)).union(_by_counting(around.where(F.col("variants") > BLOCK_VARIANTS)))
-    found = materialize(found, "repeated")
-    part = mixed.where("n = 1").join(found, ["anchor", "around"]).select("key", "size", (F.col("p") - F.col("most")).alias("lo"), (F.col("p") - F.col("least") + LENGTH).alias("hi"))
-    spans = whole.union(part).distinct().groupBy("key", "size").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    ``cells``: anchor, around, kind, left, right. Groups too large for a block are halved
+    by their range of offsets; groups whose members agree need no array.
+    """
+    free = F.element_at(F.array(*[F.lit(r.free) for r in reaches]), F.col("kind") + 1)
+    n_left, n_right = F.octet_length("left"), F.octet_length("right")
+    common = F.concat(F.expr("substring(left, octet_length(left) - lo + 1, lo)"), F.substring("right", F.lit(1), free - F.col("hi")))
+    unit = F.concat(F.encode(F.concat_ws(",", "anchor", "lo", "hi"), "utf-8"), F.encode(F.lit(":"), "utf-8"), common)
+    l = F.expr("substring(left, greatest(octet_length(left) - hi, 0) + 1, hi)")  # noqa: E741
+    r = F.substring("right", F.lit(1), free - F.col("lo"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = lambda *by: F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+    now, found = cells.withColumn("lo", F.lit(0)).withColumn("hi", free), []
+    while True:
+        able = materialize(now.where((n_left >= F.col("lo")) & (n_right >= free - F.col("hi"))), "cells")
+        keyed = able.select("*", unit.alias("unit"), l.alias("l"), r.alias("r"))
+        members = keyed.groupBy("unit", "l", "r").agg(F.count("*").alias("m"), F.first("kind").alias("kind"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        large = members.groupBy("unit").agg(F.count("*").alias("v")).where(F.col("v") > BLOCK_VARIANTS).select("unit")
+        large = materialize(large, "large").select("unit", salts.alias("salt"))
+        small = members.withColumn("salt", salted("l", "r")).join(large, ["unit", "salt"], "left_anti")
+        ranges = materialize(_by_suffix_arrays(small, reaches), "ranges")
+        if found:  # here, many variants may agree in l and r
+            ranges, keyed = ranges.select("*", salts.alias("salt")), keyed.withColumn("salt", salted("around"))
+            found.append(keyed.join(ranges, ["unit", "l", "r", "salt"]).select("anchor", "around", "least", "most"))
+        else:
+            found.append(keyed.join(ranges, ["unit", "l", "r"]).select("anchor", "around", "least", "most"))
+        if large.isEmpty():
+            break
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
+        halved = keyed.withColumn("salt", salted("around")).join(large, ["unit", "salt"], "left_semi").select("anchor", "around", "kind", "left", "right", halves.alias("half"))
+        now = halved.select("anchor", "around", "kind", "left", "right", "half.lo", "half.hi")
+    return reduce(DataFrame.union, found)
+
+
+def repeated_spans(docs: DataFrame, reaches: tuple[Reach, ...] = (CONTRACT,)) -> DataFrame:
+    """``_key, _size, spans``: per distinct text with repeats, its byte spans (kind, lo, hi), unmerged; kind numbers ``reaches``."""
+    length = f"element_at(array({', '.join(str(r.length) for r in reaches)}), cast({_KIND} as int) + 1)"
+    anchors = materialize(_anchor_counts(docs, reaches), "anchors")
+    rows = _occurrence_rows(docs, reaches)
+    held = rows.join(anchors, "anchor", "left_semi").select(*rows.columns)
+    rows = materialize(held.union(_occurrence_rows(docs, reaches).where("anchor is null")), "occurrences")
+
+    near = rows.where("anchor is not null")
+    variants = near.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "pos")).alias("of"))
+    variants = materialize(variants, "variants")
+    settled = near.join(variants.where("n > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
+    whole = settled.selectExpr("key", "size", f"{_KIND} AS kind", f"{_FIRST} AS lo", f"{_FIRST} + {_SPREAD} + {length} AS hi")
+    whole = whole.union(rows.where("anchor is null").selectExpr("key", "size", f"{_KIND} AS kind", f"{_FIRST} AS lo", "around AS hi"))
+
+    several = variants.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mixed = variants.withColumn("salt", F.pmod(F.xxhash64("around"), F.lit(SALTS)).cast("int")).join(several, ["anchor", "salt"], "left_semi").select("anchor", "around", "n", "of.*")
+    mixed = materialize(mixed, "mixed")
+    cells = _surroundings(docs, mixed, reaches)
+    found = _shared_strings(cells, reaches)
+    at = f"{_FIRST} + {_BEFORE}"
+    part = mixed.where("n = 1").join(found, ["anchor", "around"]).selectExpr("key", "size", f"{_KIND} AS kind", f"{at} - most AS lo", f"{at} - least + {length} AS hi")
+    spans = whole.union(part).distinct().groupBy("key", "size").agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "lo", "hi")).alias("spans"))
     return spans.select(F.col("key").alias("_key"), F.col("size").alias("_size"), "spans")
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    """Maximal runs of the given byte spans, in order."""
+def merged(spans, kind: int | None = None) -> list[tuple[int, int]]:
+    """Maximal runs of the given byte spans (of one kind, if given), in order."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or () if kind is None or s["kind"] == kind):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -334,33 +424,39 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
     """``docs`` with its columns renamed by position, and ``_spans`` behind them."""
     at = docs.columns.index("text")
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     text = F.coalesce(F.col(f"_c{at}").cast("string"), F.lit(""))
     keyed = plain.withColumn("_key", F.xxhash64(text)).withColumn("_size", F.octet_length(text).cast("long"))
-    return keyed.join(repeated_spans(docs), ["_key", "_size"], "left").select(*plain.columns, F.col("spans").alias("_spans"))
+    return keyed.join(repeated_spans(docs, reaches), ["_key", "_size"], "left").select(*plain.columns, F.col("spans").alias("_spans"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage and n_passages.
+
+    The first are of strings of 400 bytes, as the contract has it. n_passage and n_passages
+    are the bytes and maximal runs covered by repeated strings of 200 bytes: passages of
+    some fifty words, which are shorter than 400 bytes as a rule.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(1), batch.column("_spans").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                runs = merged(spans)
-                rows.append((len(raw), sum(hi - lo for lo, hi in runs), len(runs), hashlib.sha256(_kept(raw, runs) if runs else raw).hexdigest()))
-            n_bytes, n_removed, n_spans, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
+                runs, short = merged(spans, 0), merged(spans, 1)
+                rows.append((len(raw), sum(hi - lo for lo, hi in runs), len(runs), hashlib.sha256(_kept(raw, runs) if runs else raw).hexdigest(), sum(hi - lo for lo, hi in short), len(short)))
+            n_bytes, n_removed, n_spans, sha, n_passage, n_passages = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.record_batch(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(sha, pa.string()), pa.array(n_passage, pa.int64()), pa.array(n_passages, pa.int64())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "n_passages"],
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(source).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long, n_passages long"
+    return _with_spans(source, (CONTRACT, PASSAGE)).mapInArrow(run, kinds)
 
 
 def cut_text(raw: bytes, runs: list[tuple[int, int]]) -> str:
@@ -376,12 +472,13 @@ def cut_text(raw: bytes, runs: list[tuple[int, int]]) -> str:
     return _kept(raw, safe).decode("utf-8", "replace")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, reach: Reach = PASSAGE) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text`` (null stays null) and ``n_chars`` renewed.
 
-    Rows whose whole text goes stay, with an empty text.
+    Strings are those of ``reach``, 200 bytes if not told otherwise: some fifty words make a
+    passage. Rows whose whole text goes stay, with an empty text.
     """
-    joined = _with_spans(docs)
+    joined = _with_spans(docs, (reach,))
     at = docs.columns.index("text")
     names, has_count = docs.columns, "n_chars" in docs.columns
 

@@ -35,13 +35,26 @@ def test_suffix_array():
         assert suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def covered(raws, n):
+    """For each byte string, a list that marks the bytes of its n-byte strings which start elsewhere too."""
+    seen = Counter(b[k : k + n] for b in raws for k in range(len(b) - n + 1))
+    marks = []
+    for b in raws:
+        m = [False] * len(b)
+        for k in range(len(b) - n + 1):
+            if seen[b[k : k + n]] > 1:
+                m[k : k + n] = [True] * n
+        marks.append(m)
+    return marks
+
+
 def repeats_by_brute_force(rows):
-    raws = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(b[k : k + 400] for _, b in raws for k in range(len(b) - 399))
+    raws = [(t or "").encode() for _, t in rows]
     out = Counter()
-    for i, b in raws:
-        runs = substrings.merged([{"lo": k, "hi": k + 400} for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1])
-        out[i, len(b), sum(hi - lo for lo, hi in runs), len(runs), hashlib.sha256(substrings._kept(b, runs)).hexdigest()] += 1
+    for (i, _), b, m, p in zip(rows, raws, covered(raws, 400), covered(raws, 200)):
+        runs = lambda x: sum(1 for k, v in enumerate(x) if v and not (k and x[k - 1]))
+        kept = bytes(c for c, gone in zip(b, m) if not gone)
+        out[i, len(b), sum(m), runs(m), hashlib.sha256(kept).hexdigest(), sum(p), runs(p)] += 1
     return out
 
 
@@ -62,9 +75,23 @@ def repeated_rows():
 
 @pytest.mark.parametrize("most", [64, 2])
 def test_repeats(spark, repeated_rows, monkeypatch, most):
-    monkeypatch.setattr(substrings, "BLOCK_VARIANTS", most)  # 2: most anchors go by counting
+    monkeypatch.setattr(substrings, "BLOCK_VARIANTS", most)  # 2: most anchors are cut into smaller groups
     got = substrings.summary(docs(spark, repeated_rows, extra=True).repartition(3)).collect()
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == repeats_by_brute_force(repeated_rows)
+    assert Counter(tuple(r) for r in got) == repeats_by_brute_force(repeated_rows)
+
+
+def test_passages_of_some_fifty_words(spark):
+    """Passages of 51 to 80 words (250 to 600 bytes) in several texts go whole; texts without one stay as they are."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(words(rng, n))
+    passages = [text(n) for n in (51, 55, 60, 70, 80)]
+    rows = [(k, f"{text(70)} {passages[k % 5]} {text(50)}") for k in range(20)] + [(k, text(150)) for k in range(20, 40)]
+    out = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs(spark, rows).repartition(4)).collect()}
+    assert all(250 < len(p.encode()) < 600 for p in passages)
+    raws = [t.encode() for _, t in rows]
+    for (k, t), b, m in zip(rows, raws, covered(raws, 200)):
+        assert out[k] == bytes(c for c, gone in zip(b, m) if not gone).decode(), k
+        assert (passages[k % 5] in t and passages[k % 5][5:-5] not in out[k]) if k < 20 else out[k] == t
 
 
 def test_cut_texts(spark, repeated_rows):
