@@ -16,6 +16,9 @@ from proofline.llm import langid, licenses, ngram_lm, sentencepiece, toxicity
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
 def docs(spark, rows, extra=False):
     df = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows], DOCS)
     return df.withColumn("key", F.lit("k")).withColumn("id", F.lit(None).cast("int")).withColumn("score", F.lit(9)) if extra else df
@@ -134,7 +137,7 @@ def test_lm_base_scores(spark):
     rng = random.Random(2)
     rows = EDGE + [(100 + k, invented(rng, ["ab", "c", "De"], rng.randint(0, 30)), None) for k in range(120)]
     got = ngram_lm.score(docs(spark, rows, extra=True)).collect()
-    tokens = [(i, [w for w in (t or "").encode().translate(ngram_lm._LOWER).split()] + [b""]) for i, t, _ in rows]
+    tokens = [(i, [w for w in (t or "").encode().translate(LOWER).split()] + [b""]) for i, t, _ in rows]
     held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 5 == 1
     c = Counter(w for i, ws in tokens if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
@@ -142,15 +145,17 @@ def test_lm_base_scores(spark):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
 
 
-def test_lm_rare_words_and_empty_table(spark, monkeypatch):
-    df = docs(spark, [(k, "the cat sat on the mat " * (k % 3 + 1) + f"word{k}", None) for k in range(40)])
-    full = {r["doc_id"]: (r["base_score"], r["n_known"], r["score"]) for r in ngram_lm.score(df).collect()}
-    monkeypatch.setattr(ngram_lm, "FREQUENT_WORDS", 3)
-    few = {r["doc_id"]: (r["base_score"], r["n_known"], r["score"]) for r in ngram_lm.score(df).collect()}
-    for k in full:
-        assert abs(full[k][0] - few[k][0]) < 1e-9 and full[k][1] == few[k][1]
-    assert sum(x[2] for x in full.values()) > sum(x[0] for x in full.values())  # histories help on repeated text
-    assert ngram_lm.score(df.limit(0)).count() == 0
+def test_lm_repeated_texts_and_empty_table(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(40))
+    rows = [(k, text(), None) for k in range(60)] + [(100 + 2 * k, t, None) for k in range(10) for t in [text()]]
+    rows += [(i + 1, t, None) for i, t, _ in rows if i >= 100]
+    trained = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in ngram_lm.score(docs(spark, rows)).collect()}
+    once = [got[k] for k in range(60) if trained(k)]
+    both = [got[k] for k in range(100, 120, 2) if trained(k) and trained(k + 1)]
+    assert min(both) > max(once)  # texts that occur twice score apart from those that occur once
+    assert ngram_lm.score(docs(spark, rows).limit(0)).count() == 0
 
 
 def test_lm_scores_are_those_of_all_counts(spark, monkeypatch):
@@ -171,57 +176,30 @@ def test_lm_scores_are_those_of_all_counts(spark, monkeypatch):
         for n in (1, 2, 3):
             c[n].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
     total, types = sum(c[1].values()), len(c[1])
-    behind = {}
-    for n in (2, 3):
-        for gram, k in c[n].items():
-            behind.setdefault(gram[:-1], {})[gram[-1]] = k
-    weights = {}
 
     def p(history, w):
         if not history:
             return (c[1][w,] + 0.5) / (total + 0.5 * (types + 1))
-        seen = behind.get(history)
-        if seen is None:
-            return p(history[1:], w)
-        n = sum(seen.values())
-        if w in seen:
-            return (seen[w] - 0.75) / n
-        if history not in weights:
-            weights[history] = (0.75 * len(seen) / n) / (1 - sum(p(history[1:], x) for x in seen))
-        return weights[history] * p(history[1:], w)
+        n, m = c[len(history)][history], ngram_lm.PRIOR[len(history) + 1]
+        return (c[len(history) + 1][(*history, w)] + m * p(history[1:], w)) / (n + m)
 
     want = {i: sum(math.log10(p(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w)) for i, w in zip(ids, map(tokens, texts))}
-    for frequent in (100_000, 7):
-        monkeypatch.setattr(ngram_lm, "FREQUENT_WORDS", frequent)
+    for block, keys in ((2_000_000, 6_000_000), (500, 700), (3_000, 100)):
+        monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(ngram_lm, "RANGE_BYTES", keys)
         got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs(spark, [(i, t, None) for i, t in zip(ids, texts)]).repartition(3)).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    for history in [("a",), ("b", "a"), (vocabulary[7],), ("never", "seen")]:  # each state is a distribution over all types and one unseen
+        assert abs(sum(p(history, w) for w, in c[1]) + p(history, "unseen") - 1) < 1e-9
 
 
-def test_automaton_states_are_distributions():
-    rng = random.Random(4)
-    words = [rng.choice(b"abcd") for _ in range(3000)]
-    seq = [bytes([w]) for w in words]
-    c = Counter(seq)
-    ranked = sorted(c.items(), key=lambda x: (-x[1], x[0]))
-    rank = {w: i for i, (w, _) in enumerate(ranked)}
-    ids = [rank[w] for w in seq]
-    two, three = ngram_lm.CONTEXT_WORDS[2], ngram_lm.CONTEXT_WORDS[3]
-    grams = [(2, a * two + b, n) for (a, b), n in Counter(zip(ids, ids[1:])).items()]
-    grams += [(3, (a * three + b) * three + d, n) for (a, b, d), n in Counter(zip(ids, ids[1:], ids[2:])).items() if n > 40]
-    m = ngram_lm.build(ranked, grams, len(seq), len(c))
-
-    def p(state, w):
-        arc = m.arcs.get(state * m.span + w)
-        if arc:
-            return 10 ** arc[0]
-        return 10 ** m.base[w] if state == 0 else 10 ** m.weight[state] * p(m.fail[state], w)
-
-    unseen = 0.5 / (len(seq) + 0.5 * (len(c) + 1))
-    for state in range(1, len(m.fail)):
-        back, s = 0.0, state
-        while s:
-            back, s = back + m.weight[s], m.fail[s]
-        assert abs(sum(p(state, w) for w in range(m.span)) + 10**back * unseen - 1) < 0.02
+def test_packing_counts_and_keys():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 300):
+        v = rng.integers(0, 1000, n)
+        assert (ngram_lm.unpacked(ngram_lm.packed(v), n) == v).all()
+        k = np.unique(rng.integers(1, 2**63, n).astype(np.uint64) * np.uint64(2))
+        assert (ngram_lm.unpacked_keys(ngram_lm.packed_keys(k), len(k)) == k).all()
 
 
 def test_toxicity(spark):
