@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import contradiction, coverage_check, decision, retrieval, validators
 from ..operators.claims import extract_claims
-from .views import BENCHMARK_REQUIREMENTS, LINE_CHUNKS, benchmark_requirements, duck, line_chunks, shared
+from .views import BENCHMARK_REQUIREMENTS, LINE_CHUNKS, benchmark_requirements, duck, duck_tokens, line_chunks, shared
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,15 +26,17 @@ def query(sql: str | None = None):
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.RETRIEVAL_STOP_WORDS)
 _BOOST = " OR ".join(f"contains(lower(document_name), '{w}')" for w in fixed.BOOSTED_NAMES)
-_SCORED = rf"""{LINE_CHUNKS}, {BENCHMARK_REQUIREMENTS},
-dt AS (SELECT chunk_id, len(regexp_extract_all(lower(content), '\b[a-zA-Z0-9_-]+\b')) AS dl, unnest(regexp_extract_all(lower(content), '\b[a-zA-Z0-9_-]+\b')) AS token FROM line_chunks),
+_SCORED = f"""{LINE_CHUNKS}, {BENCHMARK_REQUIREMENTS},
+lt AS (SELECT chunk_id, {duck_tokens('content')} AS t FROM line_chunks),
+dt AS (SELECT chunk_id, len(t) AS dl, unnest(t) AS token FROM lt),
 d AS (SELECT chunk_id, token, count(*) AS tf, any_value(dl) AS dl FROM dt GROUP BY 1, 2),
-a AS (SELECT sum(len(regexp_extract_all(lower(content), '\b[a-zA-Z0-9_-]+\b'))) / greatest(count(*), 1) AS avg_len FROM line_chunks),
-qt AS (SELECT req_id, unnest(regexp_extract_all(lower(text), '\b[a-zA-Z0-9_-]+\b')) AS token FROM bench_reqs),
-q AS (SELECT req_id, token, count(*) AS qtf FROM qt GROUP BY 1, 2),
+a AS (SELECT sum(len(t)) / greatest(count(*), 1) AS avg_len FROM lt),
+qt AS (SELECT req_id, lower(req_code) AS code, unnest({duck_tokens('text')}) AS token FROM bench_reqs),
+q AS (SELECT req_id, code, token, count(*) AS qtf FROM qt GROUP BY 1, 2, 3),
 s AS (SELECT req_id, chunk_id, sum(qtf * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (dl / greatest(avg_len, 1))))
-   + CASE WHEN regexp_matches(token, '[0-9]') THEN 2.0::DOUBLE * qtf ELSE 0 END + CASE WHEN length(token) > 3 AND token NOT IN ({_STOP}) THEN 1.5::DOUBLE ELSE 0 END) AS raw,
-   bool_or(length(token) > 3 AND token NOT IN ({_STOP})) AS named FROM q JOIN d USING (token), a GROUP BY 1, 2),
+   + CASE WHEN token = code THEN 5.0::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(token, '[0-9]') THEN 2.0::DOUBLE * qtf ELSE 0 END
+   + CASE WHEN length(token) > 3 AND token NOT IN ({_STOP}) THEN 1.5::DOUBLE ELSE 0 END) AS raw,
+   bool_or(token = code OR (length(token) > 3 AND token NOT IN ({_STOP}))) AS named FROM q JOIN d USING (token), a GROUP BY 1, 2),
 scored AS (SELECT req_id, chunk_id, document_name, round(raw + CASE WHEN named AND ({_BOOST}) THEN 1 ELSE 0 END, 9) AS score FROM s JOIN line_chunks USING (chunk_id) WHERE raw >= 0.3)"""
 
 
@@ -85,12 +87,14 @@ _EV = duck("part_requirements", "part_evidence")
 _NUM = "CAST(regexp_extract(content, '([0-9]+) (?:V|uA|ms|kV)', 1) AS DOUBLE)"
 
 
-@query(f"""WITH {_EV} SELECT req_id, chunk_id, CASE WHEN req_id % 8 = 0 AND page_number % 2 = 0 THEN 'discrete_sweep' WHEN req_id % 8 = 0 THEN 'numeric_range' ELSE 'threshold' END AS claim_type,
- CASE WHEN req_id % 8 = 0 THEN NULL ELSE {_NUM} END AS value_num, CASE WHEN req_id % 8 = 0 AND page_number % 2 = 1 THEN {_NUM} END AS min_value
-FROM part_evidence WHERE req_id % 8 IN (0, 1, 3) AND req_id IN (SELECT req_id FROM part_requirements)""")
+@query(f"""WITH {_EV}, e AS (SELECT *, req_id % 8 AS kind, regexp_extract(content, '[0-9]+ (?:V|uA|ms|kV|was)') AS hit FROM part_evidence WHERE req_id IN (SELECT req_id FROM part_requirements)),
+h AS (SELECT *, instr(content, hit) - 1 AS st, instr(content, hit) - 1 + length(hit) AS en FROM e WHERE hit <> '' AND kind < 5)
+SELECT req_id, chunk_id, CASE WHEN kind = 0 AND page_number % 2 = 0 THEN 'discrete_sweep' WHEN kind = 0 THEN 'numeric_range' ELSE 'threshold' END AS claim_type,
+ CASE WHEN kind = 0 THEN NULL ELSE CAST(regexp_extract(hit, '[0-9]+') AS DOUBLE) END AS value_num, CASE WHEN kind = 0 AND page_number % 2 = 1 THEN CAST(regexp_extract(hit, '[0-9]+') AS DOUBLE) END AS min_value,
+ CASE WHEN kind = 0 AND page_number % 2 = 0 THEN concat(content, ' ', content) WHEN kind = 0 THEN content ELSE substr(content, CAST(greatest(0, st - 60) AS INT) + 1, CAST(least(length(content), en + 60) - greatest(0, st - 60) AS INT)) END AS quote FROM h""")
 def o_f3_f5_numeric_claims(spark, sf_dir):
     c = _claims(spark, sf_dir).where("claim_type in ('discrete_sweep', 'numeric_range', 'threshold')")
-    return c.select("req_id", "chunk_id", "claim_type", "value_num", "min_value")
+    return c.select("req_id", "chunk_id", "claim_type", "value_num", "min_value", "quote")
 
 
 @query(f"""WITH {_EV}, v AS (SELECT req_id, chunk_id, lower(content) AS low FROM part_evidence WHERE req_id IN (SELECT req_id FROM part_requirements))
@@ -152,8 +156,8 @@ def o_h6_numeric_ranges(spark, sf_dir):
     return validators.numeric_range(_facts(spark, sf_dir)).select("req_id", "outcome.status")
 
 
-@query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind IN (1, 3)),
-k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pg) AS n FROM c) SELECT req_id, CASE WHEN kind = 1 THEN CASE WHEN v <= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END WHEN v >= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END AS status FROM k WHERE n = 1""")
+@query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind IN (1, 2, 3)),
+k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pg) AS n FROM c) SELECT req_id, CASE WHEN kind < 3 THEN CASE WHEN v <= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END WHEN v >= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END AS status FROM k WHERE n = 1""")
 def o_h7_thresholds(spark, sf_dir):
     return validators.threshold(_facts(spark, sf_dir)).select("req_id", "outcome.status")
 

@@ -47,7 +47,7 @@ _TOP = f"""{_SCORED},
 b AS (SELECT *, row_number() OVER (PARTITION BY req_id, document_name ORDER BY score DESC, chunk_id) AS dr, count(*) OVER (PARTITION BY req_id) AS pool FROM scored),
 top AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY CASE WHEN dr <= 2 OR pool < 5 THEN 0 ELSE 1 END, score DESC, chunk_id) AS rank FROM b),
 got AS (SELECT req_id, rank, document_name, lower(content) AS content FROM top JOIN line_chunks USING (chunk_id, document_name) WHERE rank <= 5),
-want AS (SELECT req_id, lower(text) AS quote, list_filter(regexp_extract_all(lower(text), '\\w+'), lambda w: length(w) > 4) AS words FROM bench_reqs),
+want AS (SELECT req_id, lower(text) AS quote, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+'), lambda w: length(w) > 4) AS words FROM bench_reqs),
 hits AS (SELECT w.req_id, min(rank) AS first_hit FROM want w LEFT JOIN got g ON w.req_id = g.req_id AND length(quote) > 15 AND len(words) > 0 AND len(list_filter(words, lambda x: contains(content, x))) >= 0.5 * len(words) GROUP BY 1)"""
 
 

@@ -8,7 +8,7 @@ from ..functions import fixed, text, units
 from ..functions.contracts import parse_contract
 from ..operators import chunking, maintenance
 from ..sources import tables
-from .views import LINE_CHUNKS, duck, line_chunks, shared, table
+from .views import LINE_CHUNKS, duck, duck_tokens, line_chunks, shared, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -161,7 +161,7 @@ def o_b7_linked_counts(spark, sf_dir):
     return maintenance.linked_counts(shared(spark, sf_dir, "docs"), shared(spark, sf_dir, "chunks"), shared(spark, sf_dir, "links"))
 
 
-@query(rf"""WITH {LINE_CHUNKS}, t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '\b[a-zA-Z0-9_-]+\b')) AS token FROM line_chunks) SELECT token, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM t GROUP BY 1""")
+@query(f"""WITH {LINE_CHUNKS}, t AS (SELECT chunk_id, unnest({duck_tokens('content')}) AS token FROM line_chunks) SELECT token, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM t GROUP BY 1""")
 def o_t1_tokens(spark, sf_dir):
     t = line_chunks(spark, sf_dir).select("chunk_id", F.explode(text.tokenize(F.col("content"))).alias("token"))
     per_chunk = t.groupBy("token", "chunk_id").agg(F.count("*").alias("k"))
