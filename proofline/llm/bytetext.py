@@ -142,6 +142,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _power("down", len(sums))[start])
 
 
+def rank_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """A quick hash of every ``width`` bytes in the buffer of ``prefix_sums``; its high bits are mixed best."""
+    x = (sums[width:] - sums[:-width]) * _power("down", len(sums))[: len(sums) - width]
+    x ^= x >> np.uint64(29)
+    return x * np.uint64(0xBF58476D1CE4E5B9)
+
+
 _PRIME = np.uint64(2**31 - 1)
 _BASES = (0x2F0B4C47, 0x5D1A7E93)
 _low: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -177,7 +184,8 @@ def identity_sums(buf: np.ndarray) -> list[np.ndarray]:
     out = []
     for base in _BASES:
         s = np.zeros(n + 1, np.uint64)
-        np.cumsum(_fold(plain * _powers_below(base, n)[0][:n]), out=s[1:])
+        part = plain * _powers_below(base, n)[0][:n]
+        np.cumsum(part if n < 1 << 24 else _fold(part), out=s[1:])
         out.append(s)
     return out
 

@@ -36,6 +36,7 @@ kept or ignored as the function says.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Texts, identity_hash, identity_sums, mix, slices
+from .bytetext import Texts, identity_hash, identity_sums, mix, prefix_sums, rank_hash, slices
 from .gsaca import suffix_array
 from .shared import materialize
 
@@ -62,14 +63,16 @@ class Reach:
         return self.length - self.gram
 
 
-CONTRACT = Reach(400, 250)
+CONTRACT = Reach(400, 300)
 PASSAGE = Reach(200, 100)  # fifty words of prose are longer than this
-BLOCK_VARIANTS = 64
+BLOCK_VARIANTS = 256
 BLOCK_SYMBOLS = 60_000
 SALTS = 32
 _SEEN = 500_000
+_NEAR = 200_000  # bytes worked on at once: arrays of this length stay in the processor's cache
 
-# pos packs the reach (2 bits), the first start (32), anchor - start and last - first start (12 each)
+# pos packs the reach (2 bits), the first start (32), anchor - start and last - first start (12 each);
+# it is negative for settled runs, whose end stands in around and whose anchor is their own
 _OCCURRENCE = "anchor long, around long, key long, size long, pos long"
 
 
@@ -81,32 +84,44 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(up[: n - w + 1], down[w - 1 : n])
 
 
-def occurrences(t: Texts, sums: list[np.ndarray], reach: Reach) -> tuple[np.ndarray, ...]:
-    """Text number, anchor hash, hash of all bytes, p (anchor), a and b (first and last start)."""
-    n, length, gram = len(t.buf), reach.length, reach.gram
+def occurrences(t: Texts, reaches: tuple[Reach, ...]) -> list[tuple[np.ndarray, ...]]:
+    """For each reach: text number, anchor hash, hash of all bytes, p (anchor), a and b (first and last start)."""
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in reaches]
+    lo = 0
+    while lo < t.n:
+        hi = max(lo + 1, int(np.searchsorted(t.at, t.at[lo] + _NEAR, "right")) - 1)
+        part = Texts(t.buf[t.at[lo] : t.at[hi]], t.at[lo : hi + 1] - t.at[lo])
+        weak, strong = prefix_sums(part.buf), identity_sums(part.buf)
+        for k, reach in enumerate(reaches):
+            if len(part.buf) >= reach.length:
+                doc, *rest = _occurrences_near(part, weak, strong, reach)
+                found[k].append((doc + lo, *rest))
+        lo = hi
     none = tuple(np.zeros(0, d) for d in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    if n < length:
-        return none
+    return [tuple(np.concatenate(c) for c in zip(none, *parts, strict=True)) for parts in found]
+
+
+def _occurrences_near(t: Texts, weak: np.ndarray, strong: list[np.ndarray], reach: Reach) -> tuple[np.ndarray, ...]:
+    n, length, gram = len(t.buf), reach.length, reach.gram
     at = np.arange(n - gram + 1)
-    h = identity_hash(sums, at, at + gram)
     low = np.uint64((1 << 24) - 1)
-    ranked = (h & ~low) | (at.astype(np.uint64) & low)
-    size = np.diff(t.at)
-    room = np.repeat(t.at[1:], size)[: len(at)] - at  # bytes from here to the text's end
+    # a weak hash ranks the places, as equal bytes get equal ranks in any case
+    ranked = (rank_hash(weak, gram) & ~low) | (at.astype(np.uint64) & low)
+    last = np.diff(t.at)
+    room = np.repeat(t.at[1:], last)[: len(at)] - at  # bytes from here to the text's end
     ranked[room < gram] = np.uint64(2**64 - 1)
     best = _sliding_min(ranked, reach.free + 1)
     start = np.flatnonzero(room[: len(best)] >= length)
-    if not len(start):
-        return none
     # the anchor's position, from its low bits and the start it belongs to
     p = start + ((best[start] & low).astype(np.int64) - start) % (1 << 24)
     new = np.ones(len(start), bool)
     new[1:] = (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     a, b, p = start[first], start[np.append(first[1:], len(start)) - 1], p[first]
-    around = mix(identity_hash(sums, a, b + length) + (p - a).astype(np.uint64) * np.uint64(1_000_003) + (b - a).astype(np.uint64))
+    anchor = mix(identity_hash(strong, p, p + gram) + np.uint64(length))
+    around = mix(identity_hash(strong, a, b + length) + (p - a).astype(np.uint64) * np.uint64(1_000_003) + (b - a).astype(np.uint64))
     doc = np.searchsorted(t.at, a, "right") - 1
-    return doc, mix(h[p] + np.uint64(length)), around, p - t.at[doc], a - t.at[doc], b - t.at[doc]
+    return doc, anchor, around, p - t.at[doc], a - t.at[doc], b - t.at[doc]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -126,11 +141,10 @@ def _settled_runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
 
 
 def _slice_rows(t: Texts, keys: np.ndarray, fresh: np.ndarray, reaches: tuple[Reach, ...]):
-    """Of one slice: (anchor, around, text, pos, weight) of its occurrences, and (reach, text, lo, hi) of runs settled within it."""
-    sums, sizes = identity_sums(t.buf), np.diff(t.at)
+    """Of one slice: (anchor, around, text, pos, weight) of its occurrences, then of the runs settled within it."""
+    sizes = np.diff(t.at)
     rows, runs = [], []
-    for k, reach in enumerate(reaches):
-        found = occurrences(t, sums, reach)
+    for k, (reach, found) in enumerate(zip(reaches, occurrences(t, reaches), strict=True)):
         mine = np.flatnonzero(fresh[found[0]])
         doc, anchor, around, p, a, b = (x[mine] for x in found)
         # equal occurrences within the slice settle each other here: one row stands for all
@@ -139,15 +153,16 @@ def _slice_rows(t: Texts, keys: np.ndarray, fresh: np.ndarray, reaches: tuple[Re
         settled = np.flatnonzero(times[back.ravel()] > 1)
         run = _settled_runs(doc[settled], a[settled], b[settled] + reach.length)
         copy = np.flatnonzero((sizes >= reach.length) & ~fresh)
-        runs.append((np.full(len(run[0]) + len(copy), k), np.concatenate([run[0], copy]), np.concatenate([run[1], np.zeros(len(copy), int)]), np.concatenate([run[2], sizes[copy]])))
+        rd, lo, hi = (np.concatenate([x, y]) for x, y in zip(run, (copy, np.zeros(len(copy), int), sizes[copy]), strict=True))
+        own = mix(keys[rd].view(np.uint64) + (lo.astype(np.uint64) << np.uint64(2)) + np.uint64(k))
         pos = (k << 56) | (a[one] << 24) | ((p - a)[one] << 12) | (b - a)[one]
         rows.append((anchor[one], around[one], doc[one], pos, np.minimum(times, 2)))
-    join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    return join(rows), join(runs)
+        runs.append((own, hi.astype(np.uint64), rd, (k << 56) | (lo << 24) | (1 << 63) - (1 << 64), np.full(len(rd), 2)))
+    return tuple(np.concatenate(x) for x in zip(*rows, *runs, strict=True))
 
 
 def _scan(docs: DataFrame, reaches: tuple[Reach, ...], emit, schema: str) -> DataFrame:
-    """``emit(keys, sizes, rows, runs)`` for every slice of the texts; copies of a text seen before in the task are settled."""
+    """``emit(keys, sizes, rows)`` for every slice of the texts; copies of a text seen before in the task are settled."""
     least = min(r.length for r in reaches)
 
     def run(batches):
@@ -161,7 +176,7 @@ def _scan(docs: DataFrame, reaches: tuple[Reach, ...], emit, schema: str) -> Dat
                     fresh[i] = True
                     if len(seen) < _SEEN:
                         seen.add(name)
-            yield emit(keys, sizes, *_slice_rows(t, keys, fresh, reaches))
+            yield emit(keys, sizes, _slice_rows(t, keys, fresh, reaches))
 
     source = _keyed(docs).where(F.col("_size") >= least).select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, schema)
@@ -170,7 +185,7 @@ def _scan(docs: DataFrame, reaches: tuple[Reach, ...], emit, schema: str) -> Dat
 def _anchor_counts(docs: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
     """``anchor``: those that stand at two places or more."""
 
-    def emit(keys, sizes, rows, runs):
+    def emit(keys, sizes, rows):
         anchor, at = np.unique(rows[0], return_inverse=True)
         return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(np.bincount(at.ravel(), rows[4], len(anchor)).astype(np.int64))], names=["anchor", "n"])
 
@@ -178,23 +193,14 @@ def _anchor_counts(docs: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
 
 
 def _occurrence_rows(docs: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
-    """Occurrences as in ``_OCCURRENCE``, one row more where a row stands for several. Settled runs have a null anchor, their end in ``around``."""
+    """Occurrences and settled runs as in ``_OCCURRENCE``; two rows where one stands for several."""
 
-    def emit(keys, sizes, rows, runs):
+    def emit(keys, sizes, rows):
         anchor, around, doc, pos, times = rows
-        twice = np.flatnonzero(times > 1)
-        pick = np.concatenate([np.arange(len(anchor)), twice])
-        kind, rd, lo, hi = runs
-        none = np.concatenate([np.zeros(len(pick), bool), np.ones(len(rd), bool)])
-        text = np.concatenate([doc[pick], rd])
+        pick = np.concatenate([np.arange(len(anchor)), np.flatnonzero((times > 1) & (pos >= 0))])
+        text = doc[pick]
         return pa.record_batch(
-            [
-                pa.array(np.concatenate([anchor[pick].view(np.int64), np.zeros(len(rd), np.int64)]), mask=none),
-                pa.array(np.concatenate([around[pick].view(np.int64), hi])),
-                pa.array(keys[text]),
-                pa.array(sizes[text]),
-                pa.array(np.concatenate([pos[pick], (kind << 56) | (lo << 24)])),
-            ],
+            [pa.array(anchor[pick].view(np.int64)), pa.array(around[pick].view(np.int64)), pa.array(keys[text]), pa.array(sizes[text]), pa.array(pos[pick])],
             names=["anchor", "around", "key", "size", "pos"],
         )
 
@@ -202,7 +208,7 @@ def _occurrence_rows(docs: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
 
 
 # the parts of pos: the reach, the first start, the anchor behind it, the last start behind it
-_KIND, _FIRST, _BEFORE, _SPREAD = "shiftright(pos, 56)", "(shiftright(pos, 24) & 4294967295)", "(shiftright(pos, 12) & 4095)", "(pos & 4095)"
+_KIND, _FIRST, _BEFORE, _SPREAD = "(shiftright(pos, 56) & 3)", "(shiftright(pos, 24) & 4294967295)", "(shiftright(pos, 12) & 4095)", "(pos & 4095)"
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
@@ -232,25 +238,40 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, reaches: tuple[Reach, ...]
     return cut.dropDuplicates(["anchor", "around"])  # copies of a text give the same
 
 
+def _shared_bytes(x: bytes, y: bytes) -> int:
+    """How many first bytes of ``x`` and ``y`` agree."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
 def repeated_starts(groups: list[list[tuple[bytes, bytes]]], frees: list[int]) -> list[list[list[int]]]:
     """For each group of distinct (left, right) surroundings, the offsets left of the anchor
     at which a member has a string that another member has too. ``frees``: each group's
-    string length without the anchor's."""
+    string length without the anchor's. Where two members are left, comparing them is all
+    that sorting would do."""
+    out: list[list[list[int]]] = [[[] for _ in group] for group in groups]
     parts, member, offset, spans = [], [], [], []
     for g, group in enumerate(groups):
         free = frees[g]
-        half = free // 2
-        # of the bytes besides the anchor, half lie on one side: no partner there, no string in common
-        lefts: dict[bytes, int] = {}
-        rights: dict[bytes, int] = {}
-        for left, right in group:
-            if len(left) >= half:
-                lefts[left[len(left) - half :]] = lefts.get(left[len(left) - half :], 0) + 1
-            if len(right) >= half:
-                rights[right[:half]] = rights.get(right[:half], 0) + 1
+        # a string whose start is in the q-th quarter has q quarters of its bytes before the anchor
+        # and 3 - q behind it, at least: no partner there, no string in common
+        cut = [q * free // 4 for q in range(4)]
+        ends = [(lo, free - (cut[q + 1] if q < 3 else free)) for q, lo in enumerate(cut)]
+        names = [[(q, left[len(left) - x :], right[:y]) for q, (x, y) in enumerate(ends) if len(left) >= x and len(right) >= y] for left, right in group]
+        often = Counter(name for own in names for name in own)
+        left_over = []
         for v, (left, right) in enumerate(group):
-            if lefts.get(left[max(0, len(left) - half) :], 0) < 2 and rights.get(right[:half], 0) < 2:
-                continue
+            able = [name[0] for name in names[v] if often[name] > 1]
+            if able:
+                most = cut[able[-1] + 1] if able[-1] < 3 else free
+                left_over.append((v, left[max(0, len(left) - most) :], right[: free - cut[able[0]]]))
+        if len(left_over) == 2:
+            (v, l1, r1), (w, l2, r2) = left_over
+            both = range(max(0, free - _shared_bytes(r1, r2)), _shared_bytes(l1[::-1], l2[::-1]) + 1)
+            out[g][v], out[g][w] = list(both), list(both)
+            continue
+        for v, left, right in left_over:
             s = np.empty(len(left) + len(right) + 2, np.int64)
             s[: len(left)] = np.frombuffer(left, np.uint8)
             s[len(left)] = 256 + g
@@ -261,7 +282,6 @@ def repeated_starts(groups: list[list[tuple[bytes, bytes]]], frees: list[int]) -
             member.append((g, v))
             offset.append(len(left))
             spans.append(free + 1)
-    out: list[list[list[int]]] = [[[] for _ in group] for group in groups]
     if not parts:
         return out
     text = np.concatenate(parts)
@@ -383,15 +403,14 @@ def repeated_spans(docs: DataFrame, reaches: tuple[Reach, ...] = (CONTRACT,)) ->
     length = f"element_at(array({', '.join(str(r.length) for r in reaches)}), cast({_KIND} as int) + 1)"
     anchors = materialize(_anchor_counts(docs, reaches), "anchors")
     rows = _occurrence_rows(docs, reaches)
-    held = rows.join(anchors, "anchor", "left_semi").select(*rows.columns)
-    rows = materialize(held.union(_occurrence_rows(docs, reaches).where("anchor is null")), "occurrences")
+    rows = materialize(rows.join(anchors, "anchor", "left_semi").select(*rows.columns), "occurrences")
 
-    near = rows.where("anchor is not null")
+    near = rows.where("pos >= 0")
     variants = near.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "pos")).alias("of"))
     variants = materialize(variants, "variants")
     settled = near.join(variants.where("n > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
     whole = settled.selectExpr("key", "size", f"{_KIND} AS kind", f"{_FIRST} AS lo", f"{_FIRST} + {_SPREAD} + {length} AS hi")
-    whole = whole.union(rows.where("anchor is null").selectExpr("key", "size", f"{_KIND} AS kind", f"{_FIRST} AS lo", "around AS hi"))
+    whole = whole.union(rows.where("pos < 0").selectExpr("key", "size", f"{_KIND} AS kind", f"{_FIRST} AS lo", "around AS hi"))
 
     several = variants.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     mixed = variants.withColumn("salt", F.pmod(F.xxhash64("around"), F.lit(SALTS)).cast("int")).join(several, ["anchor", "salt"], "left_semi").select("anchor", "around", "n", "of.*")

@@ -80,6 +80,20 @@ def test_repeats(spark, repeated_rows, monkeypatch, most):
     assert Counter(tuple(r) for r in got) == repeats_by_brute_force(repeated_rows)
 
 
+def test_repeated_starts():
+    rng = random.Random(5)
+    groups, frees = [], []
+    for _ in range(300):
+        free = rng.choice([6, 10, 13])
+        some = lambda: bytes(rng.choice(b"ab") for _ in range(rng.randint(0, free)))
+        groups.append(list({(some(), some()) for _ in range(rng.choice([1, 2, 2, 3, 5, 9]))}))
+        frees.append(free)
+    for group, free, got in zip(groups, frees, substrings.repeated_starts(groups, frees)):
+        can = [{o: l[len(l) - o :] + b"|" + r[: free - o] for o in range(free + 1) if o <= len(l) and free - o <= len(r)} for l, r in group]
+        want = [sorted(o for o in x if any(y.get(o) == x[o] for y in can if y is not x)) for x in can]
+        assert [sorted(x) for x in got] == want
+
+
 def test_passages_of_some_fifty_words(spark):
     """Passages of 51 to 80 words (250 to 600 bytes) in several texts go whole; texts without one stay as they are."""
     rng = random.Random(4)
