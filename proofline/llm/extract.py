@@ -7,9 +7,8 @@ the probability that main text lies in it. Decoding then picks, over the whole t
 most probable labelling in which a node outside the main text has no descendant inside
 it, so choices of ancestors and descendants never contradict each other.
 
-Training pages are a bounded sample (about ``TRAIN_PAGES`` pages of at most
-``TRAIN_BYTES`` bytes): the pages themselves, labelled by their semantic elements where
-they have such, and the same paragraphs set again in ``LAYOUTS`` random layouts each
+Training pages are a bounded sample (about ``TRAIN_PAGES`` pages, picked by a hash of their
+id, whole): the pages themselves, labelled by their semantic elements where they have such, and the same paragraphs set again in ``LAYOUTS`` random layouts each
 (with menus, page headers, footers, sidebars, notices, adverts, forms and reader
 comments), where the truth is known by construction. Pages are extracted whole.
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from .dom import N_FEATURES, Page
 from .shared import bounded_sample, materialize
 
-TRAIN_PAGES, TRAIN_BYTES, LAYOUTS = 200, 60_000, 4
+TRAIN_PAGES, LAYOUTS = 200, 4
 TREES, DEPTH = 20, 5
 PAGES_AT_ONCE = 200
 
@@ -213,7 +212,7 @@ def _training_rows(source: str, seed: int):
 def train(pages: DataFrame) -> Model | None:
     """Boosted trees over the nodes of a bounded sample of pages; None if it has no text."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where("html is not null")
-    sample = bounded_sample(source, "page_id", TRAIN_PAGES).where(F.octet_length("html") <= TRAIN_BYTES)
+    sample = bounded_sample(source, "page_id", TRAIN_PAGES)
 
     def run(batches):
         for batch in batches:

@@ -4,10 +4,10 @@ Each word gets a score in each language from hashed character n-grams (naive Bay
 counts of the training rows). The word's script, from ranges of its first letter, first
 narrows the candidates to languages seen in that script. Viterbi with a fixed switching
 penalty then labels the words, so a text is cut into spans of one language; the
-prediction is the language that covers most letters.
+prediction is the language that covers most letters, whatever their size in bytes.
 
 The model is fitted on a bounded sample: about ``TRAIN_ROWS`` labelled rows of each
-language, of texts up to ``TRAIN_BYTES`` bytes. All texts are read whole.
+language. All texts, those of the sample too, are read whole.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; ties go to
 the first language in alphabetical order; without training rows all is ``und``; repeated
@@ -28,7 +28,7 @@ from .shared import bounded_sample, fold
 
 BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4)
-TRAIN_ROWS, TRAIN_BYTES = 600, 16_000
+TRAIN_ROWS = 600
 SWITCH = 8.0  # nats a change of language costs
 ALPHA = 0.5
 UNKNOWN = "und"
@@ -117,11 +117,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     order = np.argsort(-n, kind="stable")
     longest = int(n[order[0]]) if len(n) else 0
     k = scores.shape[1]
-    came = np.zeros(scores.shape, np.int8)
+    came = np.zeros(scores.shape, np.int32 if k > 127 else np.int8)
     best = np.zeros((len(n), k))
     alive = np.searchsorted(-n[order], -np.arange(1, longest + 1), "right")  # texts with a word t
     at = first[:-1][order]
-    own = np.arange(k, dtype=np.int8)
+    own = np.arange(k, dtype=came.dtype)
     for step in range(longest):
         a = alive[step]
         v = best[:a]
@@ -130,12 +130,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
             top = v.argmax(axis=1)
             jump = v[np.arange(a), top] - switch
             stay = v >= jump[:, None]
-            came[rows] = np.where(stay, own, top[:, None].astype(np.int8))
+            came[rows] = np.where(stay, own, top[:, None].astype(came.dtype))
             v = np.where(stay, v, jump[:, None])
         v = v + scores[rows]
         best[:a] = v - v.max(axis=1, keepdims=True)
-    path = np.zeros(len(scores), np.int8)
-    state = best.argmax(axis=1).astype(np.int8)
+    path = np.zeros(len(scores), came.dtype)
+    state = best.argmax(axis=1).astype(came.dtype)
     for step in range(longest - 1, -1, -1):
         a = alive[step]
         rows = at[:a] + step
@@ -144,6 +144,13 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     return path
 
 
+def letters(t: Texts, w: Words) -> np.ndarray:
+    """The number of characters of each word."""
+    begun = np.zeros(len(t.buf) + 1, np.int64)
+    np.cumsum((t.buf & 0xC0) != 0x80, out=begun[1:])
+    return begun[w.end] - begun[w.start]
+
+
 def _has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
@@ -154,7 +161,7 @@ def train(docs: DataFrame, *, held_out_fold: int | None = 0) -> Model:
     known = known.where("lang is not null and text is not null")
     if held_out_fold is not None:
         known = known.where(fold("id") != held_out_fold)
-    sample = bounded_sample(known, "id", TRAIN_ROWS, group=F.col("lang")).where(F.octet_length("text") <= TRAIN_BYTES)
+    sample = bounded_sample(known, "id", TRAIN_ROWS, group=F.col("lang"))
 
     def run(batches):
         for rows, t in slices(batches):
@@ -205,7 +212,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*m.langs, UNKNOWN], object)
         for rows, t in slices(batches):
             w, path = _label(m, t)
-            size = (w.end - w.start).astype(float)
+            size = letters(t, w).astype(float)
             cover = np.stack([sums_by(np.where(path == k, size, 0.0), w.first) for k in range(len(m.langs))] or [np.zeros(t.n)], axis=1)
             total = cover.sum(axis=1)
             top = cover.argmax(axis=1) if m.langs else np.zeros(t.n, int)

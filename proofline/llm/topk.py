@@ -1,48 +1,59 @@
 """Exact top-k by inner product with an impact-ordered, score-at-a-time index.
 
-Vectors are dealt into blocks of bounded size. A block's index has, for each component,
-posting segments of vectors with equal quantised impact (bits of the component's
-magnitude). For a query, segments are processed by descending impact (segment magnitude
-times the query's component) and scores accumulate in one array. What a vector may still
-gain or lose is bounded by the sum, over components, of the query's magnitude times the
-largest impact not yet processed. Processing stops only when that bound proves that few
-vectors can still be members; those are rescored exactly.
-
-Queries meet blocks in cells of (block, chunk of queries), so neither side is held whole
-anywhere; a cell gives k rows a query, and the best k of all cells are kept.
+Vectors are dealt into blocks of bounded size, each of which one task indexes once. A
+block's index has, for each component, posting segments of vectors with equal quantised
+impact (bits of the component's magnitude). For a query, segments are processed by
+descending impact (segment magnitude times the query's component) and scores accumulate in
+one array. What a vector may still gain or lose is bounded by the sum, over components, of
+the query's magnitude times the largest impact not yet processed. Processing stops only
+when that bound proves that few vectors can still be members; those are rescored exactly.
+
+Queries travel to the blocks in packs and pass through one after another; vectors move
+once, whatever the number of queries. A block gives k rows a query, and the best k of all
+blocks are kept.
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component, and
 rows without id, take no part; repeated rows (equal id and vector) count once; rows that
 share the query's id are its own; vectors of another length than the query's are no
-candidates; ties go to the smaller id; with fewer candidates than k all are returned.
+candidates; ties go to the smaller id; with fewer candidates than k all are returned. Huge
+finite components are taken exactly too: where scores may leave the range in which sums of
+doubles are exact, every vector of the block is scored with whole numbers of any size. A
+score beyond the range of long is shown as the nearest long and ranked as the nearest double.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, CHUNK = 8192, 1024
+BLOCK, LEAST_BLOCK, PACK = 65_536, 2_048, 256
 SCALE = 1024
 RESCORE = 64  # vectors left in doubt at which a proof is good enough to rescore
 STEP = 48  # segments processed between two looks at the proof
+EXACT = 2.0**52
+_MOST = 1.7976931348623157e308
 
 
 def quantised(embedding: str | Column) -> Column:
-    """Components as floor(1024 * x), or null where the vector takes no part."""
+    """Components as floor(1024 * x), as doubles, or null where the vector takes no part."""
     e = F.col(embedding) if isinstance(embedding, str) else embedding
     e = F.transform(e, lambda x: x.cast("double"))
     whole = F.coalesce(F.size(e) > 0, F.lit(False)) & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    return F.when(whole, F.transform(e, lambda x: F.floor(x * SCALE).cast("long")))
+    # doubles from 2^53 on are whole numbers anyway
+    times = lambda x: F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), x * SCALE))
+    return F.when(whole, F.transform(e, lambda x: F.when(F.abs(x) < 2.0**43, F.floor(x * SCALE).cast("double")).otherwise(times(x))))
 
 
 class Index:
     """Posting segments of one block: by component and quantised impact."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+        self.huge = vectors
+        with np.errstate(over="ignore"):
+            self.largest = float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+        self.vectors = vectors = np.where(np.abs(vectors) < EXACT, vectors, 0).astype(np.int64)
         n, dims = vectors.shape
         size = np.abs(vectors)
         # two levels for each doubling of the magnitude
@@ -67,6 +78,14 @@ class Index:
         """Row numbers and scores of the k best rows whose key is not ``own``."""
         n = len(self.vectors)
         other = keys != own
+        with np.errstate(over="ignore"):
+            huge = self.largest * float(np.abs(q).max(initial=0)) >= EXACT
+        if huge:
+            at = np.flatnonzero(other)
+            scores = [sum(int(x) * int(y) for x, y in zip(row, q, strict=True)) for row in self.huge[at].tolist()]
+            best = sorted(range(len(at)), key=lambda i: (-scores[i], keys[at[i]]))[:k]
+            return at[best], np.array([scores[i] for i in best], object)
+        q = q.astype(np.int64)
         impact = self.most * np.abs(q[self.dim])
         order = np.argsort(-impact, kind="stable")
         # bound left in each component after its first s segments: the next segment's impact
@@ -95,42 +114,82 @@ class Index:
         return doubt[best], exact[best]
 
 
-def _cells(k: int):
-    def run(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+_ROW = "block long, kind int, dims int, id long, pack array<struct<id:long,row:long>>, q array<double>"
+_FOUND = "query_id long, query_row long, vec_id long, rank int, high double, score long"
+
+
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """``_FOUND``: the ``k`` best of each block for every query of the packs sent to it.
+
+    Rows come by block and length, vectors before packs of queries.
+    """
+
+    def matrix(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+        return batch.column("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+    def answer(index: Index, keys: np.ndarray, batch: pa.RecordBatch, dims: int):
         out = []
-        if len(vectors) and len(queries):
-            length = vectors["q"].map(len)
-            for dims, rows in vectors.groupby(length):
-                asks = queries[queries["q"].map(len) == dims]
-                if not len(asks):
-                    continue
-                keys = rows["vec_id"].to_numpy(np.int64)
-                order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                index = Index(np.stack(rows["q"].to_numpy()).astype(np.int64)[order])
-                for own, row, q in zip(asks["query_id"], asks["query_row"], asks["q"], strict=True):
-                    at, score = index.top(np.asarray(q, np.int64), keys, own, k)
-                    out.append(pd.DataFrame({"query_id": own, "query_row": row, "vec_id": keys[at], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "query_row", "vec_id", "score")})
-
-    return run
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1)
+            asks = one.column("pack")[0].as_py()
+            for ask, q in zip(asks, matrix(one, dims), strict=True):
+                at, score = index.top(q, keys, ask["id"], k)
+                if len(at):
+                    out.append((np.full(len(at), ask["id"]), np.full(len(at), ask["row"]), keys[at], np.arange(1, len(at) + 1), score))
+        if out:
+            qid, row, vid, rank, score = (np.concatenate([x[i] for x in out]) for i in range(5))
+            shown, high = score, score
+            if score.dtype == object:
+                shown = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in score], np.int64)
+                high = np.array([float(max(-int(_MOST), min(int(_MOST), int(x)))) for x in score])
+            yield pa.record_batch(
+                [pa.array(qid), pa.array(row), pa.array(vid), pa.array(rank.astype(np.int32)), pa.array(high.astype(float)), pa.array(shown.astype(np.int64))],
+                names=["query_id", "query_row", "vec_id", "rank", "high", "score"],
+            )
+
+    def run(batches):
+        name, held, index, keys = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, dims, kind = (batch.column(c).to_numpy() for c in ("block", "dims", "kind"))
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (dims[1:] != dims[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                if name != (block[lo], dims[lo]):
+                    name, held, index = (block[lo], dims[lo]), [], None
+                part = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    held.append((part.column("id").to_numpy(), matrix(part, int(dims[lo]))))
+                elif held:
+                    if index is None:
+                        keys = np.concatenate([x for x, _ in held])
+                        index = Index(np.concatenate([x for _, x in held]))
+                    yield from answer(index, keys, part, int(dims[lo]))
+
+    return rows.mapInArrow(run, _FOUND)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, block: int = BLOCK, pack: int = PACK) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best of ``vectors``, its own id excepted.
 
     Both tables have ``vec_id`` and ``embedding``.
     """
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding").alias("q")).where("vec_id is not null and q is not null").distinct()
-    a = queries.select(F.col("vec_id").cast("long").alias("query_id"), quantised("embedding").alias("q")).where("query_id is not null and q is not null").distinct()
-    blocks = max(1, -(-v.count() // block))
-    chunks = max(1, -(-a.count() // chunk))
-    cell_v = v.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
-    cell_q = (
-        a.withColumn("query_row", F.xxhash64("q"))
-        .withColumn("chunk", F.pmod(F.xxhash64("query_id", "q"), F.lit(chunks)))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    )
-    found = cell_v.groupBy("block", "chunk").cogroup(cell_q.groupBy("block", "chunk")).applyInPandas(_cells(k), "query_id long, query_row long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    v = vectors.select(F.col("vec_id").cast("long").alias("id"), quantised("embedding").alias("q")).where("id is not null and q is not null").distinct()
+    a = queries.select(F.col("vec_id").cast("long").alias("id"), quantised("embedding").alias("q")).where("id is not null and q is not null").distinct()
+    n, asks = v.count(), a.count()
+    blocks = max(1, -(-n // block), min(-(-n // LEAST_BLOCK), 4 * spark.sparkContext.defaultParallelism))
+    packs = max(1, -(-asks // pack))
+    dealt = v.select(F.pmod(F.xxhash64("id", "q"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.size("q").alias("dims"), "id", F.lit(None).cast("array<struct<id:long,row:long>>").alias("pack"), "q")
+    grouped = (
+        a.withColumn("dims", F.size("q"))
+        .groupBy(F.pmod(F.xxhash64("id", "q"), F.lit(packs)).alias("p"), "dims")
+        .agg(F.collect_list(F.struct("id", F.xxhash64("q").alias("row"), "q")).alias("asks"))
+    )  # at most a pack of queries, give or take
+    sent = grouped.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "dims", F.lit(None).cast("long").alias("id"),
+        F.transform("asks", lambda x: F.struct(x["id"].alias("id"), x["row"].alias("row"))).alias("pack"), F.flatten(F.transform("asks", lambda x: x["q"])).alias("q"),
+    )
+    rows = dealt.union(sent).repartition(blocks, "block").sortWithinPartitions("block", "dims", "kind", "id")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("high"), F.desc("score"), "vec_id")
+    return _search(rows, k).withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,8 @@ gradient descent on document labels alone, and the same sentence scores then loc
 offending sentences.
 
 The model is fitted on a bounded sample: about ``TRAIN_ROWS`` labelled rows of each
-class, of texts up to ``TRAIN_BYTES`` bytes. Everything else reads whole texts of all rows.
+class, fewer where their texts would come to more than ``TRAIN_BYTES`` bytes in all. Rows are
+picked by a hash of their id, whatever their length. Everything reads whole texts.
 
 Edge cases: null and empty texts have no sentence and score the leak; without labelled
 rows of both classes nothing is learned and every score is the prior leak; a doc_id
@@ -31,7 +32,7 @@ from .shared import fold, materialize
 BUCKETS = 1 << 20
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes of a longer word that are features of their own
 TRAIN_ROWS = {0: 3000, 1: 1500}
-TRAIN_BYTES = 16_000
+TRAIN_BYTES = {0: 40_000_000, 1: 40_000_000}
 LEAST_ROWS = 3  # features of fewer sampled documents are left out
 LEAST_EVIDENCE = 15.0  # and those whose documents' labels look like chance
 EPOCHS, STEP, DECAY = 150, 0.25, 2e-4
@@ -82,6 +83,25 @@ def noisy_or(logits: np.ndarray, first: np.ndarray, leak: float) -> np.ndarray:
     return -np.expm1(-miss)
 
 
+def loss(theta: np.ndarray, label: np.ndarray, first: np.ndarray, s: np.ndarray, k: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the bags' labels with its penalty, and the gradient.
+
+    ``theta``: feature weights, then bias and leak.
+    """
+    n, width = int(first[-1]), len(theta) - 2
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    z = np.bincount(s, theta[k], n) + theta[-2]
+    p = np.clip(noisy_or(z, first, theta[-1]), 1e-12, 1)
+    miss = sums_by(np.logaddexp(0, z), first) + np.logaddexp(0, theta[-1])  # -log(1 - p)
+    value = np.where(label > 0, -np.log(p), miss).mean() + DECAY / 2 * (theta[:-2] ** 2).sum()
+    pull = np.where(label > 0, -(1 - p) / p, 1.0)
+    dz = sigmoid(z) * np.repeat(pull, np.diff(first))
+    g = np.empty_like(theta)
+    g[:-2] = np.bincount(k, dz[s], width)
+    g[-2], g[-1] = dz.sum(), sigmoid(theta[-1]) * pull.sum()
+    return float(value), g / len(label) + DECAY * theta * np.append(np.ones(width), [0, 0])
+
+
 def fit(label: np.ndarray, first: np.ndarray, s: np.ndarray, k: np.ndarray, names: np.ndarray) -> Model:
     """Gradient descent (Adam) on bags of sentences.
 
@@ -90,21 +110,11 @@ def fit(label: np.ndarray, first: np.ndarray, s: np.ndarray, k: np.ndarray, name
     """
     if len(set(label.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), PRIOR_BIAS, PRIOR_BIAS)
-    n = int(first[-1])
-    doc = np.repeat(np.arange(len(label)), np.diff(first))
     theta = np.zeros(len(names) + 2)
     theta[-2:] = PRIOR_BIAS
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(s, theta[k], n) + theta[-2]
-        p = np.clip(noisy_or(z, first, theta[-1]), 1e-12, 1)
-        pull = np.where(label > 0, -(1 - p) / p, 1.0)
-        dz = sigmoid(z) * pull[doc]
-        g = np.empty_like(theta)
-        g[:-2] = np.bincount(k, dz[s], len(names))
-        g[-2], g[-1] = dz.sum(), sigmoid(theta[-1]) * pull.sum()
-        g = g / len(label) + DECAY * theta * np.append(np.ones(len(names)), [0, 0])
+        g = loss(theta, label, first, s, k)[1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * (1 - step / (EPOCHS + 1))
     weights = np.zeros(BUCKETS, np.float32)
@@ -122,15 +132,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, held_out_fold: int | Non
     )
     if held_out_fold is not None:
         known = known.where(fold("id") != held_out_fold)
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = None
-    for toxic, rows in TRAIN_ROWS.items():
-        part = known.where(F.col("toxic") == toxic)
-        if counts.get(toxic, 0) > rows:
-            part = part.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < int((1 << 30) * rows / counts[toxic]))
-        picked = part if picked is None else picked.union(part)
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(picked), "id").where(F.octet_length("text") <= TRAIN_BYTES).select("toxic", "text")
+    some = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for k, rows in TRAIN_ROWS.items() for x in (k, min(1.0, rows / max(1, counts.get(k, 0))))])
+    picked = known.where(some < F.element_at(share, F.col("toxic")) * (1 << 30))
+    found = materialize(text.join(F.broadcast(picked), "id"), "toxic-sample")  # at most some thousand ids
+    sizes = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for k, rows in TRAIN_ROWS.items() for x in (k, min(1.0, rows / max(1, counts.get(k, 0))) * min(1.0, TRAIN_BYTES[k] / max(1, sizes.get(k) or 0)))])
+    return found.where(some < F.element_at(share, F.col("toxic")) * (1 << 30)).where("text is not null").select("toxic", "text")
 
 
 def telling_features(sample: DataFrame) -> np.ndarray:
@@ -164,7 +174,7 @@ def telling_features(sample: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, *, held_out_fold: int | None = 0) -> Model:
     """Choose features and fit the model on the bounded sample."""
-    sample = materialize(training_sample(docs, labels, held_out_fold), "toxic-sample")
+    sample = training_sample(docs, labels, held_out_fold)
     names = telling_features(sample)
 
     def run(batches):

@@ -228,7 +228,7 @@ def test_top_k(spark):
     vecs += [(700, vecs[3][1]), (701, vecs[3][1]), (702, None), (703, [None] * 16), (704, [float("nan")] * 16), (705, [1.0, float("inf")] * 8), (706, []), (800, [1.0, 2.0]), (900, [0.5, 0.25]), (None, vecs[0][1]), (5, vecs[5][1])]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").withColumn("block", F.lit("clash"))
     got = defaultdict(list)
-    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), block=150, chunk=3).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), block=150, pack=3).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     ok = {(i, tuple(np.floor(1024 * np.array(v, "float64")).astype(int))) for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     for q, qv in ok:
@@ -238,6 +238,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Sums beyond what doubles or longs hold are ranked by their exact values, and shown as the nearest long."""
+    big = 2.0**40
+    vecs = [(100, [big, 1.0, -1.0]), (1, [big, 0.0, 0.0]), (2, [big, 0.5, 0.0]), (3, [big, 0.5, 1.0]), (4, [-big, 0.0, 0.0]), (5, [1e308, 1e308, 1e308]), (6, [-1e308, 0.0, 0.0]), (7, [3.0, 2.0, 1.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id % 100 = 0")).orderBy("rank").collect()]
+    q = {i: [int(np.floor(x * 1024)) if abs(x) < 1e300 else int(x) * 1024 for x in v] for i, v in vecs}
+    exact = {i: sum(x * y for x, y in zip(q[100], v)) for i, v in q.items() if i != 100}
+    assert [i for i, _ in got] == [5, *sorted((1, 2, 3), key=lambda i: (-exact[i] >= 2**63, i)), 7, 4, 6]
+    assert all(s == max(-(2**63), min(2**63 - 1, exact[i])) for i, s in got)
+    small = [(100, [1e6, 2.0, 1.0]), (1, [1e6, 5.0, 0.0]), (2, [1e6, 5.0, 0.001]), (3, [1e6, 5.0, -1.0])]  # beyond 2^53, within long
+    df = spark.createDataFrame(small, "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in topk.top_k(df, df.where("vec_id % 100 = 0")).orderBy("rank").collect()]
+    q = {i: [int(np.floor(x * 1024)) for x in v] for i, v in small}
+    assert 2**53 < sum(x * x for x in q[1]) < 2**63 and got == sorted((1, 2, 3), key=lambda i: -sum(x * y for x, y in zip(q[100], q[i])))
+
+
 def test_impact_index_stops_on_proof_only():
     rng = np.random.default_rng(2)
     v = rng.integers(-900, 900, size=(400, 12))

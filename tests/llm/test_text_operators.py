@@ -133,6 +133,27 @@ def test_viterbi_against_brute_force():
         assert abs(value(best) - value(path[lo:hi])) < 1e-9
 
 
+def test_viterbi_with_many_languages():
+    rng = np.random.default_rng(0)
+    scores = rng.normal(0, 0.1, (6, 200))
+    scores[:, 150] += 5
+    assert (langid.viterbi(scores, np.array([0, 6])) == 150).all()
+
+
+def test_many_long_and_mixed_texts(spark):
+    """Long texts teach too, and letters count, not bytes."""
+    rng = random.Random(12)
+    latin, han = ["wa", "ro", "le", "bi"], ["漢", "字", "語", "文"]
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+    rows = [(k, text(latin, 3000), "aa") for k in range(6)] + [(10 + k, text(han, 2000), "zz") for k in range(6)]
+    rows += [(30, text(latin, 20) + " " + text(han, 14), None), (31, text(latin, 10) + " " + text(han, 25), None)]
+    assert min(len(t.encode()) for _, t, lang in rows if lang) > 16_000
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language_id(docs(spark, rows)).collect()}
+    assert all(got[i][0] == lang for i, _, lang in rows if lang)
+    assert got[30][0] == "aa" and abs(got[30][1] - 120 / 162) < 1e-9  # in bytes, Han would hold 126 of 246
+    assert got[31][0] == "zz" and abs(got[31][1] - 75 / 135) < 1e-9
+
+
 def test_lm_base_scores(spark):
     rng = random.Random(2)
     rows = EDGE + [(100 + k, invented(rng, ["ab", "c", "De"], rng.randint(0, 30)), None) for k in range(120)]
@@ -202,6 +223,37 @@ def test_packing_counts_and_keys():
         assert (ngram_lm.unpacked_keys(ngram_lm.packed_keys(k), len(k)) == k).all()
 
 
+def test_noisy_or_and_its_gradient():
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(0, 2, n) for n in (0, 1, 3, 7)]
+    first = np.cumsum([0] + [len(b) for b in bags])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    want = [1 - (1 - sigmoid(-2.0)) * np.prod(1 - sigmoid(b)) for b in bags]
+    assert np.allclose(toxicity.noisy_or(np.concatenate(bags), first, -2.0), want)
+    label, n = np.array([0.0, 1.0, 1.0, 0.0]), int(first[-1])
+    s, k = rng.integers(0, n, 40), rng.integers(0, 5, 40)
+    theta = rng.normal(0, 0.5, 7)
+    value, g = toxicity.loss(theta, label, first, s, k)
+    z = np.array([theta[k[s == i]].sum() + theta[-2] for i in range(n)])
+    p = np.array([1 - (1 - sigmoid(theta[-1])) * np.prod(1 - sigmoid(z[a:b])) for a, b in zip(first, first[1:])])
+    assert abs(value - (-np.log(np.where(label > 0, p, 1 - p)).mean() + toxicity.DECAY / 2 * (theta[:-2] ** 2).sum())) < 1e-9
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        slope = (toxicity.loss(theta + step, label, first, s, k)[0] - toxicity.loss(theta - step, label, first, s, k)[0]) / 2e-6
+        assert abs(slope - g[i]) < 1e-5
+
+
+def test_toxicity_of_long_labelled_texts(spark):
+    """Labelled texts teach whatever their length."""
+    rng = random.Random(9)
+    filler = lambda: ". ".join(invented(rng, ["la", "mo", "ti", "ru"], 40) for _ in range(120))
+    rows = [(k, filler() + (". such a vileo thing. " if k % 3 == 0 else ". ") + filler(), None) for k in range(60)]
+    assert min(len(t) for _, t, _ in rows) > 16_000
+    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs(spark, rows), lab).collect()}
+    assert np.mean([got[k] == int(k % 3 == 0) for k in range(60)]) > 0.9
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     rows, labels = [], []
