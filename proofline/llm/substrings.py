@@ -67,7 +67,6 @@ CONTRACT = Reach(400, 300)
 PASSAGE = Reach(200, 100)  # fifty words of prose are longer than this
 BLOCK_VARIANTS = 256
 BLOCK_SYMBOLS = 60_000
-SALTS = 32
 _SEEN = 500_000
 _NEAR = 200_000  # bytes worked on at once: arrays of this length stay in the processor's cache
 
@@ -214,27 +213,30 @@ _KIND, _FIRST, _BEFORE, _SPREAD = "(shiftright(pos, 56) & 3)", "(shiftright(pos,
 def _surroundings(docs: DataFrame, wanted: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
     """``anchor, around, kind, left, right``: the bytes before and behind each wanted anchor."""
     least = min(r.length for r in reaches)
-    lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct("anchor", "around", "pos")).alias("want"))
+    lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct("anchor", "around", "pos")).alias("want")).select("key", "size", "want.anchor", "want.around", "want.pos")
     source = _keyed(docs).where(F.col("_size") >= least).select(F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("text").cast("string").alias("text"))
+    gram, length = np.array([r.gram for r in reaches]), np.array([r.length for r in reaches])
 
     def run(batches):
         for batch in batches:
-            for text, want in zip(batch.column("text"), batch.column("want").to_pylist(), strict=True):
+            pos = batch.column("pos").flatten().to_numpy()
+            kind, a = (pos >> 56) & 3, (pos >> 24) & 0xFFFFFFFF
+            p, b = a + ((pos >> 12) & 0xFFF), a + (pos & 0xFFF)
+            ends = batch.column("pos").offsets.to_numpy()
+            cuts = zip(a.tolist(), p.tolist(), (p + gram[kind]).tolist(), (b + length[kind]).tolist(), strict=True)
+            left, right = [], []
+            for text, n in zip(batch.column("text"), np.diff(ends).tolist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                kinds, left, right = [], [], []
-                for x in want:
-                    pos = x["pos"]
-                    k, a = pos >> 56, (pos >> 24) & 0xFFFFFFFF
-                    p, b = a + ((pos >> 12) & 0xFFF), a + (pos & 0xFFF)
-                    kinds.append(k)
-                    left.append(raw[a:p])
-                    right.append(raw[p + reaches[k].gram : b + reaches[k].length])
-                yield pa.record_batch(
-                    [pa.array([x["anchor"] for x in want], pa.int64()), pa.array([x["around"] for x in want], pa.int64()), pa.array(kinds, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                    names=["anchor", "around", "kind", "left", "right"],
-                )
-
-    cut = source.join(lists, ["key", "size"]).select("text", "want").mapInArrow(run, "anchor long, around long, kind int, left binary, right binary")
+                for _ in range(n):
+                    lo, mid, end, hi = next(cuts)
+                    left.append(raw[lo:mid])
+                    right.append(raw[end:hi])
+            yield pa.record_batch(
+                [batch.column("anchor").flatten(), batch.column("around").flatten(), pa.array(kind.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                names=["anchor", "around", "kind", "left", "right"],
+            )
+
+    cut = source.join(lists, ["key", "size"]).select("text", "anchor", "around", "pos").mapInArrow(run, "anchor long, around long, kind int, left binary, right binary")
     return cut.dropDuplicates(["anchor", "around"])  # copies of a text give the same
 
 
@@ -373,65 +375,62 @@ def _shared_strings(cells: DataFrame, reaches: tuple[Reach, ...]) -> DataFrame:
     unit = F.concat(F.encode(F.concat_ws(",", "anchor", "lo", "hi"), "utf-8"), F.encode(F.lit(":"), "utf-8"), common)
     l = F.expr("substring(left, greatest(octet_length(left) - hi, 0) + 1, hi)")  # noqa: E741
     r = F.substring("right", F.lit(1), free - F.col("lo"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = lambda *by: F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
     now, found = cells.withColumn("lo", F.lit(0)).withColumn("hi", free), []
     while True:
         able = materialize(now.where((n_left >= F.col("lo")) & (n_right >= free - F.col("hi"))), "cells")
         keyed = able.select("*", unit.alias("unit"), l.alias("l"), r.alias("r"))
         members = keyed.groupBy("unit", "l", "r").agg(F.count("*").alias("m"), F.first("kind").alias("kind"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        large = members.groupBy("unit").agg(F.count("*").alias("v")).where(F.col("v") > BLOCK_VARIANTS).select("unit")
-        large = materialize(large, "large").select("unit", salts.alias("salt"))
-        small = members.withColumn("salt", salted("l", "r")).join(large, ["unit", "salt"], "left_anti")
+        large = materialize(members.groupBy("unit").agg(F.count("*").alias("v")).where(F.col("v") > BLOCK_VARIANTS).select("unit"), "large")
+        # merge joins, which adaptive execution splits where one unit or member has many rows
+        small = members if large.isEmpty() else materialize(members, "members").join(large.hint("merge"), "unit", "left_anti")
         ranges = materialize(_by_suffix_arrays(small, reaches), "ranges")
-        if found:  # here, many variants may agree in l and r
-            ranges, keyed = ranges.select("*", salts.alias("salt")), keyed.withColumn("salt", salted("around"))
-            found.append(keyed.join(ranges, ["unit", "l", "r", "salt"]).select("anchor", "around", "least", "most"))
-        else:
-            found.append(keyed.join(ranges, ["unit", "l", "r"]).select("anchor", "around", "least", "most"))
+        found.append(materialize(keyed.join(ranges.hint("merge"), ["unit", "l", "r"]).select("anchor", "around", "least", "most"), "found"))
         if large.isEmpty():
             break
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
-        halved = keyed.withColumn("salt", salted("around")).join(large, ["unit", "salt"], "left_semi").select("anchor", "around", "kind", "left", "right", halves.alias("half"))
+        halved = keyed.join(large.hint("merge"), "unit", "left_semi").select("anchor", "around", "kind", "left", "right", halves.alias("half"))
         now = halved.select("anchor", "around", "kind", "left", "right", "half.lo", "half.hi")
     return reduce(DataFrame.union, found)
 
 
 def repeated_spans(docs: DataFrame, reaches: tuple[Reach, ...] = (CONTRACT,)) -> DataFrame:
-    """``_key, _size, spans``: per distinct text with repeats, its byte spans (kind, lo, hi), unmerged; kind numbers ``reaches``."""
+    """``_key, _size, spans``: per distinct text with repeats, its byte spans, unmerged, packed as kind (2 bits), lo and hi (31 each); kind numbers ``reaches``."""
     length = f"element_at(array({', '.join(str(r.length) for r in reaches)}), cast({_KIND} as int) + 1)"
     anchors = materialize(_anchor_counts(docs, reaches), "anchors")
     rows = _occurrence_rows(docs, reaches)
     rows = materialize(rows.join(anchors, "anchor", "left_semi").select(*rows.columns), "occurrences")
 
     near = rows.where("pos >= 0")
-    variants = near.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "pos")).alias("of"))
+    variants = near.groupBy("anchor", "around").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("key", "size", "pos")])
     variants = materialize(variants, "variants")
     settled = near.join(variants.where("n > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
     whole = settled.selectExpr("key", "size", f"{_KIND} AS kind", f"{_FIRST} AS lo", f"{_FIRST} + {_SPREAD} + {length} AS hi")
     whole = whole.union(rows.where("pos < 0").selectExpr("key", "size", f"{_KIND} AS kind", f"{_FIRST} AS lo", "around AS hi"))
 
-    several = variants.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    mixed = variants.withColumn("salt", F.pmod(F.xxhash64("around"), F.lit(SALTS)).cast("int")).join(several, ["anchor", "salt"], "left_semi").select("anchor", "around", "n", "of.*")
-    mixed = materialize(mixed, "mixed")
+    several = materialize(variants.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor"), "several")
+    mixed = materialize(variants.join(several.hint("merge"), "anchor", "left_semi"), "mixed")
     cells = _surroundings(docs, mixed, reaches)
     found = _shared_strings(cells, reaches)
     at = f"{_FIRST} + {_BEFORE}"
     part = mixed.where("n = 1").join(found, ["anchor", "around"]).selectExpr("key", "size", f"{_KIND} AS kind", f"{at} - most AS lo", f"{at} - least + {length} AS hi")
-    spans = whole.union(part).distinct().groupBy("key", "size").agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "lo", "hi")).alias("spans"))
+    packed = F.shiftleft(F.col("kind"), 62) + F.shiftleft(F.col("lo"), 31) + F.col("hi")
+    spans = whole.union(part).groupBy("key", "size").agg(F.collect_list(packed).alias("spans"))
     return spans.select(F.col("key").alias("_key"), F.col("size").alias("_size"), "spans")
 
 
-def merged(spans, kind: int | None = None) -> list[tuple[int, int]]:
-    """Maximal runs of the given byte spans (of one kind, if given), in order."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or () if kind is None or s["kind"] == kind):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+def merged(spans: np.ndarray, kind: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs of the packed byte spans of one kind, in order."""
+    own = np.unique(spans[spans >> 62 == kind])
+    lo, hi = (own >> 31) & 0x7FFFFFFF, np.maximum.accumulate(own & 0x7FFFFFFF)
+    first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1])) if len(own) else np.zeros(0, int)
+    return list(zip(lo[first].tolist(), hi[np.append(first[1:], len(own))[: len(first)] - 1].tolist(), strict=True))
+
+
+def _spans_of(column: pa.Array):
+    """The packed spans of each row."""
+    flat, ends = column.flatten().to_numpy(), column.fill_null([]).offsets.to_numpy()
+    return (flat[lo - ends[0] : hi - ends[0]] for lo, hi in zip(ends[:-1], ends[1:], strict=True))
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -463,7 +462,7 @@ def summary(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1), _spans_of(batch.column("_spans")), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 runs, short = merged(spans, 0), merged(spans, 1)
                 rows.append((len(raw), sum(hi - lo for lo, hi in runs), len(runs), hashlib.sha256(_kept(raw, runs) if runs else raw).hexdigest(), sum(hi - lo for lo, hi in short), len(short)))
@@ -504,8 +503,8 @@ def remove_repeats(docs: DataFrame, reach: Reach = PASSAGE) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [
-                None if not t.is_valid else cut_text(t.as_buffer().to_pybytes(), merged(s)) if s else t.as_py()
-                for t, s in zip(batch.column(at), batch.column("_spans").to_pylist(), strict=True)
+                None if not t.is_valid else cut_text(t.as_buffer().to_pybytes(), merged(s)) if len(s) else t.as_py()
+                for t, s in zip(batch.column(at), _spans_of(batch.column("_spans")), strict=True)
             ]
             cols = [c for c in batch.columns][:-1]
             cols[at] = pa.array(texts, batch.schema.field(at).type)
