@@ -9,9 +9,13 @@ leaving one component out. Every pair within distance 39 shares a key; a pair at
 J = 0.75 lies beyond it with probability near one in a million.
 
 Documents with equal shingle sets form one class and take part once. Within a key,
-members are compared with one central member, not with each other. For documents still in another component than some key-mate, a prefix
-filter over their whole shingle sets finds every pair across components that can be
-similar. Links are confirmed on the full shingle sets of the whole texts.
+members are compared with one central member, not with each other, so a key of many members
+costs no pairs of all with all. What a key still holds apart is closed by an exact prefix
+filter: documents in another component than some key-mate give the rarest part of their
+whole shingle sets, by counts over all such documents, and every pair across components
+that can be similar meets there. Links are confirmed on the full shingle sets of the whole
+texts: each pair moves one of its texts, the other (which may have thousands of partners)
+moves once for each pack of them.
 
 Edge cases: a null or word-free text has an empty set and no links; rows without doc_id
 take no part (component null, kept true); repeated rows share class and component; the
@@ -31,7 +35,8 @@ from .shared import materialize
 
 WIDTH, CHUNKS, CHUNK = 5, 20, 4
 MOST_DISTANCE = CHUNKS * 2 - 1
-ORDER_SAMPLE = 12_000  # documents whose shingles are counted to order them
+COUNTERS = 1 << 20  # shingles are counted in so many counters, to put rare ones first
+PACKS = 64  # at most so many copies of a text meet its partners
 
 _SEEDS = mix(np.arange(1, 2 * CHUNKS * CHUNK + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -94,7 +99,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full shingle sets have Jaccard similarity >= 3/4.
+    """Those of ``pairs(a, b)`` (b has many partners, if one has) whose full shingle sets have Jaccard similarity >= 3/4.
 
     Pairs beyond the guaranteed signature distance, or whose set sizes alone rule the
     similarity out, are dropped before any text is fetched.
@@ -112,27 +117,35 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         .where(differing <= MOST_DISTANCE)
         .select("a", "b", "set_a", "set_b")
     )
+    likely = materialize(likely.withColumn("pack", F.pmod(F.xxhash64("a"), F.lit(PACKS)).cast("int")), "likely")
+    one = likely.select(F.col("a").alias("id"), F.col("b").alias("hub"), "pack", F.lit(1).alias("kind"), F.col("set_a").alias("want"))
+    other = likely.select(F.col("b").alias("id"), F.col("b").alias("hub"), "pack", F.lit(0).alias("kind"), F.col("set_b").alias("want")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    both = likely.join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+    rows = text.join(one.union(other), "id").repartition("hub", "pack").sortWithinPartitions("hub", "pack", "kind", "id")
 
     def run(batches):
-        for rows, ta in slices(batches, "text_a"):
-            (tail, tb), = list(slices(iter([rows]), "text_b", 1 << 62)) or [(rows, ta)]
-            ha, fa = distinct_per_text(*shingle_sets(ta, WIDTH))
-            hb, fb = distinct_per_text(*shingle_sets(tb, WIDTH))
-            ia, ib = set_ids(ha, fa), set_ids(hb, fb)
-            want_a, want_b = rows.column("set_a").to_pylist(), rows.column("set_b").to_pylist()
-            keep = np.zeros(rows.num_rows, bool)
-            for i in range(rows.num_rows):
-                if ia[i] == want_a[i] and ib[i] == want_b[i]:  # else another row of that doc_id
-                    x, y = ha[fa[i] : fa[i + 1]], hb[fb[i] : fb[i + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * common >= 75 * (len(x) + len(y) - common)
-            yield pa.record_batch([rows.column("a").filter(pa.array(keep)), rows.column("b").filter(pa.array(keep))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long").distinct()
+        group, held = None, None
+        for some, t in slices(batches):
+            h, first = distinct_per_text(*shingle_sets(t, WIDTH))
+            named, want = set_ids(h, first), some.column("want").to_pylist()
+            columns = [some.column(x).to_pylist() for x in ("hub", "pack", "kind", "id")]
+            a, b = [], []
+            for i, (hub, pack, kind, node) in enumerate(zip(*columns, strict=True)):
+                if (hub, pack) != group:
+                    group, held = (hub, pack), None
+                if named[i] != want[i]:
+                    continue  # another row of that doc_id
+                mine = h[first[i] : first[i + 1]]
+                if kind == 0:
+                    held = mine
+                elif held is not None:
+                    common = len(np.intersect1d(mine, held, assume_unique=True))
+                    if 100 * common >= 75 * (len(mine) + len(held) - common):
+                        a.append(node)
+                        b.append(hub)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -145,9 +158,10 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _grow(pairs: DataFrame, tried: DataFrame | None, links: DataFrame | None, classes: DataFrame, docs: DataFrame):
     """Confirm new ``pairs(id, c)``; the components, pairs tried and links after that."""
-    pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    pairs = pairs.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
     if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = pairs.join(both, ["a", "b"], "left_anti")
     pairs = materialize(pairs, "pairs")
     fresh = materialize(_confirm(pairs, classes, docs), "links")
     links = fresh if links is None else links.union(fresh)
@@ -157,34 +171,33 @@ def _grow(pairs: DataFrame, tried: DataFrame | None, links: DataFrame | None, cl
 def _prefix_pairs(left: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``id, c``: pairs across components that may be similar, by an exact prefix filter.
 
-    Shingles are put in one order, those frequent in a bounded sample of the documents
-    last. If 7 * |x & y| >= 3 * (|x| + |y|), the first quarter of the larger set (plus
-    one) and the first seventh of the smaller meet, and at their first common shingle
-    enough of both is left. The sample bears on cost alone.
+    Shingles are put in one order, the frequent ones last. If 7 * |x & y| >= 3 * (|x| + |y|),
+    the first quarter of the larger set (plus one) and the first seventh of the smaller
+    meet, and at their first common shingle enough of both is left. Shingles of all these
+    documents are counted, in a fixed number of counters; two that share one are both taken
+    for more frequent than they are, which bears on cost alone.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(left, "id")
+    rows = materialize(text.join(left, "id"), "open-texts")
 
     def sets(batches):
-        for some, t in slices(batches):
+        counter = np.zeros(COUNTERS, np.int64)
+        for _, t in slices(batches):
             h, _ = distinct_per_text(*shingle_sets(t, WIDTH))
-            yield pa.record_batch([pa.array(h.view(np.int64))], names=["h"])
+            counter += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        k = np.flatnonzero(counter)
+        yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(counter[k])], names=["k", "n"])
 
-    n = left.count()
-    sample = text.join(left.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, ORDER_SAMPLE / n))), "id")
-    often = sample.select("text").mapInArrow(sets, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toArrow()
-    order = np.argsort(often.column("h").to_numpy().view(np.uint64), kind="stable")
-    table = docs.sparkSession.sparkContext.broadcast((often.column("h").to_numpy().view(np.uint64)[order], often.column("n").to_numpy()[order]))
+    counted = rows.select("text").mapInArrow(sets, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
+    table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches):
-        known, count = table.value
         for some, t in slices(batches):
             h, first = distinct_per_text(*shingle_sets(t, WIDTH))
             doc = np.repeat(np.arange(t.n), np.diff(first))
-            weight = np.zeros(len(h), np.int64)
-            if len(known):
-                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                weight = np.where(known[k] == h, count[k], 0)
+            weight = table.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
             by_weight = np.lexsort((h, weight, doc))
             h, doc = h[by_weight], doc[by_weight]
             size = np.diff(first)[doc]

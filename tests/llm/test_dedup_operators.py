@@ -158,6 +158,29 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_words_that_simple_hashes_confuse(spark):
+    """Two complementary Thue-Morse words share nothing, though sums modulo 2^64 take them for one."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    got = minhash.near_duplicates(docs(spark, [(1, x), (2, x.translate(str.maketrans("ab", "ba"))), (3, x)])).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 2, True), (3, 1, False)}
+
+
+def test_chains_within_a_key(spark):
+    """A chain of edits links texts that are not similar to each other; passages that many texts share link nothing."""
+    rng = random.Random(13)
+    rows, text = [], words(rng, 100)
+    for k in range(40):
+        rows.append((k, " ".join(text)))
+        for _ in range(2):
+            text[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+    passage = words(rng, 60)
+    rows += [(100 + k, " ".join(passage + words(rng, 60, 10**6))) for k in range(80)]
+    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == near_by_brute_force(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
