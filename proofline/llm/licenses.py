@@ -3,8 +3,10 @@
 A text is read as words (A-Z lower-cased, runs of ASCII digits and letters and of all
 non-ASCII characters), written one after another as `` word ``. A rule is a regular
 expression over that form, with a keyword that must occur before it is tried, a label
-and a priority. The rules come from a table of licenses, each with its wordings, times a
-few phrase shapes, plus hand-written headers; see :func:`rules`.
+and a priority. Most rules are clauses written by hand (:mod:`.license_clauses`): grants,
+conditions, disclaimers, notices. A table of license names in a few phrase shapes and some
+headers come beside them; see :func:`rules`. Each keyword is looked for once in a text, and
+only its own rules are tried then.
 
 All detections of a text are ordered by position. A detection inside another one of the
 same or a higher priority is suppressed (of equal ones the first in rule order stays).
@@ -23,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_clauses import clauses
+
 #: label, name as words ("a/b": either, "a?": may lack, "#": a number), SPDX words, address words
 LICENSES = [
     ("apache-2.0", "apache license/licence version? 2 0?", "apache 2 0", "apache org licenses license 2 0"),
@@ -122,8 +126,8 @@ HEADERS = [
 #: The fixed base phrases: label, words.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
 
-#: Every rule holds one of these; a text with none of them (in any case) is not scanned.
-ANCHORS = ("licen", "copyright", "rights", "spdx", "cc", "permission", "redistribut", "public", "damages", "gpl", "mpl", "eclipse", "joinup", "wtfpl", "scripts", "mariadb")
+#: Most rules hold one of these stems.
+STEMS = ("licen", "copyright", "rights", "spdx", "permission", "redistribut", "public", "damages", "warrant", "liab", "patent", "trademark", "software")
 
 
 @dataclass(frozen=True)
@@ -168,7 +172,7 @@ def rules() -> list[Rule]:
         made.append((label, f"{shown} #? #?", 50, False))
         if spdx.startswith("cc "):
             made.append((label, f"{spdx} #? #?", 45 + len(spdx.split()), False))
-    made += [(label, words, priority, False) for label, words, priority in HEADERS]
+    made += [(label, words, priority, False) for label, words, priority in [*HEADERS, *clauses()]]
     kept, seen = [], set()
     for label, words, priority, base in made:
         if (words, base) not in seen:
@@ -177,7 +181,18 @@ def rules() -> list[Rule]:
     return kept
 
 
+def anchors() -> list[str]:
+    """The stems, and the keywords of the rules that need not hold one; a text with none of them is not scanned."""
+    found = list(STEMS)
+    for r in RULES:
+        sure = [x.split("/") for x in r.wording.split() if not x.endswith("?")]
+        if not any(all(a in x for x in either) for either in sure for a in found):
+            found.append(r.gate.strip())
+    return found
+
+
 RULES = rules()
+ANCHORS = anchors()
 LEVELS = sorted({r.priority for r in RULES})
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -189,28 +204,33 @@ def _words(c: Column) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))) / 2).cast("int")
 
 
-def _matches(s: Column, rule: Column) -> Column:
+def _matches(s: Column, pattern: Column) -> Column:
     """All matches of one rule as structs (start and end in words)."""
-    hits = F.regexp_extract_all(s, rule["pattern"], F.lit(0))
-    gaps = F.split(s, rule["pattern"])
+    hits = F.regexp_extract_all(s, pattern, F.lit(0))
+    gaps = F.split(s, pattern)
     empty = F.array().cast("array<struct<start:int,end:int>>")
     step = lambda acc, i: F.struct(
         (acc["at"] + _words(F.get(gaps, i)) + _words(F.get(hits, i))).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + _words(F.get(gaps, i))).alias("start"), (acc["at"] + _words(F.get(gaps, i)) + _words(F.get(hits, i))).alias("end")))).alias("out"),
     )
     return F.when(
-        F.contains(s, rule["gate"]) & F.regexp_like(s, rule["pattern"]),
+        F.regexp_like(s, pattern),
         F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]),
     ).otherwise(empty)
 
 
 def detections(s: Column) -> Column:
     """All detections in the word form ``s``, ordered by start, longest first, priority, rule."""
-    table = F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.gate).alias("gate"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")) for r in RULES])
+    by_gate: dict[str, list[Rule]] = {}
+    for r in RULES:
+        by_gate.setdefault(r.gate, []).append(r)
+    rule = lambda r: F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"))
+    table = F.array(*[F.struct(F.lit(gate).alias("gate"), F.array(*[rule(r) for r in own]).alias("rules")) for gate, own in by_gate.items()])
+    tried = F.flatten(F.transform(F.filter(table, lambda g: F.contains(s, g["gate"])), lambda g: g["rules"]))
     found = F.transform(
-        table,
+        tried,
         lambda r: F.transform(
-            _matches(s, r),
+            _matches(s, r["pattern"]),
             lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("_end"), (-r["priority"]).alias("_priority"), r["rule"].alias("rule"), d["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label")),
         ),
     )

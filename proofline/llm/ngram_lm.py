@@ -85,16 +85,16 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as gaps of as many bytes as the largest needs."""
+    """Sorted keys as gaps of as many bytes as the largest needs, lowest bytes first: the highest are mostly zeros."""
     gaps = np.diff(keys, prepend=np.uint64(0))
     width = max(1, -(-int(gaps[1:].max() if len(gaps) > 1 else 1).bit_length() // 8))
-    return keys[:1].astype("<u8").tobytes() + gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return keys[:1].astype("<u8").tobytes() + gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unpacked_keys(blob: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n > 1:
-        out[1:, : (len(blob) - 8) // (n - 1)] = np.frombuffer(blob, np.uint8, offset=8).reshape(n - 1, -1)
+        out[1:, : (len(blob) - 8) // (n - 1)] = np.frombuffer(blob, np.uint8, offset=8).reshape(-1, n - 1).T
     out = out.view("<u8").ravel()
     out[0] = np.frombuffer(blob, "<u8", 1)[0]
     return np.cumsum(out, dtype=np.uint64)
@@ -226,7 +226,7 @@ def _blocks(dealt: DataFrame, answers: DataFrame | None, known: tuple[int, ...],
     return rows.mapInArrow(run, schema)
 
 
-_REQUEST = "part int, block long, n int, piece int, k int, keys binary, train binary, everywhere binary"
+_REQUEST = "part int, block long, n int, piece int, k int, keys binary, train binary, held_out binary"
 
 
 def _requests(dealt: DataFrame, answers: DataFrame | None, orders: tuple[int, ...], ranges: int) -> DataFrame:
@@ -240,10 +240,10 @@ def _requests(dealt: DataFrame, answers: DataFrame | None, orders: tuple[int, ..
             part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             cut = np.append(np.flatnonzero(np.diff(part, prepend=np.uint64(2**40))), len(keys))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                out.append((int(part[lo]), block, n, piece, hi - lo, packed_keys(keys[lo:hi]), packed(b.train[n][at[lo:hi]]), packed(b.all[n][at[lo:hi]])))
+                out.append((int(part[lo]), block, n, piece, hi - lo, packed_keys(keys[lo:hi]), packed(b.train[n][at[lo:hi]]), packed((b.all[n] - b.train[n])[at[lo:hi]])))
         cols = list(zip(*out, strict=True)) if out else [()] * 8
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "block", "n", "piece", "k", "keys", "train", "everywhere"])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "block", "n", "piece", "k", "keys", "train", "held_out"])
 
     return _blocks(dealt, answers, () if answers is None else (1, 2), _REQUEST, emit)
 
@@ -256,7 +256,7 @@ def _answers(requests: DataFrame) -> DataFrame:
         distinct, place = np.unique(keys, return_inverse=True)
         place = place.ravel()
         train = np.bincount(place, np.concatenate([unpacked(x[6], x[4]) for x in lists]), len(distinct)).astype(np.int64)
-        twice = np.bincount(place, np.concatenate([unpacked(x[7], x[4]) for x in lists]), len(distinct)) > 1
+        twice = train + np.bincount(place, np.concatenate([unpacked(x[7], x[4]) for x in lists]), len(distinct)) > 1
         order = np.zeros(len(distinct), np.int64)
         order[place] = np.repeat([x[2] for x in lists], [x[4] for x in lists])
         end = np.cumsum([x[4] for x in lists])

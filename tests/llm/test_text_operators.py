@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofline.llm import langid, licenses, ngram_lm, sentencepiece, toxicity
+from proofline.llm.license_clauses import clauses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,10 +50,48 @@ def test_licenses_against_sql(spark):
 
 
 def test_every_rule_has_an_anchor_and_a_true_gate():
-    assert len(licenses.RULES) > 250
+    assert len(licenses.RULES) > 500
     for r in licenses.RULES:
-        assert any(a in r.wording for a in licenses.ANCHORS), r
+        sure = [x.split("/") for x in r.wording.split() if not x.endswith("?")]
+        assert any(all(a in x for x in either) for either in sure for a in licenses.ANCHORS), r
         assert r.gate.strip() in r.wording
+        shortest = "".join(f" {either[0].replace('#', '7')} " for either in sure)
+        assert re.search(r.pattern, shortest) and r.gate in shortest, r
+
+
+def test_clauses_are_found_and_hold_what_lies_inside_them(spark):
+    """Each clause, set in other words, is found at its place; what is kept has no weaker detection inside."""
+    rng = random.Random(21)
+    own = [(label, [x.split("/")[0].replace("#", "12") for x in words.split() if not x.endswith("?")], p) for label, words, p in clauses()]
+    rows = []
+    for k, (_, words, _) in enumerate(own):
+        before = [rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(6))]
+        rows.append((k, " ".join(before) + ", " + ", ".join(words).capitalize() + ". Delta", None))
+    scanned = licenses.scan(docs(spark, rows).repartition(8)).collect()
+    for r in scanned:
+        label, words, priority = own[r["doc_id"]]
+        at = len(rows[r["doc_id"]][1].replace(",", " ").replace(".", " ").split()) - 1 - len(words)
+        assert any((d["start"], d["end"], d["label"]) == (at, at + len(words), label) for d in r["found"]), own[r["doc_id"]]
+        inside = lambda d, f: f["start"] <= d["start"] and f["end"] >= d["end"] and f["priority"] >= d["priority"] and (f["start"], f["end"], f["priority"], f["rule"]) != (d["start"], d["end"], d["priority"], d["rule"])
+        beaten = lambda d, f: inside(d, f) and ((f["start"], f["end"], f["priority"]) != (d["start"], d["end"], d["priority"]) or f["rule"] < d["rule"])
+        want = [(d["start"], d["end"], d["rule"]) for d in r["found"] if not any(beaten(d, f) for f in r["found"])]
+        assert sorted((d["start"], d["end"], d["rule"]) for d in r["kept"]) == sorted(want)
+
+
+def test_base_phrases_by_brute_force(spark):
+    """The base columns against a scanner that knows the three phrases alone."""
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+    rng = random.Random(22)
+    pool = ["cc", "by", "CC", "BY", "all", "rights", "reserved", "general", "Public", "license", "é", "x1", "-", "/", "_"]
+    rows = EDGE + [(10 + k, rng.choice([" ", ", ", "\n"]).join(rng.choice(pool) for _ in range(rng.randrange(60))), None) for k in range(200)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.summary(docs(spark, rows)).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        hits = [(k, label) for words, label in phrases.items() for k in range(len(w)) if tuple(w[k : k + len(words)]) == words]
+        at = [k for k, _ in hits]
+        want[i, len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))] += 1
+    assert got == want
 
 
 def brute_segmentations(p, unit):
