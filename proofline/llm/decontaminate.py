@@ -3,7 +3,7 @@
 Words are runs of letters and digits, lower-cased A-Z (digits and letters part company,
 ``3.5`` and ``1,000`` stay whole). In a template, numbers, units behind a number, and
 names (capitalised words that do not open a sentence) are replaced by typed
-placeholders. Windows of five template words are hash-joined between documents and
+placeholders, capitals being those of any script. Windows of five template words are hash-joined between documents and
 benchmark items; a window with fewer than two plain words is compared verbatim instead.
 A capitalised word that opens a sentence may be a name or not: windows that hold one are
 joined in a second form too, where it is a name.
@@ -27,13 +27,14 @@ columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, LOWER, Texts, Words, byte_class, mix, prefix_sums, slices, span_hash
+from .bytetext import ALNUM, LOWER, Texts, Words, byte_class, identity_hash, identity_sums, mix, slices
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -48,7 +49,6 @@ UNITS = (
 ).split()
 
 _DIGIT = byte_class((0x30, 0x39))
-_UPPER = byte_class((0x41, 0x5A))
 _POINT = byte_class((0x2C, 0x2C), (0x2E, 0x2E))
 _STOP = byte_class((0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3A, 0x3A), (0x3F, 0x3F))
 PLAIN, NUMBER, NAME, UNIT = range(4)
@@ -57,7 +57,7 @@ _PLACEHOLDER = mix(np.arange(101, 105, dtype=np.uint64))
 
 def _one(raw: bytes) -> np.ndarray:
     buf = np.frombuffer(raw, np.uint8)
-    return span_hash(prefix_sums(buf), np.array([0]), np.array([len(buf)]))
+    return identity_hash(identity_sums(buf), np.array([0]), np.array([len(buf)]))
 
 
 _UNIT_HASHES = np.sort(np.concatenate([_one(u.encode()) for u in UNITS]))
@@ -71,6 +71,19 @@ class Tokens:
     opens: np.ndarray  # a capitalised word that opens a sentence
 
 
+@cache
+def _capitals() -> np.ndarray:
+    """Whether each code point below 2^16 is a capital letter, of any script."""
+    return np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
+
+
+def _capital(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    pad = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int64)
+    b0, b1, b2 = (pad[at + i] for i in range(3))
+    code = np.select([b0 < 0x80, b0 < 0xE0, b0 < 0xF0], [b0, ((b0 & 31) << 6) | (b1 & 63), ((b0 & 15) << 12) | ((b1 & 63) << 6) | (b2 & 63)], 0)
+    return _capitals()[code]
+
+
 def tokens(t: Texts) -> Tokens:
     b, n = t.buf, len(t.buf)
     cut = t.starts_mask()
@@ -90,13 +103,11 @@ def tokens(t: Texts) -> Tokens:
     first = np.searchsorted(start, t.at)
     doc = np.repeat(np.arange(t.n), np.diff(first))
     w = Words(start, end, doc, first)
-    value = span_hash(prefix_sums(LOWER[b]), start, end)
+    value = identity_hash(identity_sums(LOWER[b]), start, end)
     kind = np.zeros(w.n, np.int8)
     opens = np.zeros(w.n, bool)
     if w.n:
-        b0 = b[start]
-        b1 = b[np.minimum(start + 1, n - 1)]
-        upper = _UPPER[b0] | ((b0 == 0xC3) & (b1 >= 0x80) & (b1 <= 0x9E))
+        upper = _capital(b, start)
         stops = np.zeros(n + 1, np.int64)
         np.cumsum(_STOP[b] & ~point, out=stops[1:])
         inside = np.zeros(w.n, bool)

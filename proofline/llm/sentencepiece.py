@@ -198,7 +198,7 @@ class Encoder:
         if entry is None:
             found = word_nbest(self.pieces, unit, 2)
             gap = found[0][1] - found[1][1] if len(found) > 1 else float("inf")
-            entry = (array("H", found[0][0]).tobytes(), found[0][1], gap)
+            entry = (array("I", found[0][0]).tobytes(), found[0][1], gap)
         if len(unit) <= LONGEST_CACHED:
             if len(self.young) >= CACHE_WORDS:
                 self.old, self.young = self.young, {}
@@ -208,7 +208,7 @@ class Encoder:
     def encode(self, text: str | None) -> tuple[array, float, float]:
         known, miss = self.young.get, self._miss
         entries = [known(u) or miss(u) for u in units(self.pieces, text or "")]
-        ids = array("H")
+        ids = array("I")
         ids.frombytes(b"".join([e[0] for e in entries]))
         return ids, sum([e[1] for e in entries]), min([e[2] for e in entries], default=float("inf"))
 

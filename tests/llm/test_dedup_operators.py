@@ -218,6 +218,91 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(df, bench.limit(0)).count() == 0 and decontaminate.contaminations(df.limit(0), bench).count() == 0
 
 
+def contaminated_by_brute_force(texts, items):
+    """Pairs (document number, item number) -> (n_windows, n_found, kind), from the rules as written, on plain strings."""
+
+    def read(text):  # (word, kind, opens) of each word; kinds: plain, number, name, unit
+        out, end = [], 0
+        for m in re.finditer(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text or ""):
+            word, between = m[0], text[end : m.start()]
+            inside = bool(out) and not re.search(r"[.!?:\n]", between)
+            number, capital = word[0].isdigit(), word[0].isupper()
+            kind = "number" if number else "unit" if inside and out[-1][1] == "number" and word.lower() in decontaminate.UNITS else "name" if capital and inside else "plain"
+            out.append((word.lower(), kind, capital and not inside))
+            end = m.end()
+        return out
+
+    def forms(words, k, width):  # (form, slots) of one window, in its first and second form
+        some = words[k : k + width]
+        for second in (False, True):
+            if second and not any(w[2] for w in some):
+                continue
+            kinds = ["name" if second and w[2] else w[1] for w in some]
+            templated = kinds.count("plain") >= min(2, width)
+            if templated:
+                yield tuple(w[0] if kind == "plain" else (kind,) for w, kind in zip(some, kinds)), [k + j for j in range(width) if kinds[j] != "plain"]
+            elif not second:
+                yield ("verbatim", *[w[0] for w in some]), []
+
+    found = {}
+    for i, item in enumerate(items):
+        iw = read(item)
+        width = min(5, len(iw))
+        if not width:
+            continue
+        index = defaultdict(list)
+        for k in range(len(iw) - width + 1):
+            first = next(forms(iw, k, width))[0]
+            for form, slots in forms(iw, k, width):
+                index[form].append((k, first, slots))
+        windows = {x[1] for v in index.values() for x in v}
+        for d, text in enumerate(texts):
+            dw, along = read(text), defaultdict(list)
+            for k in range(len(dw) - width + 1):
+                for form, _ in forms(dw, k, width):
+                    for at, first, slots in index[form]:
+                        along[k - at].append((first, [(s, iw[s][0], dw[s + k - at][0]) for s in slots]))
+            hit = {}
+            for shift, ws in along.items():
+                slots = {z for _, zs in ws for z in zs}
+                n = Counter((iv, dv) for _, iv, dv in slots)
+                def holds(iv, dv):
+                    return not any(a == iv and b != dv and (c > n[iv, dv] or (c == n[iv, dv] and dv != iv)) for (a, b), c in n.items())
+                same = all(iv == dv for _, iv, dv in slots)
+                for first, zs in ws:
+                    if all(holds(iv, dv) for _, iv, dv in zs):
+                        hit[first] = hit.get(first, False) or same
+            if len(hit) >= 0.75 * len(windows):
+                found[d, i] = (len(windows), len(hit), "verbatim" if all(hit.values()) else "reparameterised")
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(31)
+    plain = ["train", "leaves", "when", "each", "box", "holds", "apples", "and", "a", "cost", "of", "the"]
+    names, units = ["Alice", "Bob", "Žofia", "Ольга", "Ωmega"], ["km", "hours", "kg", "dollars"]
+
+    def text(n):
+        out = []
+        for _ in range(n):
+            r = rng.random()
+            out.append(rng.choice(names) if r < 0.12 else f"{rng.choice(['3', '3.5', '1,000', '12'])} {rng.choice(units)}" if r < 0.24 else rng.choice(plain) + (rng.choice([".", "?", ","]) if r > 0.9 else ""))
+        return " ".join(out)
+
+    items = [text(rng.choice([2, 4, 12, 30])) for _ in range(25)] + ["", "5"]
+    texts = []
+    for k in range(120):
+        t = items[k % len(items)]
+        for _ in range(k % 4):  # other names and values, not always the same for the same slot
+            old, new = rng.choice([(names, names), (["3", "3.5", "12"], ["7", "8", "12"])])
+            t = t.replace(rng.choice(old), rng.choice(new), rng.choice([1, -1]))
+        texts.append(f"{text(rng.randrange(8))} {t} {text(rng.randrange(8))}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_found"], r["kind"]) for r in decontaminate.contaminations(docs(spark, list(enumerate(texts))), bench).collect()}
+    want = contaminated_by_brute_force(texts, items)
+    assert got == want and len(want) > 80 and {x[2] for x in want.values()} == {"verbatim", "reparameterised"}
+
+
 def test_decontamination_drops_only_windows_at_odds(spark):
     rng = random.Random(4)
     w = [f"v{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80)]
