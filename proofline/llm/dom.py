@@ -17,7 +17,8 @@ _PUNCT = re.compile(r"[.,;:!?]")
 _WHITE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object math select".split())
+RAW = frozenset("script style noscript textarea title iframe".split())  # up to their end tag, or to the page's end
+HIDDEN = frozenset("svg select template".split())  # nodes whose text is not shown
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -73,12 +74,16 @@ class Page:
     def _read(self, s: str) -> None:
         stack, at, block, size = [0], 0, 0, len(s)
         tag_of = self.tag
+        hidden = 0  # the place in the stack of the first hidden node, if any
         while at < size:
             m = _MARKUP.search(s, at)
             upto = m.start() if m else size
             if upto > at:
                 piece = s[at:upto]
-                if not piece.isspace():
+                hidden = hidden if hidden < len(stack) else 0
+                if hidden:
+                    pass
+                elif not piece.isspace():
                     self._node(stack[-1], "#text", 0, piece, block)
                 elif self.text[-1] and self.block[-1] == block:
                     self.text[-1] += " "
@@ -115,6 +120,10 @@ class Page:
                 continue
             if name in BLOCK:
                 block += 1
+                hidden = hidden if hidden < len(stack) else 0
+                if hidden and tag_of[stack[hidden]] != "template":  # a drawing or choice left open ends here
+                    del stack[hidden:]
+                    hidden = 0
                 if name in CLOSES_P:
                     for k in range(len(stack) - 1, 0, -1):
                         if tag_of[stack[k]] == "p":
@@ -142,6 +151,7 @@ class Page:
             node = self._node(stack[-1], name, tokens, "", block)
             if not rest.endswith("/"):
                 stack.append(node)
+                hidden = hidden if 0 < hidden < len(stack) - 1 else len(stack) - 1 if name in HIDDEN else 0
 
     def features(self) -> np.ndarray:
         """One row of features for each node."""

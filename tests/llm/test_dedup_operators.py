@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from proofline.llm import decontaminate, dom, extract, minhash, substrings, topk
 from proofline.llm.components import components
 from proofline.llm.gsaca import suffix_array
+from tests.llm.hand_pages import PAGES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -413,6 +414,17 @@ def test_new_layouts(model):
     assert right / total > 0.93
 
 
+def test_pages_written_by_hand(spark, model):
+    """Lines of thirty pages in layouts that the training data lack: few are lost, few are added."""
+    df = spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in extract.extract(df, model).collect()}
+    share = lambda x, y: sum(len(line) for line in x if line in y) / sum(map(len, x))
+    recall = [share(want, got[k]) for k, (_, want) in enumerate(PAGES)]
+    precision = [share(got[k], want) if any(got[k]) else 0.0 for k, (_, want) in enumerate(PAGES)]
+    print([(k, round(p, 2), round(r, 2), [x for x in got[k] if x not in PAGES[k][1]], [x for x in PAGES[k][1] if x not in got[k]]) for k, (p, r) in enumerate(zip(precision, recall)) if p < 1 or r < 1])
+    assert len(PAGES) == 30 and np.mean(recall) > 0.95 and np.mean(precision) > 0.95
+
+
 def test_decoding_is_the_best_consistent_labelling():
     rng = random.Random(9)
     page = dom.Page("<div><p>a</p><p>b<i>c</i></p></div><p>d</p>")
