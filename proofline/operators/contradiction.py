@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -55,8 +55,10 @@ def contract_contradictions(rows: DataFrame) -> DataFrame:
 def pair_contradictions(claims: DataFrame) -> DataFrame:
     """``req_id, finding``: the first pair of claims of two documents that deny each other.
 
-    Claims are flagged per rule first and only flagged ones are joined, within their
-    requirement: a positive against a negative.
+    Claims are flagged per rule first. Of the positive ones, and of the negative ones, only the
+    first claim of each document and only the two first documents can belong to the first
+    pair, as an earlier claim would make an earlier pair; so at most four pairs are joined
+    for each requirement and rule.
     """
     q = F.lower("quote")
     flagged = []
@@ -66,8 +68,14 @@ def pair_contradictions(claims: DataFrame) -> DataFrame:
         )
         flagged.append(rows.where("pos or word is not null"))
     rows = reduce(DataFrame.unionByName, flagged)
-    pos = rows.where("pos").select("req_id", "rule", F.col("claim_ord").alias("p_ord"), F.col("document_name").alias("p_doc"), F.col("quote").alias("p_quote"))
-    neg = rows.where("word is not null").select("req_id", "rule", F.col("claim_ord").alias("n_ord"), F.col("document_name").alias("n_doc"), F.col("quote").alias("n_quote"), "word")
+    both = F.explode(F.array(F.when(F.col("pos"), "pos"), F.when(F.col("word").isNotNull(), "neg"))).alias("side")
+    sided = rows.select("req_id", "rule", "claim_ord", "document_name", "quote", "word", both).where("side is not null")
+    key = ["req_id", "rule", "side"]
+    first = sided.groupBy(*key, "document_name").agg(F.min_by(F.struct("claim_ord", "quote", "word"), "claim_ord").alias("c")).select(*key, "document_name", "c.*")
+    early = first.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("claim_ord"))).where("n <= 2")
+    pos, neg = early.where("side = 'pos'"), early.where("side = 'neg'")
+    pos = pos.select("req_id", "rule", F.col("claim_ord").alias("p_ord"), F.col("document_name").alias("p_doc"), F.col("quote").alias("p_quote"))
+    neg = neg.select("req_id", "rule", F.col("claim_ord").alias("n_ord"), F.col("document_name").alias("n_doc"), F.col("quote").alias("n_quote"), "word")
     pairs = pos.join(neg, ["req_id", "rule"]).where("p_doc <> n_doc and p_ord <> n_ord")
     texts = F.element_at(F.array(*[F.lit(p["text"]) for p in fixed.CONFLICT_PAIRS]), F.col("rule") + 1)
     finding = _finding(

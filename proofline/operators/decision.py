@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.contracts import parse_contract
+from ..sources.shared import materialize
 from ..functions.text import contains_any
 from . import validators as v
 from .claims import extract_claims
@@ -61,7 +62,7 @@ def assess(requirements: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
     """
     reqs = with_contracts(requirements)
     coded = candidates.join(reqs.select("req_id", "req_code"), "req_id")
-    rows = v.facts(reqs, extract_claims(coded)).persist()  # every check reads it; clear the cache after the run
+    rows = materialize(v.facts(reqs, extract_claims(coded)), "facts")  # every check reads it
     kind = F.col("contract")["requirement_type"]
     typed = v.numeric_range(rows.where(kind == "numeric_range")).unionByName(v.duration(rows.where(kind == "duration"))).unionByName(v.threshold(rows.where(kind == "threshold")))
     typed = typed.unionByName(v.boolean_flag(rows.where(kind.isin("boolean", "enumeration"))))

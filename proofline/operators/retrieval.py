@@ -25,13 +25,13 @@ def chunk_tokens(chunks: DataFrame) -> DataFrame:
 
 
 def query_tokens(requirements: DataFrame) -> DataFrame:
-    """``project_id, req_id, token, qtf, is_code, has_digit, is_core`` of each requirement's text."""
+    """``project_id, req_id, token, qtf, at, is_code, has_digit, is_core`` of each requirement's text; ``at``: the token's places."""
     stop = fixed.RETRIEVAL_STOP_WORDS
     lists = requirements.select("project_id", "req_id", tokenize(F.col("text")).alias("t"), F.lower(first_code(F.col("text"))).alias("code"))
-    words = lists.select("project_id", "req_id", "code", F.explode("t").alias("token")).groupBy("project_id", "req_id", "code", "token").agg(F.count("*").alias("qtf"))
+    words = lists.select("project_id", "req_id", "code", F.posexplode("t").alias("at", "token")).groupBy("project_id", "req_id", "code", "token").agg(F.count("*").alias("qtf"), F.array_sort(F.collect_list("at")).alias("at"))
     # a code written with other characters than its token never equals one; then no row has is_code
     return words.select(
-        "project_id", "req_id", "token", "qtf", F.coalesce(F.col("token") == F.col("code"), F.lit(False)).alias("is_code"), F.col("token").rlike("[0-9]").alias("has_digit"),
+        "project_id", "req_id", "token", "qtf", "at", F.coalesce(F.col("token") == F.col("code"), F.lit(False)).alias("is_code"), F.col("token").rlike("[0-9]").alias("has_digit"),
         ((F.length("token") > 3) & ~F.col("token").isin(stop)).alias("is_core"),
     )
 
@@ -41,7 +41,8 @@ def scores(requirements: DataFrame, chunks: DataFrame, min_score: float = 0.3) -
 
     Tokens meet by equality only, both sides with counts instead of repeats, and partial
     sums are combined before the shuffle. A pair without a common token scores 0.
-    ``matched``: the distinct common tokens over two characters, sorted.
+    ``matched``: the requirement's tokens over two characters that the chunk has too, in the
+    order of its text, repeats kept.
     """
     d, q, avg = chunk_tokens(chunks), query_tokens(requirements), average_length(chunks)
     pairs = q.join(d, ["project_id", "token"]).join(avg, "project_id")
@@ -49,12 +50,14 @@ def scores(requirements: DataFrame, chunks: DataFrame, min_score: float = 0.3) -
     lexical = F.col("qtf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (F.col("dl") / F.greatest("avg_len", F.lit(1.0)))))
     gain = lexical + F.when(F.col("is_code"), 5.0).otherwise(0.0) + F.when(F.col("has_digit"), 2.0 * F.col("qtf")).otherwise(0.0) + F.when(F.col("is_core"), 1.5).otherwise(0.0)
     summed = pairs.groupBy("project_id", "req_id", "chunk_id").agg(
-        F.sum(gain).alias("score"), F.max(F.col("is_core") | F.col("is_code")).alias("named"), F.array_sort(F.collect_list(F.when(F.length("token") > 2, F.col("token")))).alias("matched")
+        F.sum(gain).alias("score"), F.max(F.col("is_core") | F.col("is_code")).alias("named"), F.collect_list(F.when(F.length("token") > 2, F.struct("at", "token"))).alias("found")
     )
     named = chunks.select("project_id", "chunk_id", "document_name")
     boosted = contains_any(F.lower("document_name"), fixed.BOOSTED_NAMES) & F.col("named")
     total = F.round(F.col("score") + F.when(boosted, 1.0).otherwise(0.0), DIGITS)
-    return summed.join(named, ["project_id", "chunk_id"]).select("project_id", "req_id", "chunk_id", "document_name", total.alias("score"), "matched").where(F.col("score") >= min_score)
+    places = F.flatten(F.transform("found", lambda m: F.transform(m["at"], lambda at: F.struct(at.alias("at"), m["token"].alias("token")))))
+    matched = F.transform(F.array_sort(places), lambda m: m["token"]).alias("matched")
+    return summed.join(named, ["project_id", "chunk_id"]).select("project_id", "req_id", "chunk_id", "document_name", total.alias("score"), matched).where(F.col("score") >= min_score)
 
 
 def diversified(scored: DataFrame, k: int, per_document: int = 2) -> DataFrame:

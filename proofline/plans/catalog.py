@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audit, evaluation, ingest, reads
+from . import audit, evaluation, ingest, reads, runs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (ingest, audit, reads, evaluation):
+for _part in (ingest, audit, reads, evaluation, runs):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -81,9 +81,9 @@ def register_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_ground_truth(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The three JSON arrays of ground truth, with their schemas."""
-    return {name: spark.read.schema(schema).json(f"{folder}/{name}.json", multiLine=True) for name, schema in GROUND_TRUTH.items()}
+def read_ground_truth(spark: SparkSession, folder: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The three tables of ground truth, with their schemas: JSON arrays, or (``lines``, for large ones) JSON lines."""
+    return {name: spark.read.schema(schema).json(f"{folder}/{name}.json", multiLine=not lines) for name, schema in GROUND_TRUTH.items()}
 
 
 def specification_names(name: Column) -> Column:
