@@ -121,7 +121,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     one = likely.select(F.col("a").alias("id"), F.col("b").alias("hub"), "pack", F.lit(1).alias("kind"), F.col("set_a").alias("want"))
     other = likely.select(F.col("b").alias("id"), F.col("b").alias("hub"), "pack", F.lit(0).alias("kind"), F.col("set_b").alias("want")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(one.union(other), "id").repartition("hub", "pack").sortWithinPartitions("hub", "pack", "kind", "id")
+    rows = text.join(one.union(other).hint("merge"), "id").repartition("hub", "pack").sortWithinPartitions("hub", "pack", "kind", "id")
 
     def run(batches):
         group, held = None, None
@@ -178,7 +178,7 @@ def _prefix_pairs(left: DataFrame, docs: DataFrame, classes: DataFrame) -> DataF
     for more frequent than they are, which bears on cost alone.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(text.join(left, "id"), "open-texts")
+    rows = materialize(text.join(left.hint("merge"), "id"), "open-texts")
 
     def sets(batches):
         counter = np.zeros(COUNTERS, np.int64)
