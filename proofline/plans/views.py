@@ -52,7 +52,7 @@ SELECT l_partkey AS req_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ch
        concat('s', CAST(l_suppkey % 50 AS STRING), CASE l_suppkey % 4 WHEN 0 THEN '_test_report' WHEN 1 THEN '_datasheet' WHEN 2 THEN '_srs' ELSE '_manual' END) AS document_name,
        CASE l_partkey % 8 WHEN 0 THEN CASE l_linenumber % 2 WHEN 0 THEN concat('Supply voltage tested at ', CAST(CAST(l_quantity AS INT) AS STRING), ' V, ', CAST(CAST(l_quantity AS INT) + 60 AS STRING), ' V in the lab.')
                                                ELSE concat('Supply voltage window ', CAST(CAST(l_quantity AS INT) AS STRING), ' V to ', CAST(CAST(l_quantity AS INT) + 25 AS STRING), ' V') END
-                          WHEN 1 THEN concat('Climate chamber log of the second shift, unit on the usual load, doors shut: quiescent current measured as ', CAST(CAST(l_quantity AS INT) AS STRING), ' uA at room level.')
+                          WHEN 1 THEN CASE WHEN l_linenumber % 4 = 3 THEN concat('Fan housing draft measured as ', CAST(CAST(l_quantity AS INT) AS STRING), ' uA near the door.') ELSE concat('Climate chamber log of the second shift, unit on the usual load, doors shut: quiescent current measured as ', CAST(CAST(l_quantity AS INT) AS STRING), ' uA at room level.') END
                           WHEN 2 THEN concat('Pyro latency measured as ', CAST(CAST(l_quantity AS INT) AS STRING), ' ms in run ', CAST(l_linenumber AS STRING), '.')
                           WHEN 3 THEN concat('Dielectric strength verified with ', CAST(CAST(l_quantity AS INT) AS STRING), ' kV applied.')
                           WHEN 4 THEN CASE l_linestatus WHEN 'O' THEN 'Immersion check for IP67 was PASS.' ELSE 'Immersion check IP67: NOT TESTED' END
