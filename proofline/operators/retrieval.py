@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import contains_any, first_code, tokenize
+from ..sources.shared import materialize
 
 K1, B = 1.5, 0.75
 DIGITS = 9  # scores are rounded before they are ranked, as sums depend on their order
@@ -36,6 +37,34 @@ def query_tokens(requirements: DataFrame) -> DataFrame:
     )
 
 
+def _gain() -> Column:
+    """What one common token adds to a pair's score."""
+    tf = F.col("tf")
+    lexical = F.col("qtf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (F.col("dl") / F.greatest("avg_len", F.lit(1.0)))))
+    return lexical + F.when(F.col("is_code"), 5.0).otherwise(0.0) + F.when(F.col("has_digit"), 2.0 * F.col("qtf")).otherwise(0.0) + F.when(F.col("is_core"), 1.5).otherwise(0.0)
+
+
+def _total(raw: Column) -> Column:
+    """A pair's score from the sum of its gains, rounded."""
+    boosted = contains_any(F.lower("document_name"), fixed.BOOSTED_NAMES) & F.col("named")
+    return F.round(raw + F.when(boosted, 1.0).otherwise(0.0), DIGITS)
+
+
+_NAMED = "is_core or is_code"  # tokens that let a document's name count
+
+
+def _scored(pairs: DataFrame, chunks: DataFrame, min_score: float) -> DataFrame:
+    """Scores of pairs from all their common tokens."""
+    summed = pairs.groupBy("project_id", "req_id", "chunk_id").agg(
+        F.sum(_gain()).alias("score"), F.bool_or(F.expr(_NAMED)).alias("named"), F.collect_list(F.when(F.length("token") > 2, F.struct("at", "token"))).alias("found")
+    )
+    places = F.flatten(F.transform("found", lambda m: F.transform(m["at"], lambda at: F.struct(at.alias("at"), m["token"].alias("token")))))
+    matched = F.transform(F.array_sort(places), lambda m: m["token"]).alias("matched")
+    named = chunks.select("project_id", "chunk_id", "document_name")
+    scored = summed.join(named, ["project_id", "chunk_id"]).select("project_id", "req_id", "chunk_id", "document_name", _total(F.col("score")).alias("score"), matched)
+    return scored.where(F.col("score") >= min_score)
+
+
 def scores(requirements: DataFrame, chunks: DataFrame, min_score: float = 0.3) -> DataFrame:
     """``project_id, req_id, chunk_id, document_name, score, matched`` of pairs at ``min_score`` or more.
 
@@ -45,19 +74,7 @@ def scores(requirements: DataFrame, chunks: DataFrame, min_score: float = 0.3) -
     order of its text, repeats kept.
     """
     d, q, avg = chunk_tokens(chunks), query_tokens(requirements), average_length(chunks)
-    pairs = q.join(d, ["project_id", "token"]).join(avg, "project_id")
-    tf = F.col("tf")
-    lexical = F.col("qtf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (F.col("dl") / F.greatest("avg_len", F.lit(1.0)))))
-    gain = lexical + F.when(F.col("is_code"), 5.0).otherwise(0.0) + F.when(F.col("has_digit"), 2.0 * F.col("qtf")).otherwise(0.0) + F.when(F.col("is_core"), 1.5).otherwise(0.0)
-    summed = pairs.groupBy("project_id", "req_id", "chunk_id").agg(
-        F.sum(gain).alias("score"), F.max(F.col("is_core") | F.col("is_code")).alias("named"), F.collect_list(F.when(F.length("token") > 2, F.struct("at", "token"))).alias("found")
-    )
-    named = chunks.select("project_id", "chunk_id", "document_name")
-    boosted = contains_any(F.lower("document_name"), fixed.BOOSTED_NAMES) & F.col("named")
-    total = F.round(F.col("score") + F.when(boosted, 1.0).otherwise(0.0), DIGITS)
-    places = F.flatten(F.transform("found", lambda m: F.transform(m["at"], lambda at: F.struct(at.alias("at"), m["token"].alias("token")))))
-    matched = F.transform(F.array_sort(places), lambda m: m["token"]).alias("matched")
-    return summed.join(named, ["project_id", "chunk_id"]).select("project_id", "req_id", "chunk_id", "document_name", total.alias("score"), matched).where(F.col("score") >= min_score)
+    return _scored(q.join(d, ["project_id", "token"]).join(avg, "project_id"), chunks, min_score)
 
 
 def diversified(scored: DataFrame, k: int, per_document: int = 2) -> DataFrame:
@@ -76,10 +93,42 @@ def diversified(scored: DataFrame, k: int, per_document: int = 2) -> DataFrame:
     return tiered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_d", "_tier")
 
 
+def candidates(q: DataFrame, d: DataFrame, avg: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``project_id, req_id, chunk_id`` of pairs that can be among the best, and the requirements for which that is proven.
+
+    Short and stop words make nearly every pair, yet add less than 2.5 each. So pairs come
+    from the other tokens alone, whose sum is a lower bound; with what the short ones may add
+    it is an upper one. Let t be the k-th best of the lower bounds of the best chunks of all
+    documents: k chunks of different documents score t or more and come before any chunk
+    that scores less, so only pairs with an upper bound of t or more can be chosen. Where t
+    is no more than the short words alone may give, or there are fewer than k documents,
+    nothing is proven.
+    """
+    key = ["project_id", "req_id"]
+    strong = F.col("is_core") | F.col("is_code") | F.col("has_digit")
+    short = q.groupBy(*key).agg(F.sum(F.when(strong, 0.0).otherwise((K1 + 1) * F.col("qtf"))).alias("short"))
+    pairs = q.where(strong).join(d, ["project_id", "token"]).join(avg, "project_id")
+    low = pairs.groupBy(*key, "chunk_id").agg(F.sum(_gain()).alias("low"), F.bool_or(F.expr(_NAMED)).alias("named"))
+    low = low.join(chunks.select("project_id", "chunk_id", "document_name"), ["project_id", "chunk_id"]).withColumn("low", _total(F.col("low")))
+    low = materialize(low.select(*key, "chunk_id", "document_name", "low"), "retrieval-bounds")
+    best = low.groupBy(*key, "document_name").agg(F.max("low").alias("low"))
+    kth = best.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("low")))).where(F.col("n") <= k)
+    least = kth.groupBy(*key).agg(F.max("n").alias("n"), F.min("low").alias("least")).where(F.col("n") == k)
+    proven = materialize(least.join(short, key).where("least > short + 0.000001").select(*key, "least", "short"), "retrieval-proven")
+    return low.join(proven, key).where("low + short + 0.000001 >= least").select(*key, "chunk_id"), proven.select(*key)
+
+
 def retrieve(requirements: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.3) -> DataFrame:
     """Top-k evidence of each requirement.
 
     ``requirements``: project_id, req_id, text. ``chunks``: project_id, chunk_id,
-    document_name, content.
+    document_name, content. Only pairs that can be chosen are scored in full; requirements
+    for which none can be ruled out have all their pairs scored.
     """
-    return diversified(scores(requirements, chunks, min_score), k)
+    key = ["project_id", "req_id"]
+    d, q, avg = materialize(chunk_tokens(chunks), "chunk-tokens"), materialize(query_tokens(requirements), "query-tokens"), average_length(chunks)
+    few, proven = candidates(q, d, avg, chunks, k)
+    some = few.join(q, key).join(d, ["project_id", "chunk_id", "token"])
+    rest = q.join(proven, key, "left_anti").join(d, ["project_id", "token"])
+    pairs = some.select(*rest.columns).union(rest).join(avg, "project_id")
+    return diversified(_scored(pairs, chunks, min_score), k)
