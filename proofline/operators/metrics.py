@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import normalize_code, normalize_status
-from ..sources.tables import running_code
+from ..sources.tables import running_code, running_numbers
 
 POINTS = 2
 
@@ -217,10 +217,10 @@ def truth_links(requirements: DataFrame) -> DataFrame:
 def truth_findings(requirements: DataFrame, project: str) -> DataFrame:
     """Expected findings of requirements that are not Supported, with running codes per project."""
     rows = requirements.where(normalize_status(F.col("expected_status")) != "Supported")
-    n = F.row_number().over(Window.partitionBy(project).orderBy("req_code"))
+    rows = running_numbers(rows, [project], ["req_code"], _n=F.lit(True))
     table = F.create_map(*[F.lit(x) for kv in fixed.FINDING_TYPES.items() for x in kv])
     evidence = F.transform("sources", lambda s: F.struct(s["document"].alias("document"), s["page"].alias("page")))
-    return rows.select(project, running_code("F-", n, 3).alias("finding_code"), "req_code", "expected_status", F.try_element_at(table, normalize_status(F.col("expected_status"))).alias("finding_type"), evidence.alias("expected_evidence"))
+    return rows.select(project, running_code("F-", F.col("_n"), 3).alias("finding_code"), "req_code", "expected_status", F.try_element_at(table, normalize_status(F.col("expected_status"))).alias("finding_type"), evidence.alias("expected_evidence"))
 
 
 def quality_gate(metrics: DataFrame) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..sources.tables import numbered, running_code
+from ..sources.tables import numbered, running_code, running_numbers
 
 
 def findings(assessed: DataFrame, project: str = "project_id", order: str = "req_code") -> DataFrame:
     """A finding for each Partial, Missing or Conflict requirement, coded in requirement order per project."""
     table = F.create_map(*[F.lit(x) for kv in fixed.FINDING_TYPES.items() for x in kv])
     rows = assessed.withColumn("finding_type", F.try_element_at(table, F.col("coverage_status"))).where("finding_type is not null")
-    n = F.row_number().over(Window.partitionBy(project).orderBy(order))
-    return rows.withColumn("finding_code", running_code("F-", n, 3))
+    counted = running_numbers(rows, [project], [order], _n=F.lit(True))
+    return counted.withColumn("finding_code", running_code("F-", F.col("_n"), 3)).drop("_n")
 
 
 def updated_requirements(requirements: DataFrame, assessed: DataFrame, links: DataFrame) -> DataFrame:

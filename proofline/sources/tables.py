@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import contains_any
+from .shared import materialize
 
 GROUND_TRUTH = {
     "requirements": "requirement_id string, req_code string, title string, description string, category string, severity string, expected_status string, expected_review_state string",
@@ -39,9 +40,9 @@ def linearise_rows(df: DataFrame, order: list[str], columns: list[str] | None =
     columns = columns or df.columns
     name = F.lit(document) if isinstance(document, str) else document
     text = df.select(name.alias("document_name"), *order, row_text({c: F.col(f"`{c}`") for c in columns}).alias("content"))
-    in_order = Window.partitionBy("document_name").orderBy(*order)
-    kept = text.withColumn("row", F.row_number().over(in_order) + 1).where("content <> ''")
-    return kept.select("document_name", (F.row_number().over(in_order) - 1).alias("chunk_index"), "row", "content")
+    some = F.col("content") != ""
+    counted = running_numbers(text, ["document_name"], order, _row=F.lit(True), _kept=some).where(some)
+    return counted.select("document_name", (F.col("_kept") - 1).cast("int").alias("chunk_index"), (F.col("_row") + 1).cast("int").alias("row"), "content")
 
 
 def linearise_sheets(cells: DataFrame) -> DataFrame:
@@ -55,8 +56,8 @@ def linearise_sheets(cells: DataFrame) -> DataFrame:
     head = lambda i: F.coalesce(F.when(F.trim(F.get("header", i)) != "", F.trim(F.get("header", i))), F.concat(F.lit("Col"), (i + 1).cast("string")))
     parts = F.transform("cells", lambda x, i: F.when(F.trim(x) != "", F.concat(head(i), F.lit(": "), F.trim(x))))
     text = body.withColumn("content", F.array_join(F.filter(parts, lambda x: x.isNotNull()), "; ")).where("content <> ''")
-    order = Window.partitionBy("document_name").orderBy("sheet_no", "row")
-    return text.select("document_name", (F.row_number().over(order) - 1).alias("chunk_index"), "sheet", "row", "content")
+    counted = running_numbers(text.select("document_name", "sheet_no", "sheet", "row", "content"), ["document_name"], ["sheet_no", "row"], _kept=F.lit(True))
+    return counted.select("document_name", (F.col("_kept") - 1).cast("int").alias("chunk_index"), "sheet", "row", "content")
 
 
 def route_documents(paths: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
@@ -96,17 +97,29 @@ def type_by_name(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("SRS")) | F.contains(name, F.lit("Spec")), "Specification").otherwise("Test Report")
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """``df`` with numbers from 1, groups in ascending order and rows in ``order`` within.
+def running_numbers(df: DataFrame, group: list[str], order: list[str], **counted: Column) -> DataFrame:
+    """``df`` with a running number for each of ``counted``: how many rows of the group, up to this one, it holds for.
 
-    Rows are numbered per group in parallel; only one count for each group is put in
-    sequence to give the groups' offsets.
+    Rows are dealt by ranges of group and order, so a group of any size is numbered in
+    parallel: each part counts its own rows, and only one total for each part is summed up
+    in sequence. The parts are written once, so that both counts see the same ones.
     """
-    within = Window.partitionBy(group).orderBy(*order)
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(group).agg(F.count("*").alias("_rows")).select(F.col(group).alias("_group"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    out = df.withColumn("_n", F.row_number().over(within))
-    return out.join(offsets, out[group].eqNullSafe(offsets["_group"])).withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_group", "_before")
+    names = [f"_count_{k}" for k in range(len(counted))]
+    placed = df.select("*", *[F.coalesce(c.cast("boolean"), F.lit(False)).cast("long").alias(n) for n, c in zip(names, counted.values(), strict=True)])
+    placed = placed.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place"))
+    placed = materialize(placed, "numbered")
+    within = Window.partitionBy("_part", *group).orderBy("_place")
+    before = Window.partitionBy(*[f"_g_{g}" for g in group]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group]).agg(*[F.sum(n).alias(n) for n in names])
+    totals = totals.select("_p", *[f"_g_{g}" for g in group], *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before{n}") for n in names])
+    on = [F.col("_part") == F.col("_p"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]]
+    out = placed.select("*", *[F.sum(n).over(within).alias(f"_own{n}") for n in names]).join(totals, on)
+    return out.select(*df.columns, *[(F.col(f"_own{n}") + F.col(f"_before{n}")).alias(name) for n, name in zip(names, counted, strict=True)])
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with numbers from 1, groups in ascending order and rows in ``order`` within."""
+    return running_numbers(df, [], [group, *order], **{name: F.lit(True)})
 
 
 def running_code(prefix: str, n: Column, width: int) -> Column:
