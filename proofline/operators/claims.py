@@ -54,10 +54,14 @@ def _around(text: Column, hit: Column, margin: int) -> Column:
     return F.substring(text, start + 1, F.least(F.length(text), hit["end"] + margin) - start)
 
 
-def claims_of(text: Column, scoped: Column) -> Column:
+KINDS = ("verdict", "range", "point", "protection", "semantic")
+
+
+def claims_of(text: Column, scoped: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """The claims of one chunk in order: verdict, ranges, points by unit, protection, fallback.
 
-    Quotes of ranges are cut from the whole text at offsets of the scoped part.
+    Quotes of ranges are cut from the whole text at offsets of the scoped part. ``kinds``
+    names those wanted; the work for others is left out. The fallback needs all of them.
     """
     low = F.lower(scoped)
     word = group(scoped, fixed.VERDICT, 1)
@@ -99,20 +103,23 @@ def claims_of(text: Column, scoped: Column) -> Column:
         ip.isNotNull(),
         F.array(_claim("boolean", scoped, parameter=F.lit("ingress_protection"), value_str=F.upper(ip), unit=F.lit("IP"), test_result=F.when(passed, "PASS").otherwise("UNKNOWN"))),
     )
-    typed = F.concat(verdicts, ranges.cast(_LIST), groups, protection)
+    made = {"verdict": verdicts, "range": ranges.cast(_LIST), "point": groups, "protection": protection}
+    if "semantic" not in kinds:
+        return F.concat(*[made[k] for k in KINDS if k in kinds])
+    typed = F.concat(*made.values())
     return F.transform(F.array(typed), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(_claim("semantic", text))))[0]
 
 
-def extract_claims(candidates: DataFrame) -> DataFrame:
+def extract_claims(candidates: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Claims of each requirement's candidates, in order.
 
     ``candidates``: req_id, req_code, rank, chunk_id, document_name, page_number, content.
     Adds ``claim_ord``, which orders all claims of a requirement: candidate rank, then
-    position in the chunk.
+    position in the chunk (among those of ``kinds``).
     """
     text = F.coalesce("content", F.lit(""))
     scoped = candidates.withColumn("_text", text).withColumn("_scope", scope(text, F.col("req_code")))
     rows = scoped.where("_scope is not null").select(
-        "req_id", "rank", "chunk_id", "document_name", "page_number", F.posexplode(claims_of(F.col("_text"), F.col("_scope"))).alias("_pos", "c")
+        "req_id", "rank", "chunk_id", "document_name", "page_number", F.posexplode(claims_of(F.col("_text"), F.col("_scope"), kinds)).alias("_pos", "c")
     )
     return rows.select("req_id", (F.col("rank") * F.lit(1_000_000).cast("long") + F.col("_pos")).alias("claim_ord"), "chunk_id", "document_name", "page_number", "c.*")

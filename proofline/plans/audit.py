@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import contradiction, coverage_check, decision, retrieval, validators
-from ..operators.claims import extract_claims
+from ..operators.claims import KINDS, extract_claims
 from .views import BENCHMARK_REQUIREMENTS, LINE_CHUNKS, benchmark_requirements, duck, duck_tokens, line_chunks, shared
 
 QUERIES: dict = {}
@@ -74,13 +74,13 @@ def _candidates(spark, sf_dir):
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("req_id").orderBy("chunk_id")))
 
 
-def _claims(spark, sf_dir):
+def _claims(spark, sf_dir, kinds=KINDS):
     reqs = _requirements(spark, sf_dir)
-    return extract_claims(_candidates(spark, sf_dir).join(reqs.select("req_id", "req_code"), "req_id"))
+    return extract_claims(_candidates(spark, sf_dir).join(reqs.select("req_id", "req_code"), "req_id"), kinds)
 
 
-def _facts(spark, sf_dir):
-    return validators.facts(decision.with_contracts(_requirements(spark, sf_dir)), _claims(spark, sf_dir))
+def _facts(spark, sf_dir, kinds=KINDS):
+    return validators.facts(decision.with_contracts(_requirements(spark, sf_dir)), _claims(spark, sf_dir, kinds))
 
 
 _EV = duck("part_requirements", "part_evidence")
@@ -93,7 +93,7 @@ SELECT req_id, chunk_id, CASE WHEN kind = 0 AND page_number % 2 = 0 THEN 'discre
  CASE WHEN kind = 0 THEN NULL ELSE CAST(regexp_extract(hit, '[0-9]+') AS DOUBLE) END AS value_num, CASE WHEN kind = 0 AND page_number % 2 = 1 THEN CAST(regexp_extract(hit, '[0-9]+') AS DOUBLE) END AS min_value,
  CASE WHEN kind = 0 AND page_number % 2 = 0 THEN concat(content, ' ', content) WHEN kind = 0 THEN content ELSE substr(content, CAST(greatest(0, st - 60) AS INT) + 1, CAST(least(length(content), en + 60) - greatest(0, st - 60) AS INT)) END AS quote FROM h""")
 def o_f3_f5_numeric_claims(spark, sf_dir):
-    c = _claims(spark, sf_dir).where("claim_type in ('discrete_sweep', 'numeric_range', 'threshold')")
+    c = _claims(spark, sf_dir, ("range", "point")).where("claim_type in ('discrete_sweep', 'numeric_range', 'threshold')")
     return c.select("req_id", "chunk_id", "claim_type", "value_num", "min_value", "quote")
 
 
@@ -101,12 +101,12 @@ def o_f3_f5_numeric_claims(spark, sf_dir):
 SELECT req_id, chunk_id, CASE WHEN contains(low, 'in progress') THEN 'IN PROGRESS' WHEN contains(low, 'not tested') THEN 'NOT TESTED' WHEN contains(low, 'failed') THEN 'FAIL' ELSE 'PASS' END AS test_result
 FROM v WHERE contains(low, 'in progress') OR contains(low, 'not tested') OR contains(low, 'failed') OR contains(low, 'was pass')""")
 def o_f2_verdict_claims(spark, sf_dir):
-    return _claims(spark, sf_dir).where("claim_type = 'test_verdict'").select("req_id", "chunk_id", "test_result")
+    return _claims(spark, sf_dir, ("verdict",)).where("claim_type = 'test_verdict'").select("req_id", "chunk_id", "test_result")
 
 
 @query(f"""WITH {_EV} SELECT req_id, chunk_id, 'IP67' AS value_str, CASE WHEN contains(lower(content), 'pass') THEN 'PASS' ELSE 'UNKNOWN' END AS test_result FROM part_evidence WHERE req_id % 8 = 4 AND req_id IN (SELECT req_id FROM part_requirements)""")
 def o_f6_protection_claims(spark, sf_dir):
-    return _claims(spark, sf_dir).where("claim_type = 'boolean'").select("req_id", "chunk_id", "value_str", "test_result")
+    return _claims(spark, sf_dir, ("protection",)).where("claim_type = 'boolean'").select("req_id", "chunk_id", "value_str", "test_result")
 
 
 @query(f"""WITH {_EV} SELECT req_id, chunk_id, content AS quote FROM part_evidence WHERE req_id IN (SELECT req_id FROM part_requirements) AND (req_id % 8 = 5 OR (req_id % 8 = 6 AND NOT contains(content, 'in progress')) OR (req_id % 8 = 7 AND NOT contains(content, 'FAILED')))""")
@@ -149,7 +149,7 @@ def o_h4_pair_contradictions(spark, sf_dir):
  FROM part_evidence WHERE req_id IN (SELECT req_id FROM part_requirements) GROUP BY 1)
 SELECT req_id, CASE WHEN m AND NOT p THEN 'MISSING' WHEN g AND NOT p THEN 'PARTIAL' ELSE 'CONFLICT' END AS status, CAST(CASE WHEN m AND NOT p THEN 95 WHEN g AND NOT p THEN 90 ELSE 95 END AS DOUBLE) AS confidence FROM v WHERE (m AND NOT p) OR (g AND NOT p) OR f""")
 def o_h5_test_verdicts(spark, sf_dir):
-    return validators.test_verdict(_facts(spark, sf_dir)).select("req_id", "outcome.status", "outcome.confidence")
+    return validators.test_verdict(_facts(spark, sf_dir, ("verdict",))).select("req_id", "outcome.status", "outcome.confidence")
 
 
 _LIMIT = "CAST(regexp_extract(description, '([0-9]+)', 1) AS DOUBLE)"
@@ -160,19 +160,19 @@ d AS (SELECT req_id, chunk_id AS pg, CASE WHEN pg % 2 = 0 THEN 0 ELSE 1 END AS p
    WHEN a <= lo AND a + 25 >= hi THEN 'SUPPORTED' WHEN (a > lo AND a < hi) OR (a + 25 < hi AND a + 25 > lo) OR (a >= lo AND a + 25 <= hi) THEN 'PARTIAL' WHEN a + 25 < lo OR a > hi THEN 'CONFLICT' END AS status FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY phase, pg) AS n FROM d WHERE status IS NOT NULL) SELECT req_id, status FROM k WHERE n = 1""")
 def o_h6_numeric_ranges(spark, sf_dir):
-    return validators.numeric_range(_facts(spark, sf_dir)).select("req_id", "outcome.status")
+    return validators.numeric_range(_facts(spark, sf_dir, ("range", "point"))).select("req_id", "outcome.status")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT r.req_id, kind, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind IN (1, 2, 3) AND NOT contains(content, 'Fan housing')),
 k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pg) AS n FROM c) SELECT req_id, CASE WHEN kind < 3 THEN CASE WHEN v <= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END WHEN v >= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END AS status FROM k WHERE n = 1""")
 def o_h7_thresholds(spark, sf_dir):
-    return validators.threshold(_facts(spark, sf_dir)).select("req_id", "outcome.status")
+    return validators.threshold(_facts(spark, sf_dir, ("range", "point"))).select("req_id", "outcome.status")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT r.req_id, {_LIMIT} AS lim, chunk_id AS pg, {_NUM} AS v FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind = 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pg) AS n FROM c) SELECT req_id, CASE WHEN v <= lim THEN 'SUPPORTED' ELSE 'CONFLICT' END AS status, CAST(CASE WHEN v <= lim THEN 95 ELSE 92 END AS DOUBLE) AS confidence FROM k WHERE n = 1""")
 def o_h8_durations(spark, sf_dir):
-    return validators.duration(_facts(spark, sf_dir)).select("req_id", "outcome.status", "outcome.confidence")
+    return validators.duration(_facts(spark, sf_dir, ("range", "point"))).select("req_id", "outcome.status", "outcome.confidence")
 
 
 @query(f"""WITH {_EV}, c AS (SELECT req_id, chunk_id AS pg, lower(content) AS q, document_name FROM part_evidence WHERE req_id % 8 IN (4, 6) AND req_id IN (SELECT req_id FROM part_requirements)),

@@ -67,7 +67,7 @@ def test_no_requirement_is_left_out_by_its_id(spark, judged, monkeypatch, name):
     whole = rows_of(audit.QUERIES[name](spark, DIR))
     for shift in range(1, 8):  # the same claims under other ids give the same rows
         for part, df in judged.items():
-            monkeypatch.setattr(audit, part, lambda *_, df=df, shift=shift: df.withColumn("req_id", F.col("req_id") + shift))
+            monkeypatch.setattr(audit, part, lambda *_, df=df, shift=shift, **__: df.withColumn("req_id", F.col("req_id") + shift))
         assert rows_of(audit.QUERIES[name](spark, DIR), shift) == whole
 
 
