@@ -34,7 +34,7 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes of a longer word that are features of t
 TRAIN_ROWS = {0: 3000, 1: 1500}
 TRAIN_BYTES = {0: 40_000_000, 1: 40_000_000}
 LEAST_ROWS = 3  # features of fewer sampled documents are left out
-LEAST_EVIDENCE = 15.0  # and those whose documents' labels look like chance
+LEAST_EVIDENCE = 10.0  # and those whose documents' labels look like chance
 EPOCHS, STEP, DECAY = 150, 0.25, 2e-4
 PRIOR_BIAS = -4.0
 
