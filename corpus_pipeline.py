@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage before it
-kept. All but the last return the columns of ``documents``.
+kept. All but the last return the columns of ``documents``, further ones included, whatever
+their names. Null and empty texts pass all stages (nothing in them is toxic, near another
+text, repeated or contaminated) and end as no pieces; rows without doc_id pass too; an empty
+table gives an empty table. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -15,27 +18,41 @@ from proofline.llm.shared import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go; the model learns from ``labels`` of these documents."""
+    """Documents scored as toxic go; the model learns from ``labels`` of these documents.
+
+    Without labelled rows of both classes nothing is learned and nothing goes; repeated rows
+    score alike.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id.
+
+    Rows without doc_id take no part and stay; repeated rows of the doc_id that stays stay.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that repeat within or across documents are cut out of the texts."""
+    """Byte strings of 200 bytes that repeat within or across documents are cut out of the texts.
+
+    That is less than fifty words of prose. Rows whose whole text goes stay, with an empty
+    text; ``n_chars`` is renewed.
+    """
     return substrings.remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, verbatim or with other values, go."""
+    """Documents that hold a benchmark item, verbatim or with other values, go.
+
+    Rows are told apart by doc_id and text, a null doc_id included.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of every document's best segmentation."""
+    """The piece ids of every document's best segmentation: one row for each row, with no ids for an empty text."""
     return sentencepiece.encode(docs)
 
 
