@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a temporary folder is made.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("proofline.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("proofline.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
-
-    The files outlive any executor, so a lost executor costs only its running tasks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proofline/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["bounded_sample", "fold", "materialize", "shared_dir"]
 
 
 def fold(doc_id: str | Column, folds: int = 5) -> Column:

@@ -8,12 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hand_pages import PAGES
 from pyspark.sql import functions as F
 
 from proofline.llm import decontaminate, dom, extract, minhash, substrings, topk
 from proofline.llm.components import components
 from proofline.llm.gsaca import suffix_array
-from tests.llm.hand_pages import PAGES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
