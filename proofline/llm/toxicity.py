@@ -32,7 +32,7 @@ from .shared import fold, materialize
 BUCKETS = 1 << 20
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes of a longer word that are features of their own
 TRAIN_ROWS = {0: 3000, 1: 1500}
-TRAIN_BYTES = {0: 40_000_000, 1: 40_000_000}
+TRAIN_BYTES = {0: 9_000_000, 1: 6_000_000}
 LEAST_ROWS = 3  # features of fewer sampled documents are left out
 LEAST_EVIDENCE = 10.0  # and those whose documents' labels look like chance
 EPOCHS, STEP, DECAY = 150, 0.25, 2e-4
@@ -193,9 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_fold: int | None = 0)
 
     bags = sample.mapInArrow(run, "toxic int, n int, s binary, k binary").orderBy("toxic", "n", "s", "k").collect()
     first = np.cumsum([0] + [r["n"] for r in bags])
-    s = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(bytes(r["s"]), np.int32) + at for r, at in zip(bags, first)])
-    k = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(bytes(r["k"]), np.int32) for r in bags])
-    return fit(np.array([r["toxic"] for r in bags], float), first, s.astype(np.int64), k.astype(np.int64), names)
+    s = np.concatenate([np.zeros(0, np.int32)] + [np.frombuffer(r["s"], np.int32) + np.int32(at) for r, at in zip(bags, first)])
+    k = np.concatenate([np.zeros(0, np.int32)] + [np.frombuffer(r["k"], np.int32) for r in bags])
+    return fit(np.array([r["toxic"] for r in bags], float), first, s, k, names)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
