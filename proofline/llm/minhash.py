@@ -188,7 +188,11 @@ def _prefix_pairs(left: DataFrame, docs: DataFrame, classes: DataFrame) -> DataF
         k = np.flatnonzero(counter)
         yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(counter[k])], names=["k", "n"])
 
-    counted = rows.select("text").mapInArrow(sets, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counted = rows.select("text").mapInArrow(sets, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "shingle-counts")
+    # up to twice the mean a count may come from sharing a counter: such shingles all count as rare
+    mean = (counted.agg(F.sum("n").alias("n")).first()["n"] or 0) / COUNTERS
+    counted = counted.where(F.col("n") > 2 * mean).where("n > 1").toArrow()  # at most half of COUNTERS
     counts = np.zeros(COUNTERS, np.int64)
     counts[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
     table = docs.sparkSession.sparkContext.broadcast(counts)
