@@ -166,7 +166,7 @@ def _powers_below(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, SLICE_BYTES + 2)
         both = []
         for b in (base, pow(base, -1, int(_PRIME))):
-            p = np.ones(size, np.uint64)
+            p = np.ones(size, np.uint32)
             done = 1
             while done < size:
                 more = min(done, size - done)
