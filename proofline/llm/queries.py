@@ -1,10 +1,10 @@
-"""Queries of the ten operators over the given tables, and their DuckDB equivalents."""
+"""Queries of the thirteen operators over the given tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extract, langid, licenses, minhash, ngram_lm, sentencepiece, substrings, topk, toxicity
+from . import decontaminate, extract, forest, langid, licenses, minhash, ngram_lm, sentencepiece, spelling, substrings, topk, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found for each query vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +92,9 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_lm_scoring,
         op10_toxicity,
+        op11_approximate_nearest_neighbours,
+        op12_spelling_variants,
+        op13_embedding_whitening,
     )
 }
 

@@ -10,7 +10,7 @@ DIR = "/root/testdata/sf0.001"
 
 def test_registered():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if re.match(rf"op{n}_", x)]) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
