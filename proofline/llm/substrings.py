@@ -70,6 +70,9 @@ BLOCK_SYMBOLS = 60_000
 _SEEN = 500_000
 _NEAR = 200_000  # bytes worked on at once: arrays of this length stay in the processor's cache
 
+_LOW = np.uint64((1 << 24) - 1)
+_STRETCH = 1 << 23  # starts looked at together; with a string's length more they stay within _LOW
+
 # pos packs the reach (2 bits), the first start (32), anchor - start and last - first start (12 each);
 # it is negative for settled runs, whose end stands in around and whose anchor is their own
 _OCCURRENCE = "anchor long, around long, key long, size long, pos long"
@@ -103,16 +106,22 @@ def occurrences(t: Texts, reaches: tuple[Reach, ...]) -> list[tuple[np.ndarray,
 def _occurrences_near(t: Texts, weak: np.ndarray, strong: list[np.ndarray], reach: Reach) -> tuple[np.ndarray, ...]:
     n, length, gram = len(t.buf), reach.length, reach.gram
     at = np.arange(n - gram + 1)
-    low = np.uint64((1 << 24) - 1)
     # a weak hash ranks the places, as equal bytes get equal ranks in any case
-    ranked = (rank_hash(weak, gram) & ~low) | (at.astype(np.uint64) & low)
+    rank = rank_hash(weak, gram)
     last = np.diff(t.at)
     room = np.repeat(t.at[1:], last)[: len(at)] - at  # bytes from here to the text's end
-    ranked[room < gram] = np.uint64(2**64 - 1)
-    best = _sliding_min(ranked, reach.free + 1)
-    start = np.flatnonzero(room[: len(best)] >= length)
-    # the anchor's position, from its low bits and the start it belongs to
-    p = start + ((best[start] & low).astype(np.int64) - start) % (1 << 24)
+    starts, anchors = [], []
+    # the leftmost of equal ranks: places count from the stretch's begin, so that no window meets two turns of the low bits
+    for lo in range(0, len(at) - reach.free, _STRETCH):
+        hi = min(lo + _STRETCH, len(at) - reach.free)
+        places = np.arange(hi - lo + reach.free, dtype=np.uint64)
+        ranked = (rank[lo : hi + reach.free] & ~_LOW) | places
+        ranked[room[lo : hi + reach.free] < gram] = np.uint64(2**64 - 1)
+        best = _sliding_min(ranked, reach.free + 1)
+        inside = np.flatnonzero(room[lo:hi] >= length)
+        starts.append(lo + inside)
+        anchors.append(lo + (best[inside] & _LOW).astype(np.int64))
+    start, p = np.concatenate(starts), np.concatenate(anchors)
     new = np.ones(len(start), bool)
     new[1:] = (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)

@@ -77,6 +77,7 @@ def repeated_rows():
 @pytest.mark.parametrize("most", [64, 2])
 def test_repeats(spark, repeated_rows, monkeypatch, most):
     monkeypatch.setattr(substrings, "BLOCK_VARIANTS", most)  # 2: most anchors are cut into smaller groups
+    monkeypatch.setattr(substrings, "_STRETCH", 97 * most)  # many stretches to a text
     got = substrings.summary(docs(spark, repeated_rows, extra=True).repartition(3)).collect()
     assert Counter(tuple(r) for r in got) == repeats_by_brute_force(repeated_rows)
 
@@ -109,6 +110,19 @@ def test_passages_of_some_fifty_words(spark):
         assert (passages[k % 5] in t and passages[k % 5][5:-5] not in out[k]) if k < 20 else out[k] == t
 
 
+def test_repeats_of_one_very_long_text(spark):
+    """Copies of a string of period 100, the second of which lies across 2 ** 24 bytes."""
+    rng = random.Random(16)
+    period = "".join(rng.choice("abcdefgh") for _ in range(100))
+    body = np.random.default_rng(3).integers(97, 123, 16_900_000).astype(np.uint8).tobytes().decode()
+    for second in ((1 << 24) - 50,):
+        first, between, last = body[:4999] + "A", "B" + body[5401 : second - 1] + "C", "D" + body[second + 401 :]
+        text = first + period * 4 + between + period * 4 + last
+        row = substrings.summary(docs(spark, [(1, text)])).first()
+        assert (row["n_removed"], row["n_spans"]) == (800, 2), second
+        assert row["kept_sha256"] == hashlib.sha256((first + between + last).encode()).hexdigest()
+
+
 def test_cut_texts(spark, repeated_rows):
     df = docs(spark, repeated_rows, extra=True)
     out = substrings.remove_repeats(df)
