@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audit, evaluation, ingest, reads, runs
+from . import audit, evaluation, ingest, office, reads, runs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (ingest, audit, reads, evaluation, runs):
+for _part in (ingest, office, audit, reads, evaluation, runs):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

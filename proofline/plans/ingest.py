@@ -35,7 +35,7 @@ def o_a1_row_chunks(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT p_brand AS sheet, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, p_name, p_type, p_size FROM part),
-u AS (SELECT sheet, r + 1 AS row, concat_ws('; ', 'name: ' || p_name, 'Col2: ' || p_type, 'size: ' || p_size) AS content FROM t)
+u AS (SELECT sheet, r + 1 AS row, concat_ws('; ', 'name: ' || p_name, 'Col1: ' || p_type, 'size: ' || p_size) AS content FROM t)
 SELECT 'parts.xlsx' AS document_name, CAST(row_number() OVER (ORDER BY sheet, row) - 1 AS INT) AS chunk_index, sheet, row, content FROM u""")
 def o_a2_sheet_chunks(spark, sf_dir):
     from pyspark.sql import Window

@@ -48,12 +48,12 @@ def linearise_rows(df: DataFrame, order: list[str], columns: list[str] | None =
 def linearise_sheets(cells: DataFrame) -> DataFrame:
     """The same for headerless sheets given as ``document_name, sheet_no, sheet, row, cells``.
 
-    Each sheet's row 1 is its header, a blank header is ``Col{i}``; chunk numbers run on
+    Each sheet's row 1 is its header, a blank or missing header is ``Col{i}``, i from 0; chunk numbers run on
     across the sheets of a document.
     """
     header = cells.where("row = 1").select("document_name", "sheet_no", F.col("cells").alias("header"))
-    body = cells.where("row > 1").join(header, ["document_name", "sheet_no"])
-    head = lambda i: F.coalesce(F.when(F.trim(F.get("header", i)) != "", F.trim(F.get("header", i))), F.concat(F.lit("Col"), (i + 1).cast("string")))
+    body = cells.where("row > 1").join(header, ["document_name", "sheet_no"], "left")
+    head = lambda i: F.coalesce(F.when(F.trim(F.get("header", i)) != "", F.trim(F.get("header", i))), F.concat(F.lit("Col"), i.cast("string")))
     parts = F.transform("cells", lambda x, i: F.when(F.trim(x) != "", F.concat(head(i), F.lit(": "), F.trim(x))))
     text = body.withColumn("content", F.array_join(F.filter(parts, lambda x: x.isNotNull()), "; ")).where("content <> ''")
     counted = running_numbers(text.select("document_name", "sheet_no", "sheet", "row", "content"), ["document_name"], ["sheet_no", "row"], _kept=F.lit(True))

@@ -13,7 +13,7 @@ def test_rows_and_sheets(spark):
     assert [(r["chunk_index"], r["row"], r["content"]) for r in got] == [(0, 2, "name: a"), (1, 4, "name: b; note: x")]
     cells = spark.createDataFrame([("d", 1, "s", 1, ["h", ""]), ("d", 1, "s", 2, ["1", "2"]), ("d", 2, "t", 1, ["g"]), ("d", 2, "t", 2, ["3"])], "document_name string, sheet_no int, sheet string, row long, cells array<string>")
     got = tables.linearise_sheets(cells).orderBy("chunk_index").collect()
-    assert [(r["chunk_index"], r["content"]) for r in got] == [(0, "h: 1; Col2: 2"), (1, "g: 3")]
+    assert [(r["chunk_index"], r["content"]) for r in got] == [(0, "h: 1; Col1: 2"), (1, "g: 3")]
 
 
 def test_csv_with_mark(spark, tmp_path):
