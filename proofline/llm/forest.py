@@ -10,7 +10,8 @@ Search. A query walks all trees through one priority queue. A branch that it lea
 is queued under the squared distance to all the splits it lies beyond; leaves come off the
 queue nearest first, whatever their tree. After ``budget`` leaves it stops. The (query, leaf)
 rows meet the leaf's vectors in Spark, where the best of each leaf are scored exactly in
-double precision, and the best of all leaves are kept.
+double precision, and the best of all leaves are kept. The first leaves go ahead: their k-th
+score is a bound under which later leaves send nothing.
 
 The budget is measured, not guessed: for a bounded sample of queries (``TRIALS``) the true
 nearest are found by one pass over all rows, and the budget is the least number of leaves
@@ -33,6 +34,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +203,7 @@ def budget(forest: Forest, vectors: DataFrame, asked: DataFrame, k: int, recall:
 
 
 def _scan(rows: DataFrame, dims: int, k: int) -> DataFrame:
-    """``_FOUND``: the k best of each piece for every query that visits it; pieces come before their visits."""
+    """``_FOUND``: the k best of each piece for every query that visits it, of ``least`` or more; pieces come before their visits."""
 
     def run(batches):
         name, held, block = None, [], None
@@ -219,10 +221,11 @@ def _scan(rows: DataFrame, dims: int, k: int) -> DataFrame:
                 elif held:
                     if block is None:
                         block = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                    queries, number = _matrix(part, dims), part.column("id").to_numpy()
+                    queries, number, least = _matrix(part, dims), part.column("id").to_numpy(), part.column("least").to_numpy()
                     for at in range(0, len(queries), STRIP):
                         rough, slack = _rough(queries[at : at + STRIP], block[1])
                         best = [_best(block[1], block[0], q, r, slack, k) for q, r in zip(queries[at : at + STRIP], rough, strict=True)]
+                        best = [(x[s >= low], s[s >= low]) for (x, s), low in zip(best, least[at : at + STRIP], strict=True)]
                         found = np.concatenate([x for x, _ in best])
                         asked = np.repeat(number[at : at + STRIP], [len(x) for x, _ in best])
                         yield pa.record_batch([pa.array(asked), pa.array(block[0][found]), pa.array(np.concatenate([x for _, x in best]))], names=["query", "id", "score"])
@@ -256,26 +259,42 @@ def _search(vectors: DataFrame, queries: DataFrame, dims: int, k: int, leaf: int
     for r in filed(pieces).groupBy("leaf").count().collect():  # at most trees * 2 ** depth
         pieces[r["leaf"]] = -(-r["count"] // PIECE)
 
-    def visit(batches):
-        for batch in batches:
-            leaf, piece, who = [], [], []
-            for row, leaves in enumerate(forest.nearest_leaves(_matrix(batch, dims))):
-                for _, x in zip(range(visits), leaves, strict=False):
-                    for p in range(pieces[x]):
-                        leaf.append(x), piece.append(p), who.append(row)
-            yield pa.record_batch([pa.array(leaf, pa.int64()), pa.array(piece, pa.int64()), batch.column("query").take(pa.array(who, pa.int64())), batch.column("e").take(pa.array(who, pa.int64()))], names=["leaf", "piece", "id", "e"])
-
-    stored = filed(pieces).select("leaf", "piece", F.lit(0).alias("kind"), "id", "e")
-    sent = asked.mapInArrow(visit, "leaf long, piece long, id long, e array<double>").select("leaf", "piece", F.lit(1).alias("kind"), "id", "e")
+    def visit(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """The visits of ``query, e, least`` to the leaves that come off the queue as ``first`` to ``last``."""
+
+        def run(batches):
+            for batch in batches:
+                leaf, piece, who = [], [], []
+                for row, leaves in enumerate(forest.nearest_leaves(_matrix(batch, dims))):
+                    for x in islice(leaves, first, last):
+                        for p in range(pieces[x]):
+                            leaf.append(x), piece.append(p), who.append(row)
+                at = pa.array(who, pa.int64())
+                columns = [pa.array(leaf, pa.int64()), pa.array(piece, pa.int64()), *(batch.column(c).take(at) for c in ("query", "e", "least"))]
+                yield pa.record_batch(columns, names=["leaf", "piece", "id", "e", "least"])
+
+        return asked.select("query", "e", "least").mapInArrow(run, "leaf long, piece long, id long, e array<double>, least double")
+
+    stored = filed(pieces).select("leaf", "piece", F.lit(0).alias("kind"), "id", "e", F.lit(None).cast("double").alias("least"))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored.union(sent).repartition(parts, "leaf", "piece").sortWithinPartitions("leaf", "piece", "kind", "id")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    found = _scan(rows, dims, k + 1).groupBy("query", "id").agg(F.first("score").alias("score"))  # one vector in leaves of several trees
-    found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+
+    def found(visits: DataFrame) -> DataFrame:
+        sent = visits.select("leaf", "piece", F.lit(1).alias("kind"), "id", "e", "least")
+        rows = stored.union(sent).repartition(parts, "leaf", "piece").sortWithinPartitions("leaf", "piece", "kind", "id")
+        once = _scan(rows, dims, k + 1).groupBy("query", "id").agg(F.first("score").alias("score"))  # one vector in leaves of several trees
+        return once.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+
+    # the first leaves give each query a score that its last neighbour reaches, so the others send what can still count alone
+    near = materialize(found(visit(asked.withColumn("least", F.lit(float("-inf"))), 0, min(visits, trees))), "forest-near")
+    if visits > trees:
+        reached = near.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("least"))
+        more = found(visit(asked.join(reached, "query", "left").fillna(float("-inf"), ["least"]), trees, visits))
+        near = near.union(more).groupBy("query", "id").agg(F.first("score").alias("score")).withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     several = distinct.where(F.size("ids") > 1).select("id", "ids")
-    found = found.join(several, "id", "left").select("query", "score", F.explode(F.coalesce("ids", F.array("id"))).alias("id"))
-    found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
-    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))).alias("near"))
+    near = near.join(several, "id", "left").select("query", "score", F.explode(F.coalesce("ids", F.array("id"))).alias("id"))
+    near = near.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+    lists = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "id"))).alias("near"))
     # every query that shares a vector takes the same list, without itself
     each = queries.join(asked, "e").select(F.col("id").alias("query_id"), "query").join(lists, "query")
     mine = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
