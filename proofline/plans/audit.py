@@ -219,12 +219,12 @@ def o_h14_evidence_links(spark, sf_dir):
     return links.select("req_id", "chunk_id", "status", "label", "highlight")
 
 
-@query(f"""WITH {_EV}, c AS (SELECT r.req_id, {_LIMIT} AS lo, {_LIMIT} + 30 AS hi, string_agg(content, ' ' ORDER BY chunk_id) AS t FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id WHERE kind = 0 GROUP BY 1, 2, 3),
+@query(f"""WITH {_EV}, c AS (SELECT r.req_id, TRY_{_LIMIT} AS lo, TRY_{_LIMIT} + 30 AS hi, kind = 0 AS ranged, string_agg(content, ' ' ORDER BY chunk_id) AS t FROM part_requirements r JOIN part_evidence e ON r.req_id = e.req_id GROUP BY 1, 2, 3, 4),
 x AS (SELECT *, list_transform(regexp_extract_all(t, '([0-9]+) V\\b', 1), lambda y: CAST(y AS DOUBLE)) AS p FROM c)
-SELECT req_id, 'Supported' AS status, TRUE AS is_valid, list_min(p) <= lo AND list_max(p) >= hi AS spanned FROM x""")
+SELECT req_id, CASE WHEN ranged THEN 'Supported' ELSE 'Unknown' END AS status, TRUE AS is_valid, CASE WHEN ranged THEN list_min(p) <= lo AND list_max(p) >= hi END AS spanned FROM x""")
 def o_h15_range_coverage(spark, sf_dir):
     e = _candidates(spark, sf_dir).groupBy("req_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x["content"]).alias("evidence"))
-    rows = _requirements(spark, sf_dir).where("kind = 0").join(e, "req_id").withColumnRenamed("description", "text")
+    rows = _requirements(spark, sf_dir).join(e, "req_id").withColumnRenamed("description", "text")
     lo = F.regexp_extract("text", "([0-9]+)", 1).cast("double")
     points = F.transform(F.regexp_extract_all(F.array_join("evidence", " "), F.lit(r"([0-9]+) V\b"), F.lit(1)), lambda x: x.cast("double"))
-    return coverage_check.check_ranges(rows).select("req_id", "status", "is_valid", ((F.array_min(points) <= lo) & (F.array_max(points) >= lo + 30)).alias("spanned"))
+    return coverage_check.check_ranges(rows).select("req_id", "status", "is_valid", F.when(F.col("kind") == 0, (F.array_min(points) <= lo) & (F.array_max(points) >= lo + 30)).alias("spanned"))

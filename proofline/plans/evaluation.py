@@ -123,8 +123,8 @@ def o_j6_specialty_scores(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    """Expected and retrieved sources: a fifth have none, another fifth find the wrong one."""
-    d = table(spark, sf_dir, "labels").withColumn("req_code", F.concat(F.lit("REQ-"), F.col("doc_id").cast("string"))).where("doc_id % 5 > 0")
+    """Expected and retrieved sources of the ids that pages have too; a fifth find the wrong one."""
+    d = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("REQ-"), F.col("page_id").cast("string")).alias("req_code"))
     links = d.select("req_code", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("x")).alias("document"), F.lit(1).alias("page"), F.lit("short").alias("quote"))
     name = F.when(F.col("doc_id") % 5 == 1, "elsewhere").otherwise(F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit("X.pdf")))
     got = d.select("req_code", F.lit(2).alias("rank"), name.alias("document_name"), F.lit(1).alias("page_number"), F.lit("text").alias("content"))
@@ -132,12 +132,13 @@ def _sources(spark, sf_dir):
 
 
 @query(f"""WITH {_PAIRS} SELECT code, expected, actual, CASE WHEN expected = 'Missing' AND actual = 'Supported' THEN 'unsupported_claim' WHEN expected = 'Conflict' THEN 'conflict_detection_error'
- WHEN CAST(code[5:] AS BIGINT) % 5 = 1 THEN 'retrieval_error' ELSE 'verification_error' END AS error_type FROM pairs WHERE expected <> actual""")
+ WHEN CAST(code[5:] AS BIGINT) % 5 = 1 AND CAST(code[5:] AS BIGINT) IN (SELECT page_id FROM pages) THEN 'retrieval_error' ELSE 'verification_error' END AS error_type FROM pairs WHERE expected <> actual""")
 def o_j7_failures(spark, sf_dir):
     return metrics.failures(_pairs(spark, sf_dir), *_sources(spark, sf_dir))
 
 
-@query(f"""WITH {_PAIRS}, n AS (SELECT *, CAST(code[5:] AS BIGINT) % 5 AS m FROM pairs) SELECT code, expected, actual, expected = actual AS correct, CAST(CASE WHEN m > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_expected, CAST(CASE WHEN m > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_retrieved, CASE WHEN m > 1 THEN 2 END AS first_hit FROM n""")
+@query(f"""WITH {_PAIRS}, n AS (SELECT pairs.*, CAST(code[5:] AS BIGINT) % 5 AS m, page_id IS NOT NULL AS linked FROM pairs LEFT JOIN pages ON CAST(code[5:] AS BIGINT) = page_id)
+SELECT code, expected, actual, expected = actual AS correct, CAST(linked AS BIGINT) AS n_expected, CAST(linked AS BIGINT) AS n_retrieved, CASE WHEN linked AND m <> 1 THEN 2 END AS first_hit FROM n""")
 def o_j8_result_table(spark, sf_dir):
     return metrics.result_table(_pairs(spark, sf_dir), *_sources(spark, sf_dir))
 

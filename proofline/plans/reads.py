@@ -70,9 +70,9 @@ def o_i6_lookup(spark, sf_dir):
     return r.join(first, "req_code", "left_semi").select("req_id", "req_code", "title")
 
 
-@query(f"""WITH {duck('requirements', 'findings')} SELECT finding_id, finding_code, title AS requirement_title, created_at FROM findings LEFT JOIN (SELECT req_id, title FROM requirements WHERE req_id % 3 > 0) USING (req_id) WHERE severity = 'Critical' AND finding_type = 'Missing evidence'""")
+@query(f"""WITH {duck('requirements', 'findings')} SELECT finding_id, finding_code, title AS requirement_title, created_at FROM findings LEFT JOIN requirements USING (req_id) WHERE findings.severity = 'Critical' AND finding_type = 'Missing evidence'""")
 def o_i7_finding_list(spark, sf_dir):
-    out = outputs.finding_list(shared(spark, sf_dir, "findings"), shared(spark, sf_dir, "requirements").where("req_id % 3 > 0"), severity="Critical", finding_type="Missing evidence", assigned_to=None)
+    out = outputs.finding_list(shared(spark, sf_dir, "findings"), shared(spark, sf_dir, "requirements"), severity="Critical", finding_type="Missing evidence", assigned_to=None)
     return out.select("finding_id", "finding_code", "requirement_title", "created_at")
 
 
@@ -93,10 +93,10 @@ def o_i10_finding_table(spark, sf_dir):
     return outputs.finding_table(f, reviewer="Grace", query="Customer#0000001").select("finding_id", "finding_code", "requirement_title")
 
 
-@query(f"""WITH {duck('findings')}, b(severity) AS (VALUES ('Critical'), ('High'), ('Medium'), ('Low')), n AS (SELECT severity, count(*) AS n FROM findings WHERE severity <> 'High' GROUP BY 1)
+@query(f"""WITH {duck('findings')}, b(severity) AS (VALUES ('Critical'), ('High'), ('Medium'), ('Low')), n AS (SELECT severity, count(*) AS n FROM findings GROUP BY 1)
 SELECT severity, coalesce(n, 0) AS n, CAST(sum(coalesce(n, 0)) OVER () AS BIGINT) AS total FROM b LEFT JOIN n USING (severity)""")
 def o_i11_severity_counts(spark, sf_dir):
-    return outputs.severity_counts(shared(spark, sf_dir, "findings").where("severity <> 'High'"))
+    return outputs.severity_counts(shared(spark, sf_dir, "findings"))
 
 
 @query(f"WITH {duck('findings')} SELECT DISTINCT assigned_to FROM findings WHERE assigned_to IS NOT NULL")
