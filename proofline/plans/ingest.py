@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, units
 from ..functions.contracts import parse_contract
-from ..operators import chunking, maintenance
+from ..operators import chunking, maintenance, sections
 from ..sources import tables
 from .views import LINE_CHUNKS, duck, duck_tokens, line_chunks, shared, table
 
@@ -69,6 +69,13 @@ def o_a4_section_chunks(spark, sf_dir):
     return chunking.section_chunks(d).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
+@query(ORACLES["o_a4_section_chunks"])
+def o_a4_line_sections(spark, sf_dir):
+    """The same for documents that come as rows of lines."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return sections.section_lines(lines, ["doc_id"], "line").select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
 @query(f"WITH {duck('docs')} SELECT document_id, document_name, lower(regexp_extract(document_name, '(\\.[^./]+)$', 1)) AS suffix, CASE lower(regexp_extract(document_name, '(\\.[^./]+)$', 1)) WHEN '.pdf' THEN 'Specification' ELSE 'Test Report' END AS doc_type FROM docs WHERE document_name NOT LIKE '%.txt'")
 def o_a5_route_documents(spark, sf_dir):
     known, _ = tables.route_documents(shared(spark, sf_dir, "docs"), "document_name")

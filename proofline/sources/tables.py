@@ -97,15 +97,15 @@ def type_by_name(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("SRS")) | F.contains(name, F.lit("Spec")), "Specification").otherwise("Test Report")
 
 
-def running_numbers(df: DataFrame, group: list[str], order: list[str], **counted: Column) -> DataFrame:
-    """``df`` with a running number for each of ``counted``: how many rows of the group, up to this one, it holds for.
+def running_sums(df: DataFrame, group: list[str], order: list[str], **summed: Column) -> DataFrame:
+    """``df`` with the sums of ``summed`` (whole numbers) over the rows of the group up to each row.
 
-    Rows are dealt by ranges of group and order, so a group of any size is numbered in
-    parallel: each part counts its own rows, and only one total for each part is summed up
-    in sequence. The parts are written once, so that both counts see the same ones.
+    Rows are dealt by ranges of group and order, so a group of any size is summed in
+    parallel: each part sums its own rows, and only one total for each part is added up
+    in sequence. The parts are written once, so that both sums see the same ones.
     """
-    names = [f"_count_{k}" for k in range(len(counted))]
-    placed = df.select("*", *[F.coalesce(c.cast("boolean"), F.lit(False)).cast("long").alias(n) for n, c in zip(names, counted.values(), strict=True)])
+    names = [f"_count_{k}" for k in range(len(summed))]
+    placed = df.select("*", *[F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(n) for n, c in zip(names, summed.values(), strict=True)])
     placed = placed.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place"))
     placed = materialize(placed, "numbered")
     within = Window.partitionBy("_part", *group).orderBy("_place")
@@ -114,7 +114,12 @@ def running_numbers(df: DataFrame, group: list[str], order: list[str], **counted
     totals = totals.select("_p", *[f"_g_{g}" for g in group], *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before{n}") for n in names])
     on = [F.col("_part") == F.col("_p"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]]
     out = placed.select("*", *[F.sum(n).over(within).alias(f"_own{n}") for n in names]).join(totals, on)
-    return out.select(*df.columns, *[(F.col(f"_own{n}") + F.col(f"_before{n}")).alias(name) for n, name in zip(names, counted, strict=True)])
+    return out.select(*df.columns, *[(F.col(f"_own{n}") + F.col(f"_before{n}")).alias(name) for n, name in zip(names, summed, strict=True)])
+
+
+def running_numbers(df: DataFrame, group: list[str], order: list[str], **counted: Column) -> DataFrame:
+    """``df`` with a running number for each of ``counted``: how many rows of the group, up to this one, it holds for."""
+    return running_sums(df, group, order, **{name: c.cast("boolean") for name, c in counted.items()})
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
