@@ -271,7 +271,7 @@ def nbest(docs: DataFrame, n: int, model_path: str = MODEL_PATH) -> DataFrame:
 def summary(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """Per row: doc_id, n_pieces, score, second_score, ids_sha256, restored.
 
-    The digest is over the ids as 16-bit little-endian numbers.
+    The digest is over the ids as 32-bit little-endian numbers.
 
     ``restored`` tells whether decoding the ids gives the text (null: empty) back.
     """
