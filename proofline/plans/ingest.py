@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, units
 from ..functions.contracts import parse_contract
 from ..operators import chunking, maintenance, sections
-from ..sources import tables
+from ..sources import commits, tables
+from ..sources.shared import shared_dir
 from .views import LINE_CHUNKS, duck, duck_tokens, line_chunks, shared, table
 
 QUERIES: dict = {}
@@ -134,6 +137,18 @@ def o_b3_replaced_findings(spark, sf_dir):
     return maintenance.replaced(f, new, ["project_id"]).select("finding_id", "project_id", "finding_code")
 
 
+@query(f"""WITH {duck('findings', 'links')} SELECT 'findings' AS name, 2 AS version, count(*) AS n, count(DISTINCT req_id) AS reqs FROM findings WHERE severity = 'Critical'
+UNION ALL SELECT 'links', 2, count(*), count(DISTINCT req_id) FROM links""")
+def o_b3_committed_results(spark, sf_dir):
+    """Two commits: findings and links together, then the findings of a second run alone."""
+    root = f"{shared_dir(spark)}/proofline/commits-{uuid.uuid4().hex}"
+    f = shared(spark, sf_dir, "findings").select("finding_id", "req_id", "project_id", "severity")
+    commits.commit(spark, root, {"findings": f, "links": shared(spark, sf_dir, "links").select("req_id", "chunk_id")})
+    version = commits.commit(spark, root, {"findings": f.where("severity = 'Critical'")})
+    counts = [df.agg(F.lit(name).alias("name"), F.lit(version).alias("version"), F.count("*").alias("n"), F.count_distinct("req_id").alias("reqs")) for name, df in commits.read_tables(spark, root).items()]
+    return tables.union_all(counts)
+
+
 @query("""
 WITH e AS (SELECT user_id AS req_id, arg_max(event_type, (ts, event_id)) AS review_state, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id),
 r AS (SELECT c_custkey AS req_id, c_mktsegment AS review_state, c_acctbal AS balance FROM customer)
