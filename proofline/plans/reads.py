@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import maintenance, outputs
+from ..operators import increments, maintenance, outputs
+from ..sources.shared import shared_dir
 from .views import duck, shared
 
 QUERIES: dict = {}
@@ -54,6 +57,20 @@ def o_i4_project_stats(spark, sf_dir):
     return outputs.project_stats(*[shared(spark, sf_dir, n) for n in ("projects", "requirements", "docs", "chunks", "findings")])
 
 
+@query(ORACLES["o_i4_project_stats"].replace("r AS (SELECT", "moved AS (SELECT * REPLACE (CASE coverage_status WHEN 'Missing' THEN 'Partial' ELSE coverage_status END AS coverage_status) FROM requirements), r AS (SELECT").replace("AS conflict FROM requirements", "AS conflict FROM moved"))
+def o_i4_incremental_stats(spark, sf_dir):
+    """The same counts from two batches: all rows, then every missing requirement becomes a partial one; the second is sent twice."""
+    projects, reqs, docs, chunks, findings = (shared(spark, sf_dir, n) for n in ("projects", "requirements", "docs", "chunks", "findings"))
+    root, columns = f"{shared_dir(spark)}/proofline/stats-{uuid.uuid4().hex}", ["project_id", "coverage_status"]
+    plus = lambda df: df.select("project_id", F.lit(1).alias("sign"))
+    placed = chunks.join(docs.select("document_id", "project_id"), "document_id")
+    increments.apply_batch(spark, root, "all", {"requirements": reqs.select(*columns, F.lit(1).alias("sign")), "documents": plus(docs), "chunks": plus(placed), "findings": plus(findings)})
+    missing = reqs.where("coverage_status = 'Missing'")
+    for _ in range(2):
+        increments.apply_batch(spark, root, "moved", {"requirements": increments.changes(missing, missing.withColumn("coverage_status", F.lit("Partial")), columns)})
+    return increments.stored_stats(spark, root, projects)
+
+
 @query(f"""WITH {duck('requirements', 'links', 'chunks', 'docs')},
 e AS (SELECT req_id, count(*) AS k, string_agg(concat(chunk_id, ':', document_name, ':', page_number, ':', status), ';' ORDER BY chunk_id, document_name, page_number, status) AS evidence FROM links JOIN chunks USING (chunk_id) JOIN docs USING (document_id) GROUP BY 1)
 SELECT req_id, req_code, coalesce(k, 0) AS n_evidence, coalesce(evidence, '') AS evidence FROM requirements LEFT JOIN e USING (req_id) WHERE severity = 'High' AND coverage_status = 'Partial'""")

@@ -49,12 +49,13 @@ def read_tables(spark: SparkSession, root: str, version: int | None = None) -> d
     return {name: spark.read.parquet(path) for name, path in _named(spark, root, latest(spark, root) if version is None else version).items()}
 
 
-def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition: str | None = "project_id") -> int:
-    """Replace ``tables`` together, keep the others, and return the new version."""
-    run, before = uuid.uuid4().hex, latest(spark, root)
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], partition: str | None = "project_id", run: str | None = None) -> int:
+    """Replace ``tables`` together, keep the others, and return the new version; ``run`` is the name to be found in the manifest."""
+    own, before = uuid.uuid4().hex, latest(spark, root)
+    run = run or own
     state = _named(spark, root, before)
     for name, df in tables.items():
-        state[name] = f"{root}/tables/{name}/{before + 1}-{run}"
+        state[name] = f"{root}/tables/{name}/{before + 1}-{own}"
         out = df.write
         (out.partitionBy(partition) if partition and partition in df.columns else out).parquet(state[name])
     rows = [(before + 1, name, path, run) for name, path in state.items()]
