@@ -243,3 +243,17 @@ def test_shared_halves_meet():
             half = len(a) // 2
             assert a[:half] == b[:half] or a[half:] == b[len(b) - (len(a) - half) :], (a, b)
     assert math.log(10**18, spelling.ODDS) < 19
+
+
+def test_vector_queries_over_whole_tables(spark, tmp_path):
+    """op11 and op13 as registered, on a table of several files, against brute force."""
+    rows = grouped_rows(400, dims=16, seed=8)
+    spark.createDataFrame([(i, v, None) for i, v in rows], VECTORS).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = queries.op11_approximate_nearest_neighbours(spark, str(tmp_path))
+    assert near.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    assert found_by(near) == brute_nearest(rows)  # one leaf holds all rows
+    white = queries.op13_embedding_whitening(spark, str(tmp_path))
+    assert white.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    want, _ = brute_whitening(np.floor(1024 * np.array([v for _, v in rows], np.float32).astype(float)) + 100_000)
+    mine = np.array([r["whitened"] for r in white.orderBy("vec_id", "component").collect()]).reshape(400, 8)
+    assert np.abs(np.abs(mine) - np.abs(want)).max() < 1e-9
