@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.contracts import on_topic
 from ..functions.text import contains_any, fill, first_contained, show_number
-from .validators import COMPATIBLE, in_contract_unit
+from .validators import COMPATIBLE, Check, earliest, in_contract_unit, judged
 
 FINDING = "source_a_doc:string,source_a_quote:string,source_b_doc:string,source_b_quote:string,highlight:string,description:string"
 
@@ -19,37 +17,42 @@ def _finding(a_doc: Column, a_quote: Column, b_doc: Column, b_quote: Column, hig
     return F.struct(a_doc.alias("source_a_doc"), a_quote.alias("source_a_quote"), b_doc.alias("source_b_doc"), b_quote.alias("source_b_quote"), highlight.alias("highlight"), description.alias("description")).cast(f"struct<{FINDING}>")
 
 
-def contract_contradictions(rows: DataFrame) -> DataFrame:
-    """``req_id, finding``: the first claim (specifications aside) that limits or denies the contract."""
-    c = F.col("contract")
-    open_ = rows.where(~contains_any(F.lower("document_name"), fixed.SPEC_NAMES)).withColumn("most", in_contract_unit(F.col("max_value")))
-    low = F.lower("document_name")
+def contract_check() -> Check:
+    """The first claim (specifications aside) that limits or denies the contract."""
+    c, low = F.col("contract"), F.lower("document_name")
+    open_ = ~contains_any(low, fixed.SPEC_NAMES)
     limits = (
-        c["requirement_type"].isin("numeric_range", "threshold") & (F.col("claim_type") == "numeric_range") & F.expr(COMPATIBLE)
-        & (F.col("most") < c["max_value"] - fixed.CONTRADICTION_MARGIN) & contains_any(low, fixed.LIMITING_NAMES)
+        open_ & c["requirement_type"].isin("numeric_range", "threshold") & (F.col("claim_type") == "numeric_range") & F.expr(COMPATIBLE)
+        & (in_contract_unit(F.col("max_value")) < c["max_value"] - fixed.CONTRADICTION_MARGIN) & contains_any(low, fixed.LIMITING_NAMES)
+        & on_topic(F.col("terms_contradiction"), F.col("quote"))
     )
-    open_ = open_.withColumn("limits", F.coalesce(limits, F.lit(False)) & on_topic(F.col("terms_contradiction"), F.col("quote")))
-    g, unit, most = show_number, F.coalesce(c["unit"], F.lit("")), F.col("most")
-    spec, raw = F.lit("Product Specification"), F.substring(c["raw_text"], 1, 200)
-    limited = F.when(
-        F.col("limits"),
-        _finding(
-            spec, raw, F.col("document_name"), F.col("quote"), F.trim(F.concat(g(F.col("max_value")), F.lit(" "), F.coalesce("unit", F.lit("")))),
-            fill(fixed.LIMITED, title=F.col("title"), name=F.col("document_name"), most=F.concat(g(c["max_value"]), F.lit(" "), unit), least=F.concat(g(most), F.lit(" "), unit)),
-        ),
-    )
-    denied = [limited]
     q, need = F.lower("quote"), F.lower(c["raw_text"])
-    for p in fixed.CONFLICT_PAIRS:
-        word = first_contained(q, p["negative"])
-        denied.append(
-            F.when(
-                contains_any(need, p["topic"]) & contains_any(q, p["topic"]) & contains_any(need, p["positive"]) & word.isNotNull(),
-                _finding(spec, raw, F.col("document_name"), F.col("quote"), word, fill(fixed.DENIED_BY_DOCUMENT, text=F.lit(p["text"]), name=F.col("document_name"), word=word)),
-            )
-        )
-    found = open_.withColumn("finding", F.coalesce(*denied)).where("finding is not null")
-    return found.groupBy("req_id").agg(F.min_by("finding", "claim_ord").alias("finding"))
+    denied = [(F.when(open_ & contains_any(need, p["topic"]) & contains_any(q, p["topic"]) & contains_any(need, p["positive"]), first_contained(q, p["negative"])), p) for p in fixed.CONFLICT_PAIRS]
+    hit = F.struct(
+        F.substring(c["raw_text"], 1, 200).alias("raw"), "title", F.col("document_name").alias("name"), "quote", F.col("max_value").alias("shown"), F.coalesce("unit", F.lit("")).alias("unit"),
+        in_contract_unit(F.col("max_value")).alias("most"), c["max_value"].alias("bound"), F.coalesce(c["unit"], F.lit("")).alias("need_unit"), F.col("_contract_rule").alias("rule"), F.col("_contract_word").alias("word"),
+    )
+    layers = [
+        {"_contract_limits": F.coalesce(limits, F.lit(False)), **{f"_contract_{k}": word for k, (word, _) in enumerate(denied)}},
+        {
+            "_contract_rule": F.when(F.col("_contract_limits"), -1).otherwise(F.coalesce(*[F.when(F.col(f"_contract_{k}").isNotNull(), k) for k in range(len(denied))])),
+            "_contract_word": F.coalesce(*[F.col(f"_contract_{k}") for k in range(len(denied))]),
+        },
+    ]
+    r, g = F.col("contract_hit"), show_number
+    spec = F.lit("Product Specification")
+    limited = _finding(
+        spec, r["raw"], r["name"], r["quote"], F.trim(F.concat(g(r["shown"]), F.lit(" "), r["unit"])),
+        fill(fixed.LIMITED, title=r["title"], name=r["name"], most=F.concat(g(r["bound"]), F.lit(" "), r["need_unit"]), least=F.concat(g(r["most"]), F.lit(" "), r["need_unit"])),
+    )
+    text = F.element_at(F.array(*[F.lit(p["text"]) for p in fixed.CONFLICT_PAIRS]), F.greatest(r["rule"], F.lit(0)) + 1)
+    against = _finding(spec, r["raw"], r["name"], r["quote"], r["word"], fill(fixed.DENIED_BY_DOCUMENT, text=text, name=r["name"], word=r["word"]))
+    return Check(layers, [earliest("contract_hit", F.when(F.col("_contract_rule").isNotNull(), hit))], F.when(r["rule"] < 0, limited).when(r["rule"] >= 0, against))
+
+
+def contract_contradictions(rows: DataFrame) -> DataFrame:
+    """``req_id, finding``: the first claim (specifications aside) that limits or denies the contract."""
+    return judged(rows, contract_check()).withColumnRenamed("outcome", "finding")
 
 
 def pair_contradictions(claims: DataFrame) -> DataFrame:
@@ -61,13 +64,9 @@ def pair_contradictions(claims: DataFrame) -> DataFrame:
     for each requirement and rule.
     """
     q = F.lower("quote")
-    flagged = []
-    for k, p in enumerate(fixed.CONFLICT_PAIRS):
-        rows = claims.where(contains_any(q, p["topic"])).select(
-            "req_id", "claim_ord", "document_name", "quote", F.lit(k).alias("rule"), contains_any(q, p["positive"]).alias("pos"), first_contained(q, p["negative"]).alias("word")
-        )
-        flagged.append(rows.where("pos or word is not null"))
-    rows = reduce(DataFrame.unionByName, flagged)
+    rules = [F.when(contains_any(q, p["topic"]), F.struct(F.lit(k).alias("rule"), contains_any(q, p["positive"]).alias("pos"), first_contained(q, p["negative"]).alias("word"))) for k, p in enumerate(fixed.CONFLICT_PAIRS)]
+    flagged = F.filter(F.array(*rules), lambda r: r["pos"] | r["word"].isNotNull())
+    rows = claims.select("req_id", "claim_ord", "document_name", "quote", F.explode(flagged).alias("_r")).select("req_id", "claim_ord", "document_name", "quote", "_r.*")
     both = F.explode(F.array(F.when(F.col("pos"), "pos"), F.when(F.col("word").isNotNull(), "neg"))).alias("side")
     sided = rows.select("req_id", "rule", "claim_ord", "document_name", "quote", "word", both).where("side is not null")
     key = ["req_id", "rule", "side"]
@@ -84,9 +83,3 @@ def pair_contradictions(claims: DataFrame) -> DataFrame:
     )
     order = F.struct(F.least("p_ord", "n_ord").alias("i"), F.greatest("p_ord", "n_ord").alias("j"), "rule", (F.col("p_ord") > F.col("n_ord")).alias("turned"))
     return pairs.groupBy("req_id").agg(F.min_by(finding, order).alias("finding"))
-
-
-def contradictions(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    """The contract's contradiction if there is one, else the pair's."""
-    both = contract_contradictions(rows).withColumn("_k", F.lit(0)).unionByName(pair_contradictions(claims).withColumn("_k", F.lit(1)))
-    return both.groupBy("req_id").agg(F.min_by("finding", "_k").alias("finding"))

@@ -11,7 +11,7 @@ from ..sources.shared import materialize
 from ..functions.text import contains_any
 from . import validators as v
 from .claims import extract_claims
-from .contradiction import contradictions
+from .contradiction import contract_check, pair_contradictions
 
 
 def with_contracts(requirements: DataFrame) -> DataFrame:
@@ -62,19 +62,21 @@ def assess(requirements: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
     """
     reqs = with_contracts(requirements)
     coded = candidates.join(reqs.select("req_id", "req_code"), "req_id")
-    rows = materialize(v.facts(reqs, extract_claims(coded)), "facts")  # every check reads it
+    rows = materialize(v.facts(reqs, extract_claims(coded)), "facts")  # read twice: by the checks and for pairs
     kind = F.col("contract")["requirement_type"]
-    typed = v.numeric_range(rows.where(kind == "numeric_range")).unionByName(v.duration(rows.where(kind == "duration"))).unionByName(v.threshold(rows.where(kind == "threshold")))
-    typed = typed.unionByName(v.boolean_flag(rows.where(kind.isin("boolean", "enumeration"))))
-    all_ = (
-        reqs.join(gates(requirements, candidates), "req_id")
-        .join(contradictions(rows, rows), "req_id", "left")
-        .join(v.test_verdict(rows).withColumnRenamed("outcome", "verdict"), "req_id", "left")
-        .join(typed.withColumnRenamed("outcome", "typed"), "req_id", "left")
-        .join(v.semantic(reqs, rows).withColumnRenamed("outcome", "semantic"), "req_id", "left")
-    )
+    typed = [v.range_check(kind == "numeric_range"), v.duration_check(kind == "duration"), v.threshold_check(kind == "threshold"), v.flag_check(kind.isin("boolean", "enumeration"))]
+    verdict_, semantic, denied = v.verdict_check(), v.semantic_check(), contract_check()
+    checks = [verdict_, *typed, semantic, denied]
+    # one aggregation by requirement gathers what the gates and all checks need
+    seen = v.marked(rows, checks).withColumn("_independent", F.lit(None).cast("boolean"))
+    events = seen.unionByName(candidates.select("req_id", F.coalesce(independent(F.col("document_name")), F.lit(False)).alias("_independent")), allowMissingColumns=True)
+    counts = [F.count("_independent").alias("n_candidates"), F.count_if("_independent").alias("n_independent")]
+    found = events.groupBy("req_id").agg(*counts, *[g for c in checks for g in c.gathered])
+    pairs = pair_contradictions(rows).withColumnRenamed("finding", "_pair")
+    all_ = reqs.join(found, "req_id", "left").join(pairs, "req_id", "left").fillna(0, ["n_candidates", "n_independent"])
+    all_ = all_.withColumns({"finding": F.coalesce(denied.outcome, "_pair"), "verdict": verdict_.outcome, "last": F.coalesce(*[t.outcome for t in typed], semantic.outcome)})
     lit, none = F.lit, F.lit(None)
-    verdict, last = F.col("verdict"), F.coalesce("typed", "semantic")
+    verdict, last = F.col("verdict"), F.col("last")
     verdict_cover, last_cover = coverage_of(verdict["status"]), coverage_of(last["status"])
     advice = F.when(verdict_cover == "Conflict", fixed.FAILURE_ADVICE).otherwise(fixed.SCHEDULE_ADVICE)
     result = (

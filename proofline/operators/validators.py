@@ -4,11 +4,15 @@ Every check takes ``facts``: one row for each claim with its requirement's contr
 (columns req_id, req_code, title, contract, claim_ord, document_name and the claim's
 fields) and gives ``req_id, outcome`` for the requirements it can judge. The first
 claim in order that decides wins: ``min_by`` over the claim order, combined before the
-shuffle.
+shuffle. A check is kept as a ``Check``, so any number of them share one aggregation;
+texts are worded once for each requirement, after it.
 """
 
 from __future__ import annotations
 
+from itertools import zip_longest
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,139 +55,194 @@ def in_contract_unit(value: Column) -> Column:
     return F.when(F.col("cu") == F.col("ru"), value).when(F.col("cd") == F.col("rd"), value * F.col("cf") / F.col("rf"))
 
 
-def _first(rows: DataFrame, order: Column) -> DataFrame:
-    decided = rows.where("outcome is not null")
-    return decided.groupBy("req_id").agg(F.min_by("outcome", order).alias("outcome"))
+class Check(NamedTuple):
+    """A check in three steps: columns of each claim (in layers), aggregates of a requirement, its outcome."""
+
+    layers: list[dict[str, Column]]
+    gathered: list[Column]
+    outcome: Column
+
+
+def marked(rows: DataFrame, checks: list[Check]) -> DataFrame:
+    """``rows`` with the columns that the checks need of each claim."""
+    for layer in zip_longest(*[c.layers for c in checks], fillvalue={}):
+        rows = rows.withColumns({name: column for part in layer for name, column in part.items()})
+    return rows
+
+
+def judged(rows: DataFrame, check: Check) -> DataFrame:
+    """``req_id, outcome`` of one check alone."""
+    found = marked(rows, [check]).groupBy("req_id").agg(*check.gathered)
+    return found.select("req_id", check.outcome.alias("outcome")).where("outcome is not null")
+
+
+def earliest(name: str, hit: Column, order: Column | None = None) -> Column:
+    """The first ``hit`` in claim order that is not null."""
+    return F.min_by(hit, F.when(hit.isNotNull(), F.col("claim_ord") if order is None else order)).alias(name)
 
 
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def test_verdict(rows: DataFrame) -> DataFrame:
-    """Roll-up of verdicts: missing, then in progress (both unless something passed), then failed."""
-    said = rows.where("claim_type = 'test_verdict' and test_result is not null")
-    found = said.groupBy("req_id").agg(
-        F.bool_or(F.col("test_result").isin("NOT TESTED", "NOT STARTED", "MISSING")).alias("missing"), F.bool_or(F.col("test_result") == "PASS").alias("passed"),
-        F.bool_or(F.col("test_result").isin("IN PROGRESS", "PARTIAL")).alias("partial"), F.bool_or(F.col("test_result") == "FAIL").alias("failed"),
-    )
+def _worded(word: Column, **outcomes: Column) -> Column:
+    """The outcome that the decisive claim's ``word`` names, else null."""
+    return F.coalesce(*[F.when(word == name, made) for name, made in outcomes.items()])
+
+
+def verdict_check() -> Check:
+    said = F.col("_said")
+    any_of = lambda name, *words: F.bool_or(said.isin(*words)).alias(f"verdict_{name}")
+    missing, passed, partial, failed = (F.col(f"verdict_{x}") for x in ("missing", "passed", "partial", "failed"))
     result = (
-        F.when(F.col("missing") & ~F.col("passed"), outcome("MISSING", 95.0, "verdict_missing"))
-        .when(F.col("partial") & ~F.col("passed"), outcome("PARTIAL", 90.0, "verdict_partial"))
-        .when(F.col("failed"), outcome("CONFLICT", 95.0, "verdict_failed", "FAIL"))
+        F.when(missing & ~passed, outcome("MISSING", 95.0, "verdict_missing"))
+        .when(partial & ~passed, outcome("PARTIAL", 90.0, "verdict_partial"))
+        .when(failed, outcome("CONFLICT", 95.0, "verdict_failed", "FAIL"))
     )
-    return found.select("req_id", result.alias("outcome")).where("outcome is not null")
+    gathered = [any_of("missing", "NOT TESTED", "NOT STARTED", "MISSING"), any_of("passed", "PASS"), any_of("partial", "IN PROGRESS", "PARTIAL"), any_of("failed", "FAIL")]
+    return Check([{"_said": F.when(F.col("claim_type") == "test_verdict", F.col("test_result"))}], gathered, result)
 
 
-def numeric_range(rows: DataFrame) -> DataFrame:
-    """Ranges: a sweep that spans the bounds, else the first comparable range decides."""
-    c = F.col("contract")
-    able = rows.where(c["min_value"].isNotNull() & c["max_value"].isNotNull() & F.col("claim_type").isin("discrete_sweep", "numeric_range"))
-    able = able.where(COMPATIBLE).where(on_topic(F.col("terms_numeric_range"), F.col("quote")))
+def test_verdict(rows: DataFrame) -> DataFrame:
+    """Roll-up of verdicts: missing, then in progress (both unless something passed), then failed."""
+    return judged(rows, verdict_check())
+
+
+def range_check(only: Column | None = None) -> Check:
+    """``only``: which claims take part (all, if None)."""
+    c, able = F.col("contract"), F.col("_range_able")
+    fit = c["min_value"].isNotNull() & c["max_value"].isNotNull() & F.col("claim_type").isin("discrete_sweep", "numeric_range") & F.expr(COMPATIBLE)
+    fit = (F.lit(True) if only is None else only) & fit & on_topic(F.col("terms_numeric_range"), F.col("quote"))
     points = F.filter(F.transform("discrete_points", in_contract_unit), lambda p: p.isNotNull())
-    able = able.select(
-        "req_id", "claim_ord", (F.col("claim_type") == "discrete_sweep").alias("sweep"), c["min_value"].alias("lo"), c["max_value"].alias("hi"), F.coalesce(c["unit"], F.lit("")).alias("u"),
-        in_contract_unit(F.col("min_value")).alias("a"), in_contract_unit(F.col("max_value")).alias("b"), points.alias("points"),
-    )
-    able = able.withColumn("least", F.coalesce(F.array_min("points"), F.col("a"))).withColumn("most", F.coalesce(F.array_max("points"), F.col("b")))
-    g, u = show_number, F.col("u")
-    shown = able.withColumn("need", _text(g(F.col("lo")), " to ", g(F.col("hi")), " ", u)).withColumn("got", _text(g(F.col("least")), " to ", g(F.col("most")), " ", u)).withColumn("tip", F.trim(_text(g(F.col("most")), " ", u)))
-    lo, hi, a, b, need, got = (F.col(x) for x in ("lo", "hi", "least", "most", "need", "got"))
+    a, b, lo, hi, sweep = F.col("_range_a"), F.col("_range_b"), c["min_value"], c["max_value"], F.col("claim_type") == "discrete_sweep"
     covers = (a <= lo) & (b >= hi)
     partial = ((a > lo) & (a < hi)) | ((b < hi) & (b > lo)) | ((a >= lo) & (b <= hi))
-    warm = F.when(F.contains(F.lower(u), F.lit("c")), _text("+", g(b), "°C")).otherwise(F.col("tip"))
-    values = {"need": need, "got": got}
-    points = F.array_join(F.transform("points", g), ", ")
-    result = (
-        F.when(F.col("sweep"), F.when(covers, outcome("SUPPORTED", 95.0, "range_points", points=points, **values)))
-        .when(covers, outcome("SUPPORTED", 95.0, "range_covered", **values))
-        .when(partial, outcome("PARTIAL", 90.0, "range_partial", warm, **values))
-        .when((b < lo) | (a > hi), outcome("CONFLICT", 92.0, "range_outside", F.col("tip"), **values))
-    )
-    return _first(shown.withColumn("outcome", result), F.struct((~F.col("sweep")).alias("phase"), "claim_ord"))
+    word = F.when(sweep, F.when(covers, "range_points")).when(covers, "range_covered").when(partial, "range_partial").when((b < lo) | (a > hi), "range_outside")
+    layers = [
+        {"_range_able": F.coalesce(fit, F.lit(False))},
+        {"_range_points": F.when(able, points)},
+        {"_range_a": F.when(able, F.coalesce(F.array_min("_range_points"), in_contract_unit(F.col("min_value")))), "_range_b": F.when(able, F.coalesce(F.array_max("_range_points"), in_contract_unit(F.col("max_value"))))},
+        {"_range_word": F.when(able, word)},
+    ]
+    hit = F.struct(
+        F.col("_range_word").alias("word"), lo.alias("lo"), hi.alias("hi"), F.coalesce(c["unit"], F.lit("")).alias("u"), a.alias("a"), b.alias("b"), F.col("_range_points").alias("points")
+    )
+    order = F.struct((~sweep).alias("phase"), "claim_ord")
+    r, g = F.col("range_hit"), show_number
+    u, top = r["u"], g(r["b"])
+    tip = F.trim(_text(top, " ", u))
+    warm = F.when(F.contains(F.lower(u), F.lit("c")), _text("+", top, "°C")).otherwise(tip)
+    values = {"need": _text(g(r["lo"]), " to ", g(r["hi"]), " ", u), "got": _text(g(r["a"]), " to ", top, " ", u)}
+    result = _worded(
+        r["word"], range_points=outcome("SUPPORTED", 95.0, "range_points", points=F.array_join(F.transform(r["points"], g), ", "), **values), range_covered=outcome("SUPPORTED", 95.0, "range_covered", **values),
+        range_partial=outcome("PARTIAL", 90.0, "range_partial", warm, **values), range_outside=outcome("CONFLICT", 92.0, "range_outside", tip, **values),
+    )
+    return Check(layers, [earliest("range_hit", F.when(F.col("_range_word").isNotNull(), hit), order)], result)
 
 
-def _measured(rows: DataFrame, topic: str, limit: Column, raw: Column, unit: Column) -> DataFrame:
-    """``req_id, claim_ord, upper, limit, v`` and their texts, of claims that give a comparable value."""
+def numeric_range(rows: DataFrame) -> DataFrame:
+    """Ranges: a sweep that spans the bounds, else the first comparable range decides."""
+    return judged(rows, range_check())
+
+
+def _measured(topic: str, fit: Column, limit: Column, raw: Column, unit: Column, word: Column, outcomes: dict[str, tuple]) -> Check:
+    """The first claim that gives a value comparable with ``limit``; ``word`` is made of ``_{topic}_v`` and ``_{topic}_limit``."""
+    able = limit.isNotNull() & raw.isNotNull() & F.col("claim_type").isin("threshold", "numeric_range") & F.expr(COMPATIBLE)
+    able = fit & able & on_topic(F.col(f"terms_{topic}"), F.col("quote"))
+    v = F.col(f"_{topic}_v")
+    layers = [{f"_{topic}_v": F.when(able, in_contract_unit(raw)), f"_{topic}_limit": limit}, {f"_{topic}_word": F.when(v.isNotNull(), word)}]
+    hit = F.struct(F.col(f"_{topic}_word").alias("word"), F.col(f"_{topic}_limit").alias("limit"), unit.alias("u"), v.alias("v"))
+    r = F.col(f"{topic}_hit")
+    values = {"bound": _text(show_number(r["limit"]), " ", r["u"]), "got": _text(show_number(r["v"]), " ", r["u"])}
+    tips = {"got": values["got"], "trimmed": F.trim(values["got"]), None: None}
+    made = {name: outcome(status, confidence, name, tips[tip], **values) for name, (status, confidence, tip) in outcomes.items()}
+    return Check(layers, [earliest(f"{topic}_hit", F.when(F.col(f"_{topic}_word").isNotNull(), hit))], _worded(r["word"], **made))
+
+
+def threshold_check(only: Column | None = None) -> Check:
+    """``only``: which claims take part (all, if None)."""
     c = F.col("contract")
-    able = rows.where(limit.isNotNull() & raw.isNotNull() & F.col("claim_type").isin("threshold", "numeric_range")).where(COMPATIBLE).where(on_topic(F.col(f"terms_{topic}"), F.col("quote")))
-    able = able.select("req_id", "claim_ord", c["operator"].isin("<=", "<").alias("upper"), limit.alias("limit"), unit.alias("u"), in_contract_unit(raw).alias("v")).where("v is not null")
-    return able.withColumn("bound", _text(show_number(F.col("limit")), " ", F.col("u"))).withColumn("got", _text(show_number(F.col("v")), " ", F.col("u")))
+    upper, v, limit = c["operator"].isin("<=", "<"), F.col("_threshold_v"), F.col("_threshold_limit")
+    raw = F.coalesce("value_num", F.when(upper, F.col("max_value")).otherwise(F.col("min_value")))
+    word = F.when(upper & (v <= limit), "limit_kept").when(upper, "limit_exceeded").when(v >= limit, "minimum_kept").otherwise("minimum_missed")
+    fit = (F.lit(True) if only is None else only) & c["operator"].isin("<=", "<", ">=", ">")
+    outcomes = {"limit_kept": ("SUPPORTED", 95.0, None), "limit_exceeded": ("CONFLICT", 90.0, "trimmed"), "minimum_kept": ("SUPPORTED", 95.0, None), "minimum_missed": ("CONFLICT", 90.0, "trimmed")}
+    return _measured("threshold", fit, F.when(upper, c["max_value"]).otherwise(c["min_value"]), raw, F.coalesce(c["unit"], F.lit("")), word, outcomes)
 
 
 def threshold(rows: DataFrame) -> DataFrame:
     """Upper and lower limits: the first comparable value decides."""
+    return judged(rows, threshold_check())
+
+
+def duration_check(only: Column | None = None) -> Check:
+    """``only``: which claims take part (all, if None)."""
     c = F.col("contract")
-    upper = c["operator"].isin("<=", "<")
-    limit = F.when(upper, c["max_value"]).otherwise(c["min_value"])
-    raw = F.coalesce("value_num", F.when(upper, F.col("max_value")).otherwise(F.col("min_value")))
-    m = _measured(rows.where(c["operator"].isin("<=", "<", ">=", ">")), "threshold", limit, raw, F.coalesce(c["unit"], F.lit("")))
-    v, tip, values = F.col("v"), F.trim("got"), {"bound": F.col("bound"), "got": F.col("got")}
-    result = (
-        F.when(F.col("upper") & (v <= F.col("limit")), outcome("SUPPORTED", 95.0, "limit_kept", **values))
-        .when(F.col("upper"), outcome("CONFLICT", 90.0, "limit_exceeded", tip, **values))
-        .when(v >= F.col("limit"), outcome("SUPPORTED", 95.0, "minimum_kept", **values))
-        .otherwise(outcome("CONFLICT", 90.0, "minimum_missed", tip, **values))
-    )
-    return _first(m.withColumn("outcome", result), F.col("claim_ord"))
+    timed = (c["requirement_type"] == "duration") | c["unit"].isin("ms", "us", "µs", "s", "sec", "hours", "h", "min")
+    fit = (F.lit(True) if only is None else only) & timed & (c["operator"].isNull() | c["operator"].isin("<=", "<"))
+    word = F.when(F.col("_duration_v") <= F.col("_duration_limit"), "deadline_kept").otherwise("deadline_missed")
+    outcomes = {"deadline_kept": ("SUPPORTED", 95.0, None), "deadline_missed": ("CONFLICT", 92.0, "got")}
+    return _measured("duration", fit, F.coalesce(c["max_value"], c["min_value"]), F.coalesce("value_num", "max_value"), F.coalesce(c["unit"], F.lit("ms")), word, outcomes)
 
 
 def duration(rows: DataFrame) -> DataFrame:
     """Deadlines: as upper limits, for contracts of a duration or in a unit of time."""
-    c = F.col("contract")
-    timed = (c["requirement_type"] == "duration") | c["unit"].isin("ms", "us", "µs", "s", "sec", "hours", "h", "min")
-    open_ = c["operator"].isNull() | c["operator"].isin("<=", "<")
-    m = _measured(rows.where(timed & open_), "duration", F.coalesce(c["max_value"], c["min_value"]), F.coalesce("value_num", "max_value"), F.coalesce(c["unit"], F.lit("ms")))
-    values = {"bound": F.col("bound"), "got": F.col("got")}
-    result = F.when(F.col("v") <= F.col("limit"), outcome("SUPPORTED", 95.0, "deadline_kept", **values)).otherwise(outcome("CONFLICT", 92.0, "deadline_missed", F.col("got"), **values))
-    return _first(m.withColumn("outcome", result), F.col("claim_ord"))
+    return judged(rows, duration_check())
 
 
-def boolean_flag(rows: DataFrame) -> DataFrame:
-    """Protection codes, the bus data rate, and secure boot; the first rule that decides wins."""
+def flag_check(only: Column | None = None) -> Check:
+    """``only``: which claims take part (all, if None)."""
     c = F.col("contract")
+    take = F.lit(True) if only is None else only
     need, q = F.lower(c["raw_text"]), F.lower("quote")
     has = lambda text, word: F.contains(text, F.lit(word))
-    target = F.upper(F.coalesce(c["expected_value"], F.lit("IP67")))
     asks_ip = F.coalesce((c["parameter"] == "ingress_protection") | (c["unit"] == "IP"), F.lit(False)) | has(need, "ip6")
-    on_ip = asks_ip & contains_any(q, ["ip67", "ip65", "immersion"])
-    ip = F.when(on_ip & contains_any(q, ["pass", "zero water", "completed"]), outcome("SUPPORTED", 95.0, "ip_passed", target=target)).when(
-        on_ip & contains_any(q, ["not tested", "missing"]), outcome("MISSING", 95.0, "ip_untested", target=target)
+    on_ip = take & asks_ip & contains_any(q, ["ip67", "ip65", "immersion"])
+    ip = F.when(on_ip & contains_any(q, ["pass", "zero water", "completed"]), "ip_passed").when(on_ip & contains_any(q, ["not tested", "missing"]), "ip_untested")
+    bus = F.when(take & has(need, "can-fd") & has(need, "5.0 mbps") & has(q, "5.0 mbps") & has(q, "zero frame errors"), "bus_rate")
+    secure = F.when(take, contains_any(need, ["secure boot", "root-of-trust", "ecdsa"]))
+    proof = F.when(take, ~contains_any(F.lower("document_name"), fixed.SPEC_NAMES) & contains_any(q, ["ecdsa", "root-of-trust", "secure boot"]) & contains_any(q, ["pass", "verified"]))
+    hit = F.when(F.col("_flag_ip").isNotNull(), F.struct(F.col("_flag_ip").alias("word"), F.upper(F.coalesce(c["expected_value"], F.lit("IP67"))).alias("target")))
+    target = F.col("flag_ip")["target"]
+    result = F.coalesce(
+        _worded(F.col("flag_ip")["word"], ip_passed=outcome("SUPPORTED", 95.0, "ip_passed", target=target), ip_untested=outcome("MISSING", 95.0, "ip_untested", target=target)),
+        F.when(F.col("flag_bus").isNotNull(), outcome("SUPPORTED", 95.0, "bus_rate")), F.when(F.col("flag_secure") & ~F.col("flag_proof"), outcome("MISSING", 95.0, "secure_boot")),
+    )
+    gathered = [earliest("flag_ip", hit), earliest("flag_bus", F.col("_flag_bus")), F.bool_or("_flag_secure").alias("flag_secure"), F.bool_or("_flag_proof").alias("flag_proof")]
+    return Check([{"_flag_ip": ip, "_flag_bus": bus, "_flag_secure": secure, "_flag_proof": proof}], gathered, result)
+
+
+def boolean_flag(rows: DataFrame) -> DataFrame:
+    """Protection codes, the bus data rate, and secure boot; the first rule that decides wins."""
+    return judged(rows, flag_check())
+
+
+def semantic_check() -> Check:
+    q, need = F.lower("quote"), F.lower(F.col("contract")["raw_text"])
+    said = ~contains_any(F.lower("document_name"), fixed.SPEC_NAMES) & F.col("quote").isNotNull()
+    both = lambda asked, found: contains_any(need, asked) & contains_any(q, found)
+    hits = {
+        "access": both(["credential", "authentication", "login", "password", "seed-key"], ["no login", "no authentication", "unauthenticated", "open access", "no password"]),
+        "ground": both(["galvanic isolation", "isolated"], ["non-isolated", "common ground", "shared ground"]),
+        "burst": both(["simulation", "burst", "venting", "calculation"], ["simulation"]) & contains_any(q, ["pending"]),
+        "acoustic": both(["acoustic", "leakage"], ["calibration requires", "installation test"]),
+    }
+    seen = F.struct(F.col("document_name").alias("name"), F.substring("quote", 1, 150).alias("head"))
+    of = lambda key: {x: F.col(f"semantic_{key}")[x] for x in ("name", "head")}
+    results = {
+        "access": outcome("CONFLICT", 95.0, "open_access", "open access with no login required", **of("access")), "ground": outcome("CONFLICT", 95.0, "shared_ground", "non-isolated shared ground", **of("ground")),
+        "burst": outcome("PARTIAL", 90.0, "burst_pending"), "acoustic": outcome("PARTIAL", 88.0, "acoustic"),
+    }
+    n = F.coalesce("semantic_n", F.lit(0))
+    result = F.when(n == 0, outcome("MISSING", 92.0, "no_independent")).otherwise(
+        F.coalesce(*[F.when(F.col(f"semantic_{key}").isNotNull(), made) for key, made in results.items()], outcome("UNKNOWN", 75.0, "unproven"))
     )
-    bus = F.when(has(need, "can-fd") & has(need, "5.0 mbps") & has(q, "5.0 mbps") & has(q, "zero frame errors"), outcome("SUPPORTED", 95.0, "bus_rate"))
-    secure = contains_any(need, ["secure boot", "root-of-trust", "ecdsa"])
-    proof = ~contains_any(F.lower("document_name"), fixed.SPEC_NAMES) & contains_any(q, ["ecdsa", "root-of-trust", "secure boot"]) & contains_any(q, ["pass", "verified"])
-    marked = rows.withColumn("_ip", ip).withColumn("_bus", bus).withColumn("_secure", secure).withColumn("_proof", proof)
-    first = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("claim_ord")))
-    found = marked.groupBy("req_id").agg(first("_ip").alias("ip"), first("_bus").alias("bus"), F.bool_or("_secure").alias("secure"), F.bool_or("_proof").alias("proof"))
-    unproven = F.when(F.col("secure") & ~F.col("proof"), outcome("MISSING", 95.0, "secure_boot"))
-    return found.select("req_id", F.coalesce("ip", "bus", unproven).alias("outcome")).where("outcome is not null")
+    layers = [{"_semantic_said": said}, {f"_semantic_{key}": F.col("_semantic_said") & hit for key, hit in hits.items()}]
+    gathered = [F.count_if("_semantic_said").alias("semantic_n"), *[earliest(f"semantic_{key}", F.when(F.col(f"_semantic_{key}"), seen)) for key in hits]]
+    return Check(layers, gathered, result)
 
 
 def semantic(contracts: DataFrame, claims: DataFrame) -> DataFrame:
     """Qualitative requirements; every requirement gets an outcome, UNKNOWN at least."""
-    rows = contracts.select("req_id", F.lower(F.col("contract")["raw_text"]).alias("need")).join(
-        claims.where(~contains_any(F.lower("document_name"), fixed.SPEC_NAMES)).select("req_id", "claim_ord", "document_name", "quote"), "req_id", "left"
-    )
-    q, need, any_ = F.lower("quote"), F.col("need"), F.col("quote").isNotNull()
-    values = {"name": F.col("document_name"), "head": F.substring("quote", 1, 150)}
-    rules = {
-        "access": (
-            contains_any(need, ["credential", "authentication", "login", "password", "seed-key"]) & contains_any(q, ["no login", "no authentication", "unauthenticated", "open access", "no password"]),
-            outcome("CONFLICT", 95.0, "open_access", "open access with no login required", **values),
-        ),
-        "ground": (
-            contains_any(need, ["galvanic isolation", "isolated"]) & contains_any(q, ["non-isolated", "common ground", "shared ground"]),
-            outcome("CONFLICT", 95.0, "shared_ground", "non-isolated shared ground", **values),
-        ),
-        "burst": (contains_any(need, ["simulation", "burst", "venting", "calculation"]) & contains_any(q, ["simulation"]) & contains_any(q, ["pending"]), outcome("PARTIAL", 90.0, "burst_pending")),
-        "acoustic": (contains_any(need, ["acoustic", "leakage"]) & contains_any(q, ["calibration requires", "installation test"]), outcome("PARTIAL", 88.0, "acoustic")),
-    }
-    marked = rows
-    for key, (hit, result) in rules.items():
-        marked = marked.withColumn(f"_{key}", F.when(hit, result))
-    found = marked.groupBy("req_id").agg(
-        F.count(F.when(any_, 1)).alias("n"), *[F.min_by(f"_{key}", F.when(F.col(f"_{key}").isNotNull(), F.col("claim_ord"))).alias(key) for key in rules]
-    )
-    none, unknown = outcome("MISSING", 92.0, "no_independent"), outcome("UNKNOWN", 75.0, "unproven")
-    return found.select("req_id", F.when(F.col("n") == 0, none).otherwise(F.coalesce(*rules, unknown)).alias("outcome"))
+    rows = contracts.select("req_id", "contract").join(claims.select("req_id", "claim_ord", "document_name", "quote"), "req_id", "left")
+    return judged(rows, semantic_check())
