@@ -41,13 +41,13 @@ def contract_check() -> Check:
     ]
     r, g = F.col("contract_hit"), show_number
     spec = F.lit("Product Specification")
+    texts = {f"contract_{x}": F.concat(g(r[x]), F.lit(" "), r["unit" if x == "shown" else "need_unit"]) for x in ("shown", "bound", "most")}
     limited = _finding(
-        spec, r["raw"], r["name"], r["quote"], F.trim(F.concat(g(r["shown"]), F.lit(" "), r["unit"])),
-        fill(fixed.LIMITED, title=r["title"], name=r["name"], most=F.concat(g(r["bound"]), F.lit(" "), r["need_unit"]), least=F.concat(g(r["most"]), F.lit(" "), r["need_unit"])),
-    )
+        spec, r["raw"], r["name"], r["quote"], F.trim("contract_shown"), fill(fixed.LIMITED, title=r["title"], name=r["name"], most=F.col("contract_bound"), least=F.col("contract_most"))
+    )
     text = F.element_at(F.array(*[F.lit(p["text"]) for p in fixed.CONFLICT_PAIRS]), F.greatest(r["rule"], F.lit(0)) + 1)
     against = _finding(spec, r["raw"], r["name"], r["quote"], r["word"], fill(fixed.DENIED_BY_DOCUMENT, text=text, name=r["name"], word=r["word"]))
-    return Check(layers, [earliest("contract_hit", F.when(F.col("_contract_rule").isNotNull(), hit))], F.when(r["rule"] < 0, limited).when(r["rule"] >= 0, against))
+    return Check(layers, [earliest("contract_hit", F.when(F.col("_contract_rule").isNotNull(), hit))], F.when(r["rule"] < 0, limited).when(r["rule"] >= 0, against), texts)
 
 
 def contract_contradictions(rows: DataFrame) -> DataFrame:

@@ -72,6 +72,7 @@ def assess(requirements: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
     events = seen.unionByName(candidates.select("req_id", F.coalesce(independent(F.col("document_name")), F.lit(False)).alias("_independent")), allowMissingColumns=True)
     counts = [F.count("_independent").alias("n_candidates"), F.count_if("_independent").alias("n_independent")]
     found = events.groupBy("req_id").agg(*counts, *[g for c in checks for g in c.gathered])
+    found = found.withColumns({name: text for c in checks for name, text in c.texts.items()})
     pairs = pair_contradictions(rows).withColumnRenamed("finding", "_pair")
     all_ = reqs.join(found, "req_id", "left").join(pairs, "req_id", "left").fillna(0, ["n_candidates", "n_independent"])
     all_ = all_.withColumns({"finding": F.coalesce(denied.outcome, "_pair"), "verdict": verdict_.outcome, "last": F.coalesce(*[t.outcome for t in typed], semantic.outcome)})

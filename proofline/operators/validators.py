@@ -56,11 +56,12 @@ def in_contract_unit(value: Column) -> Column:
 
 
 class Check(NamedTuple):
-    """A check in three steps: columns of each claim (in layers), aggregates of a requirement, its outcome."""
+    """A check in four steps: columns of each claim (in layers), aggregates of a requirement, texts made of them, its outcome."""
 
     layers: list[dict[str, Column]]
     gathered: list[Column]
     outcome: Column
+    texts: dict[str, Column] = {}
 
 
 def marked(rows: DataFrame, checks: list[Check]) -> DataFrame:
@@ -72,7 +73,7 @@ def marked(rows: DataFrame, checks: list[Check]) -> DataFrame:
 
 def judged(rows: DataFrame, check: Check) -> DataFrame:
     """``req_id, outcome`` of one check alone."""
-    found = marked(rows, [check]).groupBy("req_id").agg(*check.gathered)
+    found = marked(rows, [check]).groupBy("req_id").agg(*check.gathered).withColumns(check.texts)
     return found.select("req_id", check.outcome.alias("outcome")).where("outcome is not null")
 
 
@@ -132,12 +133,16 @@ def range_check(only: Column | None = None) -> Check:
     u, top = r["u"], g(r["b"])
     tip = F.trim(_text(top, " ", u))
     warm = F.when(F.contains(F.lower(u), F.lit("c")), _text("+", top, "°C")).otherwise(tip)
-    values = {"need": _text(g(r["lo"]), " to ", g(r["hi"]), " ", u), "got": _text(g(r["a"]), " to ", top, " ", u)}
+    texts = {
+        "range_need": _text(g(r["lo"]), " to ", g(r["hi"]), " ", u), "range_got": _text(g(r["a"]), " to ", top, " ", u), "range_tip": tip, "range_warm": warm,
+        "range_points": F.array_join(F.transform(r["points"], g), ", "),
+    }
+    values = {"need": F.col("range_need"), "got": F.col("range_got")}
     result = _worded(
-        r["word"], range_points=outcome("SUPPORTED", 95.0, "range_points", points=F.array_join(F.transform(r["points"], g), ", "), **values), range_covered=outcome("SUPPORTED", 95.0, "range_covered", **values),
-        range_partial=outcome("PARTIAL", 90.0, "range_partial", warm, **values), range_outside=outcome("CONFLICT", 92.0, "range_outside", tip, **values),
+        r["word"], range_points=outcome("SUPPORTED", 95.0, "range_points", points=F.col("range_points"), **values), range_covered=outcome("SUPPORTED", 95.0, "range_covered", **values),
+        range_partial=outcome("PARTIAL", 90.0, "range_partial", F.col("range_warm"), **values), range_outside=outcome("CONFLICT", 92.0, "range_outside", F.col("range_tip"), **values),
     )
-    return Check(layers, [earliest("range_hit", F.when(F.col("_range_word").isNotNull(), hit), order)], result)
+    return Check(layers, [earliest("range_hit", F.when(F.col("_range_word").isNotNull(), hit), order)], result, texts)
 
 
 def numeric_range(rows: DataFrame) -> DataFrame:
@@ -153,10 +158,11 @@ def _measured(topic: str, fit: Column, limit: Column, raw: Column, unit: Column,
     layers = [{f"_{topic}_v": F.when(able, in_contract_unit(raw)), f"_{topic}_limit": limit}, {f"_{topic}_word": F.when(v.isNotNull(), word)}]
     hit = F.struct(F.col(f"_{topic}_word").alias("word"), F.col(f"_{topic}_limit").alias("limit"), unit.alias("u"), v.alias("v"))
     r = F.col(f"{topic}_hit")
-    values = {"bound": _text(show_number(r["limit"]), " ", r["u"]), "got": _text(show_number(r["v"]), " ", r["u"])}
+    texts = {f"{topic}_bound": _text(show_number(r["limit"]), " ", r["u"]), f"{topic}_got": _text(show_number(r["v"]), " ", r["u"])}
+    values = {"bound": F.col(f"{topic}_bound"), "got": F.col(f"{topic}_got")}
     tips = {"got": values["got"], "trimmed": F.trim(values["got"]), None: None}
     made = {name: outcome(status, confidence, name, tips[tip], **values) for name, (status, confidence, tip) in outcomes.items()}
-    return Check(layers, [earliest(f"{topic}_hit", F.when(F.col(f"_{topic}_word").isNotNull(), hit))], _worded(r["word"], **made))
+    return Check(layers, [earliest(f"{topic}_hit", F.when(F.col(f"_{topic}_word").isNotNull(), hit))], _worded(r["word"], **made), texts)
 
 
 def threshold_check(only: Column | None = None) -> Check:
