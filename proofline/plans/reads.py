@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import increments, maintenance, outputs
+from ..operators import increments, maintenance, outputs, palette
 from ..sources.shared import shared_dir
 from .views import duck, shared
 
@@ -166,6 +166,36 @@ def o_i17_global_search(spark, sf_dir):
     return outputs.global_search(kinds, "17")
 
 
+_TYPED = ["cus17", "mis ev", "f-9pe", "pot123", "sup spec", "united"]
+
+
+def _typed_sql(k: int, query: str) -> str:
+    """The best placing of ``query``, one join by place for each of its characters."""
+    chars, signs = "".join(query.split()), ", ".join("'" + c.replace("'", "''") + "'" for c in palette.SIGNS)
+    inside = lambda gap: f"{palette.INSIDE_WORD}::DOUBLE * pow({palette.SKIPPED}::DOUBLE, {gap})"
+    gate = f"WHEN prev = ' ' THEN {palette.AFTER_SPACE}::DOUBLE WHEN prev IN ({signs}) THEN {palette.AFTER_SIGN}::DOUBLE"
+    parts = [
+        f"l{k} AS (SELECT kind, id, label, length(low) AS n, p, substr(low, p, 1) AS ch, substr(low, p - 1, 1) AS prev FROM (SELECT *, unnest(range(1, length(low) + 1)) AS p FROM k WHERE low LIKE '%{'%'.join(chars)}%'))",
+        f"s{k}_0 AS (SELECT kind, id, label, n, p, CASE WHEN p = 1 THEN 1::DOUBLE {gate} ELSE {inside('0')} END AS s FROM l{k} WHERE ch = '{chars[0]}')",
+    ]
+    for j, c in enumerate(chars[1:]):
+        factor = f"CASE WHEN b.p = a.p + 1 THEN 1::DOUBLE {gate} ELSE {inside('b.p - a.p - 1')} END"
+        parts.append(f"s{k}_{j + 1} AS (SELECT b.kind, b.id, b.label, b.n, b.p, max(a.s * {factor}) AS s FROM s{k}_{j} a JOIN l{k} b ON a.kind = b.kind AND a.id = b.id AND b.p > a.p AND b.ch = '{c}' GROUP BY ALL)")
+    parts.append(f"t{k} AS (SELECT '{query}' AS query, kind, id, label, round(max(CASE WHEN p < n THEN s * {palette.UNFINISHED}::DOUBLE ELSE s END), 9) AS score FROM s{k}_{len(chars) - 1} GROUP BY ALL)")
+    return ",\n".join(parts)
+
+
+@query(f"""WITH {duck('projects', 'requirements', 'docs', 'findings')}, e AS (SELECT 'project' AS kind, CAST(project_id AS VARCHAR) AS id, name AS label FROM projects UNION ALL SELECT 'requirement', req_code, title FROM requirements
+ UNION ALL SELECT 'document', CAST(document_id AS VARCHAR), document_name FROM docs UNION ALL SELECT 'finding', finding_code, finding_type FROM findings), k AS (SELECT *, lower(concat_ws(' ', id, label)) AS low FROM e),
+{', '.join(_typed_sql(k, q) for k, q in enumerate(_TYPED))}, f AS ({' UNION ALL '.join(f'SELECT * FROM t{k}' for k in range(len(_TYPED)))}),
+r AS (SELECT query, kind, CAST(row_number() OVER (PARTITION BY query, kind ORDER BY score DESC, id, label) AS INT) AS rank, id, label, score FROM f) SELECT * FROM r WHERE rank <= 8""")
+def o_i17_ranked_palette(spark, sf_dir):
+    """The eight best rows of each kind for each of six typed queries."""
+    t = {n: shared(spark, sf_dir, n) for n in ("projects", "requirements", "docs", "findings")}
+    kinds = {"project": (t["projects"], "project_id", "name"), "requirement": (t["requirements"], "req_code", "title"), "document": (t["docs"], "document_id", "document_name"), "finding": (t["findings"], "finding_code", "finding_type")}
+    return palette.ranked_search(kinds, _TYPED, 8)
+
+
 @query(f"""WITH {duck('requirements', 'findings')} SELECT 'coverage' AS section, coverage_status AS name, count(*) AS n FROM requirements GROUP BY ALL UNION ALL SELECT 'review', review_state, count(*) FROM requirements GROUP BY ALL
  UNION ALL SELECT 'category', category, count(*) FROM requirements GROUP BY ALL UNION ALL SELECT 'finding', finding_type, count(*) FROM findings GROUP BY ALL""")
 def o_i18_report_sections(spark, sf_dir):
