@@ -117,7 +117,7 @@ def extract_requirements(c: Column) -> Column:
         code = group(line, fixed.LINE_CODE, 1)
         title = F.coalesce(or_null(strip(F.regexp_extract(line, fixed.LINE_CODE, 2))), line)
         explicit = made(F.replace(F.upper(code), F.lit("_"), F.lit("-")), title, line, title)
-        running = made(F.concat(F.lit("REQ-"), F.lpad(acc["counter"].cast("string"), 3, "0")), F.substring(line, 1, 120), line, line)
+        running = made(F.format_string("REQ-%03d", acc["counter"]), F.substring(line, 1, 120), line, line)
         prev = F.try_element_at(acc["reqs"], F.lit(-1))
         open_ = F.coalesce((prev["description"] == prev["title"]) | (F.length(prev["description"]) < 80), F.lit(False))
         merged = F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, units
 from ..functions.contracts import parse_contract
-from ..operators import chunking, maintenance, sections
+from ..operators import chunking, maintenance, requirement_lines, sections
 from ..sources import commits, tables
 from ..sources.shared import shared_dir
 from .views import LINE_CHUNKS, duck, duck_tokens, line_chunks, shared, table
@@ -217,7 +217,39 @@ def _spec_text(spark, sf_dir):
     return r.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("req_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
-@query()
+_LINE_CODE = fixed.LINE_CODE.replace("(?iU)", "(?i)")
+_DUCK_RANGE = fixed.PLAIN_RANGE.replace("(?iU)", "(?i)")
+_MODAL = " OR ".join(f"contains(lower(line), '{m}')" for m in fixed.MODALS)
+_N_PARAMETERS = rf"len(regexp_extract_all({{0}}, '{_DUCK_RANGE}')) + CAST(regexp_matches({{0}}, '(?i)IP\d{{{{2}}}}') AS INT)"
+_EXTRACTED = rf"""
+WITH RECURSIVE {duck('part_requirements')},
+raw AS (SELECT CAST(req_id // 50 AS BIGINT) AS grp, req_id, CASE WHEN req_id % 3 = 0 THEN concat(lower(req_code), ': ', title) ELSE description END AS line FROM part_requirements),
+marked AS (SELECT grp, req_id, line, nullif(regexp_extract(line, '{_LINE_CODE}', 1), '') AS code, coalesce(nullif(trim(regexp_extract(line, '{_LINE_CODE}', 2)), ''), line) AS named FROM raw WHERE length(line) >= 15),
+l AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY req_id) AS n, line, upper(replace(code, '_', '-')) AS code, CASE WHEN code IS NULL THEN substr(line, 1, 120) ELSE named END AS title FROM marked WHERE code IS NOT NULL OR {_MODAL}),
+f(grp, n, head, title, description) AS (
+ SELECT grp, n, n, title, line FROM l WHERE n = 1
+ UNION ALL SELECT f.grp, l.n, CASE WHEN l.code IS NULL AND (f.description = f.title OR length(f.description) < 80) THEN f.head ELSE l.n END,
+   CASE WHEN l.code IS NULL AND (f.description = f.title OR length(f.description) < 80) THEN f.title ELSE l.title END,
+   CASE WHEN l.code IS NULL AND (f.description = f.title OR length(f.description) < 80) THEN concat(f.title, '. ', l.line) ELSE l.line END
+ FROM f JOIN l ON l.grp = f.grp AND l.n = f.n + 1),
+c AS (SELECT l.*, f.head, f.description, CASE WHEN l.n = f.head AND l.code IS NOT NULL THEN l.title ELSE l.line END AS basis FROM f JOIN l USING (grp, n)),
+k AS (SELECT *, {_N_PARAMETERS.format('basis')} AS found FROM c),
+r AS (SELECT grp, head, max(code) FILTER (WHERE n = head) AS code, max(title) FILTER (WHERE n = head) AS title, arg_max(description, n) AS description, lower(max(basis) FILTER (WHERE n = head)) AS low,
+  coalesce(arg_min(found, n) FILTER (WHERE found > 0), 0) AS n_parameters FROM k GROUP BY 1, 2),
+s AS (SELECT grp, CAST(row_number() OVER w - 1 AS INT) AS ord, coalesce(code, concat('REQ-', lpad(CAST(count(*) FILTER (WHERE code IS NULL) OVER w AS VARCHAR), 3, '0'))) AS req_code, title, description, {_CATEGORY} AS category, CAST(n_parameters AS INT) AS n_parameters
+  FROM r WINDOW w AS (PARTITION BY grp ORDER BY head ROWS UNBOUNDED PRECEDING))
+SELECT grp, ord, req_code, title, description, category, CASE WHEN category IN ('Safety', 'Electrical') THEN 'High' ELSE 'Medium' END AS severity, n_parameters FROM s"""
+
+
+@query(_EXTRACTED)
+def o_t5_line_requirements(spark, sf_dir):
+    """The same for documents that come as rows of lines."""
+    lines = requirement_lines.document_lines(_spec_text(spark, sf_dir), ["grp"])
+    reqs = requirement_lines.requirement_lines(lines, ["grp"], "line")
+    return reqs.select("grp", "ord", "req_code", "title", "description", "category", "severity", F.size("parameters").alias("n_parameters"))
+
+
+@query(_EXTRACTED)
 def o_t5_extracted_requirements(spark, sf_dir):
     rows = _spec_text(spark, sf_dir).select("grp", F.posexplode(text.extract_requirements(F.col("text"))).alias("ord", "r"))
     return rows.select("grp", "ord", "r.req_code", "r.title", "r.description", "r.category", "r.severity", F.size("r.parameters").alias("n_parameters"))
