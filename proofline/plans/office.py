@@ -1,16 +1,17 @@
-"""Queries of office files: workbooks and documents that Spark packs from the tables, read back."""
+"""Queries of office files: workbooks, documents and PDF files that Spark packs from the tables, read back."""
 
 from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources import office
+from ..sources import office, pdf
 from .ingest import ORACLES as INGEST_ORACLES
 from .views import table
 
@@ -18,6 +19,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 PARTS = 500  # parts of a workbook
+LINES = 40  # lines of a page
 _MAIN, _OFFICE = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _LINKS, _WORD = "http://schemas.openxmlformats.org/package/2006/relationships", "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -66,6 +68,34 @@ def pack_document(paragraphs: list[tuple[str, bool]]) -> bytes:
     return _zipped({"word/document.xml": f'<w:document xmlns:w="{_WORD}"><w:body>{body}</w:body></w:document>', "word/styles.xml": f'<w:styles xmlns:w="{_WORD}">{styles}</w:styles>'})
 
 
+def pack_pdf(pages: list[list[str]]) -> bytes:
+    """A PDF file of pages of lines, in one font whose codes are numbers of the file's own characters."""
+    codes = {c: k for k, c in enumerate(sorted({c for page in pages for line in page for c in line}), 1)}
+    hexed = lambda line: "".join(f"{codes[c]:04x}" for c in line)
+    meanings = [f"<{k:04x}> <{c.encode('utf-16-be').hex()}>" for c, k in codes.items()]
+    table = "1 begincodespacerange <0000> <ffff> endcodespacerange\n" + "\n".join(f"{len(b)} beginbfchar {' '.join(b)} endbfchar" for b in (meanings[k : k + 100] for k in range(0, len(meanings), 100)))
+
+    def stream(text: str) -> bytes:
+        data = zlib.compress(text.encode())
+        return b"<< /Filter /FlateDecode /Length %d >> stream\n%b\nendstream" % (len(data), data)
+
+    kids = " ".join(f"{6 + 2 * k} 0 R" for k in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{kids}] /Resources << /Font << /F1 3 0 R >> >> >>".encode()]
+    objects += [b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>", b"<< /Type /Font /Subtype /CIDFontType2 /DW 500 >>", stream(table)]
+    for k, page in enumerate(pages):
+        shown = "\n".join(f"<{hexed(line)}> Tj T*" if line else "T*" for line in page)
+        objects += [f"<< /Type /Page /Parent 2 0 R /Contents {7 + 2 * k} 0 R >>".encode(), stream(f"BT /F1 10 Tf 12 TL 40 800 Td\n{shown}\nET")]
+    out, places = io.BytesIO(), []
+    out.write(b"%PDF-1.7\n")
+    for k, body in enumerate(objects, 1):
+        places.append(out.tell())
+        out.write(b"%d 0 obj %b endobj\n" % (k, body))
+    begin = out.tell()
+    entries = "".join(f"{p:010d} 00000 n \n" for p in places)
+    out.write(f"xref\n0 {len(places) + 1}\n0000000000 65535 f \n{entries}trailer << /Size {len(places) + 1} /Root 1 0 R >>\nstartxref\n{begin}\n%%EOF\n".encode())
+    return out.getvalue()
+
+
 def o_a2_workbook_chunks(spark, sf_dir):
     """Workbooks of two sheets, the second with gaps between its rows, as chunks."""
 
@@ -105,4 +135,25 @@ def o_a4_document_sections(spark, sf_dir):
 
 
 ORACLES["o_a4_document_sections"] = INGEST_ORACLES["o_a4_section_chunks"]
-QUERIES |= {f.__name__: f for f in (o_a2_workbook_chunks, o_a4_document_sections)}
+
+
+def o_a3_pdf_pages(spark, sf_dir):
+    """Each text as a PDF file of pages of lines, read back."""
+
+    def pack(batches):
+        for batch in batches:
+            lines = [t.split("\n") for t in batch.column("text").to_pylist()]
+            content = [pack_pdf([x[k : k + LINES] for k in range(0, len(x), LINES)]) for x in lines]
+            yield pa.record_batch([batch.column("path"), pa.array(content, pa.binary())], names=["path", "content"])
+
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    packed = d.select(F.concat("doc_id", F.lit(".pdf")).alias("path"), "text").mapInArrow(pack, "path string, content binary")
+    chunks = pdf.page_chunks(pdf.pages(packed))
+    return chunks.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "page_number", "chunk_index", F.md5("content").alias("digest"))
+
+
+ORACLES["o_a3_pdf_pages"] = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+p AS (SELECT doc_id, i // {LINES} AS page, regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '^\s+|\s+$', '', 'g') AS content FROM l GROUP BY 1, 2)
+SELECT doc_id, CAST(page + 1 AS INT) AS page_number, CAST(page AS INT) AS chunk_index, md5(content) AS digest FROM p WHERE content <> ''"""
+QUERIES |= {f.__name__: f for f in (o_a2_workbook_chunks, o_a3_pdf_pages, o_a4_document_sections)}

@@ -189,11 +189,12 @@ def document_paragraphs(content: bytes) -> Iterator[tuple[int, str | None, bool,
 
 
 def files(spark: SparkSession, path: str | list[str], suffix: str) -> DataFrame:
-    """``path, content`` of all files of one kind under ``path``."""
+    """``path, content`` of all files of one kind under ``path``; Spark passes over empty ones."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _parsed(found: DataFrame, rows, schema: str, columns: list[str]) -> DataFrame:
+def parsed(found: DataFrame, rows, schema: str, columns: list[str]) -> DataFrame:
+    """What ``rows`` gives for the content of each file, as ``columns`` of ``schema``; an ``error`` row where it fails."""
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     form = pa.schema([(name, kinds[kind]) for name, kind in (f.strip().split(" ") for f in schema.split(","))])
 
@@ -217,12 +218,12 @@ def _parsed(found: DataFrame, rows, schema: str, columns: list[str]) -> DataFram
 
 def workbooks(found: DataFrame) -> DataFrame:
     """``path, document_name, sheet_no, sheet, row, cells, error``: the rows of all sheets of .xlsx files (``path, content``)."""
-    return _parsed(found, workbook_rows, _SHEETS, ["sheet_no", "sheet", "row", "cells"])
+    return parsed(found, workbook_rows, _SHEETS, ["sheet_no", "sheet", "row", "cells"])
 
 
 def documents(found: DataFrame) -> DataFrame:
     """``path, document_name, index, style, heading, text, error``: the paragraphs of .docx files (``path, content``)."""
-    return _parsed(found, document_paragraphs, _PARAGRAPHS, ["index", "style", "heading", "text"])
+    return parsed(found, document_paragraphs, _PARAGRAPHS, ["index", "style", "heading", "text"])
 
 
 def readable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
