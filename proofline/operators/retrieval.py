@@ -1,16 +1,19 @@
-"""Evidence retrieval: a lexical score by an inverted equi-join, and a diversified top-k."""
+"""Evidence retrieval: a lexical score by common tokens, and a diversified top-k."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from ..functions.text import contains_any, first_code, tokenize
 from ..sources.shared import materialize
+from . import lexical
 
 K1, B = 1.5, 0.75
-DIGITS = 9  # scores are rounded before they are ranked, as sums depend on their order
 
 
 def average_length(chunks: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def _gain(impact: str = "impact") -> Column:
 def _total(raw: Column) -> Column:
     """A pair's score from the sum of its gains, rounded."""
     boosted = contains_any(F.lower("document_name"), fixed.BOOSTED_NAMES) & F.col("named")
-    return F.round(raw + F.when(boosted, 1.0).otherwise(0.0), DIGITS)
+    return F.round(raw + F.when(boosted, 1.0).otherwise(0.0), lexical.DIGITS)
 
 
 _NAMED = "is_core or is_code"  # tokens that let a document's name count
@@ -101,125 +104,41 @@ def diversified(scored: DataFrame, k: int, per_document: int = 2) -> DataFrame:
     return tiered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_d", "_tier")
 
 
-NAME_BOOST, SLACK = 1.0, 1e-6  # what a document's name may add; scores are sums of doubles
-FREQUENT = 63  # tokens of a project whose impacts stand beside each chunk, so that their lists need not be read
-BROADCAST_ROWS = 8_192  # requirements (about a kilobyte each) that are sent to all tasks
-SEED_ROWS, SEEDS = 4_000, 8  # token rows that look for the first good chunks of a requirement; chunks tried for each place
-
-
-def _band() -> Column:
-    """Chunks of alike length: two bands for each doubling of the number of tokens."""
-    return F.ceil(2 * F.log2(F.greatest("dl", F.lit(1)))).cast("int")
-
-
-def token_lists(q: DataFrame, d: DataFrame) -> DataFrame:
-    """The rows of ``q`` once for each list of its token: ``band`` and ``often`` name the list, ``df`` is its length, ``bound`` the most it gives.
-
-    A list holds the chunks of one band that have the token once, or (``often`` 1) several times.
-    """
-    lists = d.groupBy("project_id", "token", "band", "often").agg(F.count("*").alias("df"), F.max("impact").alias("peak"))
-    return q.join(lists, ["project_id", "token"]).withColumn("bound", _gain("peak"))
-
-
-def thresholds(lists: DataFrame, q: DataFrame, d: DataFrame, chunks: DataFrame, k: int, min_score: float, per_document: int) -> DataFrame:
-    """``project_id, req_id, least``: a score that the k-th of the diversified best reaches, from k real chunks.
-
-    The rarest telling tokens find chunks; the best of these are scored in full, and the
-    k-th of them, at most ``per_document`` of a document, is the threshold. Requirements for
-    which fewer than k such chunks turn up have none.
-    """
-    key = ["project_id", "req_id"]
-    telling = lists.where(F.col("is_core") | F.col("is_code") | F.col("has_digit")).groupBy(*key, "token").agg(F.sum("df").alias("df"))
-    order = Window.partitionBy(*key).orderBy("df", "token")
-    telling = telling.withColumn("rows", F.sum("df").over(order) - F.col("df")).where(F.col("rows") < SEED_ROWS).select(*key, "token")
-    met = q.join(telling, [*key, "token"]).join(d, ["project_id", "token"]).groupBy(*key, "chunk_id").agg(F.sum(_gain()).alias("low"))
-    met = met.join(chunks.select("project_id", "chunk_id", "document_name"), ["project_id", "chunk_id"])
-    tried = _places(met, "low", SEEDS * k, SEEDS * per_document).select(*key, "chunk_id")
-    full = _scored(tried.join(q, key).join(d, ["project_id", "chunk_id", "token"]), chunks, min_score)
-    return _places(full, "score", k, per_document).groupBy(*key).agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).drop("n")
-
-
-def _places(rows: DataFrame, value: str, n: int, per_document: int) -> DataFrame:
-    """The best ``n`` rows of each requirement, at most ``per_document`` of a document."""
-    key = ["project_id", "req_id"]
-    rows = rows.withColumn("_d", F.row_number().over(Window.partitionBy(*key, "document_name").orderBy(F.desc(value), "chunk_id"))).where(F.col("_d") <= per_document)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(value), "chunk_id"))).where(F.col("_n") <= n).drop("_d", "_n")
+def _prepared(requirements: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requirements' tokens, tokenized chunks and sizes of projects, as :func:`.lexical.scanned` takes them."""
+    q = query_tokens(requirements)
+    extra = F.when(F.col("is_code"), 5.0).otherwise(0.0) + F.when(F.col("has_digit"), 2.0 * F.col("qtf")).otherwise(0.0) + F.when(F.col("is_core"), 1.5).otherwise(0.0)
+    tokens = q.select("project_id", "req_id", "token", "qtf", extra.alias("boost"), F.expr(_NAMED).alias("named"))
+    boosted = F.coalesce(contains_any(F.lower("document_name"), fixed.BOOSTED_NAMES), F.lit(False))
+    lists = chunks.select("project_id", "chunk_id", "document_name", boosted.alias("boosted"), tokenize(F.col("content")).alias("t"))
+    rows = materialize(lists.select("project_id", "chunk_id", "document_name", "boosted", F.greatest(F.size("t"), F.lit(0)).alias("dl"), F.array_join("t", " ").alias("words")), "chunk-words")
+    sizes = rows.groupBy("project_id").agg((F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"), F.sum(F.length("words") + 50).alias("chars"))
+    sizes = materialize(sizes.join(requirements.groupBy("project_id").agg(F.count("*").alias("n_requirements")), "project_id"), "project-sizes")
+    norm = K1 * (1 - B + B * (F.col("dl") / F.greatest("avg_len", F.lit(1.0))))
+    rows = rows.join(sizes.select("project_id", "avg_len"), "project_id").withColumns({"gain": F.lit(K1 + 1), "norm": norm}).where("dl > 0").drop("dl", "avg_len")
+    return tokens, rows, sizes
 
 
-def frequent(lists: DataFrame) -> DataFrame:
-    """``project_id, token, no``: the tokens in most chunks, numbered."""
-    sizes = lists.select("project_id", "token", "band", "often", "df").distinct().groupBy("project_id", "token").agg(F.sum("df").alias("df"))
-    numbered = sizes.withColumn("no", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("df"), "token")))
-    return numbered.where(F.col("no") <= FREQUENT).select("project_id", "token", "no")
-
-
-def essential(lists: DataFrame, common: DataFrame, least: DataFrame) -> DataFrame:
-    """``lists`` with ``no`` of frequent tokens, ``least`` (0 where there is none) and ``skipped``.
-
-    A chunk that stands in skipped lists alone cannot reach the threshold. Only lists of
-    frequent tokens are skipped, in the order of their length over what they may give, within
-    each requirement and band. The second list of a token counts with what it may give beyond
-    the first.
-    """
-    key = ["project_id", "req_id"]
-    token = Window.partitionBy(*key, "band", "token").orderBy("often")
-    before = F.coalesce(F.lag("bound").over(token), F.lit(0.0))
-    rows = lists.join(common, ["project_id", "token"], "left").withColumn("more", F.greatest(F.col("bound") - before, F.lit(0.0)))
-    rate = F.col("df") / (F.col("more") + SLACK)
-    rows = rows.withColumn("rate", F.least(rate, F.coalesce(F.lag(rate).over(token), rate)))
-    order = Window.partitionBy(*key, "band").orderBy(F.col("no").isNull(), F.desc("rate"), "token", "often").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(least, key, "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    return rows.withColumn("skipped", F.col("no").isNotNull() & (F.sum("more").over(order) + (NAME_BOOST + SLACK) < F.col("least"))).drop("rate", "more")
-
-
-def _dense(entry: Column) -> Column:
-    """Aggregate: the second fields of ``entry`` at the places that their first fields number from 1, 0 elsewhere."""
-    held = F.map_from_entries(F.collect_list(entry))
-    return F.array(*(F.coalesce(F.try_element_at(held, F.lit(i + 1)), F.lit(0.0)) for i in range(FREQUENT)))
-
-
-def pair_scores(lists: DataFrame, q: DataFrame, d: DataFrame, common: DataFrame, chunks: DataFrame, min_score: float) -> DataFrame:
-    """``project_id, req_id, chunk_id, document_name, score`` of the pairs that reach their threshold.
-
-    Lists that are not skipped make the pairs and add the gains of rare tokens; those of
-    frequent ones come from the chunk's own array of impacts, so no list of theirs is read to
-    complete a score.
-    """
-    key = ["project_id", "req_id"]
-    rare = F.col("no").isNull()
-    pairs = lists.where(~F.col("skipped")).join(d, ["project_id", "token", "band", "often"])
-    low = pairs.groupBy(*key, "chunk_id").agg(F.sum(F.when(rare, _gain()).otherwise(0.0)).alias("low"), F.bool_or(rare & F.expr(_NAMED)).alias("rare_named"))
-    bit = F.expr("shiftleft(1L, no - 1)")
-    impacts = d.join(common, ["project_id", "token"]).groupBy("project_id", "chunk_id").agg(_dense(F.struct("no", "impact")).alias("impacts"), F.bit_or(bit).alias("has"))
-    named = chunks.select("project_id", "chunk_id", "document_name").join(impacts, ["project_id", "chunk_id"], "left")
-    words = q.join(common, ["project_id", "token"]).withColumn("none", F.lit(0.0))
-    words = words.groupBy(*key).agg(_dense(F.struct("no", F.col("qtf").cast("double"))).alias("times"), _dense(F.struct("no", _gain("none").alias("boost"))).alias("boosts"), F.bit_or(F.when(F.expr(_NAMED), bit)).alias("names"))
-    words = materialize(lists.select(*key, "least").distinct().join(words, key, "left"), "requirement-words")
-    few = words.count() <= BROADCAST_ROWS  # else the pairs are dealt by requirement
-    rows = low.join(named, ["project_id", "chunk_id"]).join(F.broadcast(words) if few else words, key)
-    # written out for each place of the arrays, as plain arithmetic compiles and lambdas over arrays do not
-    one = lambda i: F.col("times")[i] * F.col("impacts")[i] + F.when(F.col("impacts")[i] > 0, F.col("boosts")[i]).otherwise(0.0)
-    more = sum((one(i) for i in range(1, FREQUENT)), one(0))
-    both = F.col("impacts").isNotNull() & F.col("times").isNotNull()
-    rows = rows.withColumn("named", F.col("rare_named") | F.coalesce(F.col("has").bitwiseAND(F.col("names")) != 0, F.lit(False)))
-    rows = rows.withColumn("score", _total(F.col("low") + F.when(both, more).otherwise(0.0)))
-    return rows.where((F.col("score") >= min_score) & (F.col("score") >= F.col("least") - SLACK)).select(*key, "chunk_id", "document_name", "score")
+def score_totals(requirements: DataFrame, chunks: DataFrame, min_score: float = 0.3) -> DataFrame:
+    """``project_id, req_id, pairs, best, total`` of the pairs that :func:`scores` gives."""
+    tokens, rows, sizes = _prepared(requirements, chunks)
+    ids = requirements.select("project_id", "req_id")
+    found = lexical.scanned(tokens, rows, sizes, partial(lexical.totals, min_score=min_score), StructType([*ids.schema, *StructType.fromDDL("pairs long, best double, total double")]))
+    return found.groupBy("project_id", "req_id").agg(F.sum("pairs").alias("pairs"), F.max("best").alias("best"), F.sum("total").alias("total"))
 
 
 def retrieve(requirements: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.3, per_document: int = 2) -> DataFrame:
     """Top-k evidence of each requirement, with ``matched`` as in :func:`scores`.
 
     ``requirements``: project_id, req_id, text. ``chunks``: project_id, chunk_id,
-    document_name, content. Pairs are made from essential tokens only (see
-    :func:`essential`); the texts' matches are looked up for the chosen pairs alone.
+    document_name, content. Every pair of a project is scored, by groups (see
+    :mod:`.lexical`); only those that may be among the best are ranked by Spark.
     """
     key = ["project_id", "req_id"]
-    d = with_impact(chunk_tokens(chunks), average_length(chunks)).withColumn("band", _band()).withColumn("often", (F.col("tf") > 1).cast("int"))
-    d, q = materialize(d, "chunk-tokens"), materialize(query_tokens(requirements), "query-tokens")
-    lists = materialize(token_lists(q, d), "token-lists")
-    common = materialize(frequent(lists), "frequent-tokens")
-    least = thresholds(lists, q, d, chunks, k, min_score, per_document)
-    lists = materialize(essential(lists, common, least), "essential-lists")
-    top = materialize(diversified(pair_scores(lists, q, d, common, chunks, min_score), k, per_document), "retrieved")
-    terms = _matched(top.select(*key, "chunk_id").join(q, key).join(d.select("project_id", "chunk_id", "token"), ["project_id", "chunk_id", "token"]))
-    return top.join(terms, [*key, "chunk_id"])
+    tokens, rows, sizes = _prepared(requirements, chunks)
+    columns = StructType([*requirements.select(*key).schema, *chunks.select("chunk_id", "document_name").schema, *StructType.fromDDL("score double, held string")])
+    found = lexical.scanned(tokens, rows, sizes, partial(lexical.best_rows, min_score=min_score, k=k, per_document=per_document), columns)
+    top = materialize(diversified(found, k, per_document), "retrieved")
+    words = F.filter("_words", lambda t: (F.length(t) > 2) & F.array_contains(F.split("held", " "), t))
+    asked = requirements.select(*key, tokenize(F.col("text")).alias("_words"))
+    return top.join(asked, key).withColumn("matched", words).drop("held", "_words")
