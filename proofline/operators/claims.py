@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import contains_any, group, number, or_null, requirement_codes, strip
+from ..sources.shared import materialize
 
 CLAIM = (
     "claim_type:string,parameter:string,value_num:double,value_str:string,min_value:double,max_value:double,discrete_points:array<double>,unit:string,test_result:string,quote:string"
@@ -110,16 +111,32 @@ def claims_of(text: Column, scoped: Column, kinds: tuple[str, ...] = KINDS) -> C
     return F.transform(F.array(typed), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(_claim("semantic", text))))[0]
 
 
-def extract_claims(candidates: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+OFTEN, KNOWN, KNOWN_CHARS = 8, 10_000, 1_000  # a text of that many rows is read once; at most so many texts, none longer
+
+
+def known_claims(contents: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """``known, found``: the claims of the most frequent ``content`` values.
+
+    Only texts that name no requirement, as their claims are the same for all. Their number and
+    length are bounded, so they can be broadcast; any other text is read row by row.
+    """
+    text = F.coalesce("content", F.lit(""))
+    counts = contents.select(text.alias("known")).where(F.length("known") <= KNOWN_CHARS).groupBy("known").agg(F.count("*").alias("n"))
+    often = counts.where((F.col("n") >= OFTEN) & ~F.col("known").rlike(fixed.CODE)).orderBy(F.desc("n"), "known").limit(KNOWN).select("known")
+    return materialize(often.select("known", claims_of(F.col("known"), F.col("known"), kinds).alias("found")), "known-claims")
+
+
+def extract_claims(candidates: DataFrame, kinds: tuple[str, ...] = KINDS, contents: DataFrame | None = None) -> DataFrame:
     """Claims of each requirement's candidates, in order.
 
     ``candidates``: req_id, req_code, rank, chunk_id, document_name, page_number, content.
     Adds ``claim_ord``, which orders all claims of a requirement: candidate rank, then
-    position in the chunk (among those of ``kinds``).
+    position in the chunk (among those of ``kinds``). ``contents``: where to look for frequent
+    texts, if a plainer table than ``candidates`` has them; it decides nothing but the time.
     """
     text = F.coalesce("content", F.lit(""))
-    scoped = candidates.withColumn("_text", text).withColumn("_scope", scope(text, F.col("req_code")))
-    rows = scoped.where("_scope is not null").select(
-        "req_id", "rank", "chunk_id", "document_name", "page_number", F.posexplode(claims_of(F.col("_text"), F.col("_scope"), kinds)).alias("_pos", "c")
-    )
+    known = known_claims(candidates if contents is None else contents, kinds)
+    read = F.transform(F.array(F.struct(text.alias("t"), scope(text, F.col("req_code")).alias("s"))), lambda x: F.when(x["s"].isNotNull(), claims_of(x["t"], x["s"], kinds)))[0]
+    rows = candidates.withColumn("_text", text).join(F.broadcast(known), F.col("_text") == F.col("known"), "left").withColumn("_claims", F.coalesce("found", read))
+    rows = rows.select("req_id", "rank", "chunk_id", "document_name", "page_number", F.posexplode("_claims").alias("_pos", "c"))
     return rows.select("req_id", (F.col("rank") * F.lit(1_000_000).cast("long") + F.col("_pos")).alias("claim_ord"), "chunk_id", "document_name", "page_number", "c.*")

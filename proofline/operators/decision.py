@@ -62,7 +62,7 @@ def assess(requirements: DataFrame, candidates: DataFrame) -> tuple[DataFrame, D
     """
     reqs = with_contracts(requirements)
     coded = candidates.join(reqs.select("req_id", "req_code"), "req_id")
-    rows = materialize(v.facts(reqs, extract_claims(coded)), "facts")  # read twice: by the checks and for pairs
+    rows = materialize(v.facts(reqs, extract_claims(coded, contents=candidates.select("content"))), "facts")  # read twice: by the checks and for pairs
     kind = F.col("contract")["requirement_type"]
     typed = [v.range_check(kind == "numeric_range"), v.duration_check(kind == "duration"), v.threshold_check(kind == "threshold"), v.flag_check(kind.isin("boolean", "enumeration"))]
     verdict_, semantic, denied = v.verdict_check(), v.semantic_check(), contract_check()

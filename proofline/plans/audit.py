@@ -76,7 +76,8 @@ def _candidates(spark, sf_dir):
 
 def _claims(spark, sf_dir, kinds=KINDS):
     reqs = _requirements(spark, sf_dir)
-    return extract_claims(_candidates(spark, sf_dir).join(reqs.select("req_id", "req_code"), "req_id"), kinds)
+    contents = shared(spark, sf_dir, "part_evidence").select("content")
+    return extract_claims(_candidates(spark, sf_dir).join(reqs.select("req_id", "req_code"), "req_id"), kinds, contents)
 
 
 def _facts(spark, sf_dir, kinds=KINDS):
