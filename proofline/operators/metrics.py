@@ -30,29 +30,35 @@ def _last_by_code(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("code", normalize_code(F.col("req_code"))).groupBy("code").agg(F.lower(F.coalesce(F.max_by("title", order), F.lit(""))).alias("title"))
 
 
+WIDEST = 32  # characters of a title by which it is looked up, at most
+
+
+def _standing(held: DataFrame, outer: DataFrame) -> DataFrame:
+    """``held, outer``: the titles of ``held(held)`` that stand in those of ``outer(outer)``.
+
+    A title is filed under its first characters: as many as the greatest power of two up to
+    ``WIDEST`` that it has. Where such characters stand in another title, the pieces of the
+    filed lengths that begin there are looked up whole. So what a title gives depends on its
+    own length, not on how many titles share words with it.
+    """
+    n, widths = F.length("held"), [2**k for k in range(WIDEST.bit_length())]
+    width = F.coalesce(*[F.when(n >= w, F.lit(w)) for w in reversed(widths)])
+    filed = held.select(F.xxhash64(F.substring(F.col("held"), F.lit(1), width)).alias("key"), width.alias("width"), n.alias("n"))
+    filed = filed.groupBy("key", "width").agg(F.collect_set("n").alias("lengths"))
+    used = filed.agg(F.collect_set("width").alias("widths"))  # a row
+    size, c = F.length("outer"), F.col("outer")
+    at = lambda w: F.transform(F.sequence(F.lit(1), size - w + 1), lambda i: F.struct(i.alias("at"), w.alias("width"), F.xxhash64(F.substring(c, i, w)).alias("key")))
+    places = F.flatten(F.transform(F.filter("widths", lambda w: w <= size), at))
+    looked = outer.crossJoin(F.broadcast(used)).select("outer", F.inline(places)).join(filed.hint("merge"), ["key", "width"])
+    looked = looked.select("outer", "at", F.explode("lengths").alias("n")).where(F.col("at") + F.col("n") - 1 <= size)
+    pieces = looked.select("outer", F.substring(c, F.col("at"), F.col("n")).alias("held"))
+    return pieces.join(held.hint("merge"), "held")
+
+
 def _containing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``title`` of those rows of ``a(title)`` that contain a row of ``b(other)`` or stand in one, though not equal."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(fixed.WORD), F.lit(0)))
-    inner = lambda c: F.slice(F.regexp_extract_all(c, F.lit(fixed.WORD), F.lit(0)), 2, F.greatest(F.size(F.regexp_extract_all(c, F.lit(fixed.WORD), F.lit(0))) - 2, F.lit(0)))
-    both = a.select("title").union(b.select("other"))
-    often = both.select(F.explode(words(F.col("title"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-
-    def pieces(df: DataFrame, name: str) -> DataFrame:
-        """What a title that holds others is filed under: its words and its runs of three characters."""
-        c = F.col(name)
-        runs = F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.concat(F.lit("3:"), F.substring(c, i, F.lit(3)))))
-        shorter = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.lit("1:"), F.substring(c, i, F.lit(1))))
-        return df.select(c.alias("outer"), F.explode(F.array_distinct(F.concat(words(c), F.coalesce(runs, F.array().cast("array<string>")), shorter))).alias("key"))
-
-    def one(df: DataFrame, name: str) -> DataFrame:
-        """The one key of a contained title: its rarest inner word, or else its first characters."""
-        c = F.col(name)
-        long = df.where(F.size(inner(c)) > 0).select(c.alias("held"), F.explode(F.array_distinct(inner(c))).alias("key")).join(often, "key")
-        short = df.where(F.size(inner(c)) <= 0).select(c.alias("held"), F.when(F.length(c) >= 3, F.concat(F.lit("3:"), F.substring(c, F.lit(1), F.lit(3)))).otherwise(F.concat(F.lit("1:"), F.substring(c, F.lit(1), F.lit(1)))).alias("key"))
-        return long.groupBy("held").agg(F.min_by("key", F.struct("n", "key")).alias("key")).union(short)
-
-    up = one(a, "title").join(pieces(b, "other"), "key").where(F.contains("outer", F.col("held"))).select(F.col("held").alias("title"))
-    down = one(b, "other").join(pieces(a, "title"), "key").where(F.contains("outer", F.col("held"))).select(F.col("outer").alias("title"))
+    """``title`` of those rows of ``a(title)`` that contain a row of ``b(other)`` or stand in one."""
+    up = _standing(a.select(F.col("title").alias("held")), b.select(F.col("other").alias("outer"))).select(F.col("held").alias("title"))
+    down = _standing(b.select(F.col("other").alias("held")), a.select(F.col("title").alias("outer"))).select(F.col("outer").alias("title"))
     return up.union(down).distinct()
 
 
@@ -60,23 +66,19 @@ def match_extraction(truth: DataFrame, extracted: DataFrame, order: str = "ord")
     """``code, matched`` of the distinct true codes, and the distinct extracted codes.
 
     Equal codes match first. Only true codes left over are compared by title, with
-    containment either way: equal titles by a plain join, the others through the words that
-    the contained title holds whole. Where a title stands in another, all its words but the
-    first and last are words of the other, so its rarest inner word (of all titles) brings
-    both together; titles of fewer than three words are short, and come together by their
-    first three characters instead.
+    containment either way (:func:`_standing`). Codes and titles grow with the data, so their
+    joins are never by broadcast.
     """
     t = _last_by_code(truth, order)
     e = _last_by_code(extracted, order).where("code <> ''")
-    by_code = t.join(e.select("code"), "code", "left_semi").select("code")
-    rest = t.join(e.select("code"), "code", "left_anti")
+    by_code = t.join(e.select("code").hint("merge"), "code", "left_semi").select("code")
+    rest = t.join(e.select("code").hint("merge"), "code", "left_anti")
     titles = e.where("title <> ''").select(F.col("title").alias("other")).distinct()
     mine = rest.where("title <> ''").select("code", "title")
-    equal = mine.join(titles.withColumnRenamed("other", "title"), "title", "left_semi").select("code")
     pairs = _containing(mine.select("title").distinct(), titles)
-    near = equal.union(mine.join(pairs, "title", "left_semi").select("code")).union(rest.where("title = ''").join(titles.limit(1), F.lit(True), "left_semi").select("code")).distinct()
+    near = mine.join(pairs.hint("merge"), "title", "left_semi").select("code").union(rest.where("title = ''").join(titles.limit(1), F.lit(True), "left_semi").select("code")).distinct()
     matched = by_code.union(near).withColumn("matched", F.lit(True))
-    return t.join(matched, "code", "left").select("code", F.coalesce("matched", F.lit(False)).alias("matched")), e.select("code")
+    return t.join(matched.hint("merge"), "code", "left").select("code", F.coalesce("matched", F.lit(False)).alias("matched")), e.select("code")
 
 
 def extraction_scores(truth: DataFrame, extracted: DataFrame, order: str = "ord") -> DataFrame:
