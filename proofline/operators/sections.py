@@ -5,7 +5,7 @@ that a block of lines needs to know of the lines before it is the begin of the s
 is open there, and it can say beforehand which section each such begin leaves open at its
 end. So each block states that as a short step function, the functions of a document's blocks
 are applied one after another (a few numbers a block), and every block then cuts its own
-lines.
+lines, many blocks side by side. Only documents of several blocks need the functions.
 
 A document is measured in characters: a line at ``at`` begins after ``at`` characters, line
 breaks counted. A section that began at ``s`` ends before the first line that starts a
@@ -14,8 +14,11 @@ section by itself, or lies at more than ``s + SECTION_CHARS + 1``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,45 @@ def block_function(at: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[
     return below, line
 
 
+def whole_blocks(batches: Iterator[pa.RecordBatch], number: str, block: int) -> Iterator[pa.Table]:
+    """Rows sorted by group and ``number`` (from 0 in each group) as tables of whole blocks of ``block`` rows; at most one is held back."""
+    rest = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if rest is None else pa.concat_tables([rest, part])
+        begins = np.flatnonzero(part[number].to_numpy() % block == 0)
+        cut = int(begins[-1]) if len(begins) else 0
+        if cut:
+            yield part.slice(0, cut)
+        rest = part.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def section_begins(at: np.ndarray, first: np.ndarray, starts: np.ndarray, begun: np.ndarray) -> np.ndarray:
+    """For each line, the line at which its section begins, or -1 for the one open before its block.
+
+    ``first`` marks the first lines of the blocks, which are cut side by side; ``begun`` holds
+    on each line of a block where the section open before it began.
+    """
+    begins, n = np.flatnonzero(first), len(at)
+    ends, block = np.append(begins[1:], n), np.cumsum(first) - 1
+    within = at - at[begins][block]
+    flat = within + block * (int(within.max()) + 2 * SECTION_CHARS)  # blocks too far apart to meet
+    after = np.minimum(_followers(flat, starts), ends[block])
+    left = np.maximum(begun[begins] - at[begins], -SECTION_CHARS - 2)  # of the open section; none is open: the first line begins one
+    marked = np.append(np.flatnonzero(starts), n)
+    here = np.minimum(np.searchsorted(flat, flat[begins] + left + SECTION_CHARS + 1, "right"), marked[np.searchsorted(marked, begins)])
+    own, stop = np.full(n, -1), ends
+    while len(here):
+        more = here < stop
+        here, stop = here[more], stop[more]
+        own[here] = here
+        here = after[here]
+    own = np.maximum.accumulate(own)
+    return np.where(own >= begins[block], own, -1)
+
+
 def section_lines(lines: DataFrame, group: list[str], order: str, text: str = "text", heading: Column | None = None) -> DataFrame:
     """``*group, chunk_index, content``: the sections of each document given as rows of lines, in ``order``.
 
@@ -86,23 +128,21 @@ def section_lines(lines: DataFrame, group: list[str], order: str, text: str = "t
                 begun, number = int(b.at[i]), int(b.n[i])
         return pd.DataFrame(found, columns=[*group, "_block", "begun", "number"])
 
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_n")
-        at, number, starts = part["_at"].to_numpy(), part["_n"].to_numpy(), part["_starts"].to_numpy(bool)
-        after, begun = _followers(at, starts), int(part["begun"].iloc[0])
-        own = np.zeros(len(at), bool)
-        i = min(int(np.searchsorted(at, begun + SECTION_CHARS + 1, "right")), int(np.argmax(starts)) if starts.any() else len(at))
-        while i < len(at):
-            own[i], i = True, int(after[i])
-        place = np.cumsum(own) - 1
-        section = np.where(place >= 0, number[np.flatnonzero(own)[place]] if own.any() else -1, int(part["number"].iloc[0]))
-        return part[[*group, "_n"]].assign(section=section)
-
-    functions = bare.groupBy(*group, "_block").applyInPandas(described, f"{named}, _block long, below array<long>, at array<long>, n array<long>")
-    entries = functions.groupBy(*group).applyInPandas(opened, f"{named}, _block long, begun long, number long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_blocks(batches, "_n", BLOCK):
+            at, number, starts, begun, open_ = (part[c].to_numpy() for c in ("_at", "_n", "_starts", "begun", "number"))
+            own = section_begins(at, number % BLOCK == 0, starts.astype(bool), begun)
+            section = pa.array(np.where(own < 0, open_, number[own]), pa.int64())
+            yield from part.select([*group, "_n"]).append_column("section", section).to_batches()
+
     same = lambda a, b, *more: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, *more)]
-    joined = bare.alias("a").join(entries.alias("b"), same("a", "b", "_block")).select("a.*", "begun", "number")
-    marks = joined.groupBy(*group, "_block").applyInPandas(cut, f"{named}, _n long, section long")
+    many = rows.where("_block > 0").select(*group).distinct()  # documents of one block start with no section open
+    several = bare.alias("a").join(many.alias("b"), same("a", "b"), "left_semi")
+    functions = several.groupBy(*group, "_block").applyInPandas(described, f"{named}, _block long, below array<long>, at array<long>, n array<long>")
+    entries = functions.groupBy(*group).applyInPandas(opened, f"{named}, _block long, begun long, number long")
+    begun = [F.coalesce("begun", F.lit(_NONE)).alias("begun"), F.coalesce("number", F.lit(-1).cast("long")).alias("number")]
+    joined = bare.alias("a").join(entries.alias("b"), same("a", "b", "_block"), "left").select("a.*", *begun)
+    marks = joined.repartition(*group, "_block").sortWithinPartitions(*group, "_n").mapInArrow(cut, f"{named}, _n long, section long")
     whole = rows.alias("a").join(marks.alias("b"), same("a", "b", "_n")).select("a.*", "section")
     parts = F.array_sort(F.collect_list(F.struct("_n", "_line")))  # a section's lines are few
     chunks = whole.groupBy(*group, "section").agg(F.array_join(F.transform(parts, lambda p: p["_line"]), "\n").alias("content"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,14 @@ def test_no_lines(spark):
     df = spark.createDataFrame([(1, 0, " "), (2, 1, None)], "doc long, line int, text string")
     assert sections.section_lines(df, ["doc"], "line").collect() == []
     assert chunking.SECTION_CHARS == sections.SECTION_CHARS
+
+
+def test_blocks_side_by_side():
+    """Blocks cut together give what each gives alone."""
+    rng = np.random.default_rng(5)
+    parts = [(np.cumsum(rng.integers(1, 900, n)), rng.random(n) < 0.1, b) for n, b in ((1, sections._NONE), (40, sections._NONE), (7, 0), (300, -700))]
+    alone = [sections.section_begins(at, np.arange(len(at)) == 0, starts, np.full(len(at), b)) for at, starts, b in parts]
+    first = np.concatenate([np.arange(len(p[0])) == 0 for p in parts])
+    both = sections.section_begins(*[np.concatenate(x) for x in ([p[0] for p in parts], [first], [p[1] for p in parts], [np.full(len(p[0]), p[2]) for p in parts])])
+    shift = np.cumsum([0, *[len(a) for a in alone[:-1]]])
+    assert both.tolist() == np.concatenate([np.where(a < 0, -1, a + k) for a, k in zip(alone, shift, strict=True)]).tolist()
