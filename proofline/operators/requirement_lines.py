@@ -5,14 +5,17 @@ own depends on that requirement, and so on the lines before. All that counts of
 whether it takes another line and how long its title is, up to ``FULL`` characters: ``STATES``
 states. So each block of lines says in which state it ends for each state it may begin in,
 a document's blocks are put one after another (a few numbers a block), and every block then
-tells of its own lines which requirement they belong to. What a requirement gathers from its
+tells of its own lines which requirement they belong to, all blocks of a task in one call. What a requirement gathers from its
 lines comes from an aggregation that combines before the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from ..functions import fixed
 from ..functions.text import contains_any, extract_parameters, group, infer_category, or_null, severity_of, strip
 from ..sources.shared import materialize
 from ..sources.tables import running_code, running_numbers
+from .sections import whole_blocks
 
 BLOCK = 10_000  # lines that matter
 SHORTEST, TITLE, SHORT = 15, 120, 80  # a line that counts, a title cut from one, a description that takes another line
@@ -44,6 +48,20 @@ def block_function(coded: np.ndarray, length: np.ndarray, title: np.ndarray, ope
     return state.tolist(), head.tolist()
 
 
+def line_heads(coded: list[bool], length: list[int], title: list[int], open_: list[bool], number: list[int], state: list[int], head: list[int], block: int) -> list[int]:
+    """The line of the requirement each line belongs to, for blocks in sequence; ``state`` and ``head`` are those before a line's block."""
+    heads, now, at = [], 0, -1
+    for c, n, t, o, k, begin, before in zip(coded, length, title, open_, number, state, head, strict=True):
+        if k % block == 0:
+            now, at = begin, before
+        if c or now == 0:
+            now, at = 1 + min(t, FULL) if o else 0, k
+        elif now + 1 + n >= SHORT:
+            now = 0
+        heads.append(at)
+    return heads
+
+
 def requirement_lines(lines: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """``*keys, ord, req_code, title, description, category, severity, parameters``: the requirements of each document.
 
@@ -56,7 +74,8 @@ def requirement_lines(lines: DataFrame, keys: list[str], order: str, text: str =
     named = F.coalesce(or_null(strip(F.regexp_extract("_line", fixed.LINE_CODE, 2))), F.col("_line"))
     row = row.withColumn("_code", F.replace(F.upper(code), F.lit("_"), F.lit("-"))).where(F.col("_code").isNotNull() | contains_any(F.lower("_line"), fixed.MODALS))
     row = row.withColumn("_title", F.when(F.col("_code").isNotNull(), named).otherwise(F.substring("_line", 1, TITLE)))
-    row = materialize(running_numbers(row, keys, [order], _n=F.lit(True)).withColumn("_block", F.floor(F.col("_n") / BLOCK)), "requirement-lines")
+    row = running_numbers(row, keys, [order], _n=F.lit(True)).withColumn("_n", F.col("_n") - 1)
+    row = materialize(row.withColumn("_block", F.floor(F.col("_n") / BLOCK)), "requirement-lines")
     open_ = (F.col("_title") == F.col("_line")) | (F.length("_line") < SHORT)
     bare = row.select(*keys, "_block", "_n", F.col("_code").isNotNull().alias("_coded"), F.length("_line").alias("_length"), F.length("_title").alias("_title"), open_.alias("_open"))
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bare.select(*keys).schema)
@@ -75,20 +94,19 @@ def requirement_lines(lines: DataFrame, keys: list[str], order: str, text: str =
             state = int(b.state[state])
         return pd.DataFrame(found, columns=[*keys, "_block", "state", "head"])
 
-    def told(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_n")
-        state, head, heads = part["state"].to_numpy()[:1], int(part["head"].iloc[0]), []
-        for c, n, t, o, k in part[facts].itertuples(index=False):
-            head = k if c or state[0] == 0 else head
-            heads.append(head)
-            state = _after(state, c, n, t, o)
-        return part[[*keys, "_n"]].assign(head=heads)
-
-    functions = bare.groupBy(*keys, "_block").applyInPandas(described, f"{typed}, _block long, state array<long>, head array<long>")
-    entries = functions.groupBy(*keys).applyInPandas(entered, f"{typed}, _block long, state long, head long")
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_blocks(batches, "_n", BLOCK):
+            heads = pa.array(line_heads(*[part[c].to_pylist() for c in (*facts, "state", "head")], BLOCK), pa.int64())
+            yield from part.select([*keys, "_n"]).append_column("head", heads).to_batches()
+
     same = lambda a, b, *more: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, *more)]
-    begun = bare.alias("a").join(entries.alias("b"), same("a", "b", "_block")).select("a.*", "state", "head")
-    heads = begun.groupBy(*keys, "_block").applyInPandas(told, f"{typed}, _n long, head long")
+    many = row.where("_block > 0").select(*keys).distinct()  # documents of one block begin in state 0
+    several = bare.alias("a").join(many.alias("b"), same("a", "b"), "left_semi")
+    functions = several.groupBy(*keys, "_block").applyInPandas(described, f"{typed}, _block long, state array<long>, head array<long>")
+    entries = functions.groupBy(*keys).applyInPandas(entered, f"{typed}, _block long, state long, head long")
+    entry = [F.coalesce("state", F.lit(0).cast("long")).alias("state"), F.coalesce("head", F.lit(-1).cast("long")).alias("head")]
+    begun = bare.alias("a").join(entries.alias("b"), same("a", "b", "_block"), "left").select("a.*", *entry)
+    heads = begun.repartition(*keys, "_block").sortWithinPartitions(*keys, "_n").mapInArrow(told, f"{typed}, _n long, head long")
     whole = row.alias("a").join(heads.alias("b"), same("a", "b", "_n")).select("a.*", "head")
     return _gathered(whole, keys)
 

@@ -66,3 +66,17 @@ def test_blocks_equal_the_loop(spark, monkeypatch, block):
 def test_no_lines(spark):
     df = spark.createDataFrame([], "doc long, line int, text string")
     assert requirement_lines.requirement_lines(df, ["doc"], "line").collect() == []
+
+
+def test_blocks_in_sequence():
+    """Lines of several blocks in one call get what each block's function says of them."""
+    rng = random.Random(9)
+    for _ in range(50):
+        coded, open_ = [rng.random() < 0.2 for _ in range(4)], [rng.random() < 0.8 for _ in range(4)]
+        length, title = [rng.randrange(15, 90) for _ in range(4)], [rng.randrange(1, 90) for _ in range(4)]
+        columns = [requirement_lines.np.array(x) for x in (coded, length, title, open_, range(4))]
+        _, head = requirement_lines.block_function(*columns)
+        twice = [[*x, *x] for x in (coded, length, title, open_, list(range(4)))]
+        begin = rng.randrange(requirement_lines.STATES)
+        heads = requirement_lines.line_heads(*twice, [0] * 4 + [begin] * 4, [-1] * 8, 4)
+        assert (heads[3], heads[7]) == (head[0], head[begin])
