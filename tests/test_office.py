@@ -68,3 +68,16 @@ def test_documents(spark, tmp_path):
     assert [r["content"] for r in chunks if r["document_name"] == "a.docx"] == ["Scope\na\tb link", "REQ-1: shall"]
     many = [r["content"] for r in chunks if r["document_name"] == "many.docx"]
     assert "\n".join(many).split("\n") == [f"line {k}" for k in range(30_000)] and all(len(c) <= 1512 for c in many)
+
+
+def test_packed_files_leave_in_small_batches():
+    """However many rows a batch has, only a bounded number of packed bytes is held."""
+    import pyarrow as pa
+
+    from proofline.plans import office as plans
+
+    text = "z" * 400_000
+    batch = pa.record_batch([pa.array([f"{k}" for k in range(20)]), pa.array([text] * 20)], names=["path", "text"])
+    out = list(plans._files(iter([batch, batch]), str.encode, "text"))
+    assert [x for b in out for x in b.column("path").to_pylist()] == [f"{k}" for k in range(20)] * 2
+    assert max(b.num_rows for b in out) == 3
