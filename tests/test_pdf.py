@@ -107,3 +107,6 @@ def test_ranges_of_codes():
     table = b"1 begincodespacerange <00> <ff> endcodespacerange 2 beginbfrange <10> <12> <0041> <20> <21> [<0066 0069> <D83DDE00>] endbfrange"
     font = pdf.Font(pdf.Reader(numbered({1: stream(table)})), {"Subtype": pdf.Name("Type1"), "ToUnicode": pdf.Ref(1)})
     assert [font.text(c) for c in font.codes(b"\x10\x12\x20\x21\x31")] == ["A", "C", "fi", "😀", "1"]
+    text, width, letters, blanks = font.shown(b"\x10\x12\x20\x21\x31")
+    assert (text, letters, blanks) == ("ACfi😀1", 5, 1) and width == sum(font.widths.get(c, font.width) for c in (16, 18, 32, 33, 49))
+    assert font.shown(b"\x10" * 9)[0] == "A" * 9 and len(font.known) == 5  # each letter is looked up once
