@@ -137,3 +137,18 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [r["req_code"] for r in got] == ["REQ-TST-001"]
+
+
+def test_trace_edges_of_shared_codes(spark):
+    """A code of several requirements, a null one and repeated rows give each edge once; pairs of other codes are not shuffled again."""
+    reqs = spark.createDataFrame([(1,), (2,), (3,)], "req_id long")
+    links = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (2, 11), (9, 11)], "req_id long, chunk_id long")
+    chunks = spark.createDataFrame([(10, 5), (11, 5)], "chunk_id long, document_id long")
+    found = spark.createDataFrame([(1, "A"), (2, "A"), (2, "B"), (2, "B"), (3, "C"), (1, None), (2, None)], "req_id long, finding_code string")
+    edges = outputs.trace_edges(reqs, links, chunks, found)
+    want = {("requirement", "1", "document", "5"), ("requirement", "2", "document", "5"), ("document", "5", "evidence", "10"), ("document", "5", "evidence", "11")}
+    want |= {("evidence", c, "finding", f) for c in ("10", "11") for f in ("A", "B", None)}
+    rows = [tuple(r) for r in edges.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(req_id" in plan
