@@ -111,8 +111,8 @@ def _codes(values: pa.ChunkedArray | pa.Array, of: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.index_in(values, value_set=of), -1), dtype=np.int64)
 
 
-def best_rows(group: Group, min_score: float, k: int, per_document: int) -> pa.Table:
-    """The pairs of a group that may stand among the diversified best ``k`` of their requirement.
+def best_rows(group: Group, min_score: float, k: int, per_document: int, carry: tuple[str, ...] = ()) -> pa.Table:
+    """The pairs of a group that may stand among the diversified best ``k`` of their requirement, with the columns ``carry`` of the chunk.
 
     A pair is out as soon as k pairs of the requirement outrank it, of which no more than
     ``per_document`` of a document count: these go before it whatever other groups hold.
@@ -143,6 +143,7 @@ def best_rows(group: Group, min_score: float, k: int, per_document: int) -> pa.T
     whose = group.requirements.take(pa.array(kept.req))
     return pa.table({
         "project_id": whose["project_id"], "req_id": whose["req_id"], "chunk_id": taken["chunk_id"], "document_name": taken["document_name"], "score": kept.score, "held": pa.array(group.common(kept.req, kept.row), pa.string()),
+        **{c: taken[c] for c in carry},
     })
 
 
@@ -159,19 +160,21 @@ def totals(group: Group, min_score: float) -> pa.Table:
     return pa.table({"project_id": whose["project_id"], "req_id": whose["req_id"], "pairs": pairs[some], "best": best[some], "total": total[some]})
 
 
-def scanned(tokens: DataFrame, chunks: DataFrame, sizes: DataFrame, fold: Callable[[Group], pa.Table], columns: StructType) -> DataFrame:
+def scanned(tokens: DataFrame, chunks: DataFrame, sizes: DataFrame, fold: Callable[[Group], pa.Table], columns: StructType, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``fold`` over all groups.
 
     ``tokens``: project_id, req_id, token, qtf, boost, named. ``chunks``: project_id, chunk_id,
-    document_name, words (tokens joined by blanks), boosted, gain, norm. ``sizes``: project_id,
-    chars, n_requirements of each project.
+    document_name, content. ``sizes``: project_id, chars, n_requirements, avg_len of each
+    project. ``prepare`` adds to ``chunks`` with avg_len, after their shuffle, the columns that
+    a group needs: words (tokens joined by blanks), boosted, gain, norm.
     """
     weight = F.col("chars") + F.col("n_requirements") * REQUIREMENT_CHARS
     n = max(1, -(-(sizes.agg(F.sum(weight)).first()[0] or 0) // PART_CHARS))
-    dealt = sizes.select("project_id", F.greatest(F.lit(1), F.least(F.lit(n), F.ceil(F.col("chars") / PART_CHARS))).alias("_parts"), F.greatest(F.lit(1), F.ceil(F.col("n_requirements") / BLOCK)).alias("_blocks"))
+    dealt = sizes.select("project_id", "avg_len", F.greatest(F.lit(1), F.least(F.lit(n), F.ceil(F.col("chars") / PART_CHARS))).alias("_parts"), F.greatest(F.lit(1), F.ceil(F.col("n_requirements") / BLOCK)).alias("_blocks"))
     group = lambda part: F.pmod(F.pmod(F.xxhash64("project_id"), F.lit(n)) + part, F.lit(n))
     left = chunks.join(dealt, "project_id").withColumn("_group", group(F.pmod(F.xxhash64("chunk_id"), "_parts")))
-    left = left.select(*chunks.columns, "_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    left = left.select(*chunks.columns, "avg_len", "_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    left = prepare(left.repartition("_group", "_block"))
     right = tokens.join(dealt, "project_id").withColumn("_block", F.pmod(F.xxhash64("req_id"), "_blocks"))
     right = right.select(*tokens.columns, "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
     right = right.select(*tokens.columns, group(F.col("_part")).alias("_group"), "_block")

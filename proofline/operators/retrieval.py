@@ -104,41 +104,53 @@ def diversified(scored: DataFrame, k: int, per_document: int = 2) -> DataFrame:
     return tiered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_d", "_tier")
 
 
-def _prepared(requirements: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requirements' tokens, tokenized chunks and sizes of projects, as :func:`.lexical.scanned` takes them."""
+def _prepared(requirements: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requirements' tokens and sizes of projects, as :func:`.lexical.scanned` takes them."""
     q = query_tokens(requirements)
     extra = F.when(F.col("is_code"), 5.0).otherwise(0.0) + F.when(F.col("has_digit"), 2.0 * F.col("qtf")).otherwise(0.0) + F.when(F.col("is_core"), 1.5).otherwise(0.0)
     tokens = q.select("project_id", "req_id", "token", "qtf", extra.alias("boost"), F.expr(_NAMED).alias("named"))
-    boosted = F.coalesce(contains_any(F.lower("document_name"), fixed.BOOSTED_NAMES), F.lit(False))
-    lists = chunks.select("project_id", "chunk_id", "document_name", boosted.alias("boosted"), tokenize(F.col("content")).alias("t"))
-    rows = materialize(lists.select("project_id", "chunk_id", "document_name", "boosted", F.greatest(F.size("t"), F.lit(0)).alias("dl"), F.array_join("t", " ").alias("words")), "chunk-words")
-    sizes = rows.groupBy("project_id").agg((F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"), F.sum(F.length("words") + 50).alias("chars"))
+    lists = chunks.select("project_id", tokenize(F.col("content")).alias("t"))
+    dl, chars = F.greatest(F.size("t"), F.lit(0)), F.length(F.array_join("t", " ")) + 50
+    sizes = lists.groupBy("project_id").agg((F.sum(dl) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"), F.sum(chars).alias("chars"))
     sizes = materialize(sizes.join(requirements.groupBy("project_id").agg(F.count("*").alias("n_requirements")), "project_id"), "project-sizes")
-    norm = K1 * (1 - B + B * (F.col("dl") / F.greatest("avg_len", F.lit(1.0))))
-    rows = rows.join(sizes.select("project_id", "avg_len"), "project_id").withColumns({"gain": F.lit(K1 + 1), "norm": norm}).where("dl > 0").drop("dl", "avg_len")
-    return tokens, rows, sizes
+    return tokens, sizes
+
+
+def _words(carry: tuple[str, ...], dealt: DataFrame) -> DataFrame:
+    """Dealt chunks with what a group needs of their texts: only the texts are shuffled, and each is split by the task that scores it."""
+    lists = dealt.withColumn("t", tokenize(F.col("content"))).where(F.size("t") > 0)
+    boosted = F.coalesce(contains_any(F.lower("document_name"), fixed.BOOSTED_NAMES), F.lit(False))
+    norm = K1 * (1 - B + B * (F.size("t") / F.greatest("avg_len", F.lit(1.0))))
+    return lists.select(
+        "project_id", "chunk_id", "document_name", *carry, "_group", "_block", F.array_join("t", " ").alias("words"), boosted.alias("boosted"), F.lit(K1 + 1).alias("gain"), norm.alias("norm")
+    )
 
 
 def score_totals(requirements: DataFrame, chunks: DataFrame, min_score: float = 0.3) -> DataFrame:
     """``project_id, req_id, pairs, best, total`` of the pairs that :func:`scores` gives."""
-    tokens, rows, sizes = _prepared(requirements, chunks)
-    ids = requirements.select("project_id", "req_id")
-    found = lexical.scanned(tokens, rows, sizes, partial(lexical.totals, min_score=min_score), StructType([*ids.schema, *StructType.fromDDL("pairs long, best double, total double")]))
+    tokens, sizes = _prepared(requirements, chunks)
+    ids, rows = requirements.select("project_id", "req_id"), chunks.select("project_id", "chunk_id", "document_name", "content")
+    columns = StructType([*ids.schema, *StructType.fromDDL("pairs long, best double, total double")])
+    found = lexical.scanned(tokens, rows, sizes, partial(lexical.totals, min_score=min_score), columns, partial(_words, ()))
     return found.groupBy("project_id", "req_id").agg(F.sum("pairs").alias("pairs"), F.max("best").alias("best"), F.sum("total").alias("total"))
 
 
-def retrieve(requirements: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.3, per_document: int = 2) -> DataFrame:
+def retrieve(requirements: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.3, per_document: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Top-k evidence of each requirement, with ``matched`` as in :func:`scores`.
 
     ``requirements``: project_id, req_id, text. ``chunks``: project_id, chunk_id,
     document_name, content. Every pair of a project is scored, by groups (see
-    :mod:`.lexical`); only those that may be among the best are ranked by Spark.
+    :mod:`.lexical`); only those that may be among the best are ranked by Spark, after one
+    shuffle by requirement. ``carry``: further columns of the chunks to give with their rows,
+    which saves a join of all chunks.
     """
-    key = ["project_id", "req_id"]
-    tokens, rows, sizes = _prepared(requirements, chunks)
-    columns = StructType([*requirements.select(*key).schema, *chunks.select("chunk_id", "document_name").schema, *StructType.fromDDL("score double, held string")])
-    found = lexical.scanned(tokens, rows, sizes, partial(lexical.best_rows, min_score=min_score, k=k, per_document=per_document), columns)
-    top = materialize(diversified(found, k, per_document), "retrieved")
+    key, own = ["project_id", "req_id"], ["chunk_id", "document_name"]
+    tokens, sizes = _prepared(requirements, chunks)
+    rows = chunks.select("project_id", *own, *dict.fromkeys(["content", *carry]))
+    columns = StructType([*requirements.select(*key).schema, *chunks.select(*own).schema, *StructType.fromDDL("score double, held string"), *chunks.select(*carry).schema])
+    fold = partial(lexical.best_rows, min_score=min_score, k=k, per_document=per_document, carry=carry)
+    found = lexical.scanned(tokens, rows, sizes, fold, columns, partial(_words, carry))
+    top = materialize(diversified(found.repartition(*key), k, per_document), "retrieved")
     words = F.filter("_words", lambda t: (F.length(t) > 2) & F.array_contains(F.split("held", " "), t))
     asked = requirements.select(*key, tokenize(F.col("text")).alias("_words"))
     return top.join(asked, key).withColumn("matched", words).drop("held", "_words")

@@ -13,6 +13,8 @@ from .chunking import page_chunks, reassemble, section_chunks
 
 PASSAGES = {"page": page_chunks, "page_lines": lambda docs: page_chunks(docs, "\n"), "section": section_chunks}
 
+SHOWN = ("doc_type", "page_number", "content")  # what the decision and its links take from a chunk besides its name
+
 
 def chunked(documents: DataFrame, chunks: DataFrame | None = None, by: str = "section") -> DataFrame:
     """Chunks of all ``documents``: those given are used again, only documents without any are parsed.
@@ -49,8 +51,8 @@ def audit(documents: DataFrame, requirements: DataFrame, chunks: DataFrame | Non
     fields = ["project_id", "req_id", "req_code", "title", "description", "category", "severity", "source_document"]
     reqs = materialize(requirements.select(*fields).unionByName(found_requirements(pieces, requirements)), "audit-requirements")
     asked = reqs.select("project_id", "req_id", F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))).alias("text"))
-    top = retrieval.retrieve(asked, pieces, k, min_score)
-    candidates = top.select("req_id", "rank", "chunk_id").join(pieces.select("chunk_id", "document_name", "doc_type", "page_number", "content"), "chunk_id")
+    top = retrieval.retrieve(asked, pieces, k, min_score, carry=SHOWN)
+    candidates = top.select("req_id", "rank", "chunk_id", "document_name", *SHOWN)
     assessed, links = decision.assess(reqs, materialize(candidates, "audit-candidates"))
     assessed, links = materialize(assessed.drop("contract"), "audit-assessed"), materialize(links, "audit-links")
     updated = materialize(outputs.updated_requirements(reqs, assessed, links), "audit-updated")
@@ -75,8 +77,8 @@ def evaluation(documents: DataFrame, truth: DataFrame, truth_links: DataFrame, *
     extracted = found_requirements(pieces, truth.limit(0)).withColumn("ord", F.col("req_id"))
     reqs = truth.select("project_id", F.xxhash64("project_id", "req_code").alias("req_id"), normalize_code(F.col("req_code")).alias("req_code"), "title", "description")
     asked = reqs.select("project_id", "req_id", F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))).alias("text"))
-    top = retrieval.retrieve(asked, pieces, k, min_score).select("req_id", "rank", "chunk_id", "score")
-    got = top.join(pieces.select("chunk_id", "document_name", "doc_type", "page_number", "content"), "chunk_id").join(reqs.select("req_id", "req_code"), "req_id")
+    top = retrieval.retrieve(asked, pieces, k, min_score, carry=SHOWN).select("req_id", "rank", "chunk_id", "score", "document_name", *SHOWN)
+    got = top.join(reqs.select("req_id", "req_code"), "req_id")
     got = materialize(got, "evaluation-retrieved")
     assessed, _ = decision.assess(reqs, got.drop("req_code", "score"))
     pairs = materialize(metrics.expected_actual(truth, assessed.select("req_code", F.col("coverage_status").alias("status"))), "evaluation-pairs")
