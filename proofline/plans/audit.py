@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import contradiction, coverage_check, decision, retrieval, validators
 from ..operators.claims import KINDS, extract_claims
-from .views import BENCHMARK_REQUIREMENTS, LINE_CHUNKS, benchmark_requirements, duck, duck_tokens, line_chunks, shared
+from .views import BENCHMARK_REQUIREMENTS, LINE_CHUNKS, benchmark_requirements, duck, duck_tokens, line_chunks, placed_evidence, shared
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,8 +70,9 @@ def _requirements(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    e = shared(spark, sf_dir, "part_evidence")
-    return e.withColumn("rank", F.row_number().over(Window.partitionBy("req_id").orderBy("chunk_id")))
+    """Evidence of each requirement by chunk id; of equal ids, the row that stands first in its table goes first."""
+    e = placed_evidence(spark, sf_dir)
+    return e.withColumn("rank", F.row_number().over(Window.partitionBy("req_id").orderBy("chunk_id", "place"))).drop("place")
 
 
 def _claims(spark, sf_dir, kinds=KINDS):
