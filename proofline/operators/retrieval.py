@@ -28,6 +28,24 @@ def chunk_tokens(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "chunk_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def token_counts(chunks: DataFrame) -> DataFrame:
+    """``token, n, chunks``: how often each token stands, and in how many different chunk ids.
+
+    A row's sorted tokens tell by their neighbours which are its first of a kind, so both counts
+    combine before the shuffle and only tokens move. That counts an id once for each of its
+    rows; ids of several rows are looked for beforehand, and what they add is taken off.
+    """
+    rows = chunks.select("chunk_id", F.sort_array(tokenize(F.col("content"))).alias("t"))
+    beside = F.arrays_zip(F.col("t").alias("token"), F.concat(F.array(F.lit(None).cast("string")), "t").alias("before"))
+    pairs = rows.select("chunk_id", F.explode(beside).alias("p")).where("p.token is not null").select("chunk_id", "p.token", "p.before")
+    first = F.col("chunk_id").isNotNull() & ~F.col("token").eqNullSafe(F.col("before"))
+    counted = pairs.groupBy("token").agg(F.count("*").alias("n"), F.count_if(first).alias("chunks"))
+    again = materialize(chunks.groupBy("chunk_id").agg(F.count("*").alias("k")).where("k > 1 and chunk_id is not null").select("chunk_id"), "repeated-chunks")
+    twice = rows.join(again, "chunk_id").select("chunk_id", F.explode(F.array_distinct("t")).alias("token")).groupBy("token", "chunk_id").agg((1 - F.count("*")).alias("less"))
+    less = twice.groupBy("token").agg(F.lit(0).cast("long").alias("n"), F.sum("less").alias("chunks"))
+    return counted.unionByName(less).groupBy("token").agg(F.sum("n").alias("n"), F.sum("chunks").alias("chunks"))
+
+
 def query_tokens(requirements: DataFrame) -> DataFrame:
     """``project_id, req_id, token, qtf, at, is_code, has_digit, is_core`` of each requirement's text; ``at``: the token's places."""
     stop = fixed.RETRIEVAL_STOP_WORDS

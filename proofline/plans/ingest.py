@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, units
 from ..functions.contracts import parse_contract
-from ..operators import chunking, maintenance, requirement_lines, sections
+from ..operators import chunking, maintenance, requirement_lines, retrieval, sections
 from ..sources import commits, tables
 from ..sources.shared import shared_dir
 from .views import LINE_CHUNKS, duck, duck_tokens, line_chunks, shared, table
@@ -187,9 +187,7 @@ def o_b7_linked_counts(spark, sf_dir):
 
 @query(f"""WITH {LINE_CHUNKS}, t AS (SELECT chunk_id, unnest({duck_tokens('content')}) AS token FROM line_chunks) SELECT token, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM t GROUP BY 1""")
 def o_t1_tokens(spark, sf_dir):
-    t = line_chunks(spark, sf_dir).select("chunk_id", F.explode(text.tokenize(F.col("content"))).alias("token"))
-    per_chunk = t.groupBy("token", "chunk_id").agg(F.count("*").alias("k"))
-    return per_chunk.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("chunks"))
+    return retrieval.token_counts(line_chunks(spark, sf_dir))
 
 
 _CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in fixed.CATEGORY_KEYWORDS.items()) + " ELSE 'Documentation' END"
