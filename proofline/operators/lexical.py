@@ -1,7 +1,7 @@
 """Scores of chunks against requirements, block by block.
 
 Chunks are dealt by project and place into groups of alike size, each with the token counts of
-its projects' requirements, by one shuffle of the tokenized texts. A group scores its pairs a
+its projects' requirements, by one shuffle of the texts. A group scores its pairs a
 few million sums at a time and keeps only what its fold asks for, so pairs are never stored
 or shuffled: what moves grows with the texts, whatever the number of pairs.
 """
