@@ -96,6 +96,38 @@ def test_repeated_starts():
         assert [sorted(x) for x in got] == want
 
 
+def test_one_scan_serves_both_reaches(spark, repeated_rows):
+    """A longer reach adds no anchors: those of the shortest stand for all."""
+    rows = docs(spark, repeated_rows)
+    both, short = (substrings._anchor_counts(rows, reaches).collect() for reaches in ((substrings.CONTRACT, substrings.PASSAGE), (substrings.PASSAGE,)))
+    assert both and Counter(both) == Counter(short)
+
+
+def test_two_reaches_of_short_strings(spark):
+    """Two letters and short strings: periods, ends of texts and copies in all places."""
+    rng = random.Random(12)
+    reaches = (substrings.Reach(14, 10), substrings.Reach(9, 5))
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(30))) for _ in range(60)]
+    texts += ["ab" * rng.randrange(20) + rng.choice("cde") * rng.randrange(12) + "x" for _ in range(20)] + texts[:5]
+    found = {(r["_key"], r["_size"]): np.array(r["spans"]) for r in substrings.repeated_spans(docs(spark, enumerate(texts)).repartition(3), reaches).collect()}
+    keys = substrings._keyed(docs(spark, enumerate(texts))).collect()
+    marks = [covered([t.encode() for t in texts], r.length) for r in reaches]
+    by_text = dict(zip(texts, zip(*marks)))
+    for row in keys:
+        spans = found.get((row["_key"], row["_size"]), np.zeros(0, np.int64))
+        for kind, mark in enumerate(by_text[row["text"]]):
+            runs = substrings.merged(spans, kind)
+            assert [any(lo <= k < hi for lo, hi in runs) for k in range(len(mark))] == mark, (row["text"], kind)
+
+
+def test_ends_of_a_period_are_not_sorted(monkeypatch):
+    """Variants of a period's end share no whole string, so none of them reaches the suffix array."""
+    symbols = []
+    monkeypatch.setattr(substrings, "suffix_array", lambda text: symbols.append(len(text)) or suffix_array(text))
+    group = [(b"period ", b"period " * k + bytes([65 + k]) * (100 - 7 * k)) for k in range(14)]
+    assert substrings.repeated_starts([group], [100]) == [[[] for _ in group]] and not symbols
+
+
 def test_passages_of_some_fifty_words(spark):
     """Passages of 51 to 80 words (250 to 600 bytes) in several texts go whole; texts without one stay as they are."""
     rng = random.Random(4)
