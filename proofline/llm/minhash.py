@@ -17,6 +17,10 @@ that can be similar meets there. Links are confirmed on the full shingle sets of
 texts: each pair moves one of its texts, the other (which may have thousands of partners)
 moves once for each pack of them.
 
+Joins of tables that grow with the documents are merge joins by hint: Spark sizes the 80
+keys of a class, exploded, as one row, and Parquet by its compressed bytes, so up to some
+size it would send millions of rows through the driver.
+
 Edge cases: a null or word-free text has an empty set and no links; rows without doc_id
 take no part (component null, kept true); repeated rows share class and component; the
 input's other columns are ignored, whatever their names.
@@ -107,7 +111,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     c = classes.select("id", "n_shingles", "signature", "set_id")
 
     def side(x: str) -> DataFrame:
-        return c.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"), F.col("set_id").alias(f"set_{x}"))
+        found = c.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"), F.col("set_id").alias(f"set_{x}"))
+        return found.hint("merge")
 
     differing = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
     likely = (
@@ -151,9 +156,9 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """``key, id, component`` of the keys that hold more than one component."""
     found = comp.select(F.col("node").alias("id"), "component")
-    now = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    now = members.select("key", "id").join(found.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = now.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    return now.join(mixed, "key")
+    return now.join(mixed.hint("merge"), "key")
 
 
 def _grow(pairs: DataFrame, tried: DataFrame | None, links: DataFrame | None, classes: DataFrame, docs: DataFrame):
@@ -161,7 +166,7 @@ def _grow(pairs: DataFrame, tried: DataFrame | None, links: DataFrame | None, cl
     pairs = pairs.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
     if tried is not None:
         both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = pairs.join(both, ["a", "b"], "left_anti")
+        pairs = pairs.join(both.hint("merge"), ["a", "b"], "left_anti")
     pairs = materialize(pairs, "pairs")
     fresh = materialize(_confirm(pairs, classes, docs), "links")
     links = fresh if links is None else links.union(fresh)
@@ -216,7 +221,7 @@ def _prefix_pairs(left: DataFrame, docs: DataFrame, classes: DataFrame) -> DataF
 
     entries = materialize(rows.select("id", "component", "text").mapInArrow(prefixes, "id long, component long, h long, size long, at long, index boolean"), "prefixes")
     small = entries.where("index").select("h", F.col("id").alias("c"), F.col("component").alias("cc"), F.col("size").alias("n"), F.col("at").alias("ca"))
-    return entries.join(small, "h").where("component <> cc and size >= n and 75 * size <= 100 * n and 7 * least(size - at, n - ca) >= 3 * (size + n)").select("id", "c")
+    return entries.join(small.hint("merge"), "h").where("component <> cc and size >= n and 75 * size <= 100 * n and 7 * least(size - at, n - ca) >= 3 * (size + n)").select("id", "c")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -230,17 +235,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    members = materialize(keys.join(shared, "key"), "members")  # of keys with two classes or more
+    members = materialize(keys.join(shared.hint("merge"), "key"), "members")  # of keys with two classes or more
     shares = members.groupBy("id").agg(F.count("*").alias("shares"))  # high for members that others resemble most
 
     rank = F.struct((-F.col("shares")).alias("s"), F.xxhash64("id").alias("h"), "id")
-    centre = members.join(shares, "id").groupBy("key").agg(F.min(rank)["id"].alias("c"))
-    comp, tried, links = _grow(members.join(centre, "key").where("id <> c"), None, None, classes, docs)
+    centre = members.join(shares.hint("merge"), "id").groupBy("key").agg(F.min(rank)["id"].alias("c"))
+    comp, tried, links = _grow(members.join(centre.hint("merge"), "key").where("id <> c"), None, None, classes, docs)
     left = materialize(_open(members, comp).select("id", "component").distinct(), "open")
     if not left.isEmpty():
         comp, tried, links = _grow(_prefix_pairs(left, docs, classes), tried, links, classes, docs)
-    by_set = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("found"))
-    out = sig.join(by_set, "set_id", "left")
+    by_set = classes.join(comp.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("set_id", F.coalesce("component", "id").alias("found"))
+    out = sig.join(by_set.hint("merge"), "set_id", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

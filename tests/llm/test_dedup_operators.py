@@ -1,6 +1,7 @@
 """Suffix arrays, near-duplicates, decontamination, top-k and extraction against brute force."""
 
 import hashlib
+import importlib
 import itertools
 import random
 import re
@@ -228,6 +229,27 @@ def test_chains_within_a_key(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == near_by_brute_force(rows)
 
 
+def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
+    """Small as the tables are here, Spark may not take one for small: exploded keys would pass through the driver."""
+    rng, plans = random.Random(17), {}
+    rows, text = [], words(rng, 100)
+    for k in range(40):
+        rows.append((k, " ".join(text)))
+        for _ in range(2):
+            text[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+    passage = words(rng, 60)
+    rows += [(100 + k, " ".join(passage + words(rng, 60, 10**6))) for k in range(80)]
+
+    def plan(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    for module in (minhash, importlib.import_module("proofline.llm.components")):
+        monkeypatch.setattr(module, "materialize", lambda df, name, kept=module.materialize: (plans.setdefault(name, []).append(plan(df)), kept(df, name))[1])
+    plans["result"] = [plan(minhash.near_duplicates(docs(spark, rows)))]
+    assert {"members", "pairs", "likely", "edges", "open", "prefixes"} <= set(plans)  # the second search took place too
+    assert [name for name, found in plans.items() if any("Broadcast" in p for p in found)] == []
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
