@@ -12,6 +12,7 @@ import pytest
 from hand_pages import PAGES
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from proofline.llm import decontaminate, dom, extract, minhash, substrings, topk
 from proofline.llm.components import components
 from proofline.llm.gsaca import suffix_array
@@ -229,7 +230,8 @@ def test_chains_within_a_key(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == near_by_brute_force(rows)
 
 
-def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
+@pytest.mark.parametrize("run", [minhash.near_duplicates, lambda d: corpus_pipeline.near_dedup(d.sparkSession, d, "")], ids=["operator", "stage"])
+def test_near_duplicates_broadcast_no_table(spark, monkeypatch, run):
     """Small as the tables are here, Spark may not take one for small: exploded keys would pass through the driver."""
     rng, plans = random.Random(17), {}
     rows, text = [], words(rng, 100)
@@ -245,7 +247,7 @@ def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
 
     for module in (minhash, importlib.import_module("proofline.llm.components")):
         monkeypatch.setattr(module, "materialize", lambda df, name, kept=module.materialize: (plans.setdefault(name, []).append(plan(df)), kept(df, name))[1])
-    plans["result"] = [plan(minhash.near_duplicates(docs(spark, rows)))]
+    plans["result"] = [plan(run(docs(spark, rows)))]
     assert {"members", "pairs", "likely", "edges", "open", "prefixes"} <= set(plans)  # the second search took place too
     assert [name for name, found in plans.items() if any("Broadcast" in p for p in found)] == []
 
