@@ -126,11 +126,15 @@ def retrieval_scores(links: DataFrame, retrieved: DataFrame) -> DataFrame:
     return h.agg(n.alias("total_queries"), at(1), at(3), at(5), F.bround(_ratio(F.sum(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))), n), 4).alias("mrr"))
 
 
-def expected_actual(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """``code, expected, actual`` of every true requirement; no prediction counts as Missing."""
-    t = truth.select(normalize_code(F.col("req_code")).alias("code"), normalize_status(F.col("expected_status")).alias("expected"))
-    p = predicted.select(normalize_code(F.col("req_code")).alias("code"), F.col("status"))
-    return t.join(p, "code", "left").select("code", "expected", normalize_status(F.col("status")).alias("actual"))
+def expected_actual(truth: DataFrame, predicted: DataFrame, key: str | None = None) -> DataFrame:
+    """``code, expected, actual`` of every true requirement; no prediction counts as Missing.
+
+    Both meet by code, or by ``key``, a column of both, where codes repeat.
+    """
+    own = normalize_code(F.col("req_code")) if key is None else F.col(key)
+    t = truth.select(own.alias("_own"), normalize_code(F.col("req_code")).alias("code"), normalize_status(F.col("expected_status")).alias("expected"))
+    p = predicted.select(own.alias("_own"), F.col("status"))
+    return t.join(p, "_own", "left").select("code", "expected", normalize_status(F.col("status")).alias("actual"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

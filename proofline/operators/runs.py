@@ -70,18 +70,22 @@ def evaluation(documents: DataFrame, truth: DataFrame, truth_links: DataFrame, *
 
     ``truth``: project_id, req_code, title, description, expected_status. ``truth_links``:
     req_code, document, page, quote. Every true requirement is assessed, whatever extraction
-    finds. Gives extraction, retrieval, classification, specialty, confusion, classes,
+    finds: by itself, also where a project's rows share a code, and rows of one text once.
+    Gives extraction, retrieval, classification, specialty, confusion, classes,
     failures, results and counts.
     """
+    # a null is left out of a hash: the flag says which of the two texts there is
+    truth = truth.withColumn("req_id", F.xxhash64("project_id", "req_code", F.col("title").isNull(), "title", "description"))
     pieces = materialize(chunked(documents, None, by), "evaluation-chunks")
     extracted = found_requirements(pieces, truth.limit(0)).withColumn("ord", F.col("req_id"))
-    reqs = truth.select("project_id", F.xxhash64("project_id", "req_code").alias("req_id"), normalize_code(F.col("req_code")).alias("req_code"), "title", "description")
+    reqs = truth.select("project_id", "req_id", normalize_code(F.col("req_code")).alias("req_code"), "title", "description")
+    reqs = materialize(reqs.dropDuplicates(["req_id"]), "evaluation-requirements")
     asked = reqs.select("project_id", "req_id", F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))).alias("text"))
     top = retrieval.retrieve(asked, pieces, k, min_score, carry=SHOWN).select("req_id", "rank", "chunk_id", "score", "document_name", *SHOWN)
     got = top.join(reqs.select("req_id", "req_code"), "req_id")
     got = materialize(got, "evaluation-retrieved")
     assessed, _ = decision.assess(reqs, got.drop("req_code", "score"))
-    pairs = materialize(metrics.expected_actual(truth, assessed.select("req_code", F.col("coverage_status").alias("status"))), "evaluation-pairs")
+    pairs = materialize(metrics.expected_actual(truth, assessed.select("req_id", F.col("coverage_status").alias("status")), "req_id"), "evaluation-pairs")
     return {
         "extraction": metrics.extraction_scores(truth.withColumn("ord", F.col("req_code")), extracted),
         "retrieval": metrics.retrieval_scores(truth_links, got),

@@ -63,3 +63,27 @@ def test_evaluation(spark, tables):
     assert out["classification"][0]["accuracy"] == 50.0 and out["retrieval"][0]["recall_at_5"] == 50.0
     assert [(r["code"], r["expected"], r["actual"], r["error_type"]) for r in out["failures"]] == [("REQ-102", "Missing", "Supported", "unsupported_claim")]
     assert {r["code"]: (r["expected"], r["actual"], r["correct"]) for r in out["results"]} == {"REQ-101": ("Supported", "Supported", True), "REQ-102": ("Missing", "Supported", False)}
+
+
+def test_evaluation_of_requirements_that_share_a_code(spark, tables, monkeypatch):
+    """Each is assessed by itself and once, and meets its own assessment, in its project and in others."""
+    docs, _ = tables
+    texts = [("Supply voltage window", "The unit shall operate from 9 V to 36 V DC."), ("Sleep current", "Current draw shall not exceed 50 uA in sleep mode."), ("Zebra crossing", "Qwertz uiopasd fghjkl shall be archived."), (None, "Qwertz"), ("Qwertz", None)]
+    truth = [(p, "REQ-900", *t, "Missing") for p in (1, 3) for t in [*texts, texts[2]]]
+    columns = "project_id long, req_code string, title string, description string, expected_status string"
+    links = spark.createDataFrame([("REQ-900", "unit_test_report", None, "short")], "req_code string, document string, page int, quote string")
+    seen = {}
+
+    def kept(df, name, whole=runs.materialize):
+        seen[name] = whole(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(runs, "materialize", kept)
+    out = runs.evaluation(docs, spark.createDataFrame(truth, columns), links, by="page_lines")
+    assert seen["evaluation-requirements"].count() == 2 * len(texts)
+    got = seen["evaluation-retrieved"].select("req_id", "chunk_id")
+    assert got.count() == got.distinct().count() > 0
+    assert out["counts"].first()["total"] == len(truth) == out["results"].count()
+    apart = [(p, f"REQ-{900 + k}", *t, "Missing") for k, (p, _, *t, _) in enumerate(truth)]  # the same under codes of their own
+    alone = runs.evaluation(docs, spark.createDataFrame(apart, columns), links, by="page_lines")["results"].collect()
+    assert sorted(r["actual"] for r in out["results"].collect()) == sorted(r["actual"] for r in alone) and len({r["actual"] for r in alone}) > 1
