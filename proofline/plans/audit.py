@@ -70,9 +70,9 @@ def _requirements(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Evidence of each requirement by chunk id; of equal ids, the row that stands first in its table goes first."""
+    """Evidence of each requirement by chunk id; of equal ids, the row that stands first in its table goes first, files by name."""
     e = placed_evidence(spark, sf_dir)
-    return e.withColumn("rank", F.row_number().over(Window.partitionBy("req_id").orderBy("chunk_id", "place"))).drop("place")
+    return e.withColumn("rank", F.row_number().over(Window.partitionBy("req_id").orderBy("chunk_id", "file", "place"))).drop("file", "place")
 
 
 def _claims(spark, sf_dir, kinds=KINDS):

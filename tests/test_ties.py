@@ -1,6 +1,9 @@
 """Rows that an order leaves open."""
 
 import datetime
+import os
+
+import duckdb
 
 from proofline.plans import audit
 
@@ -18,3 +21,21 @@ def test_of_equal_chunks_the_first_of_the_table_decides(spark, tmp_path):
     candidates = audit._candidates(spark, str(tmp_path))
     plan = candidates._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(req_id" in plan and "ASC NULLS FIRST, place" in plan and "place" not in candidates.columns
+
+
+def test_of_equal_chunks_the_first_file_decides(spark, tmp_path):
+    """A table of two files: rows of the first go before those of the second, wherever they stand in them."""
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute(f"COPY (SELECT k AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, 20::INT AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(1, 4) AS r(k)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    os.mkdir(f"{tmp_path}/lineitem.parquet")
+    for n in range(2):  # the deciding rows stand last in the first file and first in the second
+        line = f"SELECT 5 + o AS l_orderkey, k AS l_partkey, 1::BIGINT AS l_suppkey, 1::INT AS l_linenumber, CASE WHEN k % 2 = {n} THEN 10.0 ELSE 30.0 END::DOUBLE AS l_quantity, 'N' AS l_returnflag, 'O' AS l_linestatus"
+        con.execute(f"COPY ({line} FROM range(1, 4) AS r(k), range(100) AS s(o) ORDER BY o {('DESC', '')[n]}, k) TO '{tmp_path}/lineitem.parquet/part-{n}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("o_h7_thresholds", "o_h12_h13_statuses"):
+        found = audit.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(audit.ORACLES[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in columns) for r in found.collect()), name
