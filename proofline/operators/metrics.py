@@ -109,13 +109,14 @@ def first_hits(links: DataFrame, retrieved: DataFrame, cut: int = 5) -> DataFram
     """``code, first_hit`` (rank or null) of every query that has expected links.
 
     ``links``: req_code, document, page, quote. ``retrieved``: req_code, rank,
-    document_name, page_number, content. Both meet within a requirement only.
+    document_name, page_number, content. Both meet within a requirement only, and grow with
+    the data, so their joins are never by broadcast.
     """
     want = links.select(normalize_code(F.col("req_code")).alias("code"), "document", "page", "quote")
     got = retrieved.where(F.col("rank") <= cut).select(normalize_code(F.col("req_code")).alias("code"), "rank", "document_name", "page_number", "content")
     hit = evidence_hit(F.col("document"), F.col("page"), F.col("quote"), F.col("document_name"), F.col("page_number"), F.col("content"))
-    first = want.join(got, "code").where(hit).groupBy("code").agg(F.min("rank").alias("first_hit"))
-    return want.select("code").distinct().join(first, "code", "left")
+    first = want.join(got.hint("merge"), "code").where(hit).groupBy("code").agg(F.min("rank").alias("first_hit"))
+    return want.select("code").distinct().join(first.hint("merge"), "code", "left")
 
 
 def retrieval_scores(links: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -171,4 +171,4 @@ def retrieve(requirements: DataFrame, chunks: DataFrame, k: int = 5, min_score:
     top = materialize(diversified(found.repartition(*key), k, per_document), "retrieved")
     words = F.filter("_words", lambda t: (F.length(t) > 2) & F.array_contains(F.split("held", " "), t))
     asked = requirements.select(*key, tokenize(F.col("text")).alias("_words"))
-    return top.join(asked, key).withColumn("matched", words).drop("held", "_words")
+    return top.join(asked.hint("merge"), key).withColumn("matched", words).drop("held", "_words")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from proofline.operators import runs
+from proofline.operators import metrics, runs
 
 DOCUMENT = "project_id long, document_id long, document_name string, doc_type string, text string"
 REQUIREMENT = "project_id long, req_id long, req_code string, title string, description string, category string, severity string, source_document string"
@@ -87,3 +87,12 @@ def test_evaluation_of_requirements_that_share_a_code(spark, tables, monkeypatch
     apart = [(p, f"REQ-{900 + k}", *t, "Missing") for k, (p, _, *t, _) in enumerate(truth)]  # the same under codes of their own
     alone = runs.evaluation(docs, spark.createDataFrame(apart, columns), links, by="page_lines")["results"].collect()
     assert sorted(r["actual"] for r in out["results"].collect()) == sorted(r["actual"] for r in alone) and len({r["actual"] for r in alone}) > 1
+
+
+def test_first_hits_broadcast_nothing(spark):
+    """Links and retrieved chunks grow with the requirements, however small Spark takes them to be."""
+    links = spark.range(1, 2).selectExpr("concat('REQ-', id) AS req_code", "'report' AS document", "CAST(NULL AS INT) AS page", "'short' AS quote")
+    got = spark.range(1, 2).selectExpr("concat('REQ-', id) AS req_code", "2 AS rank", "'a_report' AS document_name", "1 AS page_number", "'text' AS content")
+    found = metrics.first_hits(links, got)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("REQ-1", 2)]
